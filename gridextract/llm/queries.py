@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash_anchor
+from . import chat_format, line_templates, packing, simhash_anchor
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")  # same ids as byte_bpe_50k.json
 
@@ -20,12 +20,73 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    examples = chat_format.prefix_examples(turns.unionByName(extra))
+    read = examples.withColumn("loss", chat_format.loss_text(examples)).groupBy("conv_id").agg(
+        F.max_by("text", "example").alias("whole"), F.array_join(F.array_sort(F.collect_list(F.struct("example", "loss")))["loss"], "").alias("loss"), F.sum(F.char_length("text")).alias("formatted_chars"))
+    read = read.withColumn("turns", chat_format.turns_of(F.col("whole")))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    sum(4 + length(replace(replace(replace(replace(role, '\', '\s'), '###', '\h'), '</turn>', '\e'), ':', '\c')) + 2
+      + length(replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\e')) + 8) OVER w AS upto
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs, n_lines="n_lines", n_dropped="n_dropped").select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, k, line, string_split_regex(regexp_replace(line, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g'), '[ \t\r\f\v]+') AS tokens
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)),
+shaped AS (
+  SELECT *, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS m FROM lines),
+leafed AS (SELECT *, len(tokens) || ' ' || array_to_string(m[1:3], ' ') AS leaf, array_to_string(m, ' ') AS masked FROM shaped),
+leaves AS (SELECT leaf FROM leafed WHERE len(tokens) >= 3 AND doc_id IS NOT NULL GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+own AS (SELECT DISTINCT leaf, doc_id, masked, m FROM leafed SEMI JOIN leaves USING (leaf) WHERE len(tokens) >= 3 AND doc_id IS NOT NULL),
+kinds AS (SELECT leaf, masked, m, count(*) AS n FROM own GROUP BY ALL),
+words AS (SELECT leaf, masked, n, unnest(m) AS token, generate_subscripts(m, 1) AS pos FROM kinds),
+fixed AS (SELECT leaf, pos, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 5),
+shape AS (
+  SELECT w.leaf, w.masked, string_agg(coalesce(f.token, '<*>'), ' ' ORDER BY w.pos) AS template
+  FROM words w LEFT JOIN fixed f ON w.leaf = f.leaf AND w.pos = f.pos AND w.token = f.token
+  GROUP BY w.leaf, w.masked HAVING count(f.token) >= 0.5 * count(*)),
+found AS (SELECT leaf, template, min(doc_id) AS first FROM own JOIN shape USING (leaf, masked) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+gone AS (SELECT DISTINCT o.doc_id, o.masked FROM own o JOIN shape s USING (leaf, masked) JOIN found f USING (leaf, template) WHERE o.doc_id <> f.first),
+kept AS (SELECT l.doc_id, l.k, l.line, g.masked IS NOT NULL AS dropped FROM leafed l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.masked = g.masked)
+SELECT d.doc_id, count(k.k) AS n_lines, count(k.k) FILTER (WHERE k.dropped) AS n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.k) FILTER (WHERE NOT k.dropped), '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, max_len=1024, end_id=0, emit_ids=False)
 
 
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op6_chat_prefix": op6_chat_prefix,
+    "op9_line_templates": op9_line_templates,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_chat_prefix": OP6_SQL, "op9_line_templates": OP9_SQL}
