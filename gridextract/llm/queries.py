@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_templates, packing, simhash_anchor
+from . import chat_format, debruijn, line_templates, packing, simhash_anchor
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")  # same ids as byte_bpe_50k.json
 
@@ -49,6 +49,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.drop_repeated_spans(table(spark, sf_dir, "documents"), k=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs, n_lines="n_lines", n_dropped="n_dropped").select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -86,6 +90,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_chat_prefix": op6_chat_prefix,
+    "op7_debruijn": op7_debruijn,
     "op9_line_templates": op9_line_templates,
     "op10_packing": op10_packing,
 }

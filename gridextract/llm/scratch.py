@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,8 @@ def written(df: DataFrame) -> DataFrame:
     if not _ROOTS:
         atexit.register(_clear)
     _ROOTS.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the finished step
     return spark.read.schema(df.schema).parquet(path)
 
 
