@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn, decontaminate, line_templates, packing, simhash_anchor
+from . import chat_format, debruijn, decontaminate, line_templates, packing, simhash_anchor, toxicity_knn
+from .labelled import held_out
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")  # same ids as byte_bpe_50k.json
 
@@ -21,6 +22,12 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
 
 
+def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity_knn.fit_index(docs, table(spark, sf_dir, "labels"), label="toxic")
+    return toxicity_knn.score(docs, index).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_anchor.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -95,6 +102,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_string_tiling": op1_string_tiling,
+    "op4_toxicity_knn": op4_toxicity_knn,
     "op5_simhash": op5_simhash,
     "op6_chat_prefix": op6_chat_prefix,
     "op7_debruijn": op7_debruijn,
