@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn, decontaminate, line_templates, packing, quality_nbsvm, simhash_anchor, toxicity_knn
+from . import chat_format, debruijn, decontaminate, line_templates, packing, quality_gbdt, quality_nbsvm, simhash_anchor, toxicity_knn
 from .labelled import held_out
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")  # same ids as byte_bpe_50k.json
@@ -72,6 +72,12 @@ def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.drop_repeated_spans(table(spark, sf_dir, "documents"), k=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality_gbdt.fit(docs, table(spark, sf_dir, "labels"), label="quality")
+    return quality_gbdt.judge(docs, trees).drop("text")
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs, n_lines="n_lines", n_dropped="n_dropped").select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -113,6 +119,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_chat_prefix": op6_chat_prefix,
     "op7_debruijn": op7_debruijn,
+    "op8_quality_gbdt": op8_quality_gbdt,
     "op9_line_templates": op9_line_templates,
     "op10_packing": op10_packing,
 }
