@@ -94,7 +94,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                     out["ids"] += [ids[start : start + n]] if emit_ids else []
                     ranks[n] += 1
                     start += n
-                if len(out["row"]) >= 20_000:
+                if len(out["row"]) >= 20_000 or emit_ids and len(out["row"]) >= 2_000:
                     yield flush()
             yield flush()
 

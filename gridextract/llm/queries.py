@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn, decontaminate, line_templates, packing, quality_gbdt, quality_nbsvm, simhash_anchor, toxicity_knn
+from . import chat_format, debruijn, decontaminate, line_templates, packing, quality_gbdt, quality_nbsvm, secrets, simhash_anchor, toxicity_knn
 from .labelled import held_out
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")  # same ids as byte_bpe_50k.json
@@ -28,6 +28,10 @@ def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), path_col="source")
+
+
 def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = toxicity_knn.fit_index(docs, table(spark, sf_dir, "labels"), label="toxic")
@@ -115,6 +119,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_string_tiling": op1_string_tiling,
     "op2_quality_nbsvm": op2_quality_nbsvm,
+    "op3_secret_forest": op3_secret_forest,
     "op4_toxicity_knn": op4_toxicity_knn,
     "op5_simhash": op5_simhash,
     "op6_chat_prefix": op6_chat_prefix,

@@ -92,10 +92,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), bounds
 
 
-def blocks(column: pa.Array, letters: bool = False) -> Iterator[Words]:
-    """Words of a string column by block. letters: words are runs of letters and digits instead."""
+def blocks(column: pa.Array, letters: bool = False, of: np.ndarray | None = None) -> Iterator[Words]:
+    """Words of a string column by block. letters: words are runs of letters and digits instead; of: runs of the bytes
+    that this table marks."""
     data, bounds = buffers(column)
-    keep = ALNUM if letters else ~SPACE
+    keep = of if of is not None else ALNUM if letters else ~SPACE
     i, total = 0, len(bounds) - 1
     while i < total:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK_BYTES, "right")) - 1)
