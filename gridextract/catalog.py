@@ -1,12 +1,378 @@
-"""Queries of the package's own operators, by name, each with the SQL that gives the same rows."""
+"""Queries of the package's own operators, by name, each with the SQL that gives the same rows.
+
+Lines to parse are made from the customer table by rule (plans.fixtures); the SQL states what they say without parsing."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridextract.functions import codes, money, names
+from gridextract.functions import pages as page_functions
+from gridextract.functions.text import ratio
+from gridextract.operators import dedupe, edits, layout, match, meta, pages, quality, rows
+from gridextract.plans import extract as plan
+from gridextract.plans.fixtures import ROSTER, TRUTH, page_text, roster, table, truth
+from gridextract.plans.fixtures import lines as noisy_lines
+from gridextract.sources import csv_export
+from gridextract.sources import roster as roster_source
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def longs(d: DataFrame) -> DataFrame:
+    """Whole numbers as long, as the SQL has them."""
+    return d.select(*(F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in d.dtypes))
+
+
+@query(f"select coverage, count(*) as n_rows, cast(sum(cents)/100.0 as double) as charge_total from ({TRUTH}) as t group by coverage")
+def flagship_charges_by_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rows.line_rows(rows.text_lines(page_text(spark, sf_dir)))
+    return d.groupBy("coverage").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("charge").alias("charge_total"))
+
+
+@query(f"select file_name, cast(page as bigint) as page, concat(last_name, ', ', first_name) as name, cast(family_count as bigint) as family_count, coverage, status, plan as medical_plan, cast(cents/100.0 as double) as charge, cast(0 as bigint) as n_flags from ({TRUTH}) as t")
+def row_extract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rows.line_rows(rows.text_lines(page_text(spark, sf_dir)))
+    return longs(d.select("file_name", "page", "name", "family_count", "coverage", "status", "medical_plan", "charge", F.size("flags").alias("n_flags")))
+
+
+@query(f"select file_name, cast(page as bigint) as page, concat(last_name, ', ', first_name) as name, coverage, status, plan as medical_plan, cast(cents/100.0 as double) as charge from ({TRUTH}) as t")
+def row_extract_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rows.stream_rows(rows.text_lines(page_text(spark, sf_dir)))
+    return longs(d.select("file_name", "page", "name", "coverage", "status", "medical_plan", "charge"))
+
+
+@query(f"select file_name, cast(row_number() over (partition by file_name order by k) as bigint) as row_index, cast(page as bigint) as page, concat(last_name, ', ', first_name) as name, cast(family_count as bigint) as family_count, coverage, status, plan as medical_plan, cast(cents/100.0 as double) as charge from ({TRUTH}) as t")
+def members_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both passes, merged by page and by file."""
+    d = plan.extract(page_text(spark, sf_dir))
+    return longs(d.select("file_name", "row_index", "page", "name", "family_count", "coverage", "status", "medical_plan", "charge"))
+
+
+def _read(spark: SparkSession, sf_dir: str, strangers: bool = False) -> DataFrame:
+    """What the lines say, as rows of the members table, without parsing. strangers: every tenth row is of someone whom no
+    list knows."""
+    d = truth(spark, sf_dir)
+    name = F.concat("last_name", F.lit(", "), "first_name")
+    if strangers:
+        odd = F.expr("split_part('OXBOW,UMBRA,THYMUS,JIGZAG,QUOKKA,MYRRH,VORTEX,ZEPHYR,KUDZU', ',', cast(floor((k%90)/10) as int)+1)")
+        name = F.when(F.col("k") % 10 == 3, F.concat(odd, F.lit(", PIPPY"))).otherwise(name)
+    return d.select("file_name", F.col("k").cast("int").alias("row_index"), name.alias("name"), "family_count", "coverage", "status", F.col("plan").alias("medical_plan"), (F.col("cents") / 100).cast("double").alias("charge"), "page", F.array().cast("array<string>").alias("flags"))
+
+
+@query(f"select file_name, cast(ord as bigint) as row_index, name, case when found then read else '' end as ocr_name, case when found then cast(cents/100.0 as double) end as charge, case when found then coverage else '' end as coverage, cast(case when found then page else 0 end as bigint) as page, not found as missing from ({ROSTER}) as r")
+def roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = match.apply_roster(roster(spark, sf_dir), _read(spark, sf_dir, strangers=True))
+    return longs(d.select("file_name", "row_index", "name", "ocr_name", "charge", "coverage", "page", match.is_missing(F.col("flags")).alias("missing")))
+
+
+@query(f"select file_name, cast(ord as bigint) as row_index, read as name from ({ROSTER}) as r where not found")
+def roster_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(match.unused_rows(roster(spark, sf_dir), _read(spark, sf_dir, strangers=True)).select("file_name", "row_index", "name"))
+
+
+@query(f"select file_name, cast(ord as bigint) as row_index, read as name from ({ROSTER}) as r where not found")
+def leftover_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, left = plan.reconcile(_read(spark, sf_dir, strangers=True), roster(spark, sf_dir))
+    return longs(left.select("file_name", "row_index", "name"))
+
+
+@query(f"select file_name, concat(cast(count(*) as varchar), case when count(*)=1 then ' member' else ' members' end, ' on the list were not found on this invoice: ', string_agg(name, '; ' order by ord)) as warning from ({ROSTER}) as r where not found group by file_name union all select file_name, concat(cast(count(*) as varchar), case when count(*)=1 then ' OCR row did not match the member list and was ignored: ' else ' OCR rows did not match the member list and were ignored: ' end, string_agg(read, '; ' order by ord)) from ({ROSTER}) as r where not found group by file_name")
+def match_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled, left = plan.reconcile(_read(spark, sf_dir, strangers=True), roster(spark, sf_dir))
+    return plan.warnings(filled, left)
+
+
+@query(f"select k, concat(last_name, ', ', first_name) as name, true as leftover_filled from ({TRUTH}) as t where k%10=3")
+def leftover_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders whose last name alone is on a leftover row are filled from it."""
+    d = truth(spark, sf_dir).where("k % 10 = 3").withColumn("name", F.concat("last_name", F.lit(", "), "first_name"))
+    blank = lambda c, t: F.lit("" if t == "string" else None).cast(t).alias(c)
+    missing = d.select("file_name", F.col("k").cast("int").alias("row_index"), "name", blank("family_count", "int"), blank("coverage", "string"), blank("status", "string"), blank("medical_plan", "string"), blank("charge", "double"), F.lit(0).alias("page"), F.array(F.lit(match.NOT_FOUND)).alias("flags"), blank("ocr_name", "string"), blank("source_index", "int"))
+    left = _read(spark, sf_dir).join(d.select("file_name", F.col("k").cast("int").alias("row_index"), "last_name"), ["file_name", "row_index"]).withColumn("name", F.concat("last_name", F.lit(", XQ"))).drop("last_name")
+    got = match.fill_from_leftover(missing, left)
+    return got.select(F.col("row_index").cast("long").alias("k"), "name", (~match.is_missing(F.col("flags")) & (F.col("source_index") == F.col("row_index"))).alias("leftover_filled"))
+
+
+@query("select o_orderkey, cast(100+(o_orderkey*7919)%7000 as double) as amount from orders")
+def money_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").select("o_orderkey", (100 + (F.col("o_orderkey") * 7919) % 7000).alias("v"))
+    text, kind = F.format_number("v", 0), F.col("o_orderkey") % 5
+    token = (
+        F.when(kind == 0, F.concat(F.lit("$"), text, F.lit(".00}"))).when(kind == 1, F.concat(F.lit("$"), F.col("v").cast("string"), F.lit("00")))
+        .when(kind == 2, F.concat(F.lit("$"), F.replace(text, F.lit(","), F.lit(".")), F.lit(".00"))).when(kind == 3, F.concat(F.lit("[$"), text, F.lit("00")))
+        .otherwise(F.concat(F.lit("$"), F.col("v").cast("string")))
+    )
+    token = F.when((kind == 3) & (F.col("v") < 1000), F.concat(F.lit("$"), F.col("v").cast("string"), F.lit(".00"))).otherwise(token)
+    return d.select("o_orderkey", money.extracted(token).alias("amount"))
+
+
+@query("select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, concat(cast(60+l_partkey%900 as varchar), case when l_partkey%900=l_suppkey%900 then '' else concat('|', cast(60+l_suppkey%900 as varchar)) end) as amounts from lineitem")
+def money_line_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = 60 + F.col("l_partkey") % 900, 60 + F.col("l_suppkey") % 900
+    line = F.concat(F.lit("CURRENT  $ "), a.cast("string"), F.lit(".00 ~~~ $"), b.cast("string"), F.lit(" .00 NOTHING MORE TO BE SAID ON THIS LINE, NOT EVEN A NUMBER"))
+    found = F.transform(money.in_line(line), lambda v: v.cast("long").cast("string"))
+    return longs(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(found, "|").alias("amounts")))
+
+
+@query(f"select k, coverage, case coverage when 'E' then 'Employee Only' when 'ES' then 'Employee and Spouse' when 'ESD' then 'Employee, Spouse and Dependent(s)' when 'ED' then 'Employee and Dependent(s)' else 'Employee and Adult dependent' end as coverage_label, status, case status when 'A' then 'Active' when 'C' then 'Cobra' else 'Terminated' end as status_label, plan from ({TRUTH}) as t")
+def code_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes read back from worn tokens."""
+    d = truth(spark, sf_dir)
+    worn = F.create_map(*(F.lit(x) for x in ("E", "[EE", "ES", "es.", "ESD", "ESB", "ED", "EP]", "EA", "ea")))[F.col("coverage")]
+    state = F.when(F.col("status") == "T", "TV").when(F.col("status") == "A", "aa").otherwise("(C)")
+    worn_plan = F.when(F.col("plan") == "DHMO", "owmo").otherwise(F.lower("plan"))
+    cover, stat = names.coverage(worn), names.status(state)
+    return d.select("k", cover.alias("coverage"), codes.coverage_label(cover).alias("coverage_label"), stat.alias("status"), codes.status_label(stat).alias("status_label"), names.plan(worn_plan).alias("plan"))
+
+
+@query(f"select k, true as person, false as label, concat(last_name, ', ', first_name) as roster_name, false as junk, cast(k%6+1 as bigint) as family, true as masked from ({TRUTH}) as t")
+def name_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = truth(spark, sf_dir)
+    name = F.concat("last_name", F.lit(", "), "first_name")
+    messy = F.concat(F.lit("  "), F.lower("last_name"), F.lit(" ,   "), F.lower("first_name"), F.lit(" "))
+    family = F.when(F.col("k") % 2 == 0, F.concat(F.lit("L"), F.col("family_count").cast("string"))).otherwise(F.col("family_count").cast("string"))
+    return longs(d.select("k", names.is_name(name).alias("person"), names.is_name(F.concat(F.lit("SUBTOTAL"), name)).alias("label"), names.roster_name(messy).alias("roster_name"), names.junk_name(name).alias("junk"), names.family_count(family).alias("family"), names.subscriber_id(F.lit("xxXx0003")).alias("masked")))
+
+
+@query("select p_partkey, cast(levenshtein(upper(p_type), upper(p_name)) as bigint) as distance, cast(1.0 - cast(levenshtein(upper(p_type), upper(p_name)) as double) / greatest(length(p_type), length(p_name)) as double) as likeness from part")
+def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.upper("p_type"), F.upper("p_name")
+    return longs(table(spark, sf_dir, "part").select("p_partkey", F.levenshtein(a, b).alias("distance"), ratio(a, b).alias("likeness")))
+
+
+META_SQL = f"""select file_name, concat('ACME WORKS ', cast(min(k) as varchar)) as customer_name, cast(100000000+min(k) as varchar) as billing_id, cast(700000+min(k) as varchar) as statement_id,
+ '08/01/2026' as invoice_date, 'August 2026' as bill_period, '9/15/26' as due_date, cast(min(k)*1000+0.5 as double) as total_amount_due from ({TRUTH}) as t group by file_name"""
+
+
+@query(META_SQL)
+def header_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields scattered over the pages of a file; later pages repeat some of them with other values."""
+    d = truth(spark, sf_dir).groupBy("file_name").agg(F.min("k").alias("k"))
+    n = lambda c: c.cast("string")
+    one = F.concat(F.lit("ACME WORKS "), n(F.col("k")), F.lit("\nConsolidated Billing ID: "), n(F.col("k") + 100000000), F.lit("\nInvoice Date 08/01/2026"))
+    two = F.concat(F.lit("Statement ID: "), n(F.col("k") + 700000), F.lit("  Bill Period: August 2026\nDue Before 9/15/26\nInvoice Date 09/09/2029"))
+    three = F.concat(F.lit("Total Charges $5.00 Please pay this Amount: $"), F.format_number(F.col("k") * 1000 + 0.5, 2), F.lit(" Statement ID 999999999"))
+    text = d.select("file_name", F.posexplode(F.array(one, two, three)).alias("page", "text"))
+    return meta.merged_header(meta.header_fields(text))
+
+
+PAGES = """select o_orderkey as f, p as page, case when (o_orderkey+p)%7=0 then 'legend' when (o_orderkey*3+p*5)%11=0 then 'full' when (o_orderkey*5+p)%13=0 then 'overflow' else 'other' end as kind from orders, (values (1),(2),(3),(4),(5),(6),(7),(8)) as v(p)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("f"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("page"))
+    f, p = F.col("f"), F.col("page")
+    kind = F.when((f + p) % 7 == 0, "legend").when((f * 3 + p * 5) % 11 == 0, "full").when((f * 5 + p) % 13 == 0, "overflow").otherwise("other")
+    name = F.lit("WEXFORD, ANNABEL 1 $100.00\n")
+    text = F.when(kind == "legend", "Medical  Plan Legend").when(kind == "full", F.repeat(name, 9)).when(kind == "overflow", F.concat(name, F.lit("Subtotal for Bill Group 1"))).otherwise(F.lit("Notes"))
+    return d.select("f", "page", F.col("f").cast("string").alias("file_name"), text.alias("text"))
+
+
+@query(f"select cast(f as bigint) as f, cast(page as bigint) as page, kind from ({PAGES}) as x")
+def page_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(pages.classified(_pages(spark, sf_dir)).select("f", "page", "kind"))
+
+
+@query(f"""with x as ({PAGES}), near as (select f, page from x where kind='full' union select f, page+1 from x where kind='full' and page<8 union select f, page from x where kind='overflow' union select f, page-1 from x where kind='overflow' and page>1),
+ said as (select n.* from near n where not exists (select 1 from x where x.f=n.f and x.page=n.page and x.kind='legend')),
+ usual as (select f, page from x where page between 3 and 7 and kind<>'legend' and f not in (select f from said)),
+ allp as (select * from said union all select * from usual),
+ main as (select a.f, coalesce(min(a.page) filter (where x.kind='full'), min(a.page)) as m from allp a join x on x.f=a.f and x.page=a.page group by a.f)
+ select cast(a.f as bigint) as f, cast(a.page as bigint) as page, case when a.page=m.m then 'main' else 'overflow' end as role from allp a join main m on a.f=m.f""")
+def target_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pages.classified(_pages(spark, sf_dir)).select("file_name", "page", "kind")
+    files = d.groupBy("file_name").agg(F.max("page").alias("page_count"))
+    return longs(pages.target_pages(d, files).select(F.col("file_name").cast("long").alias("f"), "page", "role"))
+
+
+@query("select doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))<80 as needs_ocr, regexp_matches(text, '(?i)Membership Detail for Group ID|Family Count|Medical current charge') as useful, not regexp_matches(text, '(?i)Membership Detail for Group ID|Family Count|Medical current charge') and not (length(regexp_replace(text, '[^A-Za-z]', '', 'g'))>=120 and len(regexp_extract_all(text, '[A-Za-z]{4,}'))>=8 and regexp_matches(text, '(?i)Consolidated Billing|Payment Summary|About Your Bill|Please pay this Amount|Total Amount Due|Medical Plan Legend')) as try_more from documents")
+def ocr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", page_functions.needs_ocr(t).alias("needs_ocr"), page_functions.looks_useful(t).alias("useful"), page_functions.try_more_orientations(t).alias("try_more"))
+
+
+@query("select conv_id, turn, case when length(text)%2=0 then 'b' else 'a' end as best, cast(case when length(text)%2=0 then 4 else 3 end as bigint) as score from conversations")
+def text_candidate_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.char_length("text") % 2 == 0
+    a, b = F.lit("DARNLEY, FAY"), F.when(even, F.lit("$12.50")).otherwise(F.lit("  "))
+    best = page_functions.best_text(F.array(a, b))
+    return longs(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(best == a, "a").otherwise("b").alias("best"), page_functions.read_score(best).alias("score")))
+
+
+@query("select o_orderkey, i as band, cast(greatest(0.0, (i*(1.0/n) - case when i=0 then 0 else 0.22*(1.0/n) end)*h) as double) as top, cast(least(h, ((i+1)*(1.0/n) + case when i=n-1 then 0 else 0.22*(1.0/n) end)*h) as double) as bottom from (select o_orderkey, cast(1+o_orderkey%6 as double) as n, cast(800+o_orderkey%500 as double) as h, unnest(range(1+o_orderkey%6)) as i from orders) as x")
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(layout.band_ranges((800 + F.col("o_orderkey") % 500).cast("double"), (1 + F.col("o_orderkey") % 6).cast("int"))).alias("band", "r"))
+    return longs(d.select("o_orderkey", "band", "r.top", "r.bottom"))
+
+
+INK = "select l_orderkey, cast(l_linenumber*10 as int) + v.y as y, case when v.y < 2 + (l_partkey+l_linenumber*3)%8 then 0.5 else 0.001 end as ink from lineitem, (values (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) as v(y)"
+INK_RUNS = f"""on_ as (select l_orderkey, y from ink where ink >= 0.018), gaps as (select *, case when y - (lag(y) over (partition by l_orderkey order by y) + 1) > 3 or lag(y) over (partition by l_orderkey order by y) is null then 1 else 0 end as g from on_),
+ runs as (select l_orderkey, run, min(y) as s, max(y)+1 as e from (select *, sum(g) over (partition by l_orderkey order by y) as run from gaps) as q group by l_orderkey, run)"""
+
+
+def _ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("v"))
+    return d.select("l_orderkey", (F.col("l_linenumber") * 10 + F.col("v")).alias("y"), F.when(F.col("v") < 2 + (F.col("l_partkey") + F.col("l_linenumber") * 3) % 8, 0.5).otherwise(0.001).alias("ink"))
+
+
+@query(f'with ink as ({INK}), {INK_RUNS} select l_orderkey, cast(s as bigint) as "start", cast(e as bigint) as "end" from runs')
+def ink_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(layout.ink_runs(_ink(spark, sf_dir), ["l_orderkey"]))
+
+
+@query(f"""with ink as ({INK}), {INK_RUNS}, mid as (select l_orderkey, (list_sort(list(e-s)))[cast(floor(count(*)/2) as int)+1] as m from runs group by l_orderkey)
+ select r.l_orderkey, cast(s as bigint) as "start", cast(e as bigint) as "end" from runs r join mid on r.l_orderkey=mid.l_orderkey where not (e-s < greatest(8.0, m*0.38) or (s > 80*0.97 and e-s < m*0.8))""")
+def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = layout.ink_runs(_ink(spark, sf_dir), ["l_orderkey"])
+    return longs(layout.visual_rows(runs, runs.select("l_orderkey", F.lit(80.0).alias("table_height")).distinct(), ["l_orderkey"]))
+
+
+@query("select o_orderkey, string_agg(concat('L', n, ' P', o_custkey, ' S', o_orderkey%97), chr(10) order by n) as text from (select o_orderkey, o_custkey, unnest([1,2,3]) as n from orders) as x group by o_orderkey")
+def lines_from_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lines of three words for each order, out of order and not quite level."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+    word = lambda text, x, dy: F.struct(text.alias("text"), F.lit(x).alias("x0"), (F.col("n") * 40 + dy).cast("double").alias("y0"), F.lit(x + 50).alias("x1"), (F.col("n") * 40 + dy + 12).cast("double").alias("y1"))
+    say = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    words = F.array(word(say("S", F.col("o_orderkey") % 97), 300.0, 0), word(say("P", F.col("o_custkey")), 150.0, 3), word(say("L", F.col("n")), 10.0, 1))
+    return layout.lines_from_words(d.select("o_orderkey", F.explode(words).alias("w")).select("o_orderkey", "w.*"), ["o_orderkey"])
+
+
+@query("select c_custkey, case when c_custkey%3=0 then cast(500+c_custkey%100 as double)*2 when c_custkey%3=1 then cast(100+c_custkey%50 as double)*10 else null end as charge from customer")
+def merge_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    a = F.when(k % 3 == 0, (500 + k % 100).cast("double") * 2).when(k % 3 == 1, (100 + k % 50).cast("double"))
+    b = F.when(k % 3 == 1, a * 10)
+    return table(spark, sf_dir, "customer").select("c_custkey", money.merged_charge(a, b).alias("charge"))
+
+
+@query("select c_custkey, concat('PART', split_part('BERG,LAND,VALE', ',', cast(c_custkey%3 as int)+1), ', ', split_part('SEAN,MARIA,DIANA', ',', cast(c_custkey%3 as int)+1)) as name from customer where c_custkey%3<>9")
+def comma_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names whose comma was lost get it back."""
+    pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    line = F.concat(F.lit("PART"), pick(("BERG", "LAND", "VALE")), F.lit(" "), pick(("SEAN", "MARIA", "DIANA")))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.with_comma(line).alias("name"))
+
+
+@query("select o_orderkey, case when o_orderkey%4=0 then 'missing' when o_orderkey%4=1 then 'ok' else 'needs-review' end as name_status, case when o_orderkey%3=0 then 'ok' when o_orderkey%3=1 then 'needs-review' else 'missing' end as amount_status, case when o_orderkey%3=0 then cast(750 as double) when o_orderkey%3=1 then cast(9000 as double) end as amount from orders")
+def field_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    raw = F.when(k % 4 == 0, "  ").when(k % 4 == 1, "Barberg,  Alice").when(k % 4 == 2, "Barberg Alice").otherwise("B1")
+    amount = F.when(k % 3 == 0, "$750.00").when(k % 3 == 1, "$9,000.00").otherwise(" ")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", quality.name_field(raw, F.lit(80.0)).alias("n"), quality.amount_field(amount, F.lit(None).cast("double")).alias("a"))
+    return d.select("o_orderkey", F.col("n.status").alias("name_status"), F.col("a.status").alias("amount_status"), F.col("a.value").alias("amount"))
+
+
+FLAGGED = f"select *, k%17=5 as excluded, k%19=7 as gone, k%23=3 as flagged, file_name like '%7.txt' as bad from ({TRUTH}) as t"
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d, k = _read(spark, sf_dir), F.col("row_index")
+    flags = F.filter(F.array(F.when(k % 19 == 7, match.NOT_FOUND), F.when(k % 23 == 3, "Charge needs review")), lambda x: x.isNotNull())
+    d = d.withColumn("excluded", k % 17 == 5).withColumn("flags", flags)
+    files = d.select("file_name").distinct().withColumn("errors", F.when(F.col("file_name").endswith("7.txt"), F.array(F.lit("bad"))).otherwise(F.array().cast("array<string>")))
+    return d, files
+
+
+@query(f"select file_name, count(*) filter (where not excluded and not gone) as n_rows, count(*) filter (where not excluded and not gone and (flagged or bad)) as n_issues, cast(coalesce(sum(cents) filter (where not excluded and not gone), 0)/100.0 as double) as charge_total, bool_or(bad) as attention from ({FLAGGED}) as t group by file_name")
+def invoice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(*_flagged(spark, sf_dir))
+
+
+@query(f"select file_name, k as row_index from ({FLAGGED}) as t where not excluded and not gone and (flagged or bad)")
+def issues_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(quality.issues(*_flagged(spark, sf_dir)).select("file_name", "row_index"))
+
+
+@query(f"""select file_name, cast(n as bigint) as visual, concat('Detected ', n+2, ' visual table rows but only ', n, ' have a readable name — review blank/garbled rows before export.') as first_warning, cast(2 as bigint) as n_warnings from (select file_name, count(*) as n from ({TRUTH}) as t group by file_name) as x""")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = truth(spark, sf_dir).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    w = quality.completeness_warnings(F.col("n") + 2, F.col("n"), F.col("n"), F.lit(10.0), F.lit(10.5))
+    return longs(d.select("file_name", F.col("n").alias("visual"), F.get(w, F.lit(0)).alias("first_warning"), F.size(w).alias("n_warnings")))
+
+
+@query(f"""select file_name, k as row_index, concat('"', last_name, ', ', first_name, '",', family_count, ',', coverage, ',', status, ',', plan, ',', cents//100, '.00,ST', substring(file_name, 5, 1), ',', file_name, concat(',"August ', repeat('"', 2), '26', repeat('"', 3))) as line from ({FLAGGED}) as t where not excluded and not gone""")
+def export_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, files = _flagged(spark, sf_dir)
+    headers = files.select("file_name", F.concat(F.lit("ST"), F.substring("file_name", 5, 1)).alias("statement_id"), F.lit('August "26"').alias("bill_period"))
+    return longs(csv_export.csv_lines(csv_export.export_rows(members, headers)))
+
+
+@query(f"select k as row_index, case when k%5=0 then 'PPO' else plan end as medical_plan, case when k%7=0 then null when k%5=0 then cast(k%1000+60 as double) else cast(cents/100.0 as double) end as charge, cast(case when k%7=0 then 1 else 0 end as bigint) as n_flags from ({TRUTH}) as t")
+def edits_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several edits of one cell: the last one counts; an amount that is none empties the cell."""
+    d, k = _read(spark, sf_dir), F.col("row_index")
+    edit = lambda when, field, value, seq: F.when(when, F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(seq).alias("seq")))
+    made = F.array(edit(k % 5 == 0, "charge", F.lit("1"), 1), edit(k % 5 == 0, "charge", F.concat(F.lit("$"), (k % 1000 + 60).cast("string")), 2), edit(k % 5 == 0, "medical_plan", F.lit("PPO"), 3), edit(k % 7 == 0, "charge", F.lit("none"), 4))
+    changes = d.select("file_name", "row_index", F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("file_name", "row_index", "e.*")
+    return longs(edits.apply_edits(d, changes).select("row_index", "medical_plan", "charge", F.size("flags").alias("n_flags")))
+
+
+@query("select o_custkey, o_orderkey, first_order from (select o_custkey, o_orderkey, min(o_orderkey) over (partition by o_custkey) as first_order, row_number() over (partition by o_custkey order by o_orderkey desc) as n from orders) as x where n=1")
+def invoice_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return edits.upsert(d.where("o_orderkey % 2 = 0"), d.where("o_orderkey % 2 = 1"), "o_custkey", "o_orderkey")
+
+
+@query(f"select file_name, cast(row_number() over (partition by file_name order by late, k) + case when late then (max(case when not late then k end) over (partition by file_name)) - (count(*) filter (where not late) over (partition by file_name)) else k - row_number() over (partition by file_name order by late, k) end as bigint) as row_index, name, late as added from (select file_name, k, concat(last_name, ', ', first_name) as name, k%9=0 as late from ({TRUTH}) as t) as x")
+def add_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir)
+    got = edits.add_rows(d.where("row_index % 9 <> 0"), d.where("row_index % 9 = 0").withColumn("name", F.lower("name")))
+    return longs(got.select("file_name", "row_index", "name", F.array_contains("flags", match.ADDED).alias("added")))
+
+
+@query(f"select file_name, cast(row_number() over (partition by file_name order by k) as bigint) as ord, concat(last_name, ', ', first_name) as name from ({TRUTH}) as t")
+def roster_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with a Name column (even files) or plain, with repeated lines."""
+    d = truth(spark, sf_dir).withColumn("even", F.regexp_extract("file_name", r"(\d+)", 1).cast("int") % 2 == 0)
+    name = F.concat("last_name", F.lit(", "), F.lower("first_name"))
+    line = F.when(F.col("even"), F.concat(F.lit('x\t"'), name, F.lit('",7'))).otherwise(name)
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("k", line.alias("line"))))["line"], "\r\n")
+    files = d.groupBy("file_name", "even").agg(text.alias("body")).select("file_name", F.concat(F.when(F.col("even"), "﻿Id,Name,N\n").otherwise(""), "body", F.lit("\n"), "body").alias("text"))
+    return longs(roster_source.parse_roster(files))
+
+
+@query("select distinct name from (select s_name as name from supplier union all select replace(c_name, 'Customer', 'Supplier') from customer) as x")
+def roster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")).distinct()
+    extra = table(spark, sf_dir, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("name")).distinct()
+    return edits.merge_roster(known, extra)
+
+
+@query(f"select k, name, coverage, charge, n_flags from (select k, concat(last_name, ', ', first_name) as name, coverage, cast(cents/100.0 as double) as charge, cast(1 as bigint) as n_flags from ({TRUTH}) as t) as x")
+def fuzzy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A complete row and one with a letter too many and gaps are one row."""
+    d = _read(spark, sf_dir).withColumn("k", F.col("row_index").cast("long")).withColumn("flags", F.array(F.lit("Missing coverage"), F.lit("Charge needs review")))
+    one = d.withColumn("pass", F.lit(0)).withColumn("coverage", F.lit(""))
+    two = d.withColumn("pass", F.lit(1)).withColumn("name", F.concat("name", F.lit("S"))).withColumn("charge", F.lit(None).cast("double")).withColumn("medical_plan", F.lit(""))
+    got = dedupe.dedupe(one.unionByName(two), ["k"], ["pass"])
+    return got.select("k", "name", "coverage", "charge", F.size("flags").cast("long").alias("n_flags"))
+
+
+@query()
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts as a stream of files, taken in once; the rows of each file as they stand then."""
+    from gridextract.streaming.ingest import current, ingest
+
+    at = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or 'file:///tmp/gridextract'}/stream-{uuid.uuid4().hex}"
+    page_text(spark, sf_dir).write.parquet(f"{at}/in")
+    ingest(spark, f"{at}/in", f"{at}/out", f"{at}/state").awaitTermination()
+    return current(spark, f"{at}/out").select("file_name", "row_index", "name", "charge")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["flagship_charges_by_coverage"](spark, sf_dir)
+    return flagship_charges_by_coverage(spark, sf_dir)

@@ -58,7 +58,7 @@ def dedupe(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         return F.when(at.isNull(), F.concat(done, F.array(row))).otherwise(F.transform(done, lambda x, k: F.when(k + 1 == at, merged(x, row)).otherwise(x)))
 
     done = F.aggregate("rows", F.array().cast(kind), add)
-    return each.select(*keys, F.posexplode(done).alias("k", "r")).select(*keys, (F.col("k") + 1).alias("row_index"), *(f"r.{f}" for f in FIELDS if f not in keys))
+    return each.select(*keys, F.posexplode(done).alias("_at", "_row")).select(*keys, (F.col("_at") + 1).alias("row_index"), *(f"_row.{f}" for f in FIELDS if f not in keys))
 
 
 def members_of(page_rows: DataFrame) -> DataFrame:
