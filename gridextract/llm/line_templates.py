@@ -13,41 +13,51 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: White space inside a line.
-BLANKS = "[ \\t\\r\\f\\x0B]+"
+#: White space inside a line, as blanks.
+BLANKS = ("\t\r\f\x0b", "    ")
 
 
-def tokens_of(line: Column) -> Column:
-    return F.split(F.regexp_replace(line, f"^{BLANKS}|{BLANKS}$", ""), BLANKS)
+def squeezed(line: Column) -> Column:
+    """Tokens of a line with one blank between any two."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
+    return F.trim(F.when(other | F.contains(line, F.lit("  ")), F.regexp_replace(F.translate(line, *BLANKS), " +", " ")).otherwise(line))
 
 
-def masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+def n_tokens(line: Column) -> Column:
+    """Tokens of a squeezed line."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def masked(line: Column) -> Column:
+    """A squeezed line whose tokens with a digit are <*>."""
+    return F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")
 
 
 def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, min_fixed: float = 0.5) -> DataFrame:
-    """id, line (its masked tokens joined by a space), template: each line of a document that is to be dropped from it.
+    """id, raw_hash (xxhash64 of a line as it stands), template: each line that is to be dropped from a document.
 
     A template must have min_fixed of its tokens fixed. Lines of fewer than min_tokens tokens are too short to be a
     template and are never dropped.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where("id is not null")
-    lines = lines.select("id", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.array_join(masked(F.slice("tokens", 1, depth)), " "))
-    lines = lines.withColumn("leaf", leaf)
+    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("raw")).where("id is not null")
+    lines = lines.withColumn("x", squeezed(F.col("raw"))).where(F.substring_index("x", " ", max(min_tokens, 2) - 1) != F.col("x"))
+    lines = lines.select("id", "raw", F.xxhash64(n_tokens(F.col("x")), masked(F.substring_index("x", " ", depth))).alias("leaf"))
     leaves = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    own = written(lines.join(leaves, "leaf").select("leaf", "id", F.array_join(masked(F.col("tokens")), " ").alias("line")).distinct())
+    # from here on a line is named by its leaf and a hash, 128 bits together; only one copy of its text goes along
+    found = lines.join(leaves, "leaf").withColumn("line", masked(squeezed(F.col("raw"))))
+    found = written(found.select("leaf", F.xxhash64("line").alias("h"), "id", F.xxhash64("raw").alias("raw_hash"), "line"))
+    times = found.select("leaf", "h", "id").distinct().groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("n"))
+    kinds = written(found.groupBy("leaf", "h").agg(F.min("line").alias("line")).join(times, ["leaf", "h"]))
 
-    kinds = own.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
-    words = kinds.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    words = kinds.select("leaf", "h", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
     fixed = words.where("token <> '<*>'").groupBy("leaf", "at", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("fixed"))
-    shape = words.join(fixed, ["leaf", "at", "token"], "left").groupBy("leaf", "line").agg(
+    shape = words.join(fixed, ["leaf", "at", "token"], "left").groupBy("leaf", "h").agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("t")))).alias("t"), F.count("fixed").alias("fixed"))
-    shape = shape.where(F.col("fixed") >= min_fixed * F.size("t")).select("leaf", "line", F.array_join(F.col("t")["t"], " ").alias("template"))
+    shape = shape.where(F.col("fixed") >= min_fixed * F.size("t")).select("leaf", "h", F.array_join(F.col("t")["t"], " ").alias("template"))
     # the number of tokens and the first ones are part of a template, so it lies in one leaf
-    held = written(own.join(shape, ["leaf", "line"]))
-    found = held.groupBy("leaf", "template", "id").agg(F.lit(1).alias("one")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs)
-    return held.join(found, ["leaf", "template"]).where("id <> first").select("id", "line", "template")
+    held = written(found.select("leaf", "h", "id", "raw_hash").join(shape, ["leaf", "h"]))
+    again = held.select("leaf", "template", "id").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs)
+    return held.join(again, ["leaf", "template"]).where("id <> first").select("id", "raw_hash", "template")
 
 
 def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_lines: str | None = None, n_dropped: str | None = None, **params) -> DataFrame:
@@ -57,10 +67,10 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     A text of which all lines go is empty; the row stays. Null texts stay null with 0 lines. Lines of rows with a null
     id are neither counted nor dropped. Rows of one id are one document. Empty table: no rows.
     """
-    gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **params).groupBy("id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("id", "__id")
+    gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **params).groupBy("id").agg(F.collect_set("raw_hash").alias("__gone")).withColumnRenamed("id", "__id")
     out = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__gone"), F.array_join(masked(tokens_of(x)), " ")))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(x)))
     out = out.withColumn("__kept", F.when(F.col("__gone").isNull(), lines).otherwise(kept))
     count = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long")
     extra = [*([count(lines).alias(n_lines)] if n_lines else []), *([(count(lines) - count(F.col("__kept"))).alias(n_dropped)] if n_dropped else [])]
