@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .scratch import written
+from .scratch import discard, written
 from .tokens import Words, as_long, blocks, mixed, ngrams
 
 #: Multipliers of the rolling hashes: of minimizers, and two independent ones that name a window with 128 bits.
@@ -100,8 +100,13 @@ def _edges(k: int, m: int):
                 live = np.flatnonzero(live)
                 for lo in range(0, len(live), 1 << 17):
                     i = live[lo : lo + (1 << 17)]
-                    row = pa.array(doc[i] + w.first)
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("v").take(row), pa.array(start[i]), *(pa.array(as_long(x[i])) for x in (h1, h2, after))], ["id", "v", "at", "h1", "h2", "next"])
+                    begins = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(doc[i]) != 0)))
+                    cut_at = pa.array(np.append(begins, len(i)).astype(np.int32))
+                    row = pa.array(doc[i[begins]] + w.first)
+                    last = after[i[np.append(begins[1:], len(i)) - 1]]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("id").take(row), batch.column("v").take(row), pa.array(start[i[begins]]),
+                        *(pa.ListArray.from_arrays(cut_at, pa.array(as_long(x[i]))) for x in (h1, h2)), pa.array(as_long(last))], ["id", "v", "at", "h1", "h2", "last"])
 
     return run
 
@@ -131,27 +136,38 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     many = T.ArrayType(T.LongType())
     minis = written(source.mapInArrow(_minimizers(k, m), T.StructType([*key, *longs("c1", "c2", "n_words"), field("minis", many), field("twice", many)])).where(F.col("n_words") >= k))
-    least = minis.groupBy("c1", "c2").agg(F.min(F.struct("id")).alias("least"))
-    placed = written(minis.join(least, ["c1", "c2"]))
+    # rows of the same words are told by c1 and c2, 128 bits; a minimizer that only such rows share does not repeat
+    names = minis.select("id", "v", "c1", "c2", "n_words")
+    placed = written(names.join(names.groupBy("c1", "c2").agg(F.min(F.struct("id")).alias("least")), ["c1", "c2"]))
     is_first = F.col("id").eqNullSafe(F.col("least.id"))
-    own = placed.where(is_first)
-    seen = own.select("c1", F.explode("minis").alias("mini"), F.lit(False).alias("twice")).union(own.select("c1", F.explode("twice"), F.lit(True)))
+    seen = minis.select("c1", F.explode("minis").alias("mini"), F.lit(False).alias("twice")).union(minis.select("c1", F.explode("twice"), F.lit(True)))
     again = seen.groupBy("mini").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("twice").alias("twice")).where("twice or lo <> hi").select("mini")
-    by_row = written(own.select("id", "v", F.explode("minis").alias("mini")).join(again, "mini").groupBy("id", "v").agg(F.collect_set("mini").alias("minis")))
+    by_row = minis.select("id", "v", F.explode("minis").alias("mini")).join(again, "mini").groupBy("id", "v").agg(F.collect_set("mini").alias("minis"))
+    own = placed.where(is_first).select("id", "v").distinct()
+    by_row = written(by_row.join(own, _on(by_row, own), "left_semi"))
+    discard(minis)
 
     edges = source.join(by_row, _on(source, by_row)).select(source["id"], source["v"], "text", "minis")
-    edges = written(edges.mapInArrow(_edges(k, m), T.StructType([*key, field("at", T.IntegerType()), *longs("h1", "h2", "next")])))
-    repeated = edges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first"), F.min("next").alias("next"), F.max("next").alias("other")).where("n > 1")
-    repeated = repeated.select("h1", "h2", "n", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), F.when(F.col("next") == F.col("other"), F.col("next")).alias("next"))
+    # a row for each run of windows in a document, so that what comes after a window is in the row
+    runs = written(edges.mapInArrow(_edges(k, m), T.StructType([*key, field("at", T.IntegerType()), field("h1", many), field("h2", many), *longs("last")])))
+    after = F.concat(F.slice("h1", 2, F.size("h1")), F.array("last"))
+    edges = runs.select("id", "v", F.col("at").alias("run_at"), F.posexplode(F.arrays_zip("h1", "h2", after.alias("next"))).alias("nth", "e"))
+    edges = edges.select("id", "v", (F.col("run_at") + F.col("nth")).alias("at"), "e.h1", "e.h2", "e.next")
+    repeated = edges.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first"), F.min("next").alias("next"), F.max("next").alias("other")).where("n > 1")
+    repeated = repeated.select("h1", "n", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), F.when(F.col("next") == F.col("other"), F.col("next")).alias("next"))
 
     # compaction: the window before, at the source, is always followed by this one, and as often as this one occurs
-    along = Window.partitionBy("first_id").orderBy("first_at", "h1", "h2")
+    along = Window.partitionBy("first_id").orderBy("first_at", "h1")
     joined = (F.lag("first_at").over(along) == F.col("first_at") - 1) & (F.lag("next").over(along) == F.col("h1")) & (F.lag("n").over(along) == F.col("n"))
     paths = repeated.withColumn("path", F.sum(F.when(joined, 0).otherwise(1)).over(along))
-    heads = paths.groupBy("first_id", "path").agg(F.count(F.lit(1)).alias("windows"), F.min(F.struct("first_at", "h1", "h2")).alias("head"))
-    heads = written(heads.select("head.h1", "head.h2", "windows", "first_id", "head.first_at"))
-    spans = edges.select("h1", "h2", "id", "v", "at").join(heads, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))))
-    spans = spans.select("id", "v", "at", (F.col("windows") + (k - 1)).cast("int").alias("n"), "first_id", "first_at")
+    heads = paths.groupBy("first_id", "path").agg(F.count(F.lit(1)).alias("windows"), F.min(F.struct("first_at", "h1")).alias("head"))
+    heads = written(heads.select("head.h1", "windows"))
+    # verification: of windows whose first hashes agree, those whose second ones do, too, have one source. A window whose
+    # first hash stood for two has two successors, so it is a path by itself
+    found = written(edges.select("h1", "h2", "id", "v", "at").join(heads, "h1"))
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"))
+    spans = found.join(first, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.at"))))
+    spans = spans.select("id", "v", "at", (F.col("windows") + (k - 1)).cast("int").alias("n"), F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
     copies = placed.where(~is_first).select("id", "v", F.lit(0).alias("at"), F.col("n_words").cast("int").alias("n"), F.col("least.id").alias("first_id"), F.lit(0).alias("first_at"))
     return spans.union(copies)
 

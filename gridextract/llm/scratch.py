@@ -33,14 +33,24 @@ def written(df: DataFrame) -> DataFrame:
     _ROOTS.append((spark, path))
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the finished step
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table from written() once nothing reads it any more."""
+    _remove(df.sparkSession, df._scratch_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _clear() -> None:
     for spark, path in _ROOTS:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session may have stopped; the folder is then left for the cluster's clean-up
             return
