@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridextract.functions import codes, money, names
 from gridextract.functions import pages as page_functions
 from gridextract.functions.text import ratio
-from gridextract.operators import dedupe, edits, layout, match, meta, pages, quality, rows
+from gridextract.operators import dedupe, edits, layout, match, meta, pages, quality, reread, rows
 from gridextract.plans import extract as plan
 from gridextract.plans.fixtures import ROSTER, TRUTH, page_text, roster, table, truth
 from gridextract.plans.fixtures import lines as noisy_lines
@@ -363,6 +363,89 @@ def fuzzy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("k", "name", "coverage", "charge", F.size("flags").cast("long").alias("n_flags"))
 
 
+@query(f"select k, status, cast(case when status='T' then 0 when k%2=0 then 100+k%900 else 1000+k%90 end as double) as charge from ({TRUTH}) as t")
+def retro_and_terminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go on with amounts of other months: the first amount counts there, else the first positive one."""
+    d, k = truth(spark, sf_dir), F.col("k")
+    one = F.when(k % 2 == 0, F.lit(0.0)).otherwise((1000 + k % 90).cast("double"))
+    amounts = F.array(one, (100 + k % 900).cast("double"), F.lit(-70.0), F.lit(12.0))
+    return d.select("k", "status", money.current_charge(amounts, F.col("status"), k % 2 == 1).alias("charge"))
+
+
+@query("select c_custkey, concat(split_part('BERG,LAND,VALE', ',', cast(c_custkey%3 as int)+1), 'EX, ', split_part('SEAN,MARIA,DIANA', ',', cast(c_custkey%3 as int)+1)) as name from customer where c_custkey%3=0")
+def fused_name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that were read as one word."""
+    d = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    return d.select("c_custkey", names.unfused(F.lit("BERGEXSEAN")).alias("name"))
+
+
+@query("select o_orderkey as f, count(*) as n_pages, cast(sum(p) as bigint) as page_sum from (select distinct o_orderkey, p from (select o_orderkey, 1+o_orderkey%12 as n, unnest([3,4,5,6,o_orderkey%12-2,o_orderkey%12-1,o_orderkey%12]) as p from orders) as x where p between 1 and n) as y group by o_orderkey")
+def fallback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that are read where none looks like a table."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("f"), F.explode(pages.usual_pages((1 + F.col("o_orderkey") % 12).cast("int"))).alias("p"))
+    return d.groupBy("f").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("p").alias("page_sum"))
+
+
+@query("select o_orderkey, concat_ws('|', case when o_orderkey%3=0 then 'Missing name' when o_orderkey%3=1 then 'Name needs review' end, case when o_orderkey%4=0 then 'Missing medical current charge' when o_orderkey%4=1 then 'Charge needs review' end, case when o_orderkey%5=0 then 'Missing coverage' end, case when o_orderkey%7=0 then 'Missing status' end, case when o_orderkey%11=0 then 'Missing medical plan' end, case when o_orderkey%13=0 then 'Missing family count' end) as flags from orders")
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    state = lambda m: F.when(k % m == 0, "missing").when(k % m == 1, "needs-review").otherwise("ok")
+    code = lambda m, x: F.when(k % m == 0, "").otherwise(x)
+    found = quality.row_flags(state(3), state(4), code(5, "E"), code(7, "A"), code(11, "PPO"), F.when(k % 13 != 0, 2))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, "|").alias("flags"))
+
+
+@query(f"select file_name, k as row_index, concat(last_name, ', ', first_name) as name, cast(family_count as varchar) as family_count, coverage, status, plan as medical_plan, concat(cast(cents//100 as varchar), '.00') as charge, concat('ST', substring(file_name, 5, 1)) as statement_id, 'August 2026' as bill_period from ({FLAGGED}) as t where not excluded and not gone")
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, files = _flagged(spark, sf_dir)
+    headers = files.select("file_name", F.concat(F.lit("ST"), F.substring("file_name", 5, 1)).alias("statement_id"), F.lit("August 2026").alias("bill_period"))
+    return longs(csv_export.export_rows(members, headers))
+
+
+@query(f"select file_name, k as row_index, concat(last_name, ', ', first_name) as hint, cast(page as bigint) as page, cast(40*k as double) as y0, cast(40*k+12 as double) as y1 from ({TRUTH}) as t where k%10=3")
+def name_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the names of missing members stand among the words of their tables."""
+    words, tables = _word_boxes(spark, sf_dir)
+    missing = _read(spark, sf_dir).where("row_index % 10 = 3").select("file_name", "row_index", "name")
+    return longs(reread.name_hints(missing, words, tables).select("file_name", "row_index", "hint", "page", "y0", "y1"))
+
+
+def _word_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The names of every tenth line as word boxes, and the tables they lie on."""
+    d = truth(spark, sf_dir).where("k % 10 = 3")
+    box = lambda text, x: F.struct(text.alias("text"), F.lit(x).alias("x0"), (F.col("k") * 40).cast("double").alias("y0"), F.lit(x + 80.0).alias("x1"), (F.col("k") * 40 + 12).cast("double").alias("y1"))
+    parts = F.array(box(F.lit("$100.00"), 700.0), box(F.col("first_name"), 120.0), box(F.concat("last_name", F.lit(",")), 10.0))
+    words = d.select("file_name", "page", F.explode(parts).alias("w")).select("file_name", "page", "w.*")
+    return words, d.select("file_name", "page", F.lit(1000.0).alias("width"), F.lit(1e9).alias("height")).distinct()
+
+
+@query(f"select file_name, k as row_index, concat(last_name, ', ', first_name) as name, coverage, status, plan as medical_plan, cast(cents/100.0 as double) as charge, false as missing from ({TRUTH}) as t where k%10=3")
+def second_look(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders that a second reading of their lines fills."""
+    words, tables = _word_boxes(spark, sf_dir)
+    d = truth(spark, sf_dir).where("k % 10 = 3")
+    name = F.concat("last_name", F.lit(", "), "first_name")
+    nothing = _read(spark, sf_dir).limit(0)
+    matched = match.apply_roster(d.select("file_name", F.col("k").cast("int").alias("ord"), name.alias("name")), nothing)
+    texts = noisy_lines(spark, sf_dir).select("file_name", F.col("line_no").cast("int").alias("row_index"), "line")
+
+    def read(found: DataFrame) -> DataFrame:
+        both = found.join(texts, ["file_name", "row_index"])
+        cut = F.regexp_extract("line", r"^(\S+ \S+) (.*)$", 1), F.regexp_extract("line", r"^(\S+ \S+) (.*)$", 2)
+        return both.select("file_name", "row_index", "name", "page", cut[0].alias("name_text"), cut[1].alias("rest_text"))
+
+    got = reread.second_look(matched, words, tables, read)
+    return longs(got.select("file_name", "row_index", "name", "coverage", "status", "medical_plan", "charge", match.is_missing(F.col("flags")).alias("missing")))
+
+
+@query("select distinct upper(s_name) as name from supplier where s_suppkey%5<>1")
+def roster_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list with names taken off."""
+    d = table(spark, sf_dir, "supplier")
+    known = d.select(F.upper("s_name").alias("name")).distinct()
+    return edits.remove_from_roster(known, d.where("s_suppkey % 5 = 1").select(F.upper("s_name").alias("name")))
+
+
 @query()
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts as a stream of files, taken in once; the rows of each file as they stand then."""

@@ -64,3 +64,28 @@ def merge_roster(roster: DataFrame, extra: DataFrame) -> DataFrame:
     return roster.select("name").unionByName(added.select("name")).orderBy(F.collate("name", "UNICODE"))
 
 
+def add_to_roster(roster: DataFrame, typed: DataFrame) -> DataFrame:
+    """roster with the typed names that are LAST, FIRST and not there yet."""
+    return merge_roster(roster, typed.select(names.roster_form(F.col("name")).alias("name")).where("name is not null").distinct())
+
+
+def rename_in_roster(roster: DataFrame, changes: DataFrame) -> DataFrame:
+    """roster with names changed (changes: name, new_name; one row a name); a change that is not LAST, FIRST, or leads to
+    a name that is there already, is left out. Changes are judged on the roster as it stands."""
+    d = changes.select("name", names.roster_form(F.col("new_name")).alias("_new")).where("_new is not null")
+    d = d.join(roster.select(F.col("name").alias("_new")), "_new", "left_anti").dropDuplicates(["_new"])
+    return roster.join(d, "name", "left").select(F.coalesce("_new", "name").alias("name")).orderBy(F.collate("name", "UNICODE"))
+
+
+def remove_from_roster(roster: DataFrame, gone: DataFrame) -> DataFrame:
+    return roster.join(gone.select("name"), "name", "left_anti").select("name").orderBy(F.collate("name", "UNICODE"))
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    """The table without its rows."""
+    return table.limit(0)
+
+
+def next_index(members: DataFrame) -> DataFrame:
+    """file_name, next_index: the number of the next row of each file."""
+    return members.groupBy("file_name").agg((F.max("row_index") + 1).alias("next_index"))

@@ -101,7 +101,7 @@ def assign(roster: DataFrame, members: DataFrame) -> DataFrame:
     return greedy(pairs)
 
 
-def _hit_flags(flags: Column, charge: Column) -> Column:
+def hit_flags(flags: Column, charge: Column) -> Column:
     """Flags of a matched row: those of names are settled; a missing charge is said again."""
     kept = F.filter(flags, lambda f: ~f.rlike("(?i)name") & (f != NOT_FOUND))
     return F.concat(kept, F.when(charge.isNull(), F.array(F.lit(NO_CHARGE))).otherwise(F.array().cast("array<string>")))
@@ -112,7 +112,7 @@ def _project(slots: DataFrame, hits: DataFrame) -> DataFrame:
     found = hits.withColumn("hit", F.lit(True)).withColumnRenamed("name", "read").withColumnRenamed("row_index", "source_index")
     d = slots.join(found, ["file_name", "ord"], "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    flags = F.when(F.col("hit"), _hit_flags(F.col("flags"), F.col("charge"))).otherwise(F.array(F.lit(NOT_FOUND)))
+    flags = F.when(F.col("hit"), hit_flags(F.col("flags"), F.col("charge"))).otherwise(F.array(F.lit(NOT_FOUND)))
     return d.select("file_name", F.col("ord").cast("int").alias("row_index"), "name", "family_count", blank("coverage"), blank("status"), blank("medical_plan"), "charge", F.coalesce("page", F.lit(0)).alias("page"), flags.alias("flags"), F.coalesce("read", F.lit("")).alias("ocr_name"), "source_index")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridextract.functions import money
 from gridextract.functions.text import collapsed, letters, let
@@ -109,3 +110,35 @@ def file_error(warnings: Column) -> Column:
         F.when(blank, "The scanned pages could not be decoded.").when(failed.isNotNull(), F.concat(F.lit("Could not read this scan ("), failed, F.lit("). Reload and try again.")))
         .otherwise("No membership rows found.")
     )
+
+
+def match_warnings(files: DataFrame) -> DataFrame:
+    """file_name, warning: of all warnings (files: file_name, warnings) those on members that were not found."""
+    return files.select("file_name", F.explode("warnings").alias("warning")).where(F.col("warning").rlike("(?i)not found on this invoice"))
+
+
+def with_leftovers(leftover: DataFrame) -> DataFrame:
+    """file_name, n_rows of the files that have rows which no member took."""
+    return leftover.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def unread_files(files: DataFrame, members: DataFrame) -> DataFrame:
+    """file_name, reason, warnings (three at most) of files without rows. files: file_name, errors, warnings."""
+    d = files.join(members.select("file_name").distinct(), "file_name", "left_anti")
+    return d.select("file_name", F.coalesce(F.get("errors", F.lit(0)), F.lit("No membership rows found.")).alias("reason"), F.slice("warnings", 1, 3).alias("warnings"))
+
+
+def hydrated(members: DataFrame) -> DataFrame:
+    """members with every column of a full row: fields of evidence (name_field, amount_field) win over plain values, what
+    is absent gets its default."""
+    has = set(members.columns)
+    plain = {"family_count": "int", "coverage": "string", "status": "string", "medical_plan": "string", "charge": "double", "page": "int", "ocr_name": "string"}
+    d = members.withColumns({c: F.lit(None).cast(t) for c, t in plain.items() if c not in has})
+    name = F.coalesce(F.nullif(F.col("name_field.value"), F.lit("")), "name") if "name_field" in has else F.col("name")
+    charge = F.coalesce("amount_field.value", "charge") if "amount_field" in has else F.col("charge")
+    empty = {c: F.coalesce(c, F.lit("")) for c, t in plain.items() if t == "string"}
+    flags = F.coalesce("flags", F.array().cast("array<string>")) if "flags" in has else F.array().cast("array<string>")
+    nth = F.row_number().over(Window.partitionBy("file_name").orderBy("page", "name"))
+    row_index = F.coalesce("row_index", nth) if "row_index" in has else nth
+    excluded = F.coalesce("excluded", F.lit(False)) if "excluded" in has else F.lit(False)
+    return d.withColumns({"name": name, "charge": charge, **empty, "page": F.coalesce("page", F.lit(0)), "flags": flags, "excluded": excluded, "row_index": row_index})

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from gridextract.functions import names
 from gridextract.functions.text import trimmed
-
+from gridextract.operators.edits import merge_roster
 
 
 def cells(line: Column) -> Column:
@@ -41,3 +41,19 @@ def read_rosters(spark: SparkSession, path: str) -> DataFrame:
     """Lists below a path, one row a file, whatever the case of their endings."""
     d = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file_name"), F.col("value").alias("text"))
     return parse_roster(d.where(is_roster_file(F.col("file_name"))))
+
+
+def save_roster(roster: DataFrame, path: str, version: int) -> None:
+    """The list as one Parquet row: version, names. The list is bounded by the people one office bills."""
+    kept = roster.agg(F.sort_array(F.collect_set("name")).alias("names")).select(F.lit(version).alias("version"), "names")
+    kept.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def stored_roster(spark: SparkSession, path: str, patch: DataFrame, version: int) -> DataFrame:
+    """The names of a saved list in capitals; names of patch (name) join a list that was saved under an older version.
+    A list with a blank name is not valid, and gives no name of its own."""
+    d = spark.read.schema("version int, names array<string>").parquet(path)
+    valid = F.forall("names", lambda n: n.isNotNull() & (trimmed(n) != ""))
+    own = d.where(valid).select(F.explode("names").alias("name")).select(F.upper(trimmed(F.col("name"))).alias("name"))
+    old = d.where(F.col("version") < version).select(F.lit(version).alias("to_version"))
+    return merge_roster(own, patch.select("name", F.lit(version).alias("to_version")).join(old, "to_version", "left_semi").select("name"))
