@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,18 +89,38 @@ def anchors(fp: np.ndarray, block: int, t: int) -> tuple[np.ndarray, np.ndarray,
     return row, x[row] ^ pattern[first[s][row] + nth], nth == 0
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """id_col, fingerprint (long; the bits of the unsigned value) of each row of docs.
+def _ones(view: memoryview, begin: list[int], end: list[int], doc: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """How often each bit is set in the hashes of the shingles of each of n documents. 64 bits: XXH64 with seed 42;
+    128: XXH3."""
+    out = np.zeros((n, bits), np.int64)
+    short, long = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
+    for lo in range(0, len(doc), 1 << 17):
+        part = slice(lo, lo + (1 << 17))
+        spans = zip(begin[part], end[part], strict=True)
+        if bits == 64:
+            h = np.array([short(view[a:b], 42) for a, b in spans], "<u8").view(np.uint8)
+        else:
+            h = np.frombuffer(b"".join([long(view[a:b]) for a, b in spans]), np.uint8)
+        set_ = np.unpackbits(h.reshape(-1, bits // 8), axis=1, bitorder="little")
+        cut = np.flatnonzero(np.diff(doc[part], prepend=-1))
+        out[doc[part][cut]] += np.add.reduceat(set_, cut, axis=0, dtype=np.int32)
+    return out
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, check_shingle: int | None = None) -> DataFrame:
+    """id_col, fingerprint (long; the bits of the unsigned value) of each row of docs, and with check_shingle the two
+    halves check_1, check_2 of a second fingerprint of 128 bits, of shingles of that many words.
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles of `shingle` words, repeats included, joined by
     a space, are hashed by XXH64 with seed 42. A bit is 1 if set in over half of the hashes. Fewer words: the whole
     sequence is the one shingle; null, empty or blank texts: 0.
     """
+    kinds = [(shingle, 64), *([(check_shingle, 128)] if check_shingle else [])]
+    names = ["fingerprint", *(["check_1", "check_2"] if check_shingle else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
+            out = np.zeros((batch.num_rows, len(names)), np.uint64)
             for w in blocks(batch.column(1)):
                 if not len(w.start):
                     continue
@@ -113,120 +133,150 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 norm[gap] = 0x20
                 view = memoryview(norm[keep].tobytes())
                 start, end = at[w.start], at[w.end - 1] + 1
-                n = np.where(w.n > 0, np.maximum(w.n - shingle + 1, 1), 0)
-                doc = np.repeat(np.arange(len(n)), n)
-                i = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w.word_starts()[:-1], n)
-                j = i + np.minimum(shingle, w.n[doc]) - 1
-                ones = np.zeros((len(n), 64), np.int64)
-                for lo in range(0, len(doc), 1 << 17):
-                    part = slice(lo, lo + (1 << 17))
-                    h = np.array([digest(view[a:b], 42) for a, b in zip(start[i[part]].tolist(), end[j[part]].tolist(), strict=True)], "<u8")
-                    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    cut = np.flatnonzero(np.diff(doc[part], prepend=-1))
-                    ones[doc[part][cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
-                out[w.first : w.last] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], [id_col, "fingerprint"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
+                place = 0
+                for words, bits in kinds:
+                    n = np.where(w.n > 0, np.maximum(w.n - words + 1, 1), 0)
+                    doc = np.repeat(np.arange(len(n)), n)
+                    i = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w.word_starts()[:-1], n)
+                    j = i + np.minimum(words, w.n[doc]) - 1
+                    ones = _ones(view, start[i].tolist(), end[j].tolist(), doc, len(n), bits)
+                    half = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")
+                    out[w.first : w.last, place : place + bits // 64] = half
+                    place += bits // 64
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.copy().view(np.int64)) for c in out.T)], [id_col, *names])
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in names)])
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _forest(homes: np.ndarray, visitors: np.ndarray, d: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between homes and visitors. Never holds all pairs of a dense cell."""
+def _forest(homes: np.ndarray, visitors: np.ndarray, d: int, most: int | None = None) -> np.ndarray:
+    """Edges of a spanning forest of the links between homes and visitors, as rows of numbers into the distinct rows of
+    both (see np.unique), and these. Rows are linked if their first columns differ in d bits or fewer, and, where most is
+    given, the others together in `most` or fewer. Never holds all pairs of a dense cell."""
+    every, at = np.unique(np.concatenate([homes, visitors]), axis=0, return_inverse=True)
+    at = at.reshape(-1)
+    at_home, at_visitor = at[: len(homes)], at[len(homes) :]
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(every[a, 1:] ^ every[b, 1:]).sum(-1, dtype=np.int64) <= most
+
     left, right, found = [], [], 0
     for lo in range(0, len(homes), 128):
-        h, v = np.nonzero(np.bitwise_count(homes[lo : lo + 128, None] ^ visitors[None, :]) <= d)
-        other = homes[lo + h] != visitors[v]
-        left.append(homes[lo + h[other]])
-        right.append(visitors[v[other]])
-        found += int(other.sum())
+        h, v = np.nonzero(np.bitwise_count(homes[lo : lo + 128, None, 0] ^ visitors[None, :, 0]) <= d)
+        h, v = at_home[lo + h], at_visitor[v]
+        other = h != v
+        h, v = h[other], v[other]
+        if most is not None:
+            near = close(h, v)
+            h, v = h[near], v[near]
+        left.append(h)
+        right.append(v)
+        found += len(h)
         if found > 4 * (len(homes) + len(visitors)):
             break
     else:
-        parent: dict[int, int] = {}
+        parent = list(range(len(every)))
 
         def root(x: int) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[p]
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
             return x
 
         out = []
-        for x, y in zip(np.concatenate([*left, homes[:0]]).tolist(), np.concatenate([*right, homes[:0]]).tolist(), strict=True):
+        for x, y in zip(np.concatenate([*left, at_home[:0]]).tolist(), np.concatenate([*right, at_home[:0]]).tolist(), strict=True):
             p, q = root(x), root(y)
             if p != q:
                 parent[p] = q
                 out.append((x, y))
-        return out
+        return every[np.array(out, np.int64).reshape(-1, 2)]
     # dense: breadth first over what is not reached yet
-    rest, out = np.unique(np.concatenate([homes, visitors])), []
+    rest, out = np.arange(len(every)), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= d
+            near = np.bitwise_count(every[rest, 0] ^ every[x, 0]) <= d
+            if most is not None:
+                near[near] = close(rest[near], np.full(int(near.sum()), x))
             reached, rest = rest[near], rest[~near]
-            out += [(int(x), y) for y in reached.tolist()]
+            out += [(int(x), int(y)) for y in reached]
             queue += list(reached)
-    return out
+    return every[np.array(out, np.int64).reshape(-1, 2)]
+
+
+def _node(columns: list[str]) -> Column:
+    """What names a fingerprint: itself, or with a check the hash of both."""
+    return F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
 
 
-def links(prints: DataFrame, *, distance: int = 4) -> DataFrame:
+def links(prints: DataFrame, *, distance: int = 4, check_distance: int | None = None) -> DataFrame:
     """a, b: a spanning forest, by cell, of all links between distinct fingerprints (column fingerprint) that differ in
-    `distance` bits or fewer. Its components are those of all links."""
+    `distance` bits or fewer and, with check_distance, whose second ones (check_1, check_2) differ in that many or fewer.
+    Its components are those of all links. a and b are _node of the columns."""
     t = distance // len(BLOCKS)
-    own = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    names = ["fingerprint", *(["check_1", "check_2"] if check_distance is not None else [])]
+    own = prints.select(*names).where("fingerprint is not null").distinct()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                fp = batch.column(0).slice(lo, 4096).to_numpy().view(np.uint64)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                columns = [c.to_numpy() for c in part.columns]
                 for b in range(len(BLOCKS)):
-                    row, anchor, home = anchors(fp, b, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | b << 23), pa.array(fp[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+                    row, anchor, home = anchors(columns[0].view(np.uint64), b, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | b << 23), *(pa.array(c[row]) for c in columns), pa.array(home)], ["anchor", *names, "home"])
 
-    at = own.mapInArrow(spread, "anchor long, fp long, home boolean")
+    at = own.mapInArrow(spread, f"anchor long, {', '.join(f'{c} long' for c in names)}, home boolean")
     # at most 3 * 4096 rows: all anchors
     size = at.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("all"))
     size = size.select("anchor", F.ceil(F.col("homes") / CELL_HOMES).cast("int").alias("nh"), F.ceil(F.col("all") / CELL_VISITORS).cast("int").alias("nv")).where("nh > 0")
     at = at.join(F.broadcast(size), "anchor")
     whole = F.lit(0).cast("int")
-    row = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("nh")).cast("int")
-    col = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("nv")).cast("int")
+    row = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("nh")).cast("int")
+    col = F.pmod(F.xxhash64(*names, F.lit(2)), F.col("nv")).cast("int")
     cells = F.when(F.col("home"), F.transform(F.sequence(whole, F.col("nv") - 1), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(True).alias("home"))))
     cells = F.concat(F.coalesce(cells, F.array().cast("array<struct<i:int,j:int,home:boolean>>")), F.transform(F.sequence(whole, F.col("nh") - 1), lambda i: F.struct(i.alias("i"), col.alias("j"), F.lit(False).alias("home"))))
-    cell = at.select("anchor", "fp", F.explode(cells).alias("c")).groupBy("anchor", "c.i", "c.j").agg(
-        F.collect_list(F.when(F.col("c.home"), F.col("fp"))).alias("homes"), F.collect_list(F.when(~F.col("c.home"), F.col("fp"))).alias("visitors"))
+    lists = [F.collect_list(F.when(F.col("c.home") == home, F.col(c))).alias(f"{side}_{k}") for home, side in ((True, "h"), (False, "v")) for k, c in enumerate(names)]
+    cell = at.select("anchor", *names, F.explode(cells).alias("c")).groupBy("anchor", "c.i", "c.j").agg(*lists)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for homes, visitors in zip(*(batch.column(c) for c in ("homes", "visitors")), strict=True):
-                found += _forest(homes.values.to_numpy().view(np.uint64), visitors.values.to_numpy().view(np.uint64), distance)
-            both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            found = [np.zeros((0, 2, len(names)), np.uint64)]
+            for i in range(batch.num_rows):
+                homes, visitors = (np.stack([batch.column(f"{side}_{k}")[i].values.to_numpy().view(np.uint64) for k in range(len(names))], 1) for side in "hv")
+                found.append(_forest(homes, visitors, distance, check_distance))
+            both = np.concatenate(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, side, k].copy()) for side in (0, 1) for k in range(len(names))], [f"{side}_{c}" for side in "ab" for c in names])
 
-    return cell.select("homes", "visitors").mapInArrow(compare, "a long, b long")
+    edges = cell.drop("anchor", "i", "j").mapInArrow(compare, ", ".join(f"{side}_{c} long" for side in "ab" for c in names))
+    return edges.select(*(_node([f"{side}_{c}" for c in names]).alias(side) for side in "ab"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, check_shingle: int | None = None, check_distance: int | None = None) -> DataFrame:
     """id_col, fingerprint (long), component_id of each row of docs.
 
     component_id is the smallest id of the rows that can be reached over links, a row itself included; null only where
     all of these have a null id. Rows of equal fingerprints are one node, so copies cost nothing after a map-side
-    aggregation. Repeated rows and null ids are rows like any other. Empty table: no rows.
+    aggregation. With check_shingle and check_distance, links must hold for the second fingerprints, too. Repeated rows
+    and null ids are rows like any other. Empty table: no rows.
     """
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    nodes = connected_components(links(prints, distance=distance))
-    of = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")).join(nodes.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    of = of.withColumn("component", F.coalesce("component", "fingerprint"))
+    names = ["fingerprint", *(["check_1", "check_2"] if check_shingle else [])]
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, check_shingle=check_shingle))
+    nodes = connected_components(links(prints, distance=distance, check_distance=check_distance if check_shingle else None))
+    of = prints.groupBy(_node(names).alias("node")).agg(F.min(id_col).alias("least")).join(nodes, "node", "left")
+    of = of.withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = written(of.join(least, "component").select("fingerprint", "component_id"))
-    return prints.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 8) -> DataFrame:
-    """docs without the rows whose component has a smaller id; the columns of docs. Of repeated rows of that smallest
-    id, all stay together as they came, so give each document an id of its own; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, distance=distance)
+    of = written(of.join(least, "component").select("node", "component_id"))
+    return prints.withColumn("node", _node(names)).join(of, "node").select(id_col, "fingerprint", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """docs without the rows whose component has a smaller id; the columns of docs. By default, documents are compared by
+    shingles of five words at a Jaccard similarity of about 0.8: fingerprints of pairs of words, which a changed word
+    moves least, find them within 8 bits, and 128 bits of five-word shingles must agree to 24 bits (0.8 comes to 19 on
+    average, texts without shingles in common to 64). Of repeated rows of that smallest id, all stay together as they
+    came, so give each document an id of its own; rows with a null id stay."""
+    params = {"shingle": 2, "distance": 8, "check_shingle": 5, "check_distance": 24, **params}
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **params)
     gone = gone.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

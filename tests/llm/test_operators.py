@@ -109,8 +109,11 @@ def test_anchors_lose_no_link(spark, distance):
 def test_dense_cells_give_forests():
     rng = np.random.default_rng(3)
     f = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 20, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 20, 400).astype(np.uint64)))
-    edges = simhash_anchor._forest(f, f, 4)
-    assert len(edges) == len(f) - 1
+    edges = simhash_anchor._forest(f[:, None], f[:, None], 4)
+    assert edges.shape == (len(f) - 1, 2, 1)
+    wide = np.stack([f, np.where(np.arange(len(f)) % 2, 0, (1 << 64) - 1).astype(np.uint64), f], 1)
+    edges = simhash_anchor._forest(wide, wide, 4, 30)
+    assert len(edges) == len(f) - 2 and (edges[:, 0, 1] == edges[:, 1, 1]).all()
 
 
 def test_op5_on_odd_tables(spark, odd):
