@@ -25,9 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: fingerprints of five-word shingles that
-    differ in 8 bits or fewer, which is what texts of a similarity from 0.8 on come to."""
-    return simhash_anchor.drop_near_duplicates(docs, shingle=5, distance=8)
+    """The document with the smallest id of each group of near duplicates: a similarity of about 0.8 or more of five-word
+    shingles, estimated by fingerprints."""
+    return simhash_anchor.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
