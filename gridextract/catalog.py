@@ -372,11 +372,11 @@ def retro_and_terminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", "status", money.current_charge(amounts, F.col("status"), k % 2 == 1).alias("charge"))
 
 
-@query("select c_custkey, concat(split_part('BERG,LAND,VALE', ',', cast(c_custkey%3 as int)+1), 'EX, ', split_part('SEAN,MARIA,DIANA', ',', cast(c_custkey%3 as int)+1)) as name from customer where c_custkey%3=0")
+@query("select c_custkey, concat(split_part('BARBER,LUTTER,GREGOR', ',', cast(c_custkey%3 as int)+1), ', ', split_part('ALICE,ERIKA,ELISE', ',', cast(c_custkey%3 as int)+1)) as name from customer")
 def fused_name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that were read as one word."""
-    d = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
-    return d.select("c_custkey", names.unfused(F.lit("BERGEXSEAN")).alias("name"))
+    token = F.element_at(F.array(F.lit("BARBERALICE"), F.lit("LUTTERERIKA"), F.lit("GREGORELISE")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.unfused(token).alias("name"))
 
 
 @query("select o_orderkey as f, count(*) as n_pages, cast(sum(p) as bigint) as page_sum from (select distinct o_orderkey, p from (select o_orderkey, 1+o_orderkey%12 as n, unnest([3,4,5,6,o_orderkey%12-2,o_orderkey%12-1,o_orderkey%12]) as p from orders) as x where p between 1 and n) as y group by o_orderkey")
