@@ -234,21 +234,33 @@ def links(prints: DataFrame, *, distance: int = 4, check_distance: int | None =
     whole = F.lit(0).cast("int")
     row = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("nh")).cast("int")
     col = F.pmod(F.xxhash64(*names, F.lit(2)), F.col("nv")).cast("int")
-    cells = F.when(F.col("home"), F.transform(F.sequence(whole, F.col("nv") - 1), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(True).alias("home"))))
-    cells = F.concat(F.coalesce(cells, F.array().cast("array<struct<i:int,j:int,home:boolean>>")), F.transform(F.sequence(whole, F.col("nh") - 1), lambda i: F.struct(i.alias("i"), col.alias("j"), F.lit(False).alias("home"))))
-    lists = [F.collect_list(F.when(F.col("c.home") == home, F.col(c))).alias(f"{side}_{k}") for home, side in ((True, "h"), (False, "v")) for k, c in enumerate(names)]
-    cell = at.select("anchor", *names, F.explode(cells).alias("c")).groupBy("anchor", "c.i", "c.j").agg(*lists)
+    # a cell's number: its row, its column and its anchor, 19, 19 and 25 bits
+    number = lambda i, j: F.shiftleft(i.cast("long"), 44).bitwiseOR(F.shiftleft(j.cast("long"), 25)).bitwiseOR(F.col("anchor"))
+    cells = F.when(F.col("home"), F.transform(F.sequence(whole, F.col("nv") - 1), lambda j: F.struct(number(row, j).alias("cell"), F.lit(True).alias("home"))))
+    cells = F.concat(F.coalesce(cells, F.array().cast("array<struct<cell:bigint,home:boolean>>")), F.transform(F.sequence(whole, F.col("nh") - 1), lambda i: F.struct(number(i, col).alias("cell"), F.lit(False).alias("home"))))
+    placed = at.select(F.explode(cells).alias("c"), *names).select("c.cell", "c.home", *names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            home, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+            both = _forest(rows[home], rows[~home], distance, check_distance).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, side, k].copy()) for side in (0, 1) for k in range(len(names))], [f"{side}_{c}" for side in "ab" for c in names])
+
+        at, held = None, []  # rows come cell by cell; a cell may go over the end of a batch
         for batch in batches:
-            found = [np.zeros((0, 2, len(names)), np.uint64)]
-            for i in range(batch.num_rows):
-                homes, visitors = (np.stack([batch.column(f"{side}_{k}")[i].values.to_numpy().view(np.uint64) for k in range(len(names))], 1) for side in "hv")
-                found.append(_forest(homes, visitors, distance, check_distance))
-            both = np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, side, k].copy()) for side in (0, 1) for k in range(len(names))], [f"{side}_{c}" for side in "ab" for c in names])
-
-    edges = cell.drop("anchor", "i", "j").mapInArrow(compare, ", ".join(f"{side}_{c} long" for side in "ab" for c in names))
+            cell, home = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            rows = np.stack([batch.column(k).to_numpy() for k in range(2, 2 + len(names))], 1).view(np.uint64)
+            cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(cell)], strict=True):
+                if held and cell[lo] != at:
+                    yield edges(held)
+                    held = []
+                at = cell[lo]
+                held.append((home[lo:hi].copy(), rows[lo:hi].copy()))
+        if held:
+            yield edges(held)
+
+    edges = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, ", ".join(f"{side}_{c} long" for side in "ab" for c in names))
     return edges.select(*(_node([f"{side}_{c}" for c in names]).alias(side) for side in "ab"))
 
 
