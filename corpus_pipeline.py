@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: a similarity of about 0.8 or more of five-word
-    shingles, estimated by fingerprints."""
+    """The document with the smallest id of each group of near duplicates: a Jaccard similarity of 0.8 or more of five-word
+    shingles, computed for the documents that fingerprints bring together."""
     return simhash_anchor.drop_near_duplicates(docs)
 
 

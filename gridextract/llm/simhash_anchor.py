@@ -6,6 +6,9 @@ linear covering code: the perfect Golay code (radius 3) for 23 bits, Hamming [15
 t = d // 3 bits or fewer; there, the anchor next to the first lies within radius + t of the second. So each fingerprint
 goes to every anchor within radius + t, is at home at its nearest, and homes are compared with all that came to the
 anchor: no link is lost, whatever the data.
+
+A fingerprint only estimates a similarity. similar_pairs holds the documents of a component of such links against each
+other by their sets of shingles, whatever links brought them there.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .scratch import written
-from .tokens import LOWER, SPACE, blocks
+from .tokens import LOWER, SPACE, Words, blocks
 
 #: The generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -48,6 +51,8 @@ BLOCKS = (
     (23, 23, 3, _golay_syndromes()),
     (46, 18, 2, [*range(1, 16), 16, 32, 48]),
 )
+#: Shingles of one side of a cell of exact comparisons, on average; larger groups are split into a grid of cells.
+CELL_SHINGLES = 1 << 19
 _tables: dict[tuple[int, int], tuple] = {}
 
 
@@ -107,6 +112,26 @@ def _ones(view: memoryview, begin: list[int], end: list[int], doc: np.ndarray, n
     return out
 
 
+def _normal(w: Words) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    """The bytes of a block, A-Z lower-cased and with one blank between two words, and the bounds of its words there."""
+    gap = SPACE[w.buf]
+    keep = ~gap
+    after = w.end[w.end < len(w.buf)]
+    keep[after] = True
+    at = np.cumsum(keep) - keep
+    norm = LOWER[w.buf]
+    norm[gap] = 0x20
+    return memoryview(norm[keep].tobytes()), at[w.start], at[w.end - 1] + 1
+
+
+def _shingles(w: Words, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles by document, and of each shingle its document, its first and its last word."""
+    n = np.where(w.n > 0, np.maximum(w.n - words + 1, 1), 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w.word_starts()[:-1], n)
+    return n, doc, i, i + np.minimum(words, w.n[doc]) - 1
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, check_shingle: int | None = None) -> DataFrame:
     """id_col, fingerprint (long; the bits of the unsigned value) of each row of docs, and with check_shingle the two
     halves check_1, check_2 of a second fingerprint of 128 bits, of shingles of that many words.
@@ -124,21 +149,10 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             for w in blocks(batch.column(1)):
                 if not len(w.start):
                     continue
-                gap = SPACE[w.buf]
-                keep = ~gap
-                after = w.end[w.end < len(w.buf)]
-                keep[after] = True
-                at = np.cumsum(keep) - keep
-                norm = LOWER[w.buf]
-                norm[gap] = 0x20
-                view = memoryview(norm[keep].tobytes())
-                start, end = at[w.start], at[w.end - 1] + 1
+                view, start, end = _normal(w)
                 place = 0
                 for words, bits in kinds:
-                    n = np.where(w.n > 0, np.maximum(w.n - words + 1, 1), 0)
-                    doc = np.repeat(np.arange(len(n)), n)
-                    i = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w.word_starts()[:-1], n)
-                    j = i + np.minimum(words, w.n[doc]) - 1
+                    n, doc, i, j = _shingles(w, words)
                     ones = _ones(view, start[i].tolist(), end[j].tolist(), doc, len(n), bits)
                     half = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")
                     out[w.first : w.last, place : place + bits // 64] = half
@@ -282,13 +296,104 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.withColumn("node", _node(names)).join(of, "node").select(id_col, "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs without the rows whose component has a smaller id; the columns of docs. By default, documents are compared by
-    shingles of five words at a Jaccard similarity of about 0.8: fingerprints of pairs of words, which a changed word
-    moves least, find them within 8 bits, and 128 bits of five-word shingles must agree to 24 bits (0.8 comes to 19 on
-    average, texts without shingles in common to 64). Of repeated rows of that smallest id, all stay together as they
-    came, so give each document an id of its own; rows with a null id stay."""
-    params = {"shingle": 2, "distance": 8, "check_shingle": 5, "check_distance": 24, **params}
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **params)
-    gone = gone.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """group, id, node (what names the set), n and hashes (sorted, 64 bits each) of the set of shingles of each row of
+    docs (group, id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for w in blocks(batch.column(2)):
+                sets = [b""] * (w.last - w.first)
+                if len(w.start):
+                    view, start, end = _normal(w)
+                    n, _, i, j = _shingles(w, shingle)
+                    upto = np.cumsum(n).tolist()
+                    for k, (lo, hi) in enumerate(zip([0, *upto], upto, strict=False)):
+                        spans = zip(start[i[lo:hi]].tolist(), end[j[lo:hi]].tolist(), strict=True)
+                        sets[k] = np.unique(np.array([digest(view[a:b]) for a, b in spans], "<u8")).tobytes()
+                own = [c.slice(w.first, w.last - w.first) for c in batch.columns[:2]]
+                node = pa.array(np.array([digest(x) for x in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*own, node, pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["group", "id", "node", "n", "hashes"])
+
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in ("group", "id")] + [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType())])
+    return docs.select("group", "id", "text").mapInArrow(run, schema)
+
+
+def _similar(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Edges of a spanning forest of the pairs of sets of a Jaccard similarity of least or more, as rows of numbers into
+    sets, breadth first over what is not reached yet."""
+    n = np.array([len(x) for x in sets], np.int64)
+    own = np.cumsum(n) - n
+    _, value, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(len(sets)), n)[np.argsort(value, kind="stable")]
+    first = np.cumsum(times) - times
+    rest, out = np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        if not rest[seed]:
+            continue
+        rest[seed], queue = False, [seed]
+        while queue and rest.any():
+            x = queue.pop()
+            v = value[own[x] : own[x] + n[x]]
+            k = times[v]
+            at = np.arange(k.sum()) + np.repeat(first[v] - (np.cumsum(k) - k), k)
+            both = np.bincount(holder[at], minlength=len(sets))
+            reached = np.flatnonzero(rest & (both > 0) & (both >= least * (n[x] + n - both) - 1e-9))
+            rest[reached] = False
+            out += [(x, y) for y in reached.tolist()]
+            queue += reached.tolist()
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def similar_pairs(items: DataFrame, *, similarity: float) -> DataFrame:
+    """a, b: a spanning forest, by cell, of all pairs of items (group, node, n, hashes) of one group whose sets have that
+    Jaccard similarity or more. Each pair of a group meets in a cell, so the components are those of all such pairs."""
+    size = items.groupBy("group").agg(F.count(F.lit(1)).alias("items"), F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("sides"))
+    size = size.where("items > 1 and sides > 0").select("group", "sides")
+    at = items.join(size, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    at = at.select("group", "node", "hashes", "own", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
+    # cells whose hashes are equal are compared as one, which adds no pair that is not similar
+    placed = at.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "hashes")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            node = np.array([x for x, _ in held], np.int64)
+            both = node[_similar([x for _, x in held], similarity)]
+            return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in (0, 1)], ["a", "b"])
+
+        at, held = None, []  # rows come cell by cell; a cell may go over the end of a batch
+        for batch in batches:
+            for cell, node, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if held and cell != at:
+                    yield edges(held)
+                    held = []
+                at = cell
+                held.append((node, np.frombuffer(hashes.as_py(), "<u8")))
+        if held:
+            yield edges(held)
+
+    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **params) -> DataFrame:
+    """docs without the rows that have a row of a smaller id in their component; the columns of docs. Links of these
+    components are pairs of rows whose sets of shingles of check_shingle words (five) have a Jaccard similarity of
+    `similarity` or more, computed, not estimated. Fingerprints only name the rows that are compared: those of one
+    component of near_duplicates, by default within 8 bits of fingerprints of pairs of words, which a changed word moves
+    least, and 32 of 128 bits of five-word shingles (0.8 comes to 19 on average, texts without shingles in common to
+    64). Of repeated rows of that smallest id, all stay together as they came, so give each document an id of its own;
+    rows with a null id stay and link no others."""
+    params = {"shingle": 2, "distance": 8, "check_shingle": 5, "check_distance": 32, **params}
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **params).where(F.col(id_col).isNotNull())
+    found = written(found.select(F.col("component_id").alias("group"), F.col(id_col).alias("id")).distinct())
+    found = found.join(found.where(F.col("id") > F.col("group")).select("group").distinct(), "group")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(found, "id")
+    sets = written(_sets(texts, params["check_shingle"] or params["shingle"]))
+    items = written(sets.groupBy("group", "node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
+    nodes = connected_components(similar_pairs(items, similarity=similarity))
+    # rows of one set are one node, so copies cost nothing after a map-side aggregation
+    of = sets.groupBy("node").agg(F.min("id").alias("least")).join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = of.select("node", "component").join(of.groupBy("component").agg(F.min("least").alias("least")), "component").select("node", "least")
+    gone = sets.select("id", "node").join(of, "node").where(F.col("id") > F.col("least")).select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

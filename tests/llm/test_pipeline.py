@@ -1,6 +1,9 @@
 """Each stage of the corpus pipeline on planted cases, and the whole of it."""
 
+import random
+
 import corpus_pipeline
+from gridextract.llm import simhash_anchor
 from gridextract.llm.scratch import written
 from tests.conftest import SF
 
@@ -43,3 +46,56 @@ def test_planted_cases(spark):
     assert ids(stages["near_dedup"](spark, docs, SF)) == [10, 20, 30]
     assert ids(stages["decontamination"](spark, docs, SF)) == [10, 11, 12, 30]
     assert 30 in ids(stages["toxicity"](spark, docs, SF))
+
+
+def exact_drops(texts):
+    """Ids that have a smaller one in their component of pairs of 0.8 or more of five-word shingles; every pair is tried."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    ids, least = sorted(sets), {i: i for i in sets}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                x, y = root(a), root(b)
+                least[max(x, y)] = min(x, y)
+    return {i for i in ids if root(i) != i}
+
+
+def edited(seed, every, n=300):
+    """A text, and copies of it with another word at every `every`-th place."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+    return words, [f"x{seed}" if k % every == every // 2 else w for k, w in enumerate(words)]
+
+
+def test_near_dedup_equals_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    # similarities of about 0.54 to 0.95, chains of them among these
+    for n, every in enumerate((16, 18, 20, 25, 30, 45, 60, 100) * 6):
+        a, b = edited(n, every)
+        c = [f"y{n}" if k % every == 1 else w for k, w in enumerate(b)]
+        texts |= {100_000 + 3 * n + k: " ".join(x) for k, x in enumerate((a, b, c))}
+    table_ = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_anchor.drop_near_duplicates(table_).select("doc_id").collect()}
+    got, want = set(texts) - kept, exact_drops(texts)
+    assert got <= want  # none goes that has no document of 0.8
+    assert len(got) >= 0.97 * len(want)
+
+
+def test_split_groups_meet_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash_anchor, "CELL_SHINGLES", 300)
+    texts = {10 * n + k: " ".join(x) for n in range(4) for k, x in enumerate(edited(n, 40 if n < 2 else 20))}
+    sets = simhash_anchor._sets(spark.createDataFrame([(7, i, t) for i, t in texts.items()], "group long, id long, text string"), 5)
+    node = {r.node: r.id for r in sets.select("node", "id").collect()}
+    pairs = simhash_anchor.similar_pairs(sets.select("group", "node", "n", "hashes"), similarity=0.75).distinct().collect()
+    assert {tuple(sorted((node[r.a], node[r.b]))) for r in pairs} == {(0, 1), (10, 11)}
