@@ -19,8 +19,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of templates that recur across five or more of them (the first keeps its own)."""
-    out = line_templates.drop_recurring_lines(docs)
+    """All documents, without the lines of templates that recur across five or more of them (the first keeps its own);
+    lines of one or two tokens count, too."""
+    out = line_templates.drop_recurring_lines(docs, min_tokens=1)
     return out.select(*(F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

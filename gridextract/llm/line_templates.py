@@ -37,10 +37,13 @@ def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """id, raw_hash (xxhash64 of a line as it stands), template: each line that is to be dropped from a document.
 
     A template must have min_fixed of its tokens fixed. Lines of fewer than min_tokens tokens are too short to be a
-    template and are never dropped.
+    template and are never dropped; with min_tokens=1 these are the empty ones only, and a line shorter than depth is in
+    the leaf of its count and all its tokens.
     """
     lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("raw")).where("id is not null")
-    lines = lines.withColumn("x", squeezed(F.col("raw"))).where(F.substring_index("x", " ", max(min_tokens, 2) - 1) != F.col("x"))
+    lines = lines.withColumn("x", squeezed(F.col("raw"))).where(F.col("x") != "")
+    if min_tokens > 1:
+        lines = lines.where(F.substring_index("x", " ", min_tokens - 1) != F.col("x"))
     lines = lines.select("id", "raw", F.xxhash64(n_tokens(F.col("x")), masked(F.substring_index("x", " ", depth))).alias("leaf"))
     leaves = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     # from here on a line is named by its leaf and a hash, 128 bits together; only one copy of its text goes along

@@ -99,3 +99,11 @@ def test_split_groups_meet_in_cells(spark, monkeypatch):
     node = {r.node: r.id for r in sets.select("node", "id").collect()}
     pairs = simhash_anchor.similar_pairs(sets.select("group", "node", "n", "hashes"), similarity=0.75).distinct().collect()
     assert {tuple(sorted((node[r.a], node[r.b]))) for r in pairs} == {(0, 1), (10, 11)}
+
+
+def test_line_dedup_drops_short_lines(spark):
+    rows = [(i, f"Les.\nAnd ornd.\n{i}\n{i} {i + 1}\n\nOwn line {'abcdef'[i]} of the text", "en", "s", 1) for i in range(6)]
+    out = dict(corpus_pipeline.STAGES)["line_dedup"](spark, table(spark, rows), SF)
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert texts[0] == rows[0][1]
+    assert all(texts[i] == rows[i][1].removeprefix("Les.\nAnd ornd.\n") for i in range(1, 6))
