@@ -42,9 +42,10 @@ def prefix_examples(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: st
     examples of a conversation are as long together as the square of its length, which is what the format asks for.
     """
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    body = escaped(text)
-    rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), body.alias("body")).alias("t"))
+    rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
     conv = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    # escaped only once they are in order, which is that of the texts as they came
+    conv = conv.select("conv", F.transform("t", lambda x: F.struct(x["role"].alias("role"), escaped(x["text"]).alias("body"))).alias("t"))
     last, n = F.element_at("t", -1)["role"], F.size("t")
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: (F.element_at("t", i)["role"] == target) | (i == n))
     parts = F.transform("t", lambda x: F.concat(F.lit(HEAD), escaped(x["role"], role=True), F.lit(MIDDLE), x["body"], F.lit(TAIL)))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .scratch import discard, written
+from .scratch import discard, settled, written
 from .tokens import Words, as_long, blocks, mixed, ngrams
 
 #: Multipliers of the rolling hashes: of minimizers, and two independent ones that name a window with 128 bits.
@@ -67,7 +67,7 @@ def _minimizers(k: int, m: int):
                 doc, least = w.doc[at], least[one]
                 order = np.lexsort((least, doc))
                 doc, least = doc[order], least[order]
-                repeat = np.append(False, (doc[1:] == doc[:-1]) & (least[1:] == least[:-1]))
+                repeat = np.append(False, (doc[1:] == doc[:-1]) & (least[1:] == least[:-1]))[: len(doc)]
                 rows = batch.slice(w.first, w.last - w.first)
                 yield pa.RecordBatch.from_arrays([
                     rows.column("id"), rows.column("v"), *(pa.array(as_long(x)) for x in whole), pa.array(w.n.astype(np.int64)),
@@ -138,10 +138,14 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     minis = written(source.mapInArrow(_minimizers(k, m), T.StructType([*key, *longs("c1", "c2", "n_words"), field("minis", many), field("twice", many)])).where(F.col("n_words") >= k))
     # rows of the same words are told by c1 and c2, 128 bits; a minimizer that only such rows share does not repeat
     names = minis.select("id", "v", "c1", "c2", "n_words")
-    placed = written(names.join(names.groupBy("c1", "c2").agg(F.min(F.struct("id")).alias("least")), ["c1", "c2"]))
-    is_first = F.col("id").eqNullSafe(F.col("least.id"))
+    # what is joined back to the rows it was made from is a table of its own here and below: the join then deals out
+    # both sides anew, and Spark splits the rows of one hot key
+    copied = written(names.groupBy("c1", "c2").agg(F.min(F.struct("id")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    placed = written(names.join(copied, ["c1", "c2"], "left"))
+    is_first = F.col("least").isNull() | F.col("id").eqNullSafe(F.col("least.id"))
     seen = minis.select("c1", F.explode("minis").alias("mini"), F.lit(False).alias("twice")).union(minis.select("c1", F.explode("twice"), F.lit(True)))
     again = seen.groupBy("mini").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("twice").alias("twice")).where("twice or lo <> hi").select("mini")
+    again = written(again)
     by_row = minis.select("id", "v", F.explode("minis").alias("mini")).join(again, "mini").groupBy("id", "v").agg(F.collect_set("mini").alias("minis"))
     own = placed.where(is_first).select("id", "v").distinct()
     by_row = written(by_row.join(own, _on(by_row, own), "left_semi"))
@@ -165,7 +169,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # verification: of windows whose first hashes agree, those whose second ones do, too, have one source. A window whose
     # first hash stood for two has two successors, so it is a path by itself
     found = written(edges.select("h1", "h2", "id", "v", "at").join(heads, "h1"))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"))
+    first = written(found.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first")))
     spans = found.join(first, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.at"))))
     spans = spans.select("id", "v", "at", (F.col("windows") + (k - 1)).cast("int").alias("n"), F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
     copies = placed.where(~is_first).select("id", "v", F.lit(0).alias("at"), F.col("n_words").cast("int").alias("n"), F.col("least.id").alias("first_id"), F.lit(0).alias("first_at"))
@@ -182,7 +186,7 @@ def drop_repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     source = _versions(docs, id_col, text_col)
     span = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
-    spans = written(repeated_spans(docs, id_col=id_col, text_col=text_col, k=k).groupBy("id", "v").agg(F.collect_set(span).alias("spans")))
+    spans = settled(lambda: repeated_spans(docs, id_col=id_col, text_col=text_col, k=k).groupBy("id", "v").agg(F.collect_set(span).alias("spans")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

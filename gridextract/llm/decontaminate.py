@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import unused
 from .tokens import as_long, blocks, ngrams
 
 KARP_RABIN = 0xC2B2AE3D27D4EB4F
@@ -114,6 +115,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """docs without the documents that leak an item; the columns of docs."""
-    bad = leaked_items(docs, benchmark, id_col=id_col, text_col=text_col, **params).select(F.col(id_col).alias("__id"), F.col("v").alias("__v")).distinct()
+    own, v = unused(docs, "id_"), unused(docs, "v_")
+    bad = leaked_items(docs, benchmark, id_col=id_col, text_col=text_col, **params).select(F.col(id_col).alias(own), F.col("v").alias(v)).distinct()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(text) == bad["__v"]), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[own]) & (F.xxhash64(text) == bad[v]), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import settled, unused, written
 
 #: White space inside a line, as blanks.
 BLANKS = ("\t\r\f\x0b", "    ")
@@ -46,6 +46,9 @@ def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         lines = lines.where(F.substring_index("x", " ", min_tokens - 1) != F.col("x"))
     lines = lines.select("id", "raw", F.xxhash64(n_tokens(F.col("x")), masked(F.substring_index("x", " ", depth))).alias("leaf"))
     leaves = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    # what is joined back to the rows it was made from is a table of its own here and below: the join then deals out both
+    # sides anew, and Spark splits the rows of one hot key
+    leaves = written(leaves)
     # from here on a line is named by its leaf and a hash, 128 bits together; only one copy of its text goes along
     found = lines.join(leaves, "leaf").withColumn("line", masked(squeezed(F.col("raw"))))
     found = written(found.select("leaf", F.xxhash64("line").alias("h"), "id", F.xxhash64("raw").alias("raw_hash"), "line"))
@@ -54,12 +57,14 @@ def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     words = kinds.select("leaf", "h", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
     fixed = words.where("token <> '<*>'").groupBy("leaf", "at", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("fixed"))
+    fixed = written(fixed)
     shape = words.join(fixed, ["leaf", "at", "token"], "left").groupBy("leaf", "h").agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("t")))).alias("t"), F.count("fixed").alias("fixed"))
-    shape = shape.where(F.col("fixed") >= min_fixed * F.size("t")).select("leaf", "h", F.array_join(F.col("t")["t"], " ").alias("template"))
+    shape = written(shape.where(F.col("fixed") >= min_fixed * F.size("t")).select("leaf", "h", F.array_join(F.col("t")["t"], " ").alias("template")))
     # the number of tokens and the first ones are part of a template, so it lies in one leaf
     held = written(found.select("leaf", "h", "id", "raw_hash").join(shape, ["leaf", "h"]))
     again = held.select("leaf", "template", "id").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs)
+    again = written(again)
     return held.join(again, ["leaf", "template"]).where("id <> first").select("id", "raw_hash", "template")
 
 
@@ -70,12 +75,13 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     A text of which all lines go is empty; the row stays. Null texts stay null with 0 lines. Lines of rows with a null
     id are neither counted nor dropped. Rows of one id are one document. Empty table: no rows.
     """
-    gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **params).groupBy("id").agg(F.collect_set("raw_hash").alias("__gone")).withColumnRenamed("id", "__id")
-    out = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
+    own, set_, kept_ = (unused(docs, c) for c in ("id_", "gone_", "kept_"))
+    gone = settled(lambda: recurring_lines(docs, id_col=id_col, text_col=text_col, **params).groupBy("id").agg(F.collect_set("raw_hash").alias(set_)).withColumnRenamed("id", own))
+    out = docs.join(gone, F.col(id_col) == F.col(own), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(x)))
-    out = out.withColumn("__kept", F.when(F.col("__gone").isNull(), lines).otherwise(kept))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(set_), F.xxhash64(x)))
+    out = out.withColumn(kept_, F.when(F.col(set_).isNull(), lines).otherwise(kept))
     count = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    extra = [*([count(lines).alias(n_lines)] if n_lines else []), *([(count(lines) - count(F.col("__kept"))).alias(n_dropped)] if n_dropped else [])]
-    text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join("__kept", "\n"))
+    extra = [*([count(lines).alias(n_lines)] if n_lines else []), *([(count(lines) - count(F.col(kept_))).alias(n_dropped)] if n_dropped else [])]
+    text = F.when(F.col(set_).isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(kept_, "\n"))
     return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *extra)

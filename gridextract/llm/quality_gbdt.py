@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample, sigmoid
+from .scratch import unused
 from .tokens import SPACE, blocks, mixed, ngrams
 
 _U = np.uint64
@@ -193,5 +194,5 @@ def judge(docs: DataFrame, trees: Trees, *, text_col: str = "text", min_score: f
             cols = [*batch.columns[: len(keep)], *(pa.array(c) for c in base.T), pa.array(failed), pa.array(score), pa.array(~failed & (score >= min_score))]
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in (*keep, *added)])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(unused(docs, "text_"))
     return docs.select(*(F.col(f.name) for f in keep), text).mapInArrow(run, T.StructType([*keep, *added]))

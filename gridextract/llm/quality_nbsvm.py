@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import platt, sample, sigmoid
+from .scratch import unused
 from .tokens import blocks, mixed
 
 AGAIN = np.uint64(0x5851F42D4C957F2D)
@@ -52,25 +53,27 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, buckets: int, alpha:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, *, cost: float, rounds: int, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Linear L2-loss support vectors (Hsieh et al., 2008) on rows x = ratio at each indicator, of length 1, and a bias
-    input of 1. Positive and negative rows weigh the same together."""
+    """Linear support vectors with the hinge loss (Hsieh et al., 2008) on rows x = ratio at each indicator, of length 1,
+    and a bias input of 1. Positive and negative rows weigh the same together. Ends when no projected gradient of a round
+    is over 0.001, or after `rounds`."""
     rng, sign = np.random.default_rng(seed), np.where(y == 1, 1.0, -1.0)
     size = np.array([np.sqrt((ratio[f] ** 2).sum()) or 1.0 for f in rows])
     share = np.where(y == 1, len(y) / max(1, 2 * (y == 1).sum()), len(y) / max(1, 2 * (y == 0).sum()))
-    diagonal, alpha, w, bias = 1 / (2 * cost * share), np.zeros(len(rows)), np.zeros_like(ratio), 0.0
+    most, alpha, w, bias = cost * share, np.zeros(len(rows)), np.zeros_like(ratio), 0.0
     for _ in range(rounds):
-        moved = 0.0
+        worst = 0.0
         for i in rng.permutation(len(rows)):
             f, s = rows[i], size[i]
             r = ratio[f]
-            g = sign[i] * ((w[f] * r).sum() / s + bias) - 1 + diagonal[i] * alpha[i]
-            new = max(alpha[i] - g / ((r * r).sum() / (s * s) + 1 + diagonal[i]), 0.0)
+            g = sign[i] * ((w[f] * r).sum() / s + bias) - 1
+            worst = max(worst, abs(g) if 0 < alpha[i] < most[i] else max(0.0, -g if alpha[i] == 0 else g))
+            new = min(max(alpha[i] - g / ((r * r).sum() / (s * s) + 1), 0.0), most[i])
             step = (new - alpha[i]) * sign[i]
             if step:
                 w[f] += step * r / s
                 bias += step
-                alpha[i], moved = new, max(moved, abs(step))
-        if moved < 1e-3:
+                alpha[i] = new
+        if worst < 1e-3:
             break
     return w, bias
 
@@ -128,5 +131,5 @@ def score(docs: DataFrame, model: tuple, *, text_col: str = "text", score_col: s
             m = np.array([margin(f, ratio, w, bias) for f in _documents(batch.column(batch.num_columns - 1), len(ratio))], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sigmoid(a * m + b))], [*names, score_col])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(unused(docs, "text_"))
     return docs.select(*(F.col(n) for n in names), text).mapInArrow(run, T.StructType([*keep, T.StructField(score_col, T.DoubleType())]))

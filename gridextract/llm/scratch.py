@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +14,13 @@ _ROOTS: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a fresh one is set only where the session names none."""
+    """The shared folder named in spark.checkpoint.dir. Where the session names none, a fresh local one is set if all of
+    Spark runs on this machine, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="gridextract-ckpt-")
         sc.setCheckpointDir(at)
     return at
@@ -38,9 +42,28 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table from written() once nothing reads it any more."""
     _remove(df.sparkSession, df._scratch_path)
+    _ROOTS.remove((df.sparkSession, df._scratch_path))
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """written(make()); the tables that make() wrote on its way are removed, so nothing else may read them later."""
+    before = len(_ROOTS)
+    out = written(make())
+    for spark, path in _ROOTS[before:-1]:
+        _remove(spark, path)
+    del _ROOTS[before:-1]
+    return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:

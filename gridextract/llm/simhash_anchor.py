@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .scratch import written
+from .scratch import unused, written
 from .tokens import LOWER, SPACE, Words, blocks
 
 #: The generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -395,5 +395,6 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     # rows of one set are one node, so copies cost nothing after a map-side aggregation
     of = sets.groupBy("node").agg(F.min("id").alias("least")).join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = of.select("node", "component").join(of.groupBy("component").agg(F.min("least").alias("least")), "component").select("node", "least")
-    gone = sets.select("id", "node").join(of, "node").where(F.col("id") > F.col("least")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone_")
+    gone = sets.select("id", "node").join(of, "node").where(F.col("id") > F.col("least")).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

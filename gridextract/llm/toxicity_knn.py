@@ -1,9 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are lower-cased words and their prefixes of 4 and 5 bytes; the vocabulary is those that go with the label in the
-training rows. Inverse document frequencies count all documents. The index of the examples is cut into blocks; the
-greatest weight of each term in each block bounds what a block can score, so a search stops exactly when no block that
-is left can reach the k best. Votes of the nearest examples, weighted by distance, are calibrated leave-one-out.
+Terms are all lower-cased words (runs of letters and digits) of all examples. A term weighs (1 + log of its count) * idf *
+relevance. Inverse document frequencies count all documents; relevance is 1 for a term that does not go with the label, and
+1 + z for one whose share of the examples of label 1 lies z standard deviations over that of label 0: a supervised term
+weight, as without it the cosine of long texts tells their language and not their tone. Norms are those of whole texts;
+terms that no example has count in them as terms of a single document.
+
+Examples lie in blocks; the greatest weight of each term in each block bounds what a block can score, so only blocks that
+can still reach the k best are searched, and the result is exact. Votes of the nearest examples, weighted by distance, are
+calibrated leave-one-out.
 """
 
 from __future__ import annotations
@@ -19,197 +24,255 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import platt, sample, sigmoid
+from .scratch import unused
 from .tokens import Words, as_long, blocks
 
-PREFIXES = (None, 4, 5)
-#: Examples of one block of the index.
-BLOCK = 64
-
-
-def _terms(w: Words, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: document, term (its number in the sorted vocabulary, if given, else its hash) and how often."""
-    docs, terms = [], []
-    for kind, prefix in enumerate(PREFIXES):
-        h = w.hashes(prefix=prefix) ^ np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        long_enough = np.flatnonzero(w.end - w.start >= (prefix or 0))
-        docs.append(w.doc[long_enough])
-        terms.append(h[long_enough])
-    doc, term = np.concatenate(docs), np.concatenate(terms)
-    if vocabulary is not None:
-        maybe = np.zeros(1 << 16, bool)
-        maybe[vocabulary & np.uint64(0xFFFF)] = True
-        near = np.flatnonzero(maybe[term & np.uint64(0xFFFF)])
-        at = np.searchsorted(vocabulary, term[near])
-        at[at == len(vocabulary)] = 0
-        hit = vocabulary[at] == term[near] if len(vocabulary) else np.zeros(len(near), bool)
-        doc, term = doc[near[hit]], at[hit].astype(np.uint64)
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))) if len(doc) else np.zeros(0, np.int64)
+#: Examples of one block of the index, and texts that are searched together.
+BLOCK, TOGETHER = 128, 128
+
+
+def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of texts: document, hash of a term and how often, by document."""
+    h = w.hashes()
+    order = np.lexsort((h, w.doc))
+    doc, term = w.doc[order], h[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))[: len(doc)])
     return doc[first], term[first], np.diff(np.append(first, len(doc)))
 
 
-def _emit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _known(vocabulary: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which terms are in the sorted vocabulary, and the numbers of these."""
+    at = np.searchsorted(vocabulary, term)
+    at[at == len(vocabulary)] = 0
+    hit = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
+    return hit, at[hit]
+
+
+def _text_blocks(column: pa.Array) -> Iterator[Words]:
+    return blocks(pc.utf8_lower(column), letters=True)
+
+
+def _emit_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for w in blocks(pc.utf8_lower(batch.column("text")), letters=True):
+        for w in _text_blocks(batch.column("text")):
             doc, term, n = _terms(w)
-            row = pa.array(doc + w.first)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("y").take(row), pa.array(as_long(term)), pa.array(n.astype(np.int32))], ["id", "y", "term", "n"])
+            cut = pa.array(np.searchsorted(doc, np.arange(len(w.n) + 1)).astype(np.int32))
+            rows = batch.slice(w.first, w.last - w.first)
+            lists = (pa.ListArray.from_arrays(cut, pa.array(x)) for x in (as_long(term), n.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), *lists], ["id", "y", "term", "n"])
+
 
+def _emit_counts(vocabulary):
+    """term (its number; -1: all texts) and the number of texts of a partition that have it, where there are any."""
 
-def _emit_counts(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary), np.int64), 0
+        total, n = np.zeros(len(vocabulary.value), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for w in blocks(pc.utf8_lower(batch.column("text")), letters=True):
-                total += np.bincount(_terms(w, vocabulary)[1].astype(np.int64), minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(total)), -1], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], ["term", "n"])
+            for w in _text_blocks(batch.column("text")):
+                total += np.bincount(_known(vocabulary.value, _terms(w)[1])[1], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], n))], ["term", "n"])
 
     return run
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (n numbers each), one after the other."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
 @dataclass
 class Index:
-    """vocabulary: sorted hashes; idf; of each example its id (as text) and label; postings by term: rows from
-    start[t] to start[t + 1] of example and weight, ordered by example; bound: greatest weight by term and block."""
+    """vocabulary: sorted hashes; weight: idf * relevance of each term; unknown: idf of all other terms; ids (as text) and y
+    of the examples. Each term has entries, one for each block that holds it, entry_start[t] to entry_start[t + 1]: block,
+    greatest weight there, and its postings (example, weight) from entry_post[e] to entry_post[e + 1]."""
 
     vocabulary: np.ndarray
-    idf: np.ndarray
+    weight: np.ndarray
+    unknown: float
     ids: np.ndarray
     y: np.ndarray
-    start: np.ndarray
+    entry_start: np.ndarray
+    entry_block: np.ndarray
+    entry_bound: np.ndarray
+    entry_post: np.ndarray
     example: np.ndarray
-    weight: np.ndarray
-    bound: np.ndarray
+    posting: np.ndarray
     neighbours: int
     prior: float
-    scale: tuple[float, float] = (1.0, 0.0)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine over 0 (equal ones by number), and their cosines; exact."""
-        most = weights @ self.bound[terms]
-        best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
-        spans = [(self.example[a:b], self.weight[a:b]) for a, b in zip(self.start[terms], self.start[terms + 1], strict=True)]
-        for b in np.argsort(-most, kind="stable"):
-            if most[b] <= 0 or len(best_s) >= k and most[b] < best_s[k - 1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for (e, x), q in zip(spans, weights, strict=True):
-                lo, hi = np.searchsorted(e, [b * BLOCK, (b + 1) * BLOCK])
-                score[e[lo:hi] - b * BLOCK] += q * x[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            s, e = np.append(best_s, score[hit]), np.append(best_e, hit + b * BLOCK)
-            order = np.lexsort((e, -s))[:k]
-            best_s, best_e = s[order], e[order]
-        return best_e, best_s
-
-    def vector(self, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
-        x = (1 + np.log(n)) * self.idf[terms]
-        return x / np.sqrt((x * x).sum())
-
-    def votes(self, examples: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, each weighted by cosine over distance; the prior counts as one."""
-        w = cosines / (1.05 - np.minimum(cosines, 1))
-        return float(((w * self.y[examples]).sum() + self.prior) / (w.sum() + 1))
-
-    def calibrated(self, share: np.ndarray) -> np.ndarray:
-        share = np.clip(share, 1e-6, 1 - 1e-6)
-        return sigmoid(self.scale[0] * np.log(share / (1 - share)) + self.scale[1])
-
-
-def fit_index(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, max_terms: int = 2048, min_rows: int = 3, min_z: float = 4.0, neighbours: int = 15) -> Index:
-    """Index of at most max_rows labelled examples (labelled.sample) over at most max_terms terms: those in min_rows
-    examples of label 1 or more, whose share of these lies min_z standard deviations or more over that of label 0.
-    Document frequencies count all rows of docs. What the driver holds is bounded by these parameters."""
+
+    def vectors(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block of texts: document, number of a term and its weight in the text's vector of length 1."""
+        doc, term, n = _terms(w)
+        hit, at = _known(self.vocabulary, term)
+        x = np.full(len(doc), self.unknown)
+        x[hit] = self.weight[at]
+        x *= 1 + np.log(n)
+        norm = np.sqrt(np.bincount(doc, x * x, len(w.n)))
+        return doc[hit], at, x[hit] / norm[doc[hit]]
+
+    def search(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts 0 to n - 1 of these terms and weights: text, example and cosine of its k nearest examples of a cosine
+        over 0, the nearest first (equal ones by number). own: the example that a text itself is, to be left out."""
+        blocks_ = -(-len(self.y) // BLOCK)
+        entries = self.entry_start[term + 1] - self.entry_start[term]
+        e = _ranges(self.entry_start[term], entries)
+        of, weight, block = np.repeat(doc, entries), np.repeat(q, entries), self.entry_block[e]
+        bound = np.bincount(of * blocks_ + block, weight * self.entry_bound[e], n * blocks_).reshape(n, blocks_)
+        by_block = np.argsort(block, kind="stable")
+        cut = np.searchsorted(block[by_block], np.arange(blocks_ + 1))
+        score, best = np.zeros((n, blocks_ * BLOCK)), np.zeros((n, k))
+        first = bound.argmax(1) if blocks_ else np.zeros(n, np.int64)
+        for turn in range(2):
+            for b in range(blocks_):
+                # first the most promising block of each text, then those that can still reach its k best
+                need = bound[:, b] > 0
+                need &= first == b if turn == 0 else (first != b) & (bound[:, b] >= best[:, 0] - 1e-9)
+                rows = np.flatnonzero(need)
+                if not len(rows):
+                    continue
+                i = by_block[cut[b] : cut[b + 1]]
+                i = i[need[of[i]]]
+                length = self.entry_post[e[i] + 1] - self.entry_post[e[i]]
+                at = _ranges(self.entry_post[e[i]], length)
+                place = np.repeat(of[i] * BLOCK - b * BLOCK, length) + self.example[at]
+                found = np.bincount(place, np.repeat(weight[i], length) * self.posting[at], n * BLOCK).reshape(n, BLOCK)
+                if own is not None:
+                    mine = rows[own[rows] // BLOCK == b]
+                    found[mine, own[mine] % BLOCK] = 0
+                score[rows, b * BLOCK : (b + 1) * BLOCK] = found[rows]
+                best[rows] = np.partition(np.concatenate([best[rows], found[rows]], 1), -k, axis=1)[:, -k:]
+        text, near = np.nonzero((score > 0) & (score >= best[:, :1]))
+        order = np.lexsort((near, -score[text, near], text))
+        text, near = text[order], near[order]
+        top = np.arange(len(text)) - np.searchsorted(text, text) < k
+        return text[top], near[top], score[text[top], near[top]]
+
+    def nearest(self, w: Words, own: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """search() for a block of texts, TOGETHER at once: the first of them, and what search() gives."""
+        doc, term, q = self.vectors(w)
+        for lo in range(0, len(w.n), TOGETHER):
+            a, b = np.searchsorted(doc, [lo, lo + TOGETHER])
+            n = min(TOGETHER, len(w.n) - lo)
+            yield lo, *self.search(doc[a:b] - lo, term[a:b], q[a:b], n, self.neighbours, None if own is None else own[lo : lo + n])
+
+    def votes(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+        """Share of label 1 among the neighbours of each of n texts, each weighted by cosine over distance; the prior
+        counts as much as one of a cosine of 0.05."""
+        w = cosine / (1.05 - np.minimum(cosine, 1))
+        return (np.bincount(text, w * self.y[example], n) + 0.05 * self.prior) / (np.bincount(text, w, n) + 0.05)
+
+
+def _log_odds(share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.log(share / (1 - share))
+
+
+def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """1 + z of terms that are in with_1 of n1 and in with_0 of n0 examples, 1 where z is negative."""
+    n1, n0 = max(n1, 1), max(n0, 1)
+    p = (with_1 + with_0) / (n1 + n0)
+    return 1 + np.maximum(0, (with_1 / n1 - with_0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12))
+
+
+def fit_index(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, neighbours: int = 30) -> tuple[Index, tuple[float, float]]:
+    """Index of at most max_rows labelled examples (labelled.sample), with all of their terms, and the scale that turns
+    votes into probabilities. What the driver holds are the terms of these examples; document frequencies count all rows
+    of docs and are added up by Spark."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("term", T.LongType()), T.StructField("n", T.IntegerType())])
-    train = sample(docs, labels, label, max_rows, id_col=id_col, text_col=text_col).repartition(16, "id").persist()
-    rows = train.mapInArrow(_emit_terms, schema)
-    y_of = {r.id: r.y for r in train.select("id", "y").collect()}
-    n1 = sum(y_of.values())
-    n0 = len(y_of) - n1
-    counts = rows.groupBy("term").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0")).where(F.col("d1") >= min_rows)
-    p = (F.col("d1") + F.col("d0")) / max(1, n1 + n0)
-    z = (F.col("d1") / max(1, n1) - F.col("d0") / max(1, n0)) / F.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
-    chosen = counts.withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms).select("term")
-    vocabulary = np.sort(np.array([r.term for r in chosen.collect()], np.int64).view(np.uint64))
+    train = sample(docs, labels, label, max_rows, id_col=id_col, text_col=text_col).select("id", "y", "text")
+    lists = [T.StructField("term", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.IntegerType()))]
+    got = train.mapInArrow(_emit_examples, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), *lists])).orderBy("id").toArrow()
+    y = got["y"].to_numpy().astype(float)
+    term, n = (got[c].combine_chunks() for c in ("term", "n"))
+    of = np.repeat(np.arange(len(y)), np.diff(term.offsets.to_numpy()))
+    vocabulary, term = np.unique(term.values.to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+    n1 = int(y.sum())
+    counts = [np.bincount(term[y[of] == v], minlength=len(vocabulary)) for v in (1, 0)]
 
+    shared = spark.sparkContext.broadcast(vocabulary)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    df, n_docs = np.zeros(len(vocabulary)), 0
-    for r in docs.select(text).mapInArrow(_emit_counts(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r.term < 0:
-            n_docs = r.n
-        else:
-            df[r.term] = r.n
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-
-    table = spark.createDataFrame([(int(v),) for v in vocabulary.view(np.int64)], "term long")
-    got = rows.join(F.broadcast(table), "term").select("id", "term", "n").orderBy("id", "term").collect()
-    train.unpersist()
-    at = {int(v): i for i, v in enumerate(vocabulary.view(np.int64))}
-    by: dict = {}
-    for r in got:
-        by.setdefault(r.id, []).append((at[r.term], r.n))
-    # examples whose rarest term is the same lie in the same blocks, so that bounds are tight
-    order = sorted(by, key=lambda i: (max((idf[t], t) for t, _ in by[i]), str(i)))
-    own = [np.array(sorted(by[i]), np.int64).reshape(-1, 2) for i in order]
-    index = Index(vocabulary, idf, np.array([str(i) for i in order], object), np.array([y_of[i] for i in order], float), *(np.zeros(0),) * 4, neighbours, (n1 + 1) / (n1 + n0 + 2))
-    vectors = [index.vector(t[:, 0], t[:, 1]) for t in own]
-    term = np.concatenate([np.zeros(0, np.int64), *(t[:, 0] for t in own)])
-    example, weight = np.repeat(np.arange(len(own)), [len(t) for t in own]), np.concatenate([np.zeros(0), *vectors])
-    by_term = np.lexsort((example, term))
-    index.start = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
-    index.example, index.weight = example[by_term], weight[by_term]
-    index.bound = np.zeros((len(vocabulary), -(-len(own) // BLOCK)))
-    np.maximum.at(index.bound, (term, example // BLOCK), weight)
-
-    left_out = []
-    for e, (t, v) in enumerate(zip(own, vectors, strict=True)):
-        near, s = index.search(t[:, 0], v, neighbours + 1)
-        other = near != e
-        left_out.append(index.votes(near[other][:neighbours], s[other][:neighbours]))
-    without = [i for i in y_of if i not in by]
-    share = np.clip(np.array([*left_out, *[index.prior] * len(without)]), 1e-6, 1 - 1e-6)
-    index.scale = platt(np.log(share / (1 - share)), np.array([*index.y, *(y_of[i] for i in without)]))
-    return index
-
-
-def score(docs: DataFrame, index: Index, *, text_col: str = "text", score_col: str = "score", evidence_col: str | None = "evidence", evidence: int = 3, drop_from: float | None = None) -> DataFrame:
+    df = docs.select(text).mapInArrow(_emit_counts(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    number, times = df["term"].to_numpy(), df["n"].to_numpy()
+    n_docs, frequency = int(times[number < 0].sum()), np.zeros(len(vocabulary))
+    frequency[number[number >= 0]] = times[number >= 0]
+    shared.destroy()
+    weight = (np.log((1 + n_docs) / (1 + frequency)) + 1) * relevance(*counts, n1, len(y) - n1)
+
+    # examples whose commonest and heaviest terms are the same lie in the same blocks, so that bounds are tight
+    common, heavy = np.full(len(y), -1), np.full(len(y), -1)
+    for out, value in ((common, frequency), (heavy, weight)):
+        order = np.lexsort((term, value[term], of))
+        out[of[order]] = term[order]  # the last one of each example stays
+    place = np.empty(len(y), np.int64)
+    order = np.lexsort((np.arange(len(y)), heavy, common))
+    place[order] = np.arange(len(y))
+    x = weight[term] * (1 + np.log(n.values.to_numpy(zero_copy_only=False)))
+    x /= np.sqrt(np.bincount(of, x * x, len(y)))[of]
+    by_term = np.lexsort((place[of], term))
+    term, example, x = term[by_term], place[of][by_term], x[by_term]
+    first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK))[: len(term)])
+    index = Index(
+        vocabulary, weight, float(np.log((1 + n_docs) / 2) + 1), np.array([str(i) for i in got["id"].to_pylist()], object)[order], y[order],
+        np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), (example[first] // BLOCK).astype(np.int64), np.maximum.reduceat(x, first) if len(x) else x,
+        np.append(first, len(term)), example, x, neighbours, (n1 + 1) / (len(y) + 2))
+
+    shared = spark.sparkContext.broadcast((index, {i: int(p) for i, p in zip(got["id"].to_pylist(), place, strict=True)}))
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, number = shared.value
+        for batch in batches:
+            for w in _text_blocks(batch.column("text")):
+                rows = batch.slice(w.first, w.last - w.first)
+                own = np.array([number[i] for i in rows.column("id").to_pylist()], np.int64)
+                parts = [index.votes(*found, min(TOGETHER, len(own) - lo)) for lo, *found in index.nearest(w, own)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([np.zeros(0), *parts]))], ["place", "share"])
+
+    got = train.mapInArrow(left_out, "place long, share double").orderBy("place").toArrow()
+    shared.destroy()
+    return index, platt(_log_odds(got["share"].to_numpy()), index.y[got["place"].to_numpy()])
+
+
+def score(docs: DataFrame, fitted: tuple[Index, tuple[float, float]], *, text_col: str = "text", score_col: str = "score", evidence_col: str | None = "evidence", evidence: int = 3, drop_from: float | None = None) -> DataFrame:
     """docs with score_col (0 to 1) and evidence_col (the nearest examples: id as text, cosine, label).
 
     Whole texts are scored; a null, empty or unrelated text gets the calibrated prior, without evidence. drop_from: only
     rows with a lower score are kept, in the columns of docs. Every row, repeated or with a null id, is scored by itself;
-    existing columns of these names are replaced. Empty table: no rows.
+    existing columns of these names are replaced. Empty table: no rows. Without labelled examples every score is the prior.
     """
+    index, scale = fitted
     shared = docs.sparkSession.sparkContext.broadcast(index)
     keep = [f for f in docs.schema if drop_from is not None or f.name not in (score_col, evidence_col)]
     near = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     added = [] if drop_from is not None else [T.StructField(score_col, T.DoubleType()), *([T.StructField(evidence_col, near)] if evidence_col else [])]
     names = [f.name for f in keep]
-    evidence_type = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    with_evidence = drop_from is None and evidence_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            share, found = np.full(batch.num_rows, index.prior), [[] for _ in range(batch.num_rows)]
-            for w in blocks(pc.utf8_lower(batch.column(batch.num_columns - 1)), letters=True):
-                doc, term, n = _terms(w, index.vocabulary)
-                if not len(doc):
-                    continue
-                term = term.astype(np.int64)
-                cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                for lo, hi in zip(cut, [*cut[1:], len(doc)], strict=True):
-                    e, s = index.search(term[lo:hi], index.vector(term[lo:hi], n[lo:hi]), index.neighbours)
-                    share[w.first + doc[lo]] = index.votes(e, s)
-                    found[w.first + doc[lo]] = [{"id": index.ids[a], "cosine": float(b), "label": int(index.y[a])} for a, b in zip(e[:evidence], s[:evidence], strict=True)]
-            value = index.calibrated(share)
+            share, rows, best, cosines = np.full(batch.num_rows, index.prior), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for w in _text_blocks(batch.column(batch.num_columns - 1)):
+                for lo, text, example, cosine in index.nearest(w):
+                    n = min(TOGETHER, len(w.n) - lo)
+                    share[w.first + lo : w.first + lo + n] = index.votes(text, example, cosine, n)
+                    top = np.arange(len(text)) - np.searchsorted(text, text) < evidence
+                    for held, x in ((rows, text[top] + w.first + lo), (best, example[top]), (cosines, cosine[top])):
+                        held.append(x)
+            value = sigmoid(scale[0] * _log_odds(share) + scale[1])
             own = batch.columns[: len(names)]
             if drop_from is not None:
                 yield pa.RecordBatch.from_arrays(own, names).filter(pa.array(value < drop_from))
+                continue
+            if with_evidence:
+                row, example = np.concatenate(rows), np.concatenate(best)
+                told = pa.StructArray.from_arrays([pa.array(index.ids[example], pa.string()), pa.array(np.concatenate(cosines)), pa.array(index.y[example].astype(np.int32))], ["id", "cosine", "label"])
+                own = [*own, pa.array(value), pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)), told)]
             else:
-                yield pa.RecordBatch.from_arrays([*own, pa.array(value), *([pa.array(found, evidence_type)] if evidence_col else [])], [*names, *(f.name for f in added)])
+                own = [*own, pa.array(value)]
+            yield pa.RecordBatch.from_arrays(own, [*names, *(f.name for f in added)])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(unused(docs, "text_"))
     return docs.select(*(F.col(n) for n in names), text).mapInArrow(run, T.StructType([*keep, *added]))

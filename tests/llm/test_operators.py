@@ -156,6 +156,21 @@ def test_op7_on_branches_loops_and_copies(spark):
     assert got == brute_windows(rows)
 
 
+@pytest.mark.parametrize("texts", [["one two three", "a b"], ["", None, " "], ["x"], ["w " * 19, "w " * 20, "w " * 20], [None]])
+def test_op7_on_short_texts(spark, texts):
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_windows(rows)
+
+
+def test_op7_with_one_hot_passage(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(rng.randint(0, 30)))} {passage} tail{i % 40}" if i % 3 else passage) for i in range(400)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_windows(rows)
+
+
 def test_op7_on_odd_tables(spark, odd):
     got = debruijn.drop_repeated_spans(odd).collect()
     assert len(got) == len(ODD)
@@ -215,6 +230,14 @@ def test_op6_round_trip_of_hostile_texts(spark):
     assert chat_format.prefix_examples(d.limit(0)).count() == 0
 
 
+def test_op6_takes_equal_turns_by_their_texts(spark):
+    texts = ["zz", "</turn>", "A", "###", "\\", None]
+    d = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn long, role string, text string")
+    got = chat_format.prefix_examples(d)
+    turns = got.select(chat_format.turns_of(F.col("text")).alias("t")).first().t
+    assert [t.text for t in turns] == sorted(t or "" for t in texts)
+
+
 def test_op9_drops_templates_and_keeps_the_first(spark, odd):
     rows = [(i, f"Own line {'abcdefgh'[i]} of the text\nPage {i} of this very report was printed\nshort") for i in range(8)]
     out = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), n_lines="n_lines", n_dropped="n_dropped").orderBy("doc_id").collect()
@@ -274,31 +297,105 @@ def test_op1_without_membership_test(spark, monkeypatch):
     assert few == sorted((r.doc_id, r.item_id) for r in decontaminate.leaked_items(docs, test).collect()) != []
 
 
-def test_op4_search_is_exact(documents, labels):
-    index = toxicity_knn.fit_index(documents, labels, label="toxic", min_rows=2, min_z=-100.0, max_terms=300)
-    dense = np.zeros((len(index.ids), len(index.vocabulary)))
-    for t in range(len(index.vocabulary)):
-        dense[index.example[index.start[t] : index.start[t + 1]], t] = index.weight[index.start[t] : index.start[t + 1]]
+def brute_toxicity(texts, y, k=30):
+    """Cosines of the k nearest examples of each text, and its share of votes, from whole texts and dense vectors; an
+    example is not its own neighbour in `left_out`."""
+    terms = {i: Counter(re.findall("[0-9a-z\\x80-\U0010ffff]+", (t or "").lower())) for i, t in texts.items()}
+    ids = [i for i in texts if i in y]
+    number = {w: n for n, w in enumerate(sorted({w for i in ids for w in terms[i]}))}
+    df = Counter(w for c in terms.values() for w in c)
+    n1 = sum(y.values())
+    n0 = len(y) - n1
+    one, zero = (Counter(w for i in ids if y[i] == v for w in terms[i]) for v in (1, 0))
+
+    def weight(w):
+        if w not in number:
+            return np.log((1 + len(texts)) / 2) + 1
+        p = (one[w] + zero[w]) / (n1 + n0)
+        z = (one[w] / max(n1, 1) - zero[w] / max(n0, 1)) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-12)
+        return (np.log((1 + len(texts)) / (1 + df[w])) + 1) * (1 + max(0, z))
+
+    rows = {i: {w: (1 + np.log(c)) * weight(w) for w, c in terms[i].items()} for i in texts}
+    dense = np.zeros((len(texts), len(number)))
+    for n, i in enumerate(texts):
+        norm = np.sqrt(sum(x * x for x in rows[i].values())) or 1
+        for w, x in rows[i].items():
+            if w in number:
+                dense[n, number[w]] = x / norm
+    at = {i: n for n, i in enumerate(texts)}
+    cosine = dense @ dense[[at[i] for i in ids]].T
+    label = np.array([y[i] for i in ids])
+
+    def share(row):
+        best = np.argsort(-row, kind="stable")[:k]
+        best = best[row[best] > 0]
+        w = row[best] / (1.05 - np.minimum(row[best], 1))
+        return np.sort(row[best])[::-1], ((w * label[best]).sum() + 0.05 * (n1 + 1) / (n1 + n0 + 2)) / (w.sum() + 0.05)
+
+    left_out = {}
+    for n, i in enumerate(ids):
+        row = cosine[at[i]].copy()
+        row[n] = 0
+        left_out[i] = share(row)[1]
+    return {i: share(cosine[at[i]]) for i in texts}, left_out
+
+
+def test_op4_equals_brute_force(spark, documents, labels):
+    """The query's own parameters, all texts of the table."""
+    got = {r.doc_id: r for r in queries.op4_toxicity_knn(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in documents.orderBy("doc_id").collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    want, left_out = brute_toxicity(texts, y)
+    odds = lambda s: np.log(np.clip(s, 1e-6, 1 - 1e-6) / (1 - np.clip(s, 1e-6, 1 - 1e-6)))
+    a, b = platt(odds(np.array([left_out[i] for i in y])), np.array([y[i] for i in y], float))
+    ties = 0
+    for i, (cosines, share) in want.items():
+        assert [e.cosine for e in got[i].evidence] == pytest.approx(cosines[:3])
+        # equally near examples may be taken in either order, which changes a vote only where labels differ
+        ties += abs(got[i].score - 1 / (1 + np.exp(-a * odds(share) - b))) > 1e-6
+    assert set(want) == set(got) and ties <= 4
+
+
+def test_op4_search_prunes_and_stays_exact(monkeypatch):
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        terms = np.sort(rng.choice(len(index.vocabulary), 12, replace=False))
-        q = index.vector(terms, rng.integers(1, 5, 12))
-        e, s = index.search(terms, q, 7)
-        all_ = dense[:, terms] @ q
-        assert s == pytest.approx(np.sort(all_[all_ > 0])[::-1][:7])
-        assert all_[e] == pytest.approx(s)
-
-
-def test_op4_accuracy_and_odd_tables(spark, odd, documents, labels):
-    m = queries.op4_toxicity_knn(spark, SF).join(labels, "doc_id").where("held_out").toPandas()
-    assert ((m.predicted == m.toxic).mean()) >= 0.85
+    for block, together in ((2, 3), (7, 128), (128, 1)):
+        monkeypatch.setattr(toxicity_knn, "BLOCK", block)
+        monkeypatch.setattr(toxicity_knn, "TOGETHER", together)
+        dense = np.where(rng.random((53, 40)) < 0.2, rng.integers(1, 4, (53, 40)), 0).astype(float)
+        term, example = np.nonzero(dense.T)
+        x = dense.T[term, example]
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block)))
+        index = toxicity_knn.Index(np.arange(40, dtype=np.uint64), np.ones(40), 1.0, np.arange(53).astype(str).astype(object), rng.integers(0, 2, 53).astype(float), np.searchsorted(term[first], np.arange(41)), example[first] // block, np.maximum.reduceat(x, first), np.append(first, len(term)), example, x, 5, 0.5)
+        q = np.where(rng.random((30, 40)) < 0.3, rng.random((30, 40)), 0)
+        q[4] = 0
+        doc, at = np.nonzero(q)
+        text, near, cosine = index.search(doc, at, q[doc, at], 30, 5)
+        for d in range(30):
+            every = dense @ q[d]
+            order = np.lexsort((np.arange(53), -np.round(every, 9)))[:5]
+            order = order[every[order] > 0]
+            assert near[text == d].tolist() == order.tolist()
+            assert cosine[text == d] == pytest.approx(every[order])
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.85), ("sf0.01", 0.9), ("sf0.1", 0.97)])
+def test_op4_accuracy(spark, sf, least):
+    at = f"/root/testdata/{sf}"
+    m = queries.op4_toxicity_knn(spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (m.predicted == m.toxic).mean() >= least
+    if sf == "sf0.1":
+        assert m.predicted[m.toxic == 1].mean() >= 0.85
+
+
+def test_op4_on_odd_tables(spark, odd, documents, labels):
     index = toxicity_knn.fit_index(documents, labels, label="toxic")
     got = toxicity_knn.score(odd, index)
     assert got.count() == len(ODD) and got.where("score between 0 and 1").count() == len(ODD)
-    assert toxicity_knn.score(odd, index, drop_from=2.0).columns == odd.columns
+    assert toxicity_knn.score(odd.withColumn("text_", F.lit(1)), index, drop_from=2.0).columns == [*odd.columns, "text_"]
     assert toxicity_knn.score(odd.limit(0), index).count() == 0
-    empty = toxicity_knn.fit_index(documents, labels.limit(0), label="toxic")
-    assert toxicity_knn.score(documents, empty).where("score is null").count() == 0
+    for none in (labels.limit(0), labels.where("toxic = 1"), labels.select("doc_id", F.lit(None).cast("int").alias("toxic"))):
+        assert toxicity_knn.score(documents, toxicity_knn.fit_index(documents, none, label="toxic")).where("score is null or isnan(score)").count() == 0
+    assert toxicity_knn.score(odd, toxicity_knn.fit_index(odd, spark.createDataFrame([(1, 1), (2, 0), (4, 0), (None, 1)], "doc_id long, toxic int"), label="toxic")).count() == len(ODD)
 
 
 def test_op2_accuracy_and_odd_tables(spark, odd, documents, labels):
@@ -319,6 +416,27 @@ def test_op2_descent_separates():
     assert [quality_nbsvm.margin(f, ratio, w, bias) > 0 for f in rows] == [True, True, False, False]
 
 
+def test_op2_descent_reaches_the_least_hinge_loss():
+    """No direction from the solution lowers the primal: half the squared weights plus the weighed hinge losses."""
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(80)]
+    y = (rng.random(80) < 0.3).astype(int)
+    ratio = quality_nbsvm.log_count_ratios(rows, y, 30)
+    share = np.where(y == 1, 80 / (2 * y.sum()), 80 / (2 * (80 - y.sum())))
+
+    def primal(w, bias):
+        m = np.array([quality_nbsvm.margin(f, ratio, w, bias) for f in rows])
+        return (w @ w + bias * bias) / 2 + (share * np.maximum(0, 1 - np.where(y == 1, 1, -1) * m)).sum()
+
+    w, bias = quality_nbsvm.dual_coordinate_descent(rows, y, ratio, cost=1.0, rounds=2000)
+    least = primal(w, bias)
+    for size in (1e-1, 1e-2, 1e-3):
+        for _ in range(200):
+            step = rng.normal(size=31) * size
+            assert primal(w + step[:30], bias + step[30]) >= least - 1e-3 * size - 2e-3
+    assert least < primal(w * 0.9, bias * 0.9) and least < primal(np.zeros(30), 0.0)
+
+
 def brute_statistics(text):
     text = text or ""
     w, seen, dup = words(text), set(), 0
