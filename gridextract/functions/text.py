@@ -14,6 +14,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def kept(value: Column, test: Column) -> Column:
+    """A generator that gives value if test holds, else no row. value and test should name columns that are there
+    already: other than a filter, it is never pushed below the projection that works them out, which would put all of
+    their expression in place of every mention."""
+    return F.explode(F.when(test, F.array(value)))
+
+
 def trimmed(x: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
@@ -52,8 +59,7 @@ def at(array: Column, i: Column | int) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     """1 - edit distance / greater length; 0 if either is empty."""
-    share = lambda x: F.lit(1.0) - F.levenshtein(x["a"], x["b"]) / F.greatest(F.char_length(x["a"]), F.char_length(x["b"]))
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when((x["a"] == "") | (x["b"] == ""), F.lit(0.0)).otherwise(share(x)))
+    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b)))
 
 
 def cleaned_line(x: Column) -> Column:

@@ -11,15 +11,17 @@ from gridextract.functions.text import let, letters
 FIELDS = ("name", "family_count", "coverage", "status", "medical_plan", "charge", "flags", "page")
 
 
-def same_person(a: Column, b: Column) -> Column:
-    """Equal letters; or long names one edit apart, or up to three with the same first eight letters."""
+def same_letters(x: Column, y: Column) -> Column:
+    """same_person of names of which only the letters are left. Spark stops counting edits at the bound it is given, and
+    does not count at all where the test before them fails."""
+    edits = lambda most: F.levenshtein(x, y, most) >= 0
+    near = F.when(F.substring(x, 1, 8) == F.substring(y, 1, 8), edits(3)).otherwise(edits(1))
+    return (x == y) | ((F.char_length(x) >= 8) & (F.char_length(y) >= 8) & (F.abs(F.char_length(x) - F.char_length(y)) <= 3) & near)
 
-    def same(k: Column) -> Column:
-        x, y, distance = k["x"], k["y"], F.levenshtein(k["x"], k["y"])
-        near = (distance <= 1) | ((distance <= 3) & (F.substring(x, 1, 8) == F.substring(y, 1, 8)))
-        return (x == y) | ((F.char_length(x) >= 8) & (F.char_length(y) >= 8) & (F.abs(F.char_length(x) - F.char_length(y)) <= 6) & near)
 
-    return let(F.struct(letters(a).alias("x"), letters(b).alias("y")), same)
+def same_person(a: Column, b: Column) -> Column:
+    """Equal letters; or long names one edit apart, or up to three with the same first eight letters."""
+    return let(F.struct(letters(a).alias("x"), letters(b).alias("y")), lambda k: same_letters(k["x"], k["y"]))
 
 
 def completeness(row) -> Column:
@@ -31,7 +33,7 @@ def completeness(row) -> Column:
 
 
 def merged(a: Column, b: Column) -> Column:
-    """One row of two: the more complete one (a, of equal ones), its gaps filled from the other, its settled flags gone."""
+    """One row of two (FIELDS and letters, those of the name): the more complete one (a, of equal ones), its gaps filled from the other, its settled flags gone."""
     first = completeness(a) >= completeness(b)
     win = lambda f: F.when(first, a[f]).otherwise(b[f])
     lose = lambda f: F.when(first, b[f]).otherwise(a[f])
@@ -42,18 +44,18 @@ def merged(a: Column, b: Column) -> Column:
         "Missing medical plan": text["medical_plan"] != "", "Missing family count": family.isNotNull(),
     }
     gone = F.filter(F.array(*(F.when(test, F.lit(flag)) for flag, test in settled.items())), lambda x: x.isNotNull())
-    own = {"name": win("name"), "family_count": family, **text, "charge": charge, "flags": F.array_except(win("flags"), gone), "page": win("page")}
-    return F.struct(*(own[f].alias(f) for f in FIELDS))
+    own = {"name": win("name"), "family_count": family, **text, "charge": charge, "flags": F.array_except(win("flags"), gone), "page": win("page"), "letters": win("letters")}
+    return F.struct(*(own[f].alias(f) for f in (*FIELDS, "letters")))
 
 
 def dedupe(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys, row_index (from 1), FIELDS. Rows are taken in order; each is merged into the first row so far whose name is
     nearly the same, or is added at the end."""
-    each = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*FIELDS).alias("row"))))["row"].alias("rows"))
+    each = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*FIELDS, letters(F.col("name")).alias("letters")).alias("row"))))["row"].alias("rows"))
     kind = each.schema["rows"].dataType.simpleString()
 
     def add(done: Column, row: Column) -> Column:
-        like = F.filter(F.sequence(F.lit(1), F.size(done)), lambda k: (F.size(done) > 0) & same_person(F.get(done, k - 1)["name"], row["name"]))
+        like = F.filter(F.sequence(F.lit(1), F.size(done)), lambda k: (F.size(done) > 0) & same_letters(F.get(done, k - 1)["letters"], row["letters"]))
         at = F.get(like, F.lit(0))
         return F.when(at.isNull(), F.concat(done, F.array(row))).otherwise(F.transform(done, lambda x, k: F.when(k + 1 == at, merged(x, row)).otherwise(x)))
 

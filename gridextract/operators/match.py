@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridextract.functions.text import let, letters, name_words, ratio, trimmed
+from gridextract.functions.text import kept, let, letters, name_words, ratio, trimmed
 from gridextract.operators.dedupe import completeness
 
 # Bounds of scores, flags.
@@ -36,49 +36,62 @@ def first_name(name: Column) -> Column:
     return F.when(comma > 0, letters(F.substring(c, comma + 1, F.char_length(c)))).otherwise(F.lit(""))
 
 
-def last_name_guesses(name: Column) -> Column:
-    """What the last name of a noisy name may be: its last word, its last two words, all of it."""
+def last_name_guesses(name: Column) -> list[Column]:
+    """What the last name of a noisy name may be: its last word, its last two words, all of it; null where it is none."""
     w = name_words(_before(name))
     n = F.size(w)
-    last = F.when(n >= 1, F.element_at(w, -1))
-    two = F.when(n >= 2, F.array_join(F.slice(w, F.greatest(n - 1, F.lit(1)), 2), ""))
-    return F.array_distinct(F.filter(F.array(last, two, last_name(name)), lambda x: x.isNotNull() & (F.char_length(x) >= 2)))
+    two = F.array_join(F.slice(w, F.greatest(n - 1, F.lit(1)), 2), "")
+    guesses = F.when(n >= 1, F.element_at(w, -1)), F.when(n >= 2, two), last_name(name)
+    return [F.when(F.char_length(x) >= 2, x) for x in guesses]
 
 
-def last_name_score(last: Column, read: Column) -> Column:
-    """0 to 1: how well a known last name fits a read name."""
+def known_parts(name: Column) -> Column:
+    """What scores need of a known name: work it out once for a name, before any join."""
+    return F.struct(last_name(name).alias("last"), first_name(name).alias("first"), letters(name).alias("all"))
 
-    def best(x: Column) -> Column:
-        last, whole, n = x["last"], x["whole"], F.char_length(x["last"])
 
-        def fit(guess: Column) -> Column:
-            g = F.char_length(guess)
-            inside = (n >= 4) & (F.contains(guess, last) | (F.contains(last, guess) & (g >= 5)))
-            begins = (n >= 5) & (g >= 4) & (F.startswith(last, guess) | F.startswith(guess, F.substring(last, 1, 5)))
-            return F.greatest(ratio(last, guess), F.when(inside, F.lit(0.9)), F.when(begins, F.lit(0.82)))
+def read_parts(name: Column) -> Column:
+    """What scores need of a read name."""
+    guesses = (x.alias(f"guess_{i}") for i, x in enumerate(last_name_guesses(name)))
+    return F.struct(first_name(name).alias("first"), letters(name).alias("all"), *guesses)
 
-        top = F.greatest(F.lit(0.0), F.when((n >= 4) & F.contains(whole, last), F.lit(0.92)), F.array_max(F.transform(x["guesses"], fit)))
-        return F.when((n < 3) | (F.char_length(whole) < 3), F.lit(0.0)).otherwise(top)
 
-    return let(F.struct(last.alias("last"), letters(read).alias("whole"), last_name_guesses(read).alias("guesses")), best)
+def last_score(known: Column, read: Column) -> Column:
+    """0 to 1: how well the last name of known_parts fits read_parts."""
+    last, whole = known["last"], read["all"]
+    n = F.char_length(last)
 
+    def fit(guess: Column) -> Column:
+        g = F.char_length(guess)
+        inside = (n >= 4) & (F.contains(guess, last) | (F.contains(last, guess) & (g >= 5)))
+        begins = (n >= 5) & (g >= 4) & (F.startswith(last, guess) | F.startswith(guess, F.substring(last, 1, 5)))
+        return F.greatest(ratio(last, guess), F.when(inside, F.lit(0.9)), F.when(begins, F.lit(0.82)))
 
-def match_score(known: Column, read: Column) -> Column:
-    """0 to 1: 0.62 of the last name, 0.23 of the first name, 0.15 of all letters."""
-    names = F.struct(last_name(known).alias("k_last"), first_name(known).alias("k_first"), first_name(read).alias("r_first"), letters(known).alias("k"), letters(read).alias("r"), read.alias("read"))
+    top = F.greatest(F.lit(0.0), F.when((n >= 4) & F.contains(whole, last), F.lit(0.92)), *(fit(read[f"guess_{i}"]) for i in range(3)))
+    return F.when((n < 3) | (F.char_length(whole) < 3), F.lit(0.0)).otherwise(top)
+
+
+def pair_score(known: Column, read: Column) -> Column:
+    """match_score of known_parts and read_parts."""
+    k_last, k_first, r_first, k, r = known["last"], known["first"], read["first"], known["all"], read["all"]
+    no_first = (r_first == "") & (F.char_length(k_last) >= 4)
+    last = F.greatest(
+        last_score(known, read), F.when(no_first & F.contains(r, k_last), F.lit(0.94)),
+        F.when(no_first, ratio(k_last, F.substring(r, F.lit(1), F.char_length(k_last)))))
+    n = F.least(F.lit(8), F.greatest(F.char_length(k_first), F.char_length(r_first), F.lit(1)))
+    first = ratio(F.substring(k_first, F.lit(1), n), F.substring(r_first, F.lit(1), n))
+    total = last * F.lit(0.62) + first * F.lit(0.23) + ratio(k, r) * F.lit(0.15)
+    return F.when((F.char_length(k) < 4) | (F.char_length(r) < 3), F.lit(0.0)).otherwise(total)
 
-    def score(x: Column) -> Column:
-        k_last, k_first, r_first, k, r = (x[c] for c in ("k_last", "k_first", "r_first", "k", "r"))
-        no_first = (r_first == "") & (F.char_length(k_last) >= 4)
-        last = F.greatest(
-            last_name_score(k_last, x["read"]), F.when(no_first & F.contains(r, k_last), F.lit(0.94)),
-            F.when(no_first, ratio(k_last, F.substring(r, F.lit(1), F.char_length(k_last)))))
-        n = F.least(F.lit(8), F.greatest(F.char_length(k_first), F.char_length(r_first), F.lit(1)))
-        first = ratio(F.substring(k_first, F.lit(1), n), F.substring(r_first, F.lit(1), n))
-        total = last * F.lit(0.62) + first * F.lit(0.23) + ratio(k, r) * F.lit(0.15)
-        return F.when((F.char_length(k) < 4) | (F.char_length(r) < 3), F.lit(0.0)).otherwise(total)
 
-    return let(names, score)
+def last_name_score(last: Column, read: Column) -> Column:
+    """0 to 1: how well a known last name fits a read name."""
+    return let(F.struct(F.struct(last.alias("last")).alias("k"), read_parts(read).alias("r")), lambda x: last_score(x["k"], x["r"]))
+
+
+def match_score(known: Column, read: Column) -> Column:
+    """0 to 1: 0.62 of the last name, 0.23 of the first name, 0.15 of all letters."""
+    return let(F.struct(known_parts(known).alias("k"), read_parts(read).alias("r")), lambda x: pair_score(x["k"], x["r"]))
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -96,15 +109,17 @@ def greedy(pairs: DataFrame) -> DataFrame:
 
 def assign(roster: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs of roster names and rows that belong together."""
-    rows = members.select("file_name", "row_index", F.col("name").alias("read"), completeness({c: F.col(c) for c in ("charge", "family_count", "coverage", "status", "medical_plan")}).alias("quality"))
-    pairs = roster.join(rows, "file_name").withColumn("score", match_score(F.col("name"), F.col("read"))).where(F.col("score") >= MATCH)
-    return greedy(pairs)
+    quality = completeness({c: F.col(c) for c in ("charge", "family_count", "coverage", "status", "medical_plan")})
+    rows = members.select("file_name", "row_index", read_parts(F.col("name")).alias("read"), quality.alias("quality"))
+    known = roster.select("file_name", "ord", known_parts(F.col("name")).alias("known"))
+    pairs = known.join(rows, "file_name").select("file_name", "ord", "row_index", "quality", pair_score(F.col("known"), F.col("read")).alias("score"))
+    return greedy(pairs.select("file_name", "ord", "row_index", "quality", kept(F.col("score"), F.col("score") >= MATCH).alias("score")))
 
 
 def hit_flags(flags: Column, charge: Column) -> Column:
     """Flags of a matched row: those of names are settled; a missing charge is said again."""
-    kept = F.filter(flags, lambda f: ~f.rlike("(?i)name") & (f != NOT_FOUND))
-    return F.concat(kept, F.when(charge.isNull(), F.array(F.lit(NO_CHARGE))).otherwise(F.array().cast("array<string>")))
+    rest = F.filter(flags, lambda f: ~f.rlike("(?i)name") & (f != NOT_FOUND))
+    return F.concat(rest, F.when(charge.isNull(), F.array(F.lit(NO_CHARGE))).otherwise(F.array().cast("array<string>")))
 
 
 def _project(slots: DataFrame, hits: DataFrame) -> DataFrame:
@@ -116,15 +131,16 @@ def _project(slots: DataFrame, hits: DataFrame) -> DataFrame:
     return d.select("file_name", F.col("ord").cast("int").alias("row_index"), "name", "family_count", blank("coverage"), blank("status"), blank("medical_plan"), "charge", F.coalesce("page", F.lit(0)).alias("page"), flags.alias("flags"), F.coalesce("read", F.lit("")).alias("ocr_name"), "source_index")
 
 
-def apply_roster(roster: DataFrame, members: DataFrame) -> DataFrame:
-    """A row for each roster name, in its order; names without a row get a placeholder."""
-    hits = assign(roster, members).join(members, ["file_name", "row_index"])
+def apply_roster(roster: DataFrame, members: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """A row for each roster name, in its order; names without a row get a placeholder. pairs: assign() of both, where it
+    is there already."""
+    hits = (assign(roster, members) if pairs is None else pairs).join(members, ["file_name", "row_index"])
     return _project(roster, hits)
 
 
-def unused_rows(roster: DataFrame, members: DataFrame) -> DataFrame:
+def unused_rows(roster: DataFrame, members: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """The rows that no roster name took."""
-    return members.join(assign(roster, members), ["file_name", "row_index"], "left_anti")
+    return members.join(assign(roster, members) if pairs is None else pairs, ["file_name", "row_index"], "left_anti")
 
 
 def is_missing(flags: Column) -> Column:
@@ -134,10 +150,11 @@ def is_missing(flags: Column) -> Column:
 def fill_from_leftover(matched: DataFrame, leftover: DataFrame) -> DataFrame:
     """matched, with placeholders filled from the leftover rows at a lower bound, or on the last name alone."""
     missing = matched.where(is_missing(F.col("flags"))).select("file_name", F.col("row_index").alias("ord"), "name")
-    rows = leftover.select("file_name", "row_index", F.col("name").alias("read"))
-    full, last = match_score(F.col("name"), F.col("read")), last_name_score(last_name(F.col("name")), F.col("read"))
-    pairs = missing.join(rows, "file_name").withColumn("full", full).withColumn("last", last).where((F.col("full") >= LEFTOVER) | (F.col("last") >= LEFTOVER_LAST))
-    taken = greedy(pairs.withColumn("score", F.greatest("full", "last")).withColumn("quality", F.lit(0)))
+    rows = leftover.select("file_name", "row_index", read_parts(F.col("name")).alias("read"))
+    pairs = missing.select("file_name", "ord", known_parts(F.col("name")).alias("known")).join(rows, "file_name")
+    pairs = pairs.select("file_name", "ord", "row_index", pair_score(F.col("known"), F.col("read")).alias("full"), last_score(F.col("known"), F.col("read")).alias("last"))
+    near = (F.col("full") >= LEFTOVER) | (F.col("last") >= LEFTOVER_LAST)
+    taken = greedy(pairs.select("file_name", "ord", "row_index", kept(F.greatest("full", "last"), near).alias("score"), F.lit(0).alias("quality")))
     filled = _project(missing.join(taken, ["file_name", "ord"], "left_semi"), taken.join(leftover, ["file_name", "row_index"]))
     rest = matched.join(filled.select("file_name", "row_index"), ["file_name", "row_index"], "left_anti")
     return rest.unionByName(filled)
@@ -145,6 +162,8 @@ def fill_from_leftover(matched: DataFrame, leftover: DataFrame) -> DataFrame:
 
 def leftover_report(matched: DataFrame, leftover: DataFrame) -> DataFrame:
     """Leftover rows that no matched row took or is near to."""
-    used = matched.select("file_name", F.col("name").alias("known"), "ocr_name")
-    near = (used["ocr_name"] == leftover["name"]) | (match_score(used["known"], leftover["name"]) >= MATCH) | (last_name_score(last_name(used["known"]), leftover["name"]) >= LEFTOVER_LAST)
-    return leftover.join(used, (leftover["file_name"] == used["file_name"]) & near, "left_anti")
+    used = matched.select(F.col("file_name").alias("f"), known_parts(F.col("name")).alias("known"), "ocr_name")
+    rows = leftover.withColumn("parts", read_parts(F.col("name")))
+    scored = (pair_score(F.col("known"), F.col("parts")) >= MATCH) | (last_score(F.col("known"), F.col("parts")) >= LEFTOVER_LAST)
+    near = (F.col("f") == rows["file_name"]) & ((F.col("ocr_name") == rows["name"]) | scored)
+    return rows.join(used, near, "left_anti").drop("parts")

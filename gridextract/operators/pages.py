@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridextract.functions.pages import page_kind
 
@@ -23,14 +22,16 @@ def target_pages(pages: DataFrame, files: DataFrame) -> DataFrame:
     """file_name, page, role of the pages to read. pages: file_name, page, kind; files: file_name, page_count.
 
     A full page takes the page after it along, an overflow page the one before it, unless that is a legend; without any,
-    the usual pages are read. Legends never are. The first full page (else the first of all) is main, others overflow."""
-    near = F.when(F.col("kind") == "full", F.array(F.col("page"), F.col("page") + 1)).when(F.col("kind") == "overflow", F.array(F.col("page"), F.col("page") - 1))
-    wanted = pages.select("file_name", F.explode(near).alias("page")).join(files, "file_name").where("page between 1 and page_count").select("file_name", "page").distinct()
-    legends = pages.where("kind = 'legend'").select("file_name", "page")
-    wanted = wanted.join(legends, ["file_name", "page"], "left_anti")
-    unsaid = files.join(wanted.select("file_name").distinct(), "file_name", "left_anti")
-    usual = unsaid.select("file_name", F.explode(usual_pages(F.col("page_count"))).alias("page")).join(legends, ["file_name", "page"], "left_anti")
-    both = wanted.unionByName(usual).join(pages.select("file_name", "page", "kind"), ["file_name", "page"], "left")
-    own = Window.partitionBy("file_name")
-    main = F.coalesce(F.min(F.when(F.col("kind") == "full", F.col("page"))).over(own), F.min("page").over(own))
-    return both.select("file_name", "page", F.when(F.col("page") == main, "main").otherwise("overflow").alias("role"))
+    the usual pages are read. Legends never are. The first full page (else the first of all) is main, others overflow.
+    The page numbers of a file, by kind, are one row."""
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("page"))).alias(kind)
+    each = files.join(pages.groupBy("file_name").agg(of("full"), of("overflow"), of("legend")), "file_name", "left")
+    none = F.array().cast("array<int>")
+    full, overflow, legend = (F.coalesce(F.col(c).cast("array<int>"), none) for c in ("full", "overflow", "legend"))
+    near = F.array_union(F.flatten(F.transform(full, lambda p: F.array(p, p + 1))), F.flatten(F.transform(overflow, lambda p: F.array(p, p - 1))))
+    near = F.filter(near, lambda p: (p >= 1) & (p <= F.col("page_count")))
+    each = each.select("file_name", full.alias("full"), F.array_except(near, legend).alias("near"), F.array_except(usual_pages(F.col("page_count").cast("int")), legend).alias("usual"))
+    each = each.select("file_name", "full", F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("usual")).alias("wanted"))
+    main = F.coalesce(F.array_min(F.array_intersect("wanted", "full")), F.array_min("wanted"))
+    each = each.select("file_name", main.alias("main"), F.explode("wanted").alias("page"))
+    return each.select("file_name", "page", F.when(F.col("page") == F.col("main"), "main").otherwise("overflow").alias("role"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridextract.functions import money
-from gridextract.functions.text import collapsed, let, trimmed
+from gridextract.functions.text import collapsed, kept, let, trimmed
 from gridextract.operators import dedupe, layout, match, rows
 
 # Share of a table's width that names stand in; least score of a last name alone.
@@ -34,13 +34,15 @@ def name_hints(missing: DataFrame, words: DataFrame, tables: DataFrame) -> DataF
     that of the first page, then the topmost). Members choose in their order; a line that overlaps one chosen before is
     left to that. missing: file_name, row_index, name."""
     lines = line_texts(words, tables)
-    hint = F.array_join("texts", " ")
-    last = match.last_name(F.col("name"))
-    alone = F.array_max(F.transform("texts", lambda w: match.last_name_score(last, w)))
-    fits = missing.select("file_name", F.col("row_index").cast("int").alias("row_index"), "name").join(lines, "file_name")
-    fits = fits.withColumn("hint", hint).withColumn("score", F.greatest(match.match_score(F.col("name"), F.col("hint")), match.last_name_score(last, F.col("hint")), alone))
+    hint, known = F.array_join("texts", " "), F.col("known")
+    lines = lines.select("file_name", "page", "line_no", "y0", "y1", hint.alias("hint"), match.read_parts(hint).alias("whole"), F.transform("texts", match.read_parts).alias("words"))
+    alone = F.array_max(F.transform("words", lambda w: match.last_score(known, w)))
+    fits = missing.select("file_name", F.col("row_index").cast("int").alias("row_index"), "name", match.known_parts(F.col("name")).alias("known")).join(lines, "file_name")
+    score = F.greatest(match.pair_score(known, F.col("whole")), match.last_score(known, F.col("whole")), alone)
+    fits = fits.select("file_name", "row_index", "name", "page", "line_no", "y0", "y1", "hint", score.alias("score"))
+    fits = fits.select(*(c for c in fits.columns if c != "score"), kept(F.col("score"), F.col("score") >= match.HINT).alias("score"))
     option = F.struct("row_index", (-F.col("score")).alias("less"), "page", "line_no", "y0", "y1", "hint", "name")
-    each = fits.where(F.col("score") >= match.HINT).groupBy("file_name").agg(F.array_sort(F.collect_list(option)).alias("options"))
+    each = fits.groupBy("file_name").agg(F.array_sort(F.collect_list(option)).alias("options"))
     kind = each.schema["options"].dataType.simpleString()
 
     def taken(held, x):

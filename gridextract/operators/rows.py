@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridextract.functions import money, names
-from gridextract.functions.text import at, let, normalized, trimmed
+from gridextract.functions.text import at, kept, let, normalized, trimmed
 
 KEYS = ("file_name", "page")
 FIELDS = ("name", "family_count", "coverage", "status", "medical_plan", "charge", "flags")
@@ -100,7 +100,8 @@ def text_lines(page_text: DataFrame) -> DataFrame:
 def line_rows(lines: DataFrame) -> DataFrame:
     """A row for each line that holds one; lines of totals hold none."""
     d = lines.where(~F.col("line").rlike(names.TOTAL_LINE)).select(*KEYS, "line_no", "line", F.transform(names.tokens(F.col("line")), names.classes).alias("cells"))
-    d = d.select(*KEYS, "line_no", row_of(F.col("cells"), F.col("line")).alias("r")).where("r is not null")
+    d = d.select(*KEYS, "line_no", row_of(F.col("cells"), F.col("line")).alias("r"))
+    d = d.select(*KEYS, "line_no", kept(F.col("r"), F.col("r").isNotNull()).alias("r"))
     return d.select(*KEYS, F.lit(0).alias("pass"), F.col("line_no").alias("ord"), *(f"r.{f}" for f in FIELDS))
 
 
@@ -116,8 +117,8 @@ def stream_rows(lines: DataFrame) -> DataFrame:
     rows = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     kind = rows.schema["rows"].dataType.simpleString()
     state = F.struct(F.lit(0).alias("next"), F.array().cast(kind).alias("kept"))
-    kept = F.aggregate("rows", state, lambda s, x: F.when(x["ord"] >= s["next"], F.struct((x["ord"] + x["r"]["name_tokens"] + STREAM_SKIP).alias("next"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return rows.select(*KEYS, F.explode(kept).alias("k")).select(*KEYS, F.lit(1).alias("pass"), "k.ord", *(f"k.r.{f}" for f in FIELDS))
+    taken = F.aggregate("rows", state, lambda s, x: F.when(x["ord"] >= s["next"], F.struct((x["ord"] + x["r"]["name_tokens"] + STREAM_SKIP).alias("next"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
+    return rows.select(*KEYS, F.explode(taken).alias("k")).select(*KEYS, F.lit(1).alias("pass"), "k.ord", *(f"k.r.{f}" for f in FIELDS))
 
 
 def page_rows(page_text: DataFrame) -> DataFrame:

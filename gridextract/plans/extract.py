@@ -22,8 +22,9 @@ def headers(page_text: DataFrame) -> DataFrame:
 
 def reconcile(members: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The row of each roster name, and the rows that belong to none."""
-    matched = match.apply_roster(roster, members)
-    unused = match.unused_rows(roster, members)
+    pairs = match.assign(roster, members)
+    matched = match.apply_roster(roster, members, pairs)
+    unused = match.unused_rows(roster, members, pairs)
     filled = match.fill_from_leftover(matched, unused)
     return filled, match.leftover_report(filled, unused)
 
