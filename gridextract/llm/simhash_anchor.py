@@ -1,11 +1,15 @@
 """SimHash near-duplicates by anchor-point covering.
 
-The 64 bits of a fingerprint are split into blocks of 23, 23 and 18 bits. The anchors of a block are the words of a
-linear covering code: the perfect Golay code (radius 3) for 23 bits, Hamming [15,11] with the 3-bit repetition code
-(radius 2) for 18, 4096 anchors each. Of three disjoint blocks of two fingerprints at distance d or less, one differs in
-t = d // 3 bits or fewer; there, the anchor next to the first lies within radius + t of the second. So each fingerprint
-goes to every anchor within radius + t, is at home at its nearest, and homes are compared with all that came to the
-anchor: no link is lost, whatever the data.
+The 64 bits of a fingerprint are split into blocks, and the anchors of a block are the words of a linear covering code. Of
+two fingerprints at distance d or less one block differs in few bits: with blocks that are given t_1, t_2, ... bits, where
+the sum of all t + 1 is over d, in some block they differ in its t bits or fewer. There, the anchor next to the first lies
+within the covering radius + t of the second. So each fingerprint goes to every anchor within radius + t, is at home at its
+nearest, and homes are compared with all that came to the anchor: no link is lost, whatever the data.
+
+COARSE has three blocks: the perfect Golay code (radius 3) for 23 bits, twice, and Hamming [15,11] with the 3-bit
+repetition code (radius 2) for 18, 4096 anchors each. FINE has two blocks of 32 bits: Golay, Hamming [7,4] and two bits as
+they are (radius 4), 2^18 anchors each; it sends a fingerprint to three times as many anchors, but compares a twentieth of
+the pairs, so it serves for very many distinct fingerprints. Both find all links.
 
 A fingerprint only estimates a similarity. similar_pairs holds the documents of a component of such links against each
 other by their sets of shingles, whatever links brought them there.
@@ -14,7 +18,6 @@ other by their sets of shingles, whatever links brought them there.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .scratch import unused, written
+from .scratch import settled, unused, written
 from .tokens import LOWER, SPACE, Words, blocks
 
 #: The generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -45,49 +48,56 @@ def _golay_syndromes() -> list[int]:
     return out
 
 
-#: Of each block: its lowest bit, number of bits, covering radius and the syndromes of its bits.
-BLOCKS = (
-    (0, 23, 3, _golay_syndromes()),
-    (23, 23, 3, _golay_syndromes()),
-    (46, 18, 2, [*range(1, 16), 16, 32, 48]),
-)
+_HALF = (32, 4, [*_golay_syndromes(), *(x << 11 for x in range(1, 8)), 0, 0])
+#: Of each block of a layout: its lowest bit, number of bits, covering radius and the syndromes of its bits.
+COARSE = ((0, 23, 3, _golay_syndromes()), (23, 23, 3, _golay_syndromes()), (46, 18, 2, [*range(1, 16), 16, 32, 48]))
+FINE = ((0, *_HALF), (32, *_HALF))
+#: Distinct fingerprints from which FINE is used, and the distance up to which it pays.
+FINE_FROM, FINE_DISTANCE = 1 << 22, 4
 #: Shingles of one side of a cell of exact comparisons, on average; larger groups are split into a grid of cells.
 CELL_SHINGLES = 1 << 19
-_tables: dict[tuple[int, int], tuple] = {}
+_tables: dict[tuple, tuple] = {}
+
 
+def shares(distance: int, layout: tuple) -> list[int]:
+    """The bits t of each block: as even as can be, the sum of all t + 1 being distance + 1."""
+    rest = distance + 1 - len(layout)
+    if rest < 0:
+        return [0] * len(layout)
+    return [rest // len(layout) + (i < rest % len(layout)) for i in range(len(layout))]
 
-def _table(block: int, t: int) -> tuple:
+
+def _table(layout: tuple, block: int, t: int) -> tuple:
     """For a block: syndrome -> error patterns of weight radius + t at most, lightest first, as first indices, counts
     and patterns; and the syndrome of each byte of the block."""
-    if (block, t) not in _tables:
-        _, n, radius, syn = BLOCKS[block]
-        rows = []
-        for w in range(radius + t + 1):
-            for bits in combinations(range(n), w):
-                s = e = 0
-                for b in bits:
-                    s ^= syn[b]
-                    e |= 1 << b
-                rows.append((s, e))
-        s, e = np.array(rows, np.int64).T
+    if (len(layout), block, t) not in _tables:
+        _, n, radius, syn = layout[block]
+        # patterns of weight w + 1 are those of weight w with one more bit above the highest
+        s, e, top = np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, -1)
+        every = [(s, e)]
+        for _ in range(radius + t):
+            more = [(np.flatnonzero(top < b), b) for b in range(n)]
+            s, e, top = (np.concatenate([f(i, b) for i, b in more]) for f in (lambda i, b: s[i] ^ syn[b], lambda i, b: e[i] | 1 << b, lambda i, b: np.full(len(i), b)))
+            every.append((s, e))
+        s, e = (np.concatenate(x) for x in zip(*every, strict=True))
         order = np.argsort(s, kind="stable")
         count = np.bincount(s, minlength=1 << max(syn).bit_length())
-        bytes_ = np.zeros((3, 256), np.int64)
-        for k in range(3):
+        bytes_ = np.zeros((4, 256), np.int64)
+        for k in range(4):
             for b in range(8):
                 if 8 * k + b < n:
                     bytes_[k, np.arange(256) >> b & 1 == 1] ^= syn[8 * k + b]
-        _tables[block, t] = np.concatenate([[0], np.cumsum(count)[:-1]]), count, e[order], bytes_
-    return _tables[block, t]
+        _tables[len(layout), block, t] = np.concatenate([[0], np.cumsum(count)[:-1]]), count, e[order], bytes_
+    return _tables[len(layout), block, t]
 
 
-def anchors(fp: np.ndarray, block: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray, layout: tuple, block: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For uint64 fingerprints: number of the fingerprint, anchor, and whether it is the fingerprint's home, of every
     anchor of the block within radius + t. Every syndrome has a pattern within the radius, so each has one home."""
-    first, count, pattern, by = _table(block, t)
-    low, n, _, _ = BLOCKS[block]
+    first, count, pattern, by = _table(layout, block, t)
+    low, n, _, _ = layout[block]
     x = (fp >> np.uint64(low)).astype(np.int64) & ((1 << n) - 1)
-    s = by[0][x & 255] ^ by[1][x >> 8 & 255] ^ by[2][x >> 16 & 255]
+    s = by[0][x & 255] ^ by[1][x >> 8 & 255] ^ by[2][x >> 16 & 255] ^ by[3][x >> 24 & 255]
     k = count[s]
     row = np.repeat(np.arange(len(fp)), k)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
@@ -227,29 +237,32 @@ def links(prints: DataFrame, *, distance: int = 4, check_distance: int | None =
     """a, b: a spanning forest, by cell, of all links between distinct fingerprints (column fingerprint) that differ in
     `distance` bits or fewer and, with check_distance, whose second ones (check_1, check_2) differ in that many or fewer.
     Its components are those of all links. a and b are _node of the columns."""
-    t = distance // len(BLOCKS)
     names = ["fingerprint", *(["check_1", "check_2"] if check_distance is not None else [])]
-    own = prints.select(*names).where("fingerprint is not null").distinct()
+    own = written(prints.select(*names).where("fingerprint is not null").distinct())
+    layout = FINE if distance <= FINE_DISTANCE and own.count() >= FINE_FROM else COARSE
+    share = shares(distance, layout)
+    # each row becomes many: the work is dealt out anew, as small tables come in few partitions
+    own = own.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 columns = [c.to_numpy() for c in part.columns]
-                for b in range(len(BLOCKS)):
-                    row, anchor, home = anchors(columns[0].view(np.uint64), b, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | b << 23), *(pa.array(c[row]) for c in columns), pa.array(home)], ["anchor", *names, "home"])
+                for b in range(len(layout)):
+                    row, anchor, home = anchors(columns[0].view(np.uint64), layout, b, share[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | b << 32), *(pa.array(c[row]) for c in columns), pa.array(home)], ["anchor", *names, "home"])
 
     at = own.mapInArrow(spread, f"anchor long, {', '.join(f'{c} long' for c in names)}, home boolean")
-    # at most 3 * 4096 rows: all anchors
+    # all anchors: at most 3 * 2^12 rows of COARSE, 2 * 2^18 of FINE
     size = at.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("all"))
     size = size.select("anchor", F.ceil(F.col("homes") / CELL_HOMES).cast("int").alias("nh"), F.ceil(F.col("all") / CELL_VISITORS).cast("int").alias("nv")).where("nh > 0")
     at = at.join(F.broadcast(size), "anchor")
     whole = F.lit(0).cast("int")
     row = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("nh")).cast("int")
     col = F.pmod(F.xxhash64(*names, F.lit(2)), F.col("nv")).cast("int")
-    # a cell's number: its row, its column and its anchor, 19, 19 and 25 bits
-    number = lambda i, j: F.shiftleft(i.cast("long"), 44).bitwiseOR(F.shiftleft(j.cast("long"), 25)).bitwiseOR(F.col("anchor"))
+    # a cell's number: its row, its column and its anchor, 15, 15 and 34 bits
+    number = lambda i, j: F.shiftleft(i.cast("long"), 49).bitwiseOR(F.shiftleft(j.cast("long"), 34)).bitwiseOR(F.col("anchor"))
     cells = F.when(F.col("home"), F.transform(F.sequence(whole, F.col("nv") - 1), lambda j: F.struct(number(row, j).alias("cell"), F.lit(True).alias("home"))))
     cells = F.concat(F.coalesce(cells, F.array().cast("array<struct<cell:bigint,home:boolean>>")), F.transform(F.sequence(whole, F.col("nh") - 1), lambda i: F.struct(number(i, col).alias("cell"), F.lit(False).alias("home"))))
     placed = at.select(F.explode(cells).alias("c"), *names).select("c.cell", "c.home", *names)
@@ -278,6 +291,16 @@ def links(prints: DataFrame, *, distance: int = 4, check_distance: int | None =
     return edges.select(*(_node([f"{side}_{c}" for c in names]).alias(side) for side in "ab"))
 
 
+def least_ids(of: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """node and, as name, the smallest id of its component. of: node, least (smallest id of its rows); nodes: those of
+    connected_components, where a node without links is not in. The rows of components go through the join by themselves,
+    and what is joined to them is a table of its own, so Spark splits the rows of a very large component."""
+    linked = written(of.join(nodes, "node"))
+    least = written(linked.groupBy("component").agg(F.min("least").alias(name)))
+    alone = of.join(nodes, "node", "left_anti").select("node", F.col("least").alias(name))
+    return linked.select("node", "component").join(least, "component").select("node", name).unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, check_shingle: int | None = None, check_distance: int | None = None) -> DataFrame:
     """id_col, fingerprint (long), component_id of each row of docs.
 
@@ -288,11 +311,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     names = ["fingerprint", *(["check_1", "check_2"] if check_shingle else [])]
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, check_shingle=check_shingle))
-    nodes = connected_components(links(prints, distance=distance, check_distance=check_distance if check_shingle else None))
-    of = prints.groupBy(_node(names).alias("node")).agg(F.min(id_col).alias("least")).join(nodes, "node", "left")
-    of = of.withColumn("component", F.coalesce("component", "node"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = written(of.join(least, "component").select("node", "component_id"))
+    nodes = lambda: connected_components(links(prints, distance=distance, check_distance=check_distance if check_shingle else None))
+    of = settled(lambda: least_ids(prints.groupBy(_node(names).alias("node")).agg(F.min(id_col).alias("least")), nodes(), "component_id"))
     return prints.withColumn("node", _node(names)).join(of, "node").select(id_col, "fingerprint", "component_id")
 
 
@@ -390,11 +410,14 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     found = found.join(found.where(F.col("id") > F.col("group")).select("group").distinct(), "group")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(found, "id")
     sets = written(_sets(texts, params["check_shingle"] or params["shingle"]))
-    items = written(sets.groupBy("group", "node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
-    nodes = connected_components(similar_pairs(items, similarity=similarity))
-    # rows of one set are one node, so copies cost nothing after a map-side aggregation
-    of = sets.groupBy("node").agg(F.min("id").alias("least")).join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of = of.select("node", "component").join(of.groupBy("component").agg(F.min("least").alias("least")), "component").select("node", "least")
     name = unused(docs, "gone_")
-    gone = sets.select("id", "node").join(of, "node").where(F.col("id") > F.col("least")).select(F.col("id").alias(name)).distinct()
+
+    def superfluous() -> DataFrame:
+        items = written(sets.groupBy("group", "node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
+        nodes = connected_components(similar_pairs(items, similarity=similarity))
+        # rows of one set are one node, so copies cost nothing after a map-side aggregation
+        of = written(least_ids(sets.groupBy("node").agg(F.min("id").alias("least")), nodes, "least"))
+        return sets.select("id", "node").join(of, "node").where(F.col("id") > F.col("least")).select(F.col("id").alias(name)).distinct()
+
+    gone = settled(superfluous)
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

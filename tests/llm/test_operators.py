@@ -89,8 +89,10 @@ def test_op5_equals_brute_force(spark, documents):
     assert {r.doc_id: r.component_id for r in got} == components_of(prints, 4)
 
 
-@pytest.mark.parametrize("distance", [4, 8])
-def test_anchors_lose_no_link(spark, distance):
+@pytest.mark.parametrize(("distance", "fine"), [(0, False), (1, True), (4, False), (4, True), (8, False)])
+def test_anchors_lose_no_link(spark, distance, fine, monkeypatch):
+    if fine:
+        monkeypatch.setattr(simhash_anchor, "FINE_FROM", 0)
     rng = np.random.default_rng(distance)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, int(rng.integers(0, distance + 3)), replace=False))) for b in base for _ in range(12)]
@@ -106,6 +108,22 @@ def test_anchors_lose_no_link(spark, distance):
     assert groups({s: nodes.get(s, s) for s in by_print}) == groups(by_print)
 
 
+@pytest.mark.parametrize("layout", [simhash_anchor.COARSE, simhash_anchor.FINE])
+def test_anchors_cover_every_fingerprint(layout):
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 300, dtype=np.uint64)
+    for block, (low, n, radius, _) in enumerate(layout):
+        own = (fp >> np.uint64(low)).astype(np.int64) & ((1 << n) - 1)
+        row, anchor, home = simhash_anchor.anchors(fp, layout, block, 1)
+        away = np.bitwise_count(anchor ^ own[row])
+        assert sorted(row[home].tolist()) == list(range(300)) and away[home].max() <= radius and away.max() <= radius + 1
+        # a fingerprint that is one bit away comes to the home of the first
+        other = own ^ (np.int64(1) << rng.integers(0, n, 300))
+        row2, anchor2, _ = simhash_anchor.anchors((other.astype(np.uint64) << np.uint64(low)), layout, block, 1)
+        met = set(zip(row2.tolist(), anchor2.tolist(), strict=True))
+        assert all((r, a) in met for r, a in zip(row[home].tolist(), anchor[home].tolist(), strict=True))
+
+
 def test_dense_cells_give_forests():
     rng = np.random.default_rng(3)
     f = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 20, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 20, 400).astype(np.uint64)))
