@@ -285,16 +285,65 @@ def brute_tiles(item, doc, k):
         used_d.update(range(best[1], best[1] + best[2]))
 
 
+def maximal_matches(item, doc, k):
+    """Maximal runs of equal tokens of k or more, on every diagonal."""
+    out = []
+    for i in range(len(item)):
+        for j in range(len(doc)):
+            if item[i] == doc[j] and not (i and j and item[i - 1] == doc[j - 1]):
+                n = next((n for n in range(min(len(item) - i, len(doc) - j)) if item[i + n] != doc[j + n]), min(len(item) - i, len(doc) - j))
+                out += [(i, j, n)] if n >= k else []
+    return out
+
+
 def test_op1_tiles_equal_brute_force():
     rng = random.Random(2)
-    for _ in range(150):
-        item, doc = [rng.choice("abc") for _ in range(25)], [rng.choice("abc") for _ in range(40)]
-        hits = [(i, j) for i in range(23) for j in range(38) if item[i : i + 3] == doc[j : j + 3]]
-        i, j = (np.array(x, np.int64) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 2
-        got = decontaminate.tiles(i, j, 3)
-        want = brute_tiles(item, doc, 3)
-        assert sorted(n for _, _, n in got) == sorted(n for _, _, n in want)
-        assert len({x for a, _, n in got for x in range(a, a + n)}) == sum(n for _, _, n in got)
+    for n in range(150):
+        letters = "abc" if n % 3 else "a"
+        item, doc = [rng.choice(letters) for _ in range(25)], [rng.choice(letters) for _ in range(40)]
+        got = decontaminate.tiles(*np.array(maximal_matches(item, doc, 3), np.int64).reshape(-1, 3).T, 3)
+        assert sorted(got) == sorted(brute_tiles(item, doc, 3))
+
+
+def test_op1_equals_brute_force(spark):
+    """The whole operator with the query's parameters, over texts that repeat themselves on both sides."""
+    rng = random.Random(3)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    items = {1: text("abc", 30), 2: text("ab", 25), 3: "a " * 40, 4: "x y " * 20, 5: text([f"w{i}" for i in range(50)], 40), 6: "only four words here", 7: "", 8: None}
+    docs = {n: " ".join(rng.sample([text("abc", 12), text("ab", 15), "a " * rng.randint(1, 60), "x y " * rng.randint(1, 30), (items[5] or "")[: rng.randint(0, 200)], text("abc", 5), str(items[1 + n % 5])], 4)) for n in range(40)} | {90: None, 91: "", 92: "A a; a! a, a a a a a-a" * 3}
+    rows = [*docs.items(), (0, docs[0]), (None, docs[1])]
+    got = decontaminate.leaked_items(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([*items.items(), (1, items[1])], "item_id long, text string")).collect()
+    cut = lambda t: re.findall("[0-9a-z]+", (t or "").lower())
+    want = {}
+    for d, t in [*docs.items(), (None, docs[1])]:
+        for i, x in items.items():
+            found = brute_tiles(cut(x), cut(t), 5)
+            if found and 2 * sum(n for _, _, n in found) >= len(cut(x)):
+                want[d, i] = sorted(found)
+    assert {(r.doc_id, r.item_id): sorted(tuple(x) for x in r.tiles) for r in got} == want and len(got) == len(want) > 60
+    assert all(r.coverage == pytest.approx(sum(x.n for x in r.tiles) / len(cut(items[r.item_id]))) and r.longest == max(x.n for x in r.tiles) for r in got)
+
+
+def test_op1_query_equals_brute_force(spark, documents):
+    """All documents and items of the small table; pairs without a common run of five tokens have no tile."""
+    cut = lambda t: re.findall("[0-9a-z\\x80-\U0010ffff]+", (t or "").lower())
+    items = {r.item_id: cut(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    runs = {i: {tuple(x[k : k + 5]) for k in range(len(x) - 4)} for i, x in items.items()}
+    want = {}
+    for r in documents.collect():
+        doc = cut(r.text)
+        own = {tuple(doc[k : k + 5]) for k in range(len(doc) - 4)}
+        for i, x in items.items():
+            if own & runs[i]:
+                found = decontaminate.tiles(*np.array(maximal_matches(x, doc, 5), np.int64).reshape(-1, 3).T, 5)
+                if 2 * sum(n for _, _, n in found) >= len(x):
+                    want[r.doc_id, i] = (len(found), max(n for _, _, n in found))
+    assert {(r.doc_id, r.item_id): (r.n_tiles, r.longest) for r in queries.op1_string_tiling(spark, SF).collect()} == want != {}
+
+
+def test_op1_repeated_words_are_few_matches(spark):
+    docs, item = spark.createDataFrame([(1, "a " * 4000)], "doc_id long, text string"), spark.createDataFrame([(1, "a " * 1000)], "item_id long, text string")
+    assert [(r.n_tiles, r.longest) for r in decontaminate.leaked_items(docs, item).collect()] == [(1, 1000)]
 
 
 def test_op1_catches_reordered_passages(spark, odd):
