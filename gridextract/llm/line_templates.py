@@ -33,12 +33,11 @@ def masked(line: Column) -> Column:
     return F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")
 
 
-def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 3, min_fixed: float = 0.5) -> DataFrame:
+def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_tokens: int = 1, min_fixed: float = 0.5) -> DataFrame:
     """id, raw_hash (xxhash64 of a line as it stands), template: each line that is to be dropped from a document.
 
-    A template must have min_fixed of its tokens fixed. Lines of fewer than min_tokens tokens are too short to be a
-    template and are never dropped; with min_tokens=1 these are the empty ones only, and a line shorter than depth is in
-    the leaf of its count and all its tokens.
+    A template must have min_fixed of its tokens fixed. Blank lines and lines of fewer than min_tokens tokens are never
+    dropped. A line shorter than depth is in the leaf of its count and all its tokens.
     """
     lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("raw")).where("id is not null")
     lines = lines.withColumn("x", squeezed(F.col("raw"))).where(F.col("x") != "")

@@ -94,8 +94,8 @@ WITH lines AS (
 shaped AS (
   SELECT *, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS m FROM lines),
 leafed AS (SELECT *, len(tokens) || ' ' || array_to_string(m[1:3], ' ') AS leaf, array_to_string(m, ' ') AS masked FROM shaped),
-leaves AS (SELECT leaf FROM leafed WHERE len(tokens) >= 3 AND doc_id IS NOT NULL GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
-own AS (SELECT DISTINCT leaf, doc_id, masked, m FROM leafed SEMI JOIN leaves USING (leaf) WHERE len(tokens) >= 3 AND doc_id IS NOT NULL),
+leaves AS (SELECT leaf FROM leafed WHERE tokens[1] <> '' AND doc_id IS NOT NULL GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+own AS (SELECT DISTINCT leaf, doc_id, masked, m FROM leafed SEMI JOIN leaves USING (leaf) WHERE tokens[1] <> '' AND doc_id IS NOT NULL),
 kinds AS (SELECT leaf, masked, m, count(*) AS n FROM own GROUP BY ALL),
 words AS (SELECT leaf, masked, n, unnest(m) AS token, generate_subscripts(m, 1) AS pos FROM kinds),
 fixed AS (SELECT leaf, pos, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 5),
