@@ -14,7 +14,7 @@ from gridextract.functions import pages as page_functions
 from gridextract.functions.text import ratio
 from gridextract.operators import dedupe, edits, layout, match, meta, pages, quality, reread, rows
 from gridextract.plans import extract as plan
-from gridextract.plans.fixtures import ROSTER, TRUTH, page_text, roster, table, truth
+from gridextract.plans.fixtures import HEADING, ROSTER, TRUTH, page_text, roster, table, truth
 from gridextract.plans.fixtures import lines as noisy_lines
 from gridextract.sources import csv_export
 from gridextract.sources import roster as roster_source
@@ -97,15 +97,17 @@ def match_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.warnings(filled, left)
 
 
-@query(f"select k, concat(last_name, ', ', first_name) as name, true as leftover_filled from ({TRUTH}) as t where k%10=3")
+@query(f"select file_name, k, concat(last_name, ', ', first_name) as name, k as source, case when k%10=3 then concat('QX', substring(last_name, 3), ', XQ') else concat(last_name, ', ', first_name) end as read, cast(cents/100.0 as double) as charge from ({TRUTH}) as t")
 def leftover_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholders whose last name alone is on a leftover row are filled from it."""
-    d = truth(spark, sf_dir).where("k % 10 = 3").withColumn("name", F.concat("last_name", F.lit(", "), "first_name"))
-    blank = lambda c, t: F.lit("" if t == "string" else None).cast(t).alias(c)
-    missing = d.select("file_name", F.col("k").cast("int").alias("row_index"), "name", blank("family_count", "int"), blank("coverage", "string"), blank("status", "string"), blank("medical_plan", "string"), blank("charge", "double"), F.lit(0).alias("page"), F.array(F.lit(match.NOT_FOUND)).alias("flags"), blank("ocr_name", "string"), blank("source_index", "int"))
-    left = _read(spark, sf_dir).join(d.select("file_name", F.col("k").cast("int").alias("row_index"), "last_name"), ["file_name", "row_index"]).withColumn("name", F.concat("last_name", F.lit(", XQ"))).drop("last_name")
-    got = match.fill_from_leftover(missing, left)
-    return got.select(F.col("row_index").cast("long").alias("k"), "name", (~match.is_missing(F.col("flags")) & (F.col("source_index") == F.col("row_index"))).alias("leftover_filled"))
+    """Every tenth name is read too badly to match; its row is a leftover, which fills the placeholder at a lower bound."""
+    d = truth(spark, sf_dir)
+    name = F.concat("last_name", F.lit(", "), "first_name")
+    known = d.select("file_name", F.col("k").cast("int").alias("ord"), name.alias("name"))
+    worn = d.select("file_name", F.col("k").cast("int").alias("row_index"), F.concat(F.lit("QX"), F.substring("last_name", 3, 99), F.lit(", XQ")).alias("worn"))
+    read = _read(spark, sf_dir).join(worn, ["file_name", "row_index"]).withColumn("name", F.when(F.col("row_index") % 10 == 3, F.col("worn")).otherwise(F.col("name"))).drop("worn")
+    pairs = match.assign(known, read)
+    got = match.fill_from_leftover(match.apply_roster(known, read, pairs), match.unused_rows(known, read, pairs))
+    return longs(got.select("file_name", F.col("row_index").alias("k"), "name", F.col("source_index").alias("source"), F.col("ocr_name").alias("read"), "charge"))
 
 
 @query("select o_orderkey, cast(100+(o_orderkey*7919)%7000 as double) as amount from orders")
@@ -188,12 +190,11 @@ def page_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(pages.classified(_pages(spark, sf_dir)).select("f", "page", "kind"))
 
 
-@query(f"""with x as ({PAGES}), near as (select f, page from x where kind='full' union select f, page+1 from x where kind='full' and page<8 union select f, page from x where kind='overflow' union select f, page-1 from x where kind='overflow' and page>1),
- said as (select n.* from near n where not exists (select 1 from x where x.f=n.f and x.page=n.page and x.kind='legend')),
- usual as (select f, page from x where page between 3 and 7 and kind<>'legend' and f not in (select f from said)),
- allp as (select * from said union all select * from usual),
- main as (select a.f, coalesce(min(a.page) filter (where x.kind='full'), min(a.page)) as m from allp a join x on x.f=a.f and x.page=a.page group by a.f)
- select cast(a.f as bigint) as f, cast(a.page as bigint) as page, case when a.page=m.m then 'main' else 'overflow' end as role from allp a join main m on a.f=m.f""")
+@query(f"""with x as ({PAGES}), beside as (select *, lag(kind) over (partition by f order by page) as before, lead(kind) over (partition by f order by page) as after from x),
+ judged as (select *, kind in ('full', 'overflow') or (kind='other' and (coalesce(before='full', false) or coalesce(after='overflow', false))) as said from beside),
+ taken as (select *, said or (kind<>'legend' and page between 3 and 7 and not bool_or(said) over (partition by f)) as taken from judged),
+ main as (select *, coalesce(min(case when kind='full' then page end) over (partition by f), min(page) over (partition by f)) as m from taken where taken)
+ select cast(f as bigint) as f, cast(page as bigint) as page, case when page=m then 'main' else 'overflow' end as role from main""")
 def target_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pages.classified(_pages(spark, sf_dir)).select("file_name", "page", "kind")
     files = d.groupBy("file_name").agg(F.max("page").alias("page_count"))
@@ -260,7 +261,7 @@ def merge_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", money.merged_charge(a, b).alias("charge"))
 
 
-@query("select c_custkey, concat('PART', split_part('BERG,LAND,VALE', ',', cast(c_custkey%3 as int)+1), ', ', split_part('SEAN,MARIA,DIANA', ',', cast(c_custkey%3 as int)+1)) as name from customer where c_custkey%3<>9")
+@query("select c_custkey, concat('PART', split_part('BERG,LAND,VALE', ',', cast(c_custkey%3 as int)+1), ', ', split_part('SEAN,MARIA,DIANA', ',', cast(c_custkey%3 as int)+1)) as name from customer")
 def comma_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names whose comma was lost get it back."""
     pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("c_custkey") % 3 + 1).cast("int"))
@@ -402,31 +403,34 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(csv_export.export_rows(members, headers))
 
 
+def _strangers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders and rows of all members: the list knows everyone, but of every tenth the row is of a stranger."""
+    d = truth(spark, sf_dir)
+    known = d.select("file_name", F.col("k").cast("int").alias("ord"), F.concat("last_name", F.lit(", "), "first_name").alias("name"))
+    return match.apply_roster(known, _read(spark, sf_dir, strangers=True))
+
+
 @query(f"select file_name, k as row_index, concat(last_name, ', ', first_name) as hint, cast(page as bigint) as page, cast(40*k as double) as y0, cast(40*k+12 as double) as y1 from ({TRUTH}) as t where k%10=3")
 def name_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the names of missing members stand among the words of their tables."""
+    """Where the names of members without a row stand among the words of all tables."""
     words, tables = _word_boxes(spark, sf_dir)
-    missing = _read(spark, sf_dir).where("row_index % 10 = 3").select("file_name", "row_index", "name")
+    missing = _strangers(spark, sf_dir).where(match.is_missing(F.col("flags"))).select("file_name", "row_index", "name")
     return longs(reread.name_hints(missing, words, tables).select("file_name", "row_index", "hint", "page", "y0", "y1"))
 
 
 def _word_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The names of every tenth line as word boxes, and the tables they lie on."""
-    d = truth(spark, sf_dir).where("k % 10 = 3")
+    """The names of all lines as word boxes, and the tables they lie on."""
+    d = truth(spark, sf_dir)
     box = lambda text, x: F.struct(text.alias("text"), F.lit(x).alias("x0"), (F.col("k") * 40).cast("double").alias("y0"), F.lit(x + 80.0).alias("x1"), (F.col("k") * 40 + 12).cast("double").alias("y1"))
     parts = F.array(box(F.lit("$100.00"), 700.0), box(F.col("first_name"), 120.0), box(F.concat("last_name", F.lit(",")), 10.0))
     words = d.select("file_name", "page", F.explode(parts).alias("w")).select("file_name", "page", "w.*")
     return words, d.select("file_name", "page", F.lit(1000.0).alias("width"), F.lit(1e9).alias("height")).distinct()
 
 
-@query(f"select file_name, k as row_index, concat(last_name, ', ', first_name) as name, coverage, status, plan as medical_plan, cast(cents/100.0 as double) as charge, false as missing from ({TRUTH}) as t where k%10=3")
+@query(f"select file_name, k as row_index, concat(last_name, ', ', first_name) as name, coverage, status, plan as medical_plan, cast(cents/100.0 as double) as charge, cast(page as bigint) as page, false as missing from ({TRUTH}) as t")
 def second_look(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholders that a second reading of their lines fills."""
+    """All members, the placeholders among them filled by a second reading of their lines."""
     words, tables = _word_boxes(spark, sf_dir)
-    d = truth(spark, sf_dir).where("k % 10 = 3")
-    name = F.concat("last_name", F.lit(", "), "first_name")
-    nothing = _read(spark, sf_dir).limit(0)
-    matched = match.apply_roster(d.select("file_name", F.col("k").cast("int").alias("ord"), name.alias("name")), nothing)
     texts = noisy_lines(spark, sf_dir).select("file_name", F.col("line_no").cast("int").alias("row_index"), "line")
 
     def read(found: DataFrame) -> DataFrame:
@@ -434,8 +438,8 @@ def second_look(spark: SparkSession, sf_dir: str) -> DataFrame:
         cut = F.regexp_extract("line", r"^(\S+ \S+) (.*)$", 1), F.regexp_extract("line", r"^(\S+ \S+) (.*)$", 2)
         return both.select("file_name", "row_index", "name", "page", cut[0].alias("name_text"), cut[1].alias("rest_text"))
 
-    got = reread.second_look(matched, words, tables, read)
-    return longs(got.select("file_name", "row_index", "name", "coverage", "status", "medical_plan", "charge", match.is_missing(F.col("flags")).alias("missing")))
+    got = reread.second_look(_strangers(spark, sf_dir), words, tables, read)
+    return longs(got.select("file_name", "row_index", "name", "coverage", "status", "medical_plan", "charge", "page", match.is_missing(F.col("flags")).alias("missing")))
 
 
 @query("select distinct upper(s_name) as name from supplier where s_suppkey%5<>1")
@@ -446,15 +450,206 @@ def roster_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.remove_from_roster(known, d.where("s_suppkey % 5 = 1").select(F.upper("s_name").alias("name")))
 
 
-@query()
+@query(f"select file_name, cast(row_number() over (partition by file_name order by k) as bigint) as row_index, concat(last_name, ', ', first_name) as name, cast(cents/100.0 as double) as charge from ({TRUTH}) as t where page=1 or floor(k/90)%3<>1")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts as a stream of files, taken in once; the rows of each file as they stand then."""
-    from gridextract.streaming.ingest import current, ingest
+    """Page texts as a stream of files: all of them, then every third file again, of which only the first page is left. The
+    rows of each file as they stand in the end."""
+    from gridextract.streaming.ingest import current, ingest, shared_folder
+
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    texts = page_text(spark, sf_dir)
+    again = (F.regexp_extract("file_name", r"(\d+)", 1).cast("int") % 3 == 1) & (F.col("page") == 1)
+    for batch in (texts, texts.where(again)):
+        batch.write.mode("append").parquet(f"{at}/in")
+        ingest(spark, f"{at}/in", f"{at}/out", f"{at}/state").awaitTermination()
+    return longs(current(spark, f"{at}/out").select("file_name", "row_index", "name", "charge"))
+
+
+MEMBERS = f"select file_name, cast(row_number() over (partition by file_name order by k) as bigint) as row_index, concat(last_name, ', ', first_name) as name, cast(family_count as bigint) as family_count, coverage, status, plan as medical_plan, cast(cents/100.0 as double) as charge from ({TRUTH}) as t"
+
+
+def _pages_of(lines: DataFrame) -> DataFrame:
+    """Pages from file_name, page, line_no, line, under the heading."""
+    d = lines.groupBy("file_name", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
+    return d.select("file_name", "page", F.concat(F.lit(HEADING + "\n"), "text", F.lit("\nSubtotal $1.00")).alias("text"))
+
+
+@query(MEMBERS)
+def row_extract_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose fields run over two lines: only the pass over the stream of tokens sees them whole."""
+    d = noisy_lines(spark, sf_dir)
+    got = dedupe.members_of(rows.page_rows(_pages_of(d.withColumn("line", F.regexp_replace("line", r" (XXX-XX-\d+) ", " $1\n")))))
+    return longs(got.select("file_name", "row_index", "name", "family_count", "coverage", "status", "medical_plan", "charge"))
+
+
+@query(MEMBERS)
+def row_extract_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with lines of other months after a row, subtotals, legends and rows that are printed twice, the second time
+    with a letter too many and without an amount."""
+    d, k = noisy_lines(spark, sf_dir), F.col("line_no")
+    again = F.regexp_replace("line", r"^(\S+ \S+) (\d) .*$", "$1S $2 N XXX-XX-0000 E")
+    more = F.array(
+        F.struct(F.lit(0).alias("n"), F.col("line").alias("line")), F.struct(F.lit(1).alias("n"), F.when(k % 4 == 1, "07/2026 MEDICAL $-1,072.00").alias("line")),
+        F.struct(F.lit(2).alias("n"), F.when(k % 5 == 2, again).alias("line")), F.struct(F.lit(3).alias("n"), F.when(k % 10 == 9, "Subtotal for Bill Group $12,345.00").alias("line")),
+        F.struct(F.lit(4).alias("n"), F.when(k % 15 == 4, "E Employee Only ES Employee and Spouse").alias("line")))
+    each = d.select("file_name", "page", "line_no", F.explode(F.filter(more, lambda x: x["line"].isNotNull())).alias("x"))
+    text = _pages_of(each.select("file_name", "page", F.struct("line_no", "x.n").alias("line_no"), "x.line"))
+    got = dedupe.members_of(rows.page_rows(text))
+    return longs(got.select("file_name", "row_index", "name", "family_count", "coverage", "status", "medical_plan", "charge"))
+
+
+@query("select o_orderkey, case when o_orderkey%2=0 then concat('BARBERG $', o_custkey, '.00', chr(10), 'LANDER $', o_orderkey%97, '.50') else concat('BARBERG $', o_custkey, '.00', repeat(concat(chr(10), '1 2 3'), 7)) end as text from orders")
+def zip_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns read apart: of about equal length, and one much longer than the other."""
+    d, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    price = lambda c, cents: F.concat(F.lit("$"), c.cast("string"), F.lit(cents))
+    left = F.when(k % 2 == 0, "BARBERG\n\n  LANDER ").otherwise("BARBERG" + "\n1 2 3" * 7)
+    right = F.when(k % 2 == 0, F.concat(price(F.col("o_custkey"), ".00"), F.lit("\nab\n"), price(k % 97, ".50"))).otherwise(price(F.col("o_custkey"), ".00"))
+    return d.select("o_orderkey", layout.zip_columns(left, right).alias("text"))
+
+
+@query(f"select file_name, cast(row_number() over (partition by file_name order by page, k) as bigint) as row_index, concat(last_name, ', ', first_name) as name, case when k%2=0 then cast(750 as double) end as charge, '' as coverage, false as excluded, cast(0 as bigint) as n_flags from ({TRUTH}) as t")
+def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an older form, with evidence of fields in place of plain values."""
+    d = truth(spark, sf_dir)
+    raw = F.concat(F.initcap("last_name"), F.lit(",  "), F.lower("first_name"))
+    old = d.select("file_name", "page", F.concat(F.lpad(F.col("k").cast("string"), 9, "0"), F.lit(" old")).alias("name"), quality.name_field(raw, F.lit(None).cast("double")).alias("name_field"), quality.amount_field(F.when(F.col("k") % 2 == 0, "$750.00").otherwise(""), F.lit(90.0)).alias("amount_field"))
+    return longs(quality.hydrated(old).select("file_name", "row_index", "name", "charge", "coverage", "excluded", F.size("flags").alias("n_flags")))
+
+
+@query(f"select file_name, count(*) as n_rows from ({ROSTER}) as r where not found group by file_name")
+def leftover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.with_leftovers(match.unused_rows(roster(spark, sf_dir), _read(spark, sf_dir, strangers=True)))
+
+
+@query("select o_orderkey, case o_orderkey%4 when 0 then 'The scanned pages could not be decoded.' when 1 then concat('Could not read this scan (Page ', o_orderkey, ' OCR failed: no). Reload and try again.') else 'No membership rows found.' end as error from orders")
+def file_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    failed = F.concat(F.lit("Page "), k.cast("string"), F.lit(" OCR failed: no"))
+    warnings = F.when(k % 4 == 0, F.array(failed, F.lit("Page 2 rendered blank"))).when(k % 4 == 1, F.array(F.lit("other"), failed, F.lit("Page 9 OCR failed: late"))).when(k % 4 == 2, F.array(F.lit("other"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", quality.file_error(warnings).alias("error"))
+
+
+@query(f"select file_name, case when floor(k/90)%2=0 then 'No membership rows found.' else 'bad scan' end as reason, cast(3 as bigint) as n_warnings from (select file_name, min(k) as k from ({TRUTH}) as t group by file_name) as f where floor(k/90)%3<>0")
+def unread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third file has rows; of the others some have an error of their own."""
+    files = truth(spark, sf_dir).groupBy("file_name").agg(F.floor(F.min("k") / 90).alias("n"))
+    files = files.withColumn("errors", F.when(F.col("n") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("bad scan")))).withColumn("warnings", F.array(*(F.lit(str(i)) for i in range(5))))
+    read = files.where("n % 3 = 0").select("file_name", F.lit("BARBERG, ALICE").alias("name"))
+    return longs(quality.unread_files(files, read).select("file_name", "reason", F.size("warnings").alias("n_warnings")))
+
+
+@query("select c_custkey, case when c_custkey%3=0 then 'ZZZ' else 'HMO PLUS' end as first_option, cast(case when c_custkey%3=0 then 30 else 29 end as bigint) as n_options from customer")
+def plan_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    options = codes.plan_options(F.when(k % 3 == 0, "ZZZ").when(k % 3 == 1, "PPO").otherwise(""))
+    return longs(table(spark, sf_dir, "customer").select("c_custkey", F.get(options, F.lit(0)).alias("first_option"), F.size(options).alias("n_options")))
+
+
+@query("select p_partkey, p_partkey%7=0 or p_partkey%11=0 or p_partkey%13=0 as label from part")
+def member_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column labels, totals and page numbers where a name should be."""
+    k = F.col("p_partkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit(" Subtotal "), k.cast("string"))).when(k % 11 == 0, "family count").when(k % 13 == 0, F.concat(F.lit("Page "), k.cast("string"))).otherwise(F.concat(F.lit("Nadine "), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.non_member_label(name).alias("label"))
+
+
+@query(f"select file_name, name, row_index, added from (select file_name, concat(last_name, ', ', first_name) as name, k as row_index, false as added from ({TRUTH}) as t union all select file_name, 'MOSS, KIM', max(k)+1, true from ({TRUTH}) as t group by file_name) as x")
+def blank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed name that is new, one that is there already, and one that is no name, for each file."""
+    d = _read(spark, sf_dir)
+    typed = d.groupBy("file_name").agg(F.min("name").alias("old")).select("file_name", F.explode(F.array(F.lit(" moss,  kim"), F.lower("old"), F.lit("nobody"))).alias("name"))
+    return longs(edits.add_blank_rows(d, typed).select("file_name", "name", "row_index", F.array_contains("flags", match.ADDED).alias("added")))
 
-    at = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or 'file:///tmp/gridextract'}/stream-{uuid.uuid4().hex}"
-    page_text(spark, sf_dir).write.parquet(f"{at}/in")
-    ingest(spark, f"{at}/in", f"{at}/out", f"{at}/state").awaitTermination()
-    return current(spark, f"{at}/out").select("file_name", "row_index", "name", "charge")
+
+@query(f"select file_name, max(k)+1 as next_index from ({TRUTH}) as t group by file_name")
+def next_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(edits.next_index(_read(spark, sf_dir)))
+
+
+LISTED = f"select distinct concat(last_name, ', ', first_name) as name from ({TRUTH}) as t"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth(spark, sf_dir).select(F.concat("last_name", F.lit(", "), "first_name").alias("name")).distinct()
+
+
+@query(f"{LISTED} union select concat('NEW', upper(substring(s_name, 1, 4)), ', PAT') from supplier")
+def roster_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed names: new ones in small letters, ones that are there, and ones without a comma."""
+    listed = _listed(spark, sf_dir)
+    new = table(spark, sf_dir, "supplier").select(F.concat(F.lit("new"), F.substring("s_name", 1, 4), F.lit(",  pat")).alias("name"))
+    typed = new.unionByName(listed.select(F.lower("name").alias("name"))).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_phone").alias("name")))
+    return edits.add_to_roster(listed, typed)
+
+
+@query(f"select case when name like 'BAR%' then concat(name, 'X') else name end as name from ({LISTED}) as t")
+def roster_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that change, one that would take the place of another, and a change that leads to no name."""
+    listed = _listed(spark, sf_dir)
+    first = F.col("name").startswith("BAR")
+    to = F.when(first, F.concat(F.lower("name"), F.lit("x"))).when(F.col("name").startswith("CEL"), "nobody")
+    changes = listed.select("name", to.alias("new_name")).where("new_name is not null")
+    taken = listed.agg(F.max("name").alias("new_name")).join(listed.where(F.col("name").startswith("DUN")).agg(F.min("name").alias("name")))
+    return edits.rename_in_roster(listed, changes.unionByName(taken.select("name", "new_name")))
+
+
+@query("select o_orderkey, string_agg(concat('L', n, ' P', o_custkey, ' S', o_orderkey%97), chr(10) order by n) as text from (select o_orderkey, o_custkey, unnest([1,2,3]) as n from orders) as x group by o_orderkey")
+def lines_from_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded text, whose heights count from the foot of a page, out of order, with blank items."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+    item = lambda text, x, dy: F.struct(text.alias("text"), F.lit(x).alias("x"), (700 - F.col("n") * 20 + dy).cast("double").alias("y"), F.lit(9.0).alias("h"))
+    say = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    items = F.array(item(say("S", F.col("o_orderkey") % 97), 300.0, 0), item(F.lit("  "), 5.0, 0), item(say("P", F.col("o_custkey")), 150.0, 2), item(say("L", F.col("n")), 10.0, 1))
+    return layout.lines_from_items(d.select("o_orderkey", F.explode(items).alias("w")).select("o_orderkey", "w.*"), ["o_orderkey"])
+
+
+@query("""select o_orderkey, string_agg(concat('B', i), chr(10) order by i) filter (where i<>1) as text, cast(count(*) as bigint) as n_words, max(top)+5 as lowest from (select o_orderkey, i, greatest(0.0, (i*(cast(1.0 as double)/n) - case when i=0 then 0.0 else cast(0.22 as double)*(cast(1.0 as double)/n) end)*h) as top
+ from (select o_orderkey, cast(300+o_orderkey%500 as double) as h, case when 300+o_orderkey%500 < 1000*0.55 then 3 else 6 end as n, unnest(range(case when 300+o_orderkey%500 < 1000*0.55 then 3 else 6 end)) as i from orders) as x) as y group by o_orderkey""")
+def banded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables read slice by slice by a reader that finds a word in each, and no text in the second one."""
+    tables = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(1000.0).alias("width"), (300 + F.col("o_orderkey") % 500).cast("double").alias("height"))
+    box = lambda text: F.struct(text.alias("text"), F.lit(1.0).alias("x0"), F.lit(5.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(15.0).alias("y1"))
+
+    def read(bands: DataFrame) -> DataFrame:
+        said = F.concat(F.lit("B"), F.col("band").cast("string"))
+        return bands.withColumn("text", F.when(F.col("band") == 1, " ").otherwise(said)).withColumn("words", F.array(box(said), box(F.lit("  "))))
+
+    got = layout.banded_scan(tables, ["o_orderkey"], read)
+    return longs(got.select("o_orderkey", "text", F.size("words").alias("n_words"), F.array_max(F.col("words")["y0"]).alias("lowest")))
+
+
+@query("""with p as (select o_orderkey, cast(800+o_orderkey%500 as double) as w, cast(600+o_orderkey%300 as double) as h, cast(20+o_orderkey%11 as double) as rh from orders),
+ t as (select *, case when o_orderkey%2=0 then w*cast(0.008 as double) else 0 end as tx, case when o_orderkey%2=0 then h*cast(0.08 as double) else h*cast(0.03 as double) end as ty, case when o_orderkey%2=0 then w*cast(0.984 as double) else w end as tw, case when o_orderkey%2=0 then h*cast(0.905 as double) else h*cast(0.955 as double) end as th from p),
+ r as (select *, greatest(ty, ty+10-rh*cast(0.18 as double)) as ry, least(ty+th, ty+10+rh+rh*cast(0.18 as double)) as rb from t)
+ select o_orderkey, round(tx+tw*cast(0.25 as double), 6) as codes_x, round(tw*(cast(0.73 as double)-cast(0.54 as double)), 6) as amount_w, round(ry, 6) as row_y, round(rb-ry, 6) as row_h, round(greatest(0.0, cast(100 as double)-greatest(rh, 12)*cast(0.45 as double)), 6) as strip_y, o_orderkey%20<18 as near from r""")
+def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of tables, columns, padded rows and strips, and which of them overlap."""
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", (800 + k % 500).cast("double").alias("w"), (600 + k % 300).cast("double").alias("h"), (20 + k % 11).cast("double").alias("rh"))
+    d = d.withColumn("t", layout.table_rect(F.col("w"), F.col("h"), F.when(k % 2 == 0, "main").otherwise("overflow")))
+    d = d.withColumn("r", layout.padded(layout.rect(F.col("t.x"), F.col("t.y") + 10, F.col("t.w"), F.col("rh")), F.col("t"))).withColumn("s", layout.strip_rect(F.lit(100.0), F.lit(100.0) + F.col("rh"), F.col("w"), F.col("h")))
+    near = layout.overlap(F.lit(0.0), F.lit(10.0), (k % 20).cast("double"), (k % 20 + 5).cast("double"))
+    six = lambda c: F.round(c, 6)
+    return d.select("o_orderkey", six(layout.column_rect(F.col("t"), "codes")["x"]).alias("codes_x"), six(layout.column_rect(F.col("t"), "amount")["w"]).alias("amount_w"), six(F.col("r.y")).alias("row_y"), six(F.col("r.h")).alias("row_h"), six(F.col("s.y")).alias("strip_y"), near.alias("near"))
+
+
+@query("select o_orderkey, cast(y as bigint) as y, cast(case when y<=o_orderkey%3 then 0.5 else 0.0 end as double) as ink from orders, (values (0),(1),(2),(3)) as v(y)")
+def ink_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pixels a line: two dark ones on the first lines, else light ones."""
+    line = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", line).select("o_orderkey", (F.col("i") % 4).alias("x"), F.floor(F.col("i") / 4).alias("y"))
+    dark = (F.col("y") <= F.col("o_orderkey") % 3) & (F.col("x") < 2)
+    shade = lambda c, light, ink: F.when(dark, ink).otherwise(light).alias(c)
+    return longs(layout.ink_profile(d.select("o_orderkey", "x", "y", shade("r", 255, 250), shade("g", 210, 180), shade("b", 210, 190)), ["o_orderkey"]))
+
+
+@query(f"""with ink as ({INK}), {INK_RUNS} select l_orderkey, cast(s as bigint) as "start", round(cast(100 as double)+greatest(0.0, s-(e-s)*cast(0.18 as double)), 6) as y, round(least(80.0, s+(e-s)+(e-s)*cast(0.18 as double))-greatest(0.0, s-(e-s)*cast(0.18 as double)), 6) as h from runs""")
+def row_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of ink as boxes on their page."""
+    runs = layout.ink_runs(_ink(spark, sf_dir), ["l_orderkey"])
+    tables = runs.select("l_orderkey", layout.rect(F.lit(7.0), F.lit(100.0), F.lit(500.0), F.lit(80.0)).alias("table")).distinct()
+    return longs(layout.row_rects(runs, tables, ["l_orderkey"]).select("l_orderkey", "start", F.round("row.y", 6).alias("y"), F.round("row.h", 6).alias("h")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,9 +59,9 @@ def add_blank_rows(members: DataFrame, new_names: DataFrame) -> DataFrame:
 
 
 def merge_roster(roster: DataFrame, extra: DataFrame) -> DataFrame:
-    """Names of both, each extra one only if it is not there yet, in the order of the language."""
+    """Names of both, each extra one only if it is not there yet; see in_language_order for where they are shown."""
     added = extra.where("name <> ''").join(roster, "name", "left_anti")
-    return roster.select("name").unionByName(added.select("name")).orderBy(F.collate("name", "UNICODE"))
+    return roster.select("name").unionByName(added.select("name"))
 
 
 def add_to_roster(roster: DataFrame, typed: DataFrame) -> DataFrame:
@@ -74,11 +74,16 @@ def rename_in_roster(roster: DataFrame, changes: DataFrame) -> DataFrame:
     a name that is there already, is left out. Changes are judged on the roster as it stands."""
     d = changes.select("name", names.roster_form(F.col("new_name")).alias("_new")).where("_new is not null")
     d = d.join(roster.select(F.col("name").alias("_new")), "_new", "left_anti").dropDuplicates(["_new"])
-    return roster.join(d, "name", "left").select(F.coalesce("_new", "name").alias("name")).orderBy(F.collate("name", "UNICODE"))
+    return roster.join(d, "name", "left").select(F.coalesce("_new", "name").alias("name"))
 
 
 def remove_from_roster(roster: DataFrame, gone: DataFrame) -> DataFrame:
-    return roster.join(gone.select("name"), "name", "left_anti").select("name").orderBy(F.collate("name", "UNICODE"))
+    return roster.join(gone.select("name"), "name", "left_anti").select("name")
+
+
+def in_language_order(roster: DataFrame) -> DataFrame:
+    """The names in the order of the language: a global sort, for where a list is shown or saved."""
+    return roster.orderBy(F.collate("name", "UNICODE"))
 
 
 def cleared(table: DataFrame) -> DataFrame:

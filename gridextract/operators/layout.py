@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridextract.functions.pages import merged_text
 from gridextract.functions.text import let, trimmed
 
 # Columns of a table as shares of its width, and its place on a page.
 COLUMNS = {"name": (0.004, 0.275), "codes": (0.25, 0.56), "amount": (0.54, 0.73)}
 CROP = {"main": (0.008, 0.08, 0.984, 0.905), "overflow": (0.0, 0.03, 1.0, 0.955)}
+#: Bands of a table, and of one that is lower than LOW of its width.
+BANDS, LOW_BANDS, LOW = 6, 3, 0.55
 BAND_OVERLAP, ROW_PAD, STRIP_PAD = 0.22, 0.18, 0.45
 MIN_INK, MAX_GAP, DARK = 0.018, 3, 210
 
@@ -98,6 +103,21 @@ def band_ranges(height: Column, bands: Column, overlap: float = BAND_OVERLAP) ->
     return F.transform(F.sequence(F.lit(0), n - 1), one)
 
 
+def table_bands(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, band, top, bottom: the overlapping slices in which a table is read (tables: keys, width, height): three where
+    it is low, else six."""
+    n = F.when(F.col("height") < F.col("width") * LOW, LOW_BANDS).otherwise(BANDS)
+    return tables.select(*keys, F.posexplode(band_ranges(F.col("height"), n)).alias("band", "r")).select(*keys, "band", "r.top", "r.bottom")
+
+
+def banded_scan(tables: DataFrame, keys: list[str], read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """keys, text, words: what is read from the slices of each table, from top to bottom. read: from table_bands() to the
+    same rows with text and words (boxes in their slice); words are moved to their place on the table."""
+    part = F.struct("band", "text", shifted(F.col("words"), F.col("top")).alias("words"))
+    each = read(table_bands(tables, keys)).groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return each.select(*keys, merged_text(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("")))).alias("text"), F.flatten(F.transform("parts", lambda p: p["words"])).alias("words"))
+
+
 def rect(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 

@@ -34,7 +34,8 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """The export as CSV files, each with the header and a byte order mark at its start, in the order of files and rows."""
+    """The export as CSV files, in the order of files and rows. Each part has the header and a byte order mark at its start,
+    so each opens by itself; for one file, hand in an export that fits one task and coalesce(1) it."""
     named = rows.orderBy("file_name", "row_index").select(*(F.col(c).alias(h) for c, h in zip(FIELDS, HEADER, strict=True)))
     marked = named.toDF("﻿" + HEADER[0], *HEADER[1:])
     marked.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)

@@ -11,12 +11,6 @@ def test_query_equals_sql(same, name):
     same(catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 
 
-def test_stream_ingest_reads_each_file_once(spark):
-    rows = catalog.QUERIES["stream_ingest"](spark, SF)
-    assert rows.count() == 150
-    assert rows.select("file_name", "row_index").distinct().count() == 150
-
-
 def test_entry_imports_and_lists_queries(spark):
     import __spark_entry__ as entry
 

@@ -83,7 +83,7 @@ def test_bad_documents_are_rows(spark):
 
 
 def names_of(d):
-    return [r.name for r in d.collect()]
+    return [r.name for r in edits.in_language_order(d).collect()]
 
 
 def test_roster_store_and_changes(spark, tmp_path):
