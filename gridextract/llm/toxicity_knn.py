@@ -6,8 +6,9 @@ relevance. Inverse document frequencies count all documents; relevance is 1 for
 weight, as without it the cosine of long texts tells their language and not their tone. Norms are those of whole texts;
 terms that no example has count in them as terms of a single document.
 
-Examples lie in blocks; the greatest weight of each term in each block bounds what a block can score, so only blocks that
-can still reach the k best are searched, and the result is exact. Votes of the nearest examples, weighted by distance, are
+Common terms are scored for all examples at once. Examples lie in blocks; the greatest weight of each other term in each
+block bounds what it can add there, so only blocks that can still reach the k best are searched for them, and the result is
+exact. Votes of the nearest examples, weighted by distance, are
 calibrated leave-one-out.
 """
 
@@ -27,8 +28,9 @@ from .labelled import platt, sample, sigmoid
 from .scratch import unused
 from .tokens import Words, as_long, blocks
 
-#: Examples of one block of the index, and texts that are searched together.
-BLOCK, TOGETHER = 128, 128
+#: Examples of one block of the index, texts that are searched together, and the share of the examples that have a common
+#: term.
+BLOCK, TOGETHER, COMMON = 512, 128, 0.05
 
 
 def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,6 +103,7 @@ class Index:
     posting: np.ndarray
     neighbours: int
     prior: float
+    dense: tuple[np.ndarray, np.ndarray] | None = None
 
     def vectors(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a block of texts: document, number of a term and its weight in the text's vector of length 1."""
@@ -112,38 +115,53 @@ class Index:
         norm = np.sqrt(np.bincount(doc, x * x, len(w.n)))
         return doc[hit], at, x[hit] / norm[doc[hit]]
 
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of COMMON of the examples or more, as a matrix of terms by examples (filled up to whole blocks), and
+        the row of each term (-1: none). Made once in each worker."""
+        if self.dense is None:
+            n = np.diff(self.entry_post[self.entry_start])
+            row = np.full(len(n), -1)
+            terms = np.flatnonzero(n >= max(1, COMMON * len(self.y)))
+            row[terms] = np.arange(len(terms))
+            matrix = np.zeros((len(terms), -(-len(self.y) // BLOCK) * BLOCK))
+            at = _ranges(self.entry_post[self.entry_start[terms]], n[terms])
+            matrix[np.repeat(np.arange(len(terms)), n[terms]), self.example[at]] = self.posting[at]
+            self.dense = matrix, row
+        return self.dense
+
     def search(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For texts 0 to n - 1 of these terms and weights: text, example and cosine of its k nearest examples of a cosine
-        over 0, the nearest first (equal ones by number). own: the example that a text itself is, to be left out."""
-        blocks_ = -(-len(self.y) // BLOCK)
+        over 0, the nearest first (equal ones by number). own: the example that a text itself is, to be left out.
+
+        What common terms give is worked out for all examples at once; it is a lower bound of the k best. Only blocks in
+        which the greatest weights of the other terms can lift an example to it are searched for these."""
+        matrix, row_of = self.common()
+        width = matrix.shape[1]
+        row = row_of[term]
+        held = np.zeros((n, len(matrix)))
+        held[doc[row >= 0], row[row >= 0]] = q[row >= 0]
+        score = held @ matrix
+        if own is not None:
+            score[np.arange(n), own] = 0
+        least = lambda: np.partition(score, width - k, axis=1)[:, width - k, None] if width >= k else np.zeros((n, 1))
+        best = least()
+
+        doc, term, q = (x[row < 0] for x in (doc, term, q))
         entries = self.entry_start[term + 1] - self.entry_start[term]
         e = _ranges(self.entry_start[term], entries)
-        of, weight, block = np.repeat(doc, entries), np.repeat(q, entries), self.entry_block[e]
-        bound = np.bincount(of * blocks_ + block, weight * self.entry_bound[e], n * blocks_).reshape(n, blocks_)
-        by_block = np.argsort(block, kind="stable")
-        cut = np.searchsorted(block[by_block], np.arange(blocks_ + 1))
-        score, best = np.zeros((n, blocks_ * BLOCK)), np.zeros((n, k))
-        first = bound.argmax(1) if blocks_ else np.zeros(n, np.int64)
-        for turn in range(2):
-            for b in range(blocks_):
-                # first the most promising block of each text, then those that can still reach its k best
-                need = bound[:, b] > 0
-                need &= first == b if turn == 0 else (first != b) & (bound[:, b] >= best[:, 0] - 1e-9)
-                rows = np.flatnonzero(need)
-                if not len(rows):
-                    continue
-                i = by_block[cut[b] : cut[b + 1]]
-                i = i[need[of[i]]]
-                length = self.entry_post[e[i] + 1] - self.entry_post[e[i]]
-                at = _ranges(self.entry_post[e[i]], length)
-                place = np.repeat(of[i] * BLOCK - b * BLOCK, length) + self.example[at]
-                found = np.bincount(place, np.repeat(weight[i], length) * self.posting[at], n * BLOCK).reshape(n, BLOCK)
-                if own is not None:
-                    mine = rows[own[rows] // BLOCK == b]
-                    found[mine, own[mine] % BLOCK] = 0
-                score[rows, b * BLOCK : (b + 1) * BLOCK] = found[rows]
-                best[rows] = np.partition(np.concatenate([best[rows], found[rows]], 1), -k, axis=1)[:, -k:]
-        text, near = np.nonzero((score > 0) & (score >= best[:, :1]))
+        of, weight = np.repeat(doc, entries), np.repeat(q, entries)
+        cell = of * (width // BLOCK) + self.entry_block[e]
+        bound = score.reshape(n, -1, BLOCK).max(2) + np.bincount(cell, weight * self.entry_bound[e], n * (width // BLOCK)).reshape(n, -1)
+        need = bound >= best - 1e-9
+        i = np.flatnonzero(need.reshape(-1)[cell])
+        e, of, weight = e[i], of[i], weight[i]
+        length = self.entry_post[e + 1] - self.entry_post[e]
+        at = _ranges(self.entry_post[e], length)
+        score += np.bincount(np.repeat(of * width, length) + self.example[at], np.repeat(weight, length) * self.posting[at], n * width).reshape(n, width)
+        score *= np.repeat(need, BLOCK, axis=1)
+        if own is not None:
+            score[np.arange(n), own] = 0
+        text, near = np.nonzero((score > 0) & (score >= least()))
         order = np.lexsort((near, -score[text, near], text))
         text, near = text[order], near[order]
         top = np.arange(len(text)) - np.searchsorted(text, text) < k

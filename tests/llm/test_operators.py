@@ -425,7 +425,8 @@ def test_op4_equals_brute_force(spark, documents, labels):
 
 def test_op4_search_prunes_and_stays_exact(monkeypatch):
     rng = np.random.default_rng(1)
-    for block, together in ((2, 3), (7, 128), (128, 1)):
+    for block, together, common in ((2, 3, 2.0), (7, 128, 0.2), (128, 1, 0.0), (5, 2, 0.2)):
+        monkeypatch.setattr(toxicity_knn, "COMMON", common)
         monkeypatch.setattr(toxicity_knn, "BLOCK", block)
         monkeypatch.setattr(toxicity_knn, "TOGETHER", together)
         dense = np.where(rng.random((53, 40)) < 0.2, rng.integers(1, 4, (53, 40)), 0).astype(float)
