@@ -76,7 +76,8 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     own, set_, kept_ = (unused(docs, c) for c in ("id_", "gone_", "kept_"))
     gone = settled(lambda: recurring_lines(docs, id_col=id_col, text_col=text_col, **params).groupBy("id").agg(F.collect_set("raw_hash").alias(set_)).withColumnRenamed("id", own))
-    out = docs.join(gone, F.col(id_col) == F.col(own), "left")
+    # one kind of plan at every size: what is to go grows with docs, so texts are shuffled to it and it is never broadcast
+    out = docs.join(gone.hint("merge"), F.col(id_col) == F.col(own), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col(set_), F.xxhash64(x)))
     out = out.withColumn(kept_, F.when(F.col(set_).isNull(), lines).otherwise(kept))
