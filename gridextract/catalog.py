@@ -484,14 +484,13 @@ def row_extract_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MEMBERS)
 def row_extract_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with lines of other months after a row, subtotals, legends and rows that are printed twice, the second time
-    with a letter too many and without an amount."""
+    """Pages with lines of other months after a row, subtotals, and rows that are printed twice, the second time with a
+    letter too many and without an amount."""
     d, k = noisy_lines(spark, sf_dir), F.col("line_no")
     again = F.regexp_replace("line", r"^(\S+ \S+) (\d) .*$", "$1S $2 N XXX-XX-0000 E")
     more = F.array(
         F.struct(F.lit(0).alias("n"), F.col("line").alias("line")), F.struct(F.lit(1).alias("n"), F.when(k % 4 == 1, "07/2026 MEDICAL $-1,072.00").alias("line")),
-        F.struct(F.lit(2).alias("n"), F.when(k % 5 == 2, again).alias("line")), F.struct(F.lit(3).alias("n"), F.when(k % 10 == 9, "Subtotal for Bill Group $12,345.00").alias("line")),
-        F.struct(F.lit(4).alias("n"), F.when(k % 15 == 4, "E Employee Only ES Employee and Spouse").alias("line")))
+        F.struct(F.lit(2).alias("n"), F.when(k % 5 == 2, again).alias("line")), F.struct(F.lit(3).alias("n"), F.when(k % 10 == 9, "Subtotal for Bill Group $12,345.00").alias("line")))
     each = d.select("file_name", "page", "line_no", F.explode(F.filter(more, lambda x: x["line"].isNotNull())).alias("x"))
     text = _pages_of(each.select("file_name", "page", F.struct("line_no", "x.n").alias("line_no"), "x.line"))
     got = dedupe.members_of(rows.page_rows(text))
@@ -550,7 +549,7 @@ def plan_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column labels, totals and page numbers where a name should be."""
     k = F.col("p_partkey")
-    name = F.when(k % 7 == 0, F.concat(F.lit(" Subtotal "), k.cast("string"))).when(k % 11 == 0, "family count").when(k % 13 == 0, F.concat(F.lit("Page "), k.cast("string"))).otherwise(F.concat(F.lit("Nadine "), "p_name"))
+    name = F.when(k % 7 == 0, F.concat(F.lit(" Subtotal "), k.cast("string"))).when(k % 11 == 0, "family count").when(k % 13 == 0, F.concat(F.lit("Page "), k.cast("string"))).otherwise(F.concat(F.lit("Pat "), "p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", names.non_member_label(name).alias("label"))
 
 
@@ -574,12 +573,12 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth(spark, sf_dir).select(F.concat("last_name", F.lit(", "), "first_name").alias("name")).distinct()
 
 
-@query(f"{LISTED} union select concat('NEW', upper(substring(s_name, 1, 4)), ', PAT') from supplier")
+@query(f"{LISTED} union select concat('NEW', translate(cast(s_suppkey as varchar), '0123456789', 'ABCDEFGHIJ'), ', PAT') from supplier")
 def roster_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed names: new ones in small letters, ones that are there, and ones without a comma."""
     listed = _listed(spark, sf_dir)
-    new = table(spark, sf_dir, "supplier").select(F.concat(F.lit("new"), F.substring("s_name", 1, 4), F.lit(",  pat")).alias("name"))
-    typed = new.unionByName(listed.select(F.lower("name").alias("name"))).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_phone").alias("name")))
+    new = table(spark, sf_dir, "supplier").select(F.concat(F.lit("new"), F.translate(F.col("s_suppkey").cast("string"), "0123456789", "abcdefghij"), F.lit(",  pat")).alias("name"))
+    typed = new.unionByName(listed.select(F.lower("name").alias("name"))).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("no comma "), "s_name").alias("name")))
     return edits.add_to_roster(listed, typed)
 
 
