@@ -454,7 +454,8 @@ def roster_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts as a stream of files: all of them, then every third file again, of which only the first page is left. The
     rows of each file as they stand in the end."""
-    from gridextract.streaming.ingest import current, ingest, shared_folder
+    from gridextract.sources.shared import shared_folder
+    from gridextract.streaming.ingest import current, ingest
 
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     texts = page_text(spark, sf_dir)

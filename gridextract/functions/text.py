@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def dealt(d: DataFrame, *keys: str) -> DataFrame:
+    """d by keys, in as many partitions as the session shuffles to. Scores and merging are much work on few bytes, so
+    partitions that Spark would put together for their size are kept apart; joins and groups on these keys shuffle no more."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def kept(value: Column, test: Column) -> Column:
     """A generator that gives value if test holds, else no row. value and test should name columns that are there
     already: other than a filter, it is never pushed below the projection that works them out, which would put all of

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridextract.functions.money import merged_charge
-from gridextract.functions.text import let, letters
+from gridextract.functions.text import dealt, let, letters
 
 FIELDS = ("name", "family_count", "coverage", "status", "medical_plan", "charge", "flags", "page")
 
@@ -51,7 +51,7 @@ def merged(a: Column, b: Column) -> Column:
 def dedupe(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys, row_index (from 1), FIELDS. Rows are taken in order; each is merged into the first row so far whose name is
     nearly the same, or is added at the end."""
-    each = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*FIELDS, letters(F.col("name")).alias("letters")).alias("row"))))["row"].alias("rows"))
+    each = dealt(rows, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*FIELDS, letters(F.col("name")).alias("letters")).alias("row"))))["row"].alias("rows"))
     kind = each.schema["rows"].dataType.simpleString()
 
     def add(done: Column, row: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridextract.functions.text import kept, let, letters, name_words, ratio, trimmed
+from gridextract.functions.text import dealt, kept, let, letters, name_words, ratio, trimmed
 from gridextract.operators.dedupe import completeness
 
 # Bounds of scores, flags.
@@ -112,7 +112,7 @@ def assign(roster: DataFrame, members: DataFrame) -> DataFrame:
     quality = completeness({c: F.col(c) for c in ("charge", "family_count", "coverage", "status", "medical_plan")})
     rows = members.select("file_name", "row_index", read_parts(F.col("name")).alias("read"), quality.alias("quality"))
     known = roster.select("file_name", "ord", known_parts(F.col("name")).alias("known"))
-    pairs = known.join(rows, "file_name").select("file_name", "ord", "row_index", "quality", pair_score(F.col("known"), F.col("read")).alias("score"))
+    pairs = dealt(known, "file_name").join(dealt(rows, "file_name"), "file_name").select("file_name", "ord", "row_index", "quality", pair_score(F.col("known"), F.col("read")).alias("score"))
     return greedy(pairs.select("file_name", "ord", "row_index", "quality", kept(F.col("score"), F.col("score") >= MATCH).alias("score")))
 
 
@@ -151,7 +151,8 @@ def fill_from_leftover(matched: DataFrame, leftover: DataFrame) -> DataFrame:
     """matched, with placeholders filled from the leftover rows at a lower bound, or on the last name alone."""
     missing = matched.where(is_missing(F.col("flags"))).select("file_name", F.col("row_index").alias("ord"), "name")
     rows = leftover.select("file_name", "row_index", read_parts(F.col("name")).alias("read"))
-    pairs = missing.select("file_name", "ord", known_parts(F.col("name")).alias("known")).join(rows, "file_name")
+    known = missing.select("file_name", "ord", known_parts(F.col("name")).alias("known"))
+    pairs = dealt(known, "file_name").join(dealt(rows, "file_name"), "file_name")
     pairs = pairs.select("file_name", "ord", "row_index", pair_score(F.col("known"), F.col("read")).alias("full"), last_score(F.col("known"), F.col("read")).alias("last"))
     near = (F.col("full") >= LEFTOVER) | (F.col("last") >= LEFTOVER_LAST)
     taken = greedy(pairs.select("file_name", "ord", "row_index", kept(F.greatest("full", "last"), near).alias("score"), F.lit(0).alias("quality")))
@@ -163,7 +164,7 @@ def fill_from_leftover(matched: DataFrame, leftover: DataFrame) -> DataFrame:
 def leftover_report(matched: DataFrame, leftover: DataFrame) -> DataFrame:
     """Leftover rows that no matched row took or is near to."""
     used = matched.select(F.col("file_name").alias("f"), known_parts(F.col("name")).alias("known"), "ocr_name")
-    rows = leftover.withColumn("parts", read_parts(F.col("name")))
+    rows = dealt(leftover, "file_name").withColumn("parts", read_parts(F.col("name")))
     scored = (pair_score(F.col("known"), F.col("parts")) >= MATCH) | (last_score(F.col("known"), F.col("parts")) >= LEFTOVER_LAST)
     near = (F.col("f") == rows["file_name"]) & ((F.col("ocr_name") == rows["name"]) | scored)
     return rows.join(used, near, "left_anti").drop("parts")

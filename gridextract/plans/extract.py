@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridextract.operators import dedupe, match, meta, pages, quality, rows
+from gridextract.sources.shared import once
 
 
 def extract(page_text: DataFrame) -> DataFrame:
@@ -22,10 +23,10 @@ def headers(page_text: DataFrame) -> DataFrame:
 
 def reconcile(members: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The row of each roster name, and the rows that belong to none."""
-    pairs = match.assign(roster, members)
+    pairs = once(match.assign(roster, members))
     matched = match.apply_roster(roster, members, pairs)
     unused = match.unused_rows(roster, members, pairs)
-    filled = match.fill_from_leftover(matched, unused)
+    filled = once(match.fill_from_leftover(matched, unused))
     return filled, match.leftover_report(filled, unused)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridextract.functions.text import dealt
+
 #: Runs in Spark SQL and in other SQL engines alike.
 TRUTH = """
 select c_custkey k,
@@ -47,7 +49,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_name, page, text: the pages of these lines, under a heading."""
-    d = lines(spark, sf_dir).groupBy("file_name", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
+    d = dealt(lines(spark, sf_dir), "file_name").groupBy("file_name", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
     return d.select("file_name", "page", F.concat(F.lit(HEADING + "\n"), "text", F.lit("\nSubtotal $1.00")).alias("text"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,18 +11,6 @@ from gridextract.plans.extract import extract
 from gridextract.sources.pages import PAGE_TEXT
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Where none is named, a fresh local one if all
-    of Spark runs on this machine; on a cluster that is an error."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="gridextract-stream-")
-    return at
-
-
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Rows of all page texts (Parquet of PAGE_TEXT below source) that are new since the last call, appended to target with
     the batch that brought them. Files are complete as they arrive, so there is no late data and no watermark; a batch
