@@ -213,14 +213,19 @@ def test_op10_round_trip(spark, documents):
     assert all(p.doc_tokens == len(by_doc[p.doc_id]) for p in pieces)
 
 
-def test_op10_ids_equal_the_tokenizers_library():
+def test_op10_ids_equal_the_tokenizers_library(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     import public_tokenizers
 
     slow, fast = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(queries.TOKENIZER)
     rng = random.Random(1)
     parts = [*"abcABC 123\n\t'sté漢字😀!#\x00\u0085　", "<|endoftext|>", "'ll", "  "]
-    for _ in range(2000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    # arbitrary code points of all planes, unassigned ones and private use included
+    point = lambda: rng.choice([rng.randrange(0x800), rng.randrange(0xD800), rng.randrange(0xE000, 0x10000), rng.randrange(0x10000, 0x110000)])
+    texts += ["".join(chr(point()) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    texts += [r.text or "" for r in documents.collect()] + ["a" * 20_000, "é" * 20_000, " " * 20_000, "ab" * 10_000, "漢字" * 5_000]
+    for text in texts:
         assert slow(text).tolist() == fast(text).tolist()
 
 

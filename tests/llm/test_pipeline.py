@@ -1,11 +1,18 @@
 """Each stage of the corpus pipeline on planted cases, and the whole of it."""
 
 import random
+import re
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridextract.llm import simhash_anchor
+from gridextract.llm import decontaminate, simhash_anchor
+from gridextract.llm.labelled import platt
 from gridextract.llm.scratch import written
 from tests.conftest import SF
+from tests.llm.test_operators import brute_toxicity, maximal_matches
 
 
 def table(spark, rows):
@@ -34,6 +41,42 @@ def test_stages_on_odd_tables(spark):
         assert stage(spark, table(spark, rows).limit(0), SF).count() == 0, name
 
 
+def test_stages_with_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for c in ("id", "v", "id_", "v_", "gone_", "kept_", "text_", "Gone__", "node", "component", "group", "least", "score", "evidence", "leaf", "raw", "hashes", "n"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs = written(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        assert 0 < out.count() <= 60 and out.where("id_ <> 'clash' or Gone__ <> 'clash'").count() == 0, name
+
+
+def test_toxicity_and_decontamination_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = {r.doc_id: r.text for r in docs.orderBy("doc_id").collect()}
+    kept = {r.doc_id for r in stages["toxicity"](spark, docs, SF).collect()}
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    nearest, left_out = brute_toxicity(texts, y)
+    odds = lambda s: np.log(np.clip(s, 1e-6, 1 - 1e-6) / (1 - np.clip(s, 1e-6, 1 - 1e-6)))
+    a, b = platt(odds(np.array([left_out[i] for i in y])), np.array([y[i] for i in y], float))
+    score = {i: 1 / (1 + np.exp(-a * odds(share) - b)) for i, (_, share) in nearest.items()}
+    assert {i for i in texts if score[i] < 0.499} <= kept <= {i for i in texts if score[i] < 0.501} and len(kept) < len(texts)
+
+    cut = lambda t: re.findall("[0-9a-z\\x80-\U0010ffff]+", (t or "").lower())
+    items = [cut(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaks = set()
+    for i, t in texts.items():
+        doc = cut(t)
+        own = {tuple(doc[k : k + 5]) for k in range(len(doc) - 4)}
+        for x in items:
+            if any(tuple(x[k : k + 5]) in own for k in range(len(x) - 4)):
+                found = decontaminate.tiles(*np.array(maximal_matches(x, doc, 5), np.int64).reshape(-1, 3).T, 5)
+                leaks |= {i} if 2 * sum(n for _, _, n in found) >= len(x) else set()
+    assert {r.doc_id for r in stages["decontamination"](spark, docs, SF).collect()} == set(texts) - leaks and leaks
+
+
 def test_planted_cases(spark):
     words = "alder birch cedar dogwood elm fir ginkgo hazel iron juniper kapok larch maple nutmeg oak pine quince rowan spruce teak".split()
     text = " ".join(words[(7 * i * i + i) % 20] + str(i % 13) for i in range(300))
