@@ -28,9 +28,10 @@ from .labelled import platt, sample, sigmoid
 from .scratch import unused
 from .tokens import Words, as_long, blocks
 
-#: Examples of one block of the index, texts that are searched together, and the share of the examples that have a common
-#: term.
-BLOCK, TOGETHER, COMMON = 512, 128, 0.05
+#: Rows of a batch that are worked on at once; examples of one block of the index, texts that are searched together, postings that are added up at once, and the share
+#: of the examples that have a common term.
+PART = 512
+BLOCK, TOGETHER, POSTINGS, COMMON = 512, 128, 1 << 19, 0.05
 
 
 def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +52,10 @@ def _known(vocabulary: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _text_blocks(column: pa.Array) -> Iterator[Words]:
-    return blocks(pc.utf8_lower(column), letters=True)
+    """Blocks of lower-cased texts; few texts of a batch are copied at once."""
+    for at in range(0, len(column), PART):
+        for w in blocks(pc.utf8_lower(column.slice(at, PART)), letters=True):
+            yield w._replace(first=w.first + at, last=w.last + at)
 
 
 def _emit_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +160,14 @@ class Index:
         i = np.flatnonzero(need.reshape(-1)[cell])
         e, of, weight = e[i], of[i], weight[i]
         length = self.entry_post[e + 1] - self.entry_post[e]
-        at = _ranges(self.entry_post[e], length)
-        score += np.bincount(np.repeat(of * width, length) + self.example[at], np.repeat(weight, length) * self.posting[at], n * width).reshape(n, width)
+        upto = np.cumsum(length)
+        lo = 0
+        while lo < len(e):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + POSTINGS, "right")))
+            some = length[lo:hi]
+            at = _ranges(self.entry_post[e[lo:hi]], some)
+            score += np.bincount(np.repeat(of[lo:hi] * width, some) + self.example[at], np.repeat(weight[lo:hi], some) * self.posting[at], n * width).reshape(n, width)
+            lo = hi
         score *= np.repeat(need, BLOCK, axis=1)
         if own is not None:
             score[np.arange(n), own] = 0
@@ -234,8 +244,8 @@ def fit_index(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_co
     first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK))[: len(term)])
     index = Index(
         vocabulary, weight, float(np.log((1 + n_docs) / 2) + 1), np.array([str(i) for i in got["id"].to_pylist()], object)[order], y[order],
-        np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), (example[first] // BLOCK).astype(np.int64), np.maximum.reduceat(x, first) if len(x) else x,
-        np.append(first, len(term)), example, x, neighbours, (n1 + 1) / (len(y) + 2))
+        np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), (example[first] // BLOCK).astype(np.int32), np.maximum.reduceat(x, first) if len(x) else x,
+        np.append(first, len(term)).astype(np.int32), example.astype(np.int32), x, neighbours, (n1 + 1) / (len(y) + 2))
 
     shared = spark.sparkContext.broadcast((index, {i: int(p) for i, p in zip(got["id"].to_pylist(), place, strict=True)}))
 
@@ -268,9 +278,14 @@ def score(docs: DataFrame, fitted: tuple[Index, tuple[float, float]], *, text_co
     names = [f.name for f in keep]
     with_evidence = drop_from is None and evidence_col
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Few rows at once, so that what is held besides a batch stays small."""
+        for batch in batches:
+            yield from (batch.slice(at, PART) for at in range(0, batch.num_rows, PART))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             share, rows, best, cosines = np.full(batch.num_rows, index.prior), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for w in _text_blocks(batch.column(batch.num_columns - 1)):
                 for lo, text, example, cosine in index.nearest(w):
