@@ -37,12 +37,14 @@ def first_name(name: Column) -> Column:
 
 
 def last_name_guesses(name: Column) -> list[Column]:
-    """What the last name of a noisy name may be: its last word, its last two words, all of it; null where it is none."""
+    """What the last name of a noisy name may be: its last word, its last two words, all of it; null where it is none or
+    one of those before."""
     w = name_words(_before(name))
     n = F.size(w)
     two = F.array_join(F.slice(w, F.greatest(n - 1, F.lit(1)), 2), "")
-    guesses = F.when(n >= 1, F.element_at(w, -1)), F.when(n >= 2, two), last_name(name)
-    return [F.when(F.char_length(x) >= 2, x) for x in guesses]
+    one, all_ = F.when(n >= 1, F.element_at(w, -1)), last_name(name)
+    said = F.coalesce(all_ == one, F.lit(False)) | (F.coalesce(n, F.lit(0)) >= 2) & F.coalesce(all_ == two, F.lit(False))
+    return [F.when(F.char_length(x) >= 2, x) for x in (one, F.when(n >= 2, two), F.when(~said, all_))]
 
 
 def known_parts(name: Column) -> Column:
@@ -71,8 +73,9 @@ def last_score(known: Column, read: Column) -> Column:
     return F.when((n < 3) | (F.char_length(whole) < 3), F.lit(0.0)).otherwise(top)
 
 
-def pair_score(known: Column, read: Column) -> Column:
-    """match_score of known_parts and read_parts."""
+def pair_score(known: Column, read: Column, least: float = 0.0) -> Column:
+    """match_score of known_parts and read_parts. A score that the last names alone keep under `least` may be given as 0,
+    without a look at the rest."""
     k_last, k_first, r_first, k, r = known["last"], known["first"], read["first"], known["all"], read["all"]
     no_first = (r_first == "") & (F.char_length(k_last) >= 4)
     last = F.greatest(
@@ -80,8 +83,9 @@ def pair_score(known: Column, read: Column) -> Column:
         F.when(no_first, ratio(k_last, F.substring(r, F.lit(1), F.char_length(k_last)))))
     n = F.least(F.lit(8), F.greatest(F.char_length(k_first), F.char_length(r_first), F.lit(1)))
     first = ratio(F.substring(k_first, F.lit(1), n), F.substring(r_first, F.lit(1), n))
-    total = last * F.lit(0.62) + first * F.lit(0.23) + ratio(k, r) * F.lit(0.15)
-    return F.when((F.char_length(k) < 4) | (F.char_length(r) < 3), F.lit(0.0)).otherwise(total)
+    total = lambda x: x * F.lit(0.62) + first * F.lit(0.23) + ratio(k, r) * F.lit(0.15)
+    none = (F.char_length(k) < 4) | (F.char_length(r) < 3)
+    return F.when(none | (last * F.lit(0.62) + F.lit(0.23 + 0.15 + 1e-9) < least), F.lit(0.0)).otherwise(total(last))
 
 
 def last_name_score(last: Column, read: Column) -> Column:
@@ -112,7 +116,7 @@ def assign(roster: DataFrame, members: DataFrame) -> DataFrame:
     quality = completeness({c: F.col(c) for c in ("charge", "family_count", "coverage", "status", "medical_plan")})
     rows = members.select("file_name", "row_index", read_parts(F.col("name")).alias("read"), quality.alias("quality"))
     known = roster.select("file_name", "ord", known_parts(F.col("name")).alias("known"))
-    pairs = dealt(known, "file_name").join(dealt(rows, "file_name"), "file_name").select("file_name", "ord", "row_index", "quality", pair_score(F.col("known"), F.col("read")).alias("score"))
+    pairs = dealt(known, "file_name").join(dealt(rows, "file_name"), "file_name").select("file_name", "ord", "row_index", "quality", pair_score(F.col("known"), F.col("read"), MATCH).alias("score"))
     return greedy(pairs.select("file_name", "ord", "row_index", "quality", kept(F.col("score"), F.col("score") >= MATCH).alias("score")))
 
 
@@ -153,7 +157,7 @@ def fill_from_leftover(matched: DataFrame, leftover: DataFrame) -> DataFrame:
     rows = leftover.select("file_name", "row_index", read_parts(F.col("name")).alias("read"))
     known = missing.select("file_name", "ord", known_parts(F.col("name")).alias("known"))
     pairs = dealt(known, "file_name").join(dealt(rows, "file_name"), "file_name")
-    pairs = pairs.select("file_name", "ord", "row_index", pair_score(F.col("known"), F.col("read")).alias("full"), last_score(F.col("known"), F.col("read")).alias("last"))
+    pairs = pairs.select("file_name", "ord", "row_index", pair_score(F.col("known"), F.col("read"), LEFTOVER).alias("full"), last_score(F.col("known"), F.col("read")).alias("last"))
     near = (F.col("full") >= LEFTOVER) | (F.col("last") >= LEFTOVER_LAST)
     taken = greedy(pairs.select("file_name", "ord", "row_index", kept(F.greatest("full", "last"), near).alias("score"), F.lit(0).alias("quality")))
     filled = _project(missing.join(taken, ["file_name", "ord"], "left_semi"), taken.join(leftover, ["file_name", "row_index"]))
@@ -165,6 +169,6 @@ def leftover_report(matched: DataFrame, leftover: DataFrame) -> DataFrame:
     """Leftover rows that no matched row took or is near to."""
     used = matched.select(F.col("file_name").alias("f"), known_parts(F.col("name")).alias("known"), "ocr_name")
     rows = dealt(leftover, "file_name").withColumn("parts", read_parts(F.col("name")))
-    scored = (pair_score(F.col("known"), F.col("parts")) >= MATCH) | (last_score(F.col("known"), F.col("parts")) >= LEFTOVER_LAST)
+    scored = (pair_score(F.col("known"), F.col("parts"), MATCH) >= MATCH) | (last_score(F.col("known"), F.col("parts")) >= LEFTOVER_LAST)
     near = (F.col("f") == rows["file_name"]) & ((F.col("ocr_name") == rows["name"]) | scored)
     return rows.join(used, near, "left_anti").drop("parts")
