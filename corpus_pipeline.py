@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridextract.llm import decontaminate, line_templates, packing, simhash_anchor, toxicity_knn
 from gridextract.llm.queries import TOKENIZER, table
-from gridextract.llm.scratch import written
+from gridextract.llm.scratch import discard, settled
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        if before is not documents:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -28,9 +28,10 @@ from .labelled import platt, sample, sigmoid
 from .scratch import unused
 from .tokens import Words, as_long, blocks
 
-#: Rows of a batch that are worked on at once; examples of one block of the index, texts that are searched together, postings that are added up at once, and the share
-#: of the examples that have a common term.
+#: Rows of a batch that are worked on at once.
 PART = 512
+#: Examples of one block of the index, texts that are searched together, postings that are added up at once, and the share
+#: of the examples that have a common term.
 BLOCK, TOGETHER, POSTINGS, COMMON = 512, 128, 1 << 19, 0.05
 
 
