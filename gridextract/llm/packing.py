@@ -50,6 +50,14 @@ def piece_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * (n // max_len) + [1 << b for b in range(max_len.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
+def numbered_by_length(cut: DataFrame) -> DataFrame:
+    """cut (length, part, ...) with first: the rows of the same length in parts before its own. Only one row for each
+    length and part is summed up, by length."""
+    n = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(n.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("first")), ["length", "part"])
+
+
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = 1024, end_id: int = 0, emit_ids: bool = True) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset (always 0) and, with
     emit_ids, ids.
@@ -99,9 +107,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
             yield flush()
 
     cut = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, schema))
-    # a row for each length and partition: at most 2 * log2(max_len) + 2 times the number of partitions
-    first = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    first = first.withColumn("first", F.sum("n").over(Window.orderBy("length", "part").rowsBetween(Window.unboundedPreceding, -1)))
-    first = first.select("length", "part", F.coalesce("first", F.lit(0)).alias("first"))
-    return cut.join(first, ["length", "part"]).select(
-        F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if emit_ids else []))
+    first = numbered_by_length(cut)
+    # a row for each of at most 2 * log2(max_len) lengths
+    sizes = sorted((r["length"], r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
+    begin = dict(zip((n for n, _ in sizes), np.cumsum([0, *(k for _, k in sizes)]).tolist(), strict=False))
+    base = F.create_map(*(F.lit(x) for kv in begin.items() for x in kv))[F.col("length")] if begin else F.lit(0).cast("long")
+    return first.select(
+        F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (base + F.col("first") + F.col("rank")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if emit_ids else []))

@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn, decontaminate, line_templates, packing, quality_gbdt, quality_nbsvm, secrets, simhash_anchor, toxicity_knn
+from . import chat_format, debruijn, decontaminate, line_templates, min_bin_slack, packing, quality_gbdt, quality_nbsvm, secrets, simhash_anchor, toxicity_knn
 from .labelled import held_out
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")  # same ids as byte_bpe_50k.json
 
 
@@ -116,6 +117,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, max_len=1024, end_id=0, emit_ids=False)
 
 
+def op12_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return min_bin_slack.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, max_len=4096, end_id=1, emit_ids=False)
+
+
 QUERIES = {
     "op1_string_tiling": op1_string_tiling,
     "op2_quality_nbsvm": op2_quality_nbsvm,
@@ -127,5 +132,6 @@ QUERIES = {
     "op8_quality_gbdt": op8_quality_gbdt,
     "op9_line_templates": op9_line_templates,
     "op10_packing": op10_packing,
+    "op12_min_bin_slack": op12_min_bin_slack,
 }
 ORACLE_SQL = {"op6_chat_prefix": OP6_SQL, "op9_line_templates": OP9_SQL}
