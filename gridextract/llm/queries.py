@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn, decontaminate, line_templates, min_bin_slack, packing, quality_gbdt, quality_nbsvm, secrets, simhash_anchor, toxicity_knn
+from . import chat_format, debruijn, decontaminate, line_templates, merkle, min_bin_slack, packing, quality_gbdt, quality_nbsvm, secrets, simhash_anchor, toxicity_knn
 from .labelled import held_out
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -117,6 +117,52 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, max_len=1024, end_id=0, emit_ids=False)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs are checked against tampered leaves where 7 divides the crc32 of the id."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = merkle.leaf_of(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields))
+    rows = merkle.manifest(docs, fields, claimed=F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, altered))
+    rows = rows.withColumn("folded_root", merkle.folded(F.coalesce("claimed", "leaf"), F.col("steps")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("steps")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+own AS (
+  SELECT doc_id, lang,
+    list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256])) AS crc,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a,
+    coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS b, coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || n_chars + 1, '-') AS b_altered,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS c
+  FROM documents, crc_table),
+hashed AS (SELECT doc_id, lang, sha256(a || b || c) AS leaf, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(a || b_altered || c) ELSE sha256(a || b || c) END AS claimed FROM own),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+tree AS (
+  SELECT lang, 0 AS level, idx, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(h || coalesce(next, '')), (n + 1) // 2 FROM (SELECT *, lead(h) OVER (PARTITION BY lang ORDER BY idx) AS next FROM tree WHERE n > 1) WHERE idx % 2 = 0),
+subroots AS (SELECT lang, h, level AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, idx, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(h || coalesce(next, '')), (n + 1) // 2 FROM (SELECT *, lead(h) OVER (ORDER BY idx) AS next FROM top WHERE n > 1) WHERE idx % 2 = 0),
+climb AS (
+  SELECT doc_id, lang, leaf, 0 AS level, idx AS at, claimed AS h, '' AS proof, n FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.leaf, c.level + 1, c.at // 2, CASE WHEN c.at % 2 = 1 THEN sha256(t.h || c.h) ELSE sha256(c.h || coalesce(t.h, '')) END, c.proof || coalesce(t.h, ''), (c.n + 1) // 2
+  FROM climb c LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM c.lang AND t.level = c.level AND t.idx = xor(c.at, 1) WHERE c.n > 1),
+over AS (
+  SELECT c.doc_id, c.leaf, s.h AS subroot, 0 AS level, s.idx AS at, c.h, c.proof, s.n FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.subroot, c.level + 1, c.at // 2, CASE WHEN c.at % 2 = 1 THEN sha256(t.h || c.h) ELSE sha256(c.h || coalesce(t.h, '')) END, c.proof || coalesce(t.h, ''), (c.n + 1) // 2
+  FROM over c LEFT JOIN top t ON t.level = c.level AND t.idx = xor(c.at, 1) WHERE c.n > 1)
+SELECT o.doc_id, o.leaf, o.subroot, t.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = t.h AS verified
+FROM over o, (SELECT h FROM top WHERE n = 1) t WHERE o.n = 1
+"""
+
+
 def op12_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return min_bin_slack.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, max_len=4096, end_id=1, emit_ids=False)
 
@@ -132,6 +178,7 @@ QUERIES = {
     "op8_quality_gbdt": op8_quality_gbdt,
     "op9_line_templates": op9_line_templates,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
     "op12_min_bin_slack": op12_min_bin_slack,
 }
-ORACLE_SQL = {"op6_chat_prefix": OP6_SQL, "op9_line_templates": OP9_SQL}
+ORACLE_SQL = {"op6_chat_prefix": OP6_SQL, "op9_line_templates": OP9_SQL, "op11_merkle": OP11_SQL}

@@ -1,5 +1,6 @@
 """The Merkle manifest, best-fit packing and spelling variants against plain versions, and on odd tables."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridextract.llm import min_bin_slack, packing, queries
+from gridextract.llm import merkle, min_bin_slack, packing, queries
 from tests.conftest import SF
 
 #: A null id, null, empty and blank texts, repeated rows, an id with two texts, a long text.
@@ -135,3 +136,75 @@ def test_op12_odd_table(spark, odd, tokenizer):
 def test_packing_numbers_have_no_gaps(spark, odd):
     got = packing.pack(odd, queries.TOKENIZER, max_len=8)
     assert sorted(r[0] for r in got.select("sequence_id").collect()) == list(range(got.count()))
+
+
+# Merkle manifest
+
+
+def digest(*texts):
+    return hashlib.sha256("".join(texts).encode()).hexdigest()
+
+
+def plain_leaf(*values):
+    return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def plain_tree(level, fanout):
+    """Root, and of each leaf the digests before and after it by level."""
+    paths, at = [[] for _ in level], list(range(len(level)))
+    while len(level) > 1:
+        runs = [level[i : i + fanout] for i in range(0, len(level), fanout)]
+        for leaf, i in enumerate(at):
+            run, place = runs[i // fanout], i % fanout
+            paths[leaf].append(("".join(run[:place]), "".join(run[place + 1 :])))
+            at[leaf] = i // fanout
+        level = [digest(*run) for run in runs]
+    return level[0], paths
+
+
+def plain_manifest(rows, fanout):
+    """rows: (id, group, leaf) -> Counter of (id, leaf, subroot, root, steps)."""
+    low = lambda v: (v is not None, v)
+    groups = defaultdict(list)
+    for i, g, leaf in rows:
+        groups[g].append((i, leaf))
+    made = []
+    for g in sorted(groups, key=lambda g: (g is not None, (g or "").encode())):
+        groups[g].sort(key=lambda x: (low(x[0]), x[1]))
+        made.append((g, *plain_tree([leaf for _, leaf in groups[g]], fanout)))
+    root, over = plain_tree([sub for _, sub, _ in made], fanout) if made else (None, [])
+    return Counter((i, leaf, sub, root, tuple(path + above)) for (g, sub, paths), above in zip(made, over, strict=True) for (i, leaf), path in zip(groups[g], paths, strict=True))
+
+
+@pytest.mark.parametrize(("n", "fanout", "langs"), [(0, 2, 1), (1, 2, 1), (2, 2, 2), (65, 2, 1), (700, 2, 3), (300, 3, 2), (40, 100, 3), (130, 2, 130)])
+def test_manifest_equals_plain_trees(spark, n, fanout, langs):
+    rnd = random.Random(n)
+    names = [None, "", "é", "z", *(f"g{i}" for i in range(langs))][: max(langs, 1) + 1]
+    rows = [(None if i % 50 == 7 else i // 2, rnd.choice(names[: 1 + i % len(names)]), rnd.choice([None, "", "text é", f"t{i}"])) for i in range(n)]
+    rows += rows[: n // 3]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    for c in ("id", "h", "tree", "index", "level", "key", "row", "at", "all", "group", "steps", "root"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = merkle.manifest(d, ["doc_id", "lang", "text"], fanout=fanout).collect()
+    want = plain_manifest([(i, g, plain_leaf(i, g, t)) for i, g, t in rows], fanout)
+    assert Counter((r["doc_id"], r["leaf"], r["subroot"], r["root"], tuple((s["before"], s["after"]) for s in r["steps"])) for r in got) == want
+
+
+def test_op11_finds_tampering(spark):
+    rows = queries.op11_merkle(spark, SF).collect()
+    for r in rows:
+        assert r["verified"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 != 0) == (r["folded_root"] == r["root"])
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = plain_manifest([(i, d["lang"], plain_leaf(*(d[c] for c in ("doc_id", "source", "lang", "n_chars", "text")))) for i, d in docs.items()], 2)
+    assert Counter((r["doc_id"], r["leaf"], r["subroot"], r["root"], r["proof_sha256"]) for r in rows) == Counter((*k[:4], digest(*(a + b for a, b in k[4]))) for k in want)
+
+
+def test_op11_of_odd_columns(spark, tmp_path):
+    rows = [(1, None, None, None, None), (None, "s", "en", 5, "x"), (7, "s", None, None, ""), (14, "s", "en", 3, "y" * 100_000), (14, "s", "en", 3, "y" * 100_000)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op11_merkle(spark, str(tmp_path)).collect()
+    want = plain_manifest([(r[0], r[2], plain_leaf(*r)) for r in rows], 2)
+    assert Counter((r["doc_id"], r["leaf"], r["subroot"], r["root"], r["proof_sha256"]) for r in got) == Counter((*k[:4], digest(*(a + b for a, b in k[4]))) for k in want.elements())
+    for r in got:
+        altered = r["doc_id"] == 14 and zlib.crc32(b"14") % 7 == 0
+        assert r["verified"] != altered
