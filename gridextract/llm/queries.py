@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn, decontaminate, line_templates, merkle, min_bin_slack, packing, quality_gbdt, quality_nbsvm, secrets, simhash_anchor, toxicity_knn
+from . import chat_format, debruijn, decontaminate, line_templates, merkle, min_bin_slack, packing, quality_gbdt, quality_nbsvm, secrets, simhash_anchor, spelling, toxicity_knn
 from .labelled import held_out
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -167,6 +167,45 @@ def op12_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return min_bin_slack.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, max_len=4096, end_id=1, emit_ids=False)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.dictionary(table(spark, sf_dir, "documents"), slip_every=97))
+
+
+def _crc_of_bit(bit: int) -> int:
+    """What a bit of the lowest byte does to the other bits of a crc32 as that byte leaves."""
+    c = 1 << bit
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+_CRC_BYTE = "c // 256"
+for _bit in range(8):
+    _CRC_BYTE = f"xor({_CRC_BYTE}, (xor(c, b) // {1 << _bit} % 2) * {_crc_of_bit(_bit)})"
+OP13_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL HAVING length(run) >= 5),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END))), lambda c, b: {_CRC_BYTE})) AS h FROM runs),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING sum(k) >= 3 AND length(word) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n FROM cut x JOIN cut y ON x.less = y.less AND x.i = y.i AND x.word <> y.word
+  UNION SELECT w.word, c.word, c.n FROM words w JOIN cut c ON c.less = w.word
+  UNION SELECT c.word, w.word, w.n FROM words w JOIN cut c ON c.less = w.word),
+best AS (SELECT word, count(*) AS n_near, min(row(-n, other)) AS b FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * w.n THEN b[2] END AS form, CAST(CASE WHEN -b[1] >= 2 * w.n THEN -b[1] END AS BIGINT) AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (SELECT word, word AS at, form AS next FROM formed UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN formed f ON f.word = w.next)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w ON w.word = f.word AND w.next IS NULL
+"""
+
+
 QUERIES = {
     "op1_string_tiling": op1_string_tiling,
     "op2_quality_nbsvm": op2_quality_nbsvm,
@@ -180,5 +219,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
     "op12_min_bin_slack": op12_min_bin_slack,
+    "op13_spelling": op13_spelling,
 }
-ORACLE_SQL = {"op6_chat_prefix": OP6_SQL, "op9_line_templates": OP9_SQL, "op11_merkle": OP11_SQL}
+ORACLE_SQL = {"op6_chat_prefix": OP6_SQL, "op9_line_templates": OP9_SQL, "op11_merkle": OP11_SQL, "op13_spelling": OP13_SQL}

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridextract.llm import merkle, min_bin_slack, packing, queries
+from gridextract.llm import merkle, min_bin_slack, packing, queries, spelling
 from tests.conftest import SF
 
 #: A null id, null, empty and blank texts, repeated rows, an id with two texts, a long text.
@@ -208,3 +209,80 @@ def test_op11_of_odd_columns(spark, tmp_path):
     for r in got:
         altered = r["doc_id"] == 14 and zlib.crc32(b"14") % 7 == 0
         assert r["verified"] != altered
+
+
+# spelling variants
+
+
+def plain_runs(text):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall("[A-Za-zÀ-ÿ]+", text or "")]
+
+
+def plain_words(rows, every, shortest=5, least=3):
+    n = Counter()
+    for doc, text in rows:
+        for run in plain_runs(text):
+            h = zlib.crc32(f"{doc}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if doc is not None and every and h % every == 0 else run] += 1
+    return {w: k for w, k in n.items() if len(w) >= shortest and k >= least}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain_variants(words):
+    near = defaultdict(list)
+    every = sorted(words)
+    for i, a in enumerate(every):
+        for b in every[i + 1 :]:
+            if abs(len(a) - len(b)) < 2 and one_edit(a, b):
+                near[a].append(b)
+                near[b].append(a)
+    form = {}
+    for w in every:
+        best = min(near[w], key=lambda o: (-words[o], o), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {(w, form[w], root(w), words[w], len(near[w]), words.get(form[w])) for w in every}
+
+
+def variant_rows(df):
+    got = df.collect()
+    out = {(r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in got}
+    assert len(out) == len(got)
+    return out
+
+
+@pytest.mark.parametrize("most_pairs", [0, 3, 1 << 13])
+def test_variants_of_random_words(spark, most_pairs, monkeypatch):
+    rnd = random.Random(9)
+    monkeypatch.setattr(spelling.near_pairs, "__kwdefaults__", {"most_pairs": most_pairs})
+    words = {"".join(rnd.choice("abé") for _ in range(rnd.randint(1, 7))): rnd.randint(1, 60) for _ in range(350)}
+    words |= {"x" * 4_000 + a: k for a, k in (("", 9), ("y", 4), ("yz", 1), ("q", 4))}
+    got = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    assert variant_rows(got) == plain_variants(words)
+
+
+def test_dictionary_of_odd_texts(spark, odd, monkeypatch):
+    monkeypatch.setattr(spelling, "HELD", 3)
+    texts = [*ODD, (8, "Straße STRASSE É×÷ÿ Ā a1b “naïve” naïve NAÏVE " * 5), (9, "éa中bÉÀ"), (10, "slips of the pen " * 40)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("n", F.lit("clash")).withColumn("id", F.lit(0))
+    for every in (None, 1, 3):
+        got = spelling.dictionary(d, shortest=3, least=2, slip_every=every).collect()
+        assert {r["word"]: r["n"] for r in got} == plain_words(texts, every, 3, 2) and len(got) == len({r["word"] for r in got})
+    assert spelling.variants(spelling.dictionary(d.limit(0))).count() == 0
+
+
+def test_op13_query(spark):
+    got = variant_rows(queries.op13_spelling(spark, SF))
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert got == plain_variants(plain_words(rows, 97))
