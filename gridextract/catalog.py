@@ -450,20 +450,51 @@ def roster_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.remove_from_roster(known, d.where("s_suppkey % 5 = 1").select(F.upper("s_name").alias("name")))
 
 
-@query(f"select file_name, cast(row_number() over (partition by file_name order by k) as bigint) as row_index, concat(last_name, ', ', first_name) as name, cast(cents/100.0 as double) as charge from ({TRUTH}) as t where page=1 or floor(k/90)%3<>1")
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts as a stream of files: all of them, then every third file again, of which only the first page is left. The
-    rows of each file as they stand in the end."""
+#: What becomes of the files of plans.fixtures in three uploads, by their number n:
+#: n % 6 = 0 comes once; 1 is emptied, and empty again; 2 comes again as it was, then with its first page only; 3 cannot be
+#: read, then comes back as it was; 4 cannot be read at first, then is there with its first page; 5 cannot be read in the end.
+STREAMED = f"""
+select *, cast(k as bigint) // 90 as n, case when cast(k as bigint) // 90 % 6 in (0, 3) then true when cast(k as bigint) // 90 % 6 in (2, 4) then page = 1 else false end as stays from ({TRUTH}) as t
+"""
+
+
+def _streamed(spark: SparkSession, sf_dir: str, **options) -> str:
+    """The folder of the stream after the three uploads."""
     from gridextract.sources.shared import shared_folder
-    from gridextract.streaming.ingest import current, ingest
+    from gridextract.streaming.ingest import arrivals_of, ingest
 
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    texts = page_text(spark, sf_dir)
-    again = (F.regexp_extract("file_name", r"(\d+)", 1).cast("int") % 3 == 1) & (F.col("page") == 1)
-    for batch in (texts, texts.where(again)):
-        batch.write.mode("append").parquet(f"{at}/in")
-        ingest(spark, f"{at}/in", f"{at}/out", f"{at}/state").awaitTermination()
-    return longs(current(spark, f"{at}/out").select("file_name", "row_index", "name", "charge"))
+    texts = page_text(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    kind = F.regexp_extract("file_name", r"(\d+)", 1).cast("int") % 6
+    failed = texts.select("file_name", F.lit(0).alias("page"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("Failed to parse: "), "file_name").alias("error")).distinct()
+    emptied = texts.where("page = 1").withColumn("text", F.lit(HEADING))
+    first_page = texts.where("page = 1")
+    uploads = (
+        texts.where(kind != 4).unionByName(failed.where(kind == 4)),
+        emptied.where(kind == 1).unionByName(texts.where(kind == 2)).unionByName(failed.where(kind == 3)).unionByName(first_page.where(kind == 4)),
+        emptied.where(kind == 1).unionByName(first_page.where(kind == 2)).unionByName(texts.where(kind == 3)).unionByName(failed.where(kind == 5)),
+    )
+    for number, upload in enumerate(uploads):
+        arrivals_of(upload, number).write.mode("append").parquet(f"{at}/in")
+        ingest(spark, f"{at}/in", f"{at}/out", f"{at}/state", **options).awaitTermination()
+    return f"{at}/out"
+
+
+@query(f"select file_name, cast(0 as bigint) as first, cast(row_number() over (partition by file_name order by k) as bigint) as row_index, concat(last_name, ', ', first_name) as name, cast(cents/100.0 as double) as charge from ({STREAMED}) as s where stays")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all files as they stand after uploads that repeat, empty, replace, lose and bring back files."""
+    from gridextract.streaming.ingest import current
+
+    return longs(current(spark, _streamed(spark, sf_dir)).select("file_name", "first", "row_index", "name", "charge"))
+
+
+@query(f"select file_name, cast(case n % 6 when 0 then 1 when 3 then 3 else 2 end as bigint) as version, case when n % 6 = 5 then 'failed' else 'new' end as status, case when n % 6 = 5 then concat('Failed to parse: ', file_name) end as error, cast(case n % 6 when 0 then 0 when 4 then 1 else 2 end as bigint) as arrival, cast(count(*) filter (where stays) as bigint) as n_rows from ({STREAMED}) as s group by file_name, n")
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files after the same uploads: how often each has changed, whether it could be read, and its lines of people."""
+    from gridextract.streaming.ingest import files
+
+    people = lambda pages: rows.text_lines(pages).where(F.col("line").contains("XXX-XX-"))
+    return longs(files(spark, _streamed(spark, sf_dir, read=people)).select("file_name", "version", "status", "error", "arrival", "n_rows"))
 
 
 MEMBERS = f"select file_name, cast(row_number() over (partition by file_name order by k) as bigint) as row_index, concat(last_name, ', ', first_name) as name, cast(family_count as bigint) as family_count, coverage, status, plan as medical_plan, cast(cents/100.0 as double) as charge from ({TRUTH}) as t"
