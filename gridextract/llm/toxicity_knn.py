@@ -1,15 +1,17 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are all lower-cased words (runs of letters and digits) of all examples. A term weighs (1 + log of its count) * idf *
-relevance. Inverse document frequencies count all documents; relevance is 1 for a term that does not go with the label, and
-1 + z for one whose share of the examples of label 1 lies z standard deviations over that of label 0: a supervised term
-weight, as without it the cosine of long texts tells their language and not their tone. Norms are those of whole texts;
-terms that no example has count in them as terms of a single document.
+Terms are all lower-cased words (runs of letters and digits) of all examples. A term weighs (1 + log of its count) * idf.
+Inverse document frequencies count all documents; norms are those of whole texts; terms that no example has count in them
+as terms of a single document. Search and evidence know no labels.
 
 Common terms are scored for all examples at once. Examples lie in blocks; the greatest weight of each other term in each
 block bounds what it can add there, so only blocks that can still reach the k best are searched for them, and the result is
-exact. Votes of the nearest examples, weighted by distance, are
-calibrated leave-one-out.
+exact. Equal cosines go by the ids of the examples.
+
+The votes of the nearest examples are weighted by distance, and by what a cosine is made of, as that of long texts tells
+their language more than their tone: a term is telling by z if its share of the examples of label 1 lies z standard
+deviations over that of label 0 (at least TELLING). A vote for label 1 counts 1 + the mean z of the terms that make up its
+cosine; a vote for label 0 counts less the more telling terms the text has. The result is calibrated leave-one-out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import platt, sample, sigmoid
-from .scratch import unused
+from .scratch import discard, unused, written
 from .tokens import Words, as_long, blocks
 
 #: Rows of a batch that are worked on at once.
@@ -33,6 +35,8 @@ PART = 512
 #: Examples of one block of the index, texts that are searched together, postings that are added up at once, and the share
 #: of the examples that have a common term.
 BLOCK, TOGETHER, POSTINGS, COMMON = 512, 128, 1 << 19, 0.05
+#: Standard deviations from which a term is telling, and tasks for each core that count the terms of all documents.
+TELLING, TASKS = 4, 8
 
 
 def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +95,8 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """vocabulary: sorted hashes; weight: idf * relevance of each term; unknown: idf of all other terms; ids (as text) and y
-    of the examples. Each term has entries, one for each block that holds it, entry_start[t] to entry_start[t + 1]: block,
+    """vocabulary: sorted hashes; weight: idf of each term; unknown: idf of all other terms; ids (as text), y and rank (by
+    id) of the examples; telling: z of each term, 0 if it is not telling. Each term has entries, one for each block that holds it, entry_start[t] to entry_start[t + 1]: block,
     greatest weight there, and its postings (example, weight) from entry_post[e] to entry_post[e + 1]."""
 
     vocabulary: np.ndarray
@@ -108,6 +112,8 @@ class Index:
     posting: np.ndarray
     neighbours: int
     prior: float
+    telling: np.ndarray
+    rank: np.ndarray
     dense: tuple[np.ndarray, np.ndarray] | None = None
 
     def vectors(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,9 +140,10 @@ class Index:
             self.dense = matrix, row
         return self.dense
 
-    def search(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts 0 to n - 1 of these terms and weights: text, example and cosine of its k nearest examples of a cosine
-        over 0, the nearest first (equal ones by number). own: the example that a text itself is, to be left out.
+    def search(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For texts 0 to n - 1 of these terms and weights: text, example, cosine and what telling terms have in it (each by
+        its z) of its k nearest examples of a cosine over 0, the nearest first (equal ones by rank). own: the example that a
+        text itself is, to be left out.
 
         What common terms give is worked out for all examples at once; it is a lower bound of the k best. Only blocks in
         which the greatest weights of the other terms can lift an example to it are searched for these."""
@@ -150,6 +157,7 @@ class Index:
             score[np.arange(n), own] = 0
         least = lambda: np.partition(score, width - k, axis=1)[:, width - k, None] if width >= k else np.zeros((n, 1))
         best = least()
+        told = self._told(doc, term, q, n, width)
 
         doc, term, q = (x[row < 0] for x in (doc, term, q))
         entries = self.entry_start[term + 1] - self.entry_start[term]
@@ -173,24 +181,38 @@ class Index:
         if own is not None:
             score[np.arange(n), own] = 0
         text, near = np.nonzero((score > 0) & (score >= least()))
-        order = np.lexsort((near, -score[text, near], text))
+        order = np.lexsort((self.rank[near], -score[text, near], text))
         text, near = text[order], near[order]
         top = np.arange(len(text)) - np.searchsorted(text, text) < k
-        return text[top], near[top], score[text[top], near[top]]
-
-    def nearest(self, w: Words, own: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """search() for a block of texts, TOGETHER at once: the first of them, and what search() gives."""
+        return text[top], near[top], score[text[top], near[top]], told[text[top], near[top]]
+
+    def _told(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, width: int) -> np.ndarray:
+        """For n texts and all examples: the part of the cosine that comes from telling terms, each by its z."""
+        some = self.telling[term] > 0
+        doc, term, q = doc[some], term[some], q[some] * self.telling[term[some]]
+        first = self.entry_post[self.entry_start[term]]
+        k = self.entry_post[self.entry_start[term + 1]] - first
+        at = _ranges(first, k)
+        return np.bincount(np.repeat(doc * width, k) + self.example[at], np.repeat(q, k) * self.posting[at], n * width).reshape(n, width)
+
+    def nearest(self, w: Words, own: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """search() for a block of texts, TOGETHER at once: the first of them, text, example and cosine of their nearest, and
+        the share() of each text."""
         doc, term, q = self.vectors(w)
         for lo in range(0, len(w.n), TOGETHER):
             a, b = np.searchsorted(doc, [lo, lo + TOGETHER])
             n = min(TOGETHER, len(w.n) - lo)
-            yield lo, *self.search(doc[a:b] - lo, term[a:b], q[a:b], n, self.neighbours, None if own is None else own[lo : lo + n])
+            *found, told = self.search(doc[a:b] - lo, term[a:b], q[a:b], n, self.neighbours, None if own is None else own[lo : lo + n])
+            mass = np.bincount(doc[a:b] - lo, q[a:b] * self.telling[term[a:b]], n)
+            yield lo, *found, self.share(*found, told, mass)
 
-    def votes(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
-        """Share of label 1 among the neighbours of each of n texts, each weighted by cosine over distance; the prior
-        counts as much as one of a cosine of 0.05."""
-        w = cosine / (1.05 - np.minimum(cosine, 1))
-        return (np.bincount(text, w * self.y[example], n) + 0.05 * self.prior) / (np.bincount(text, w, n) + 0.05)
+    def share(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, told: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """Share of label 1 among the neighbours of each text, each weighted by cosine over distance, by 1 + told / cosine
+        for label 1, and by 1 / (1 + mass) for label 0, where mass is the sum of the text's weights, each by its z. The
+        prior counts as much as one of a cosine of 0.05."""
+        y = self.y[example]
+        w = cosine / (1.05 - np.minimum(cosine, 1)) * np.where(y == 1, 1 + told / cosine, 1 / (1 + mass[text]))
+        return (np.bincount(text, w * y, len(mass)) + 0.05 * self.prior) / (np.bincount(text, w, len(mass)) + 0.05)
 
 
 def _log_odds(share: np.ndarray) -> np.ndarray:
@@ -198,22 +220,29 @@ def _log_odds(share: np.ndarray) -> np.ndarray:
     return np.log(share / (1 - share))
 
 
-def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """1 + z of terms that are in with_1 of n1 and in with_0 of n0 examples, 1 where z is negative."""
+def telling(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """z of terms that are in with_1 of n1 and in with_0 of n0 examples; 0 if it is under TELLING."""
     n1, n0 = max(n1, 1), max(n0, 1)
     p = (with_1 + with_0) / (n1 + n0)
-    return 1 + np.maximum(0, (with_1 / n1 - with_0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12))
+    z = (with_1 / n1 - with_0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    return np.where(z >= TELLING, z, 0)
 
 
-def fit_index(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, neighbours: int = 30) -> tuple[Index, tuple[float, float]]:
+def fit_index(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, max_terms: int = 1 << 24, neighbours: int = 50) -> tuple[Index, tuple[float, float]]:
     """Index of at most max_rows labelled examples (labelled.sample), with all of their terms, and the scale that turns
-    votes into probabilities. What the driver holds are the terms of these examples; document frequencies count all rows
-    of docs and are added up by Spark."""
+    votes into probabilities. What the driver holds are the terms of these examples, each counted once for an example, of
+    which max_terms is the bound: beyond it, a ValueError asks for a smaller max_rows. Document frequencies count all rows of
+    docs; they are added up by Spark, in TASKS tasks for each core at most, so that what is shuffled does not grow with the
+    number of partitions."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     train = sample(docs, labels, label, max_rows, id_col=id_col, text_col=text_col).select("id", "y", "text")
     lists = [T.StructField("term", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.IntegerType()))]
-    got = train.mapInArrow(_emit_examples, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), *lists])).orderBy("id").toArrow()
+    cut = written(train.mapInArrow(_emit_examples, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), *lists])))
+    if (held := cut.agg(F.sum(F.size("term"))).first()[0] or 0) > max_terms:
+        raise ValueError(f"the examples have {held} terms, which is over max_terms: take a smaller max_rows")
+    got = cut.orderBy("id").toArrow()
+    discard(cut)
     y = got["y"].to_numpy().astype(float)
     term, n = (got[c].combine_chunks() for c in ("term", "n"))
     of = np.repeat(np.arange(len(y)), np.diff(term.offsets.to_numpy()))
@@ -223,12 +252,13 @@ def fit_index(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_co
 
     shared = spark.sparkContext.broadcast(vocabulary)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    df = docs.select(text).mapInArrow(_emit_counts(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    few = docs.select(text).coalesce(TASKS * spark.sparkContext.defaultParallelism)
+    df = few.mapInArrow(_emit_counts(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     number, times = df["term"].to_numpy(), df["n"].to_numpy()
     n_docs, frequency = int(times[number < 0].sum()), np.zeros(len(vocabulary))
     frequency[number[number >= 0]] = times[number >= 0]
     shared.destroy()
-    weight = (np.log((1 + n_docs) / (1 + frequency)) + 1) * relevance(*counts, n1, len(y) - n1)
+    weight = np.log((1 + n_docs) / (1 + frequency)) + 1
 
     # examples whose commonest and heaviest terms are the same lie in the same blocks, so that bounds are tight
     common, heavy = np.full(len(y), -1), np.full(len(y), -1)
@@ -246,7 +276,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_co
     index = Index(
         vocabulary, weight, float(np.log((1 + n_docs) / 2) + 1), np.array([str(i) for i in got["id"].to_pylist()], object)[order], y[order],
         np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), (example[first] // BLOCK).astype(np.int32), np.maximum.reduceat(x, first) if len(x) else x,
-        np.append(first, len(term)).astype(np.int32), example.astype(np.int32), x, neighbours, (n1 + 1) / (len(y) + 2))
+        np.append(first, len(term)).astype(np.int32), example.astype(np.int32), x, neighbours, (n1 + 1) / (len(y) + 2), telling(*counts, n1, len(y) - n1), order)
 
     shared = spark.sparkContext.broadcast((index, {i: int(p) for i, p in zip(got["id"].to_pylist(), place, strict=True)}))
 
@@ -256,7 +286,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_co
             for w in _text_blocks(batch.column("text")):
                 rows = batch.slice(w.first, w.last - w.first)
                 own = np.array([number[i] for i in rows.column("id").to_pylist()], np.int64)
-                parts = [index.votes(*found, min(TOGETHER, len(own) - lo)) for lo, *found in index.nearest(w, own)]
+                parts = [share for *_, share in index.nearest(w, own)]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([np.zeros(0), *parts]))], ["place", "share"])
 
     got = train.mapInArrow(left_out, "place long, share double").orderBy("place").toArrow()
@@ -289,9 +319,8 @@ def score(docs: DataFrame, fitted: tuple[Index, tuple[float, float]], *, text_co
         for batch in parts(batches):
             share, rows, best, cosines = np.full(batch.num_rows, index.prior), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for w in _text_blocks(batch.column(batch.num_columns - 1)):
-                for lo, text, example, cosine in index.nearest(w):
-                    n = min(TOGETHER, len(w.n) - lo)
-                    share[w.first + lo : w.first + lo + n] = index.votes(text, example, cosine, n)
+                for lo, text, example, cosine, some in index.nearest(w):
+                    share[w.first + lo : w.first + lo + len(some)] = some
                     top = np.arange(len(text)) - np.searchsorted(text, text) < evidence
                     for held, x in ((rows, text[top] + w.first + lo), (best, example[top]), (cosines, cosine[top])):
                         held.append(x)

@@ -369,7 +369,7 @@ def test_op1_without_membership_test(spark, monkeypatch):
     assert few == sorted((r.doc_id, r.item_id) for r in decontaminate.leaked_items(docs, test).collect()) != []
 
 
-def brute_toxicity(texts, y, k=30):
+def brute_toxicity(texts, y, k=50):
     """Cosines of the k nearest examples of each text, and its share of votes, from whole texts and dense vectors; an
     example is not its own neighbour in `left_out`."""
     terms = {i: Counter(re.findall("[0-9a-z\\x80-\U0010ffff]+", (t or "").lower())) for i, t in texts.items()}
@@ -381,11 +381,12 @@ def brute_toxicity(texts, y, k=30):
     one, zero = (Counter(w for i in ids if y[i] == v for w in terms[i]) for v in (1, 0))
 
     def weight(w):
-        if w not in number:
-            return np.log((1 + len(texts)) / 2) + 1
+        return np.log((1 + len(texts)) / (1 + df[w] if w in number else 2)) + 1
+
+    def telling(w):
         p = (one[w] + zero[w]) / (n1 + n0)
         z = (one[w] / max(n1, 1) - zero[w] / max(n0, 1)) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-12)
-        return (np.log((1 + len(texts)) / (1 + df[w])) + 1) * (1 + max(0, z))
+        return z if z >= 4 else 0
 
     rows = {i: {w: (1 + np.log(c)) * weight(w) for w, c in terms[i].items()} for i in texts}
     dense = np.zeros((len(texts), len(number)))
@@ -395,21 +396,23 @@ def brute_toxicity(texts, y, k=30):
             if w in number:
                 dense[n, number[w]] = x / norm
     at = {i: n for n, i in enumerate(texts)}
-    cosine = dense @ dense[[at[i] for i in ids]].T
+    of = dense[[at[i] for i in ids]]
+    z = np.array([telling(w) for w in number])
+    cosine, told, mass = dense @ of.T, dense * z @ of.T, dense @ z
     label = np.array([y[i] for i in ids])
 
-    def share(row):
-        best = np.argsort(-row, kind="stable")[:k]
+    def share(row, n):
+        best = np.lexsort((np.array(ids), -np.round(row, 12)))[:k]
         best = best[row[best] > 0]
-        w = row[best] / (1.05 - np.minimum(row[best], 1))
+        w = row[best] / (1.05 - np.minimum(row[best], 1)) * np.where(label[best] == 1, 1 + told[n, best] / row[best], 1 / (1 + mass[n]))
         return np.sort(row[best])[::-1], ((w * label[best]).sum() + 0.05 * (n1 + 1) / (n1 + n0 + 2)) / (w.sum() + 0.05)
 
     left_out = {}
     for n, i in enumerate(ids):
         row = cosine[at[i]].copy()
         row[n] = 0
-        left_out[i] = share(row)[1]
-    return {i: share(cosine[at[i]]) for i in texts}, left_out
+        left_out[i] = share(row, at[i])[1]
+    return {i: share(cosine[at[i]], at[i]) for i in texts}, left_out
 
 
 def test_op4_equals_brute_force(spark, documents, labels):
@@ -438,11 +441,12 @@ def test_op4_search_prunes_and_stays_exact(monkeypatch):
         term, example = np.nonzero(dense.T)
         x = dense.T[term, example]
         first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block)))
-        index = toxicity_knn.Index(np.arange(40, dtype=np.uint64), np.ones(40), 1.0, np.arange(53).astype(str).astype(object), rng.integers(0, 2, 53).astype(float), np.searchsorted(term[first], np.arange(41)), example[first] // block, np.maximum.reduceat(x, first), np.append(first, len(term)), example, x, 5, 0.5)
+        index = toxicity_knn.Index(np.arange(40, dtype=np.uint64), np.ones(40), 1.0, np.arange(53).astype(str).astype(object), rng.integers(0, 2, 53).astype(float), np.searchsorted(term[first], np.arange(41)), example[first] // block, np.maximum.reduceat(x, first), np.append(first, len(term)), example, x, 5, 0.5, np.where(np.arange(40) % 3, 0, 7.0), np.arange(53))
         q = np.where(rng.random((30, 40)) < 0.3, rng.random((30, 40)), 0)
         q[4] = 0
         doc, at = np.nonzero(q)
-        text, near, cosine = index.search(doc, at, q[doc, at], 30, 5)
+        text, near, cosine, told = index.search(doc, at, q[doc, at], 30, 5)
+        assert told == pytest.approx((q * index.telling @ dense.T)[text, near])
         for d in range(30):
             every = dense @ q[d]
             order = np.lexsort((np.arange(53), -np.round(every, 9)))[:5]
