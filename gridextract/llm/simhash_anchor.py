@@ -7,12 +7,17 @@ within the covering radius + t of the second. So each fingerprint goes to every
 nearest, and homes are compared with all that came to the anchor: no link is lost, whatever the data.
 
 COARSE has three blocks: the perfect Golay code (radius 3) for 23 bits, twice, and Hamming [15,11] with the 3-bit
-repetition code (radius 2) for 18, 4096 anchors each. FINE has two blocks of 32 bits: Golay, Hamming [7,4] and two bits as
-they are (radius 4), 2^18 anchors each; it sends a fingerprint to three times as many anchors, but compares a twentieth of
-the pairs, so it serves for very many distinct fingerprints. Both find all links.
-
-A fingerprint only estimates a similarity. similar_pairs holds the documents of a component of such links against each
-other by their sets of shingles, whatever links brought them there.
+repetition code (radius 2) for 18, 4096 anchors each. The others have two blocks of 32 bits: FINE is Golay, Hamming [7,4] and
+two bits as they are (radius 4), 2^18 anchors each; FINER is Golay and nine bits as they are (radius 3), 2^21; FINEST is
+Hamming [31,26] and one bit (radius 1), 2^27. A finer layout sends a fingerprint to more anchors and compares a smaller
+share of the pairs: for 4 bits it goes to 26, 85, 138 or 188 anchors, and 0.006, 0.0003, 0.00007 or 0.0000014 of the pairs
+meet. So the layout follows the number of distinct fingerprints (FROM), and the work on one of them stays within bounds
+however many there are. All layouts find all links.
+
+A fingerprint only estimates a similarity. For near duplicates by similarity, candidates are linked by any of several
+independent fingerprints of the set of words, each within few bits, if a longer one of five-word shingles agrees, and
+similar_pairs holds the documents of a component of such links against each other by their sets of shingles, whatever links
+brought them there.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .scratch import settled, unused, written
-from .tokens import LOWER, SPACE, Words, blocks
+from .tokens import LOWER, SPACE, Words, blocks, mixed, ngrams
 
 #: The generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -52,8 +57,14 @@ _HALF = (32, 4, [*_golay_syndromes(), *(x << 11 for x in range(1, 8)), 0, 0])
 #: Of each block of a layout: its lowest bit, number of bits, covering radius and the syndromes of its bits.
 COARSE = ((0, 23, 3, _golay_syndromes()), (23, 23, 3, _golay_syndromes()), (46, 18, 2, [*range(1, 16), 16, 32, 48]))
 FINE = ((0, *_HALF), (32, *_HALF))
-#: Distinct fingerprints from which FINE is used, and the distance up to which it pays.
-FINE_FROM, FINE_DISTANCE = 1 << 22, 4
+FINER = tuple((low, 32, 3, [*_golay_syndromes(), *[0] * 9]) for low in (0, 32))
+FINEST = tuple((low, 32, 1, [*range(1, 32), 0]) for low in (0, 32))
+#: Distinct fingerprints from which each layout is used; for more bits than DISTANCE only COARSE pays.
+FROM, DISTANCE = ((1 << 28, FINEST), (1 << 26, FINER), (1 << 22, FINE), (0, COARSE)), 4
+#: Anchors of a layout up to which their sizes are broadcast.
+FEW_ANCHORS = 1 << 20
+#: Multiplier of the rolling hash of shingles, and what parts the hashes of independent fingerprints: odd numbers.
+_ROLL, _APART = 0xD6E8FEB86659FD93, np.uint64(0xA0761D6478BD642F)
 #: Shingles of one side of a cell of exact comparisons, on average; larger groups are split into a grid of cells.
 CELL_SHINGLES = 1 << 19
 _tables: dict[tuple, tuple] = {}
@@ -70,8 +81,9 @@ def shares(distance: int, layout: tuple) -> list[int]:
 def _table(layout: tuple, block: int, t: int) -> tuple:
     """For a block: syndrome -> error patterns of weight radius + t at most, lightest first, as first indices, counts
     and patterns; and the syndrome of each byte of the block."""
-    if (len(layout), block, t) not in _tables:
-        _, n, radius, syn = layout[block]
+    low, n, radius, syn = layout[block]
+    key = low, n, radius, t
+    if key not in _tables:
         # patterns of weight w + 1 are those of weight w with one more bit above the highest
         s, e, top = np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, -1)
         every = [(s, e)]
@@ -87,8 +99,8 @@ def _table(layout: tuple, block: int, t: int) -> tuple:
             for b in range(8):
                 if 8 * k + b < n:
                     bytes_[k, np.arange(256) >> b & 1 == 1] ^= syn[8 * k + b]
-        _tables[len(layout), block, t] = np.concatenate([[0], np.cumsum(count)[:-1]]), count, e[order], bytes_
-    return _tables[len(layout), block, t]
+        _tables[key] = np.concatenate([[0], np.cumsum(count)[:-1]]), count, e[order], bytes_
+    return _tables[key]
 
 
 def anchors(fp: np.ndarray, layout: tuple, block: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,24 +116,27 @@ def anchors(fp: np.ndarray, layout: tuple, block: int, t: int) -> tuple[np.ndarr
     return row, x[row] ^ pattern[first[s][row] + nth], nth == 0
 
 
-def _ones(view: memoryview, begin: list[int], end: list[int], doc: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """How often each bit is set in the hashes of the shingles of each of n documents. 64 bits: XXH64 with seed 42;
-    128: XXH3."""
-    out = np.zeros((n, bits), np.int64)
-    short, long = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
-    for lo in range(0, len(doc), 1 << 17):
-        part = slice(lo, lo + (1 << 17))
-        spans = zip(begin[part], end[part], strict=True)
-        if bits == 64:
-            h = np.array([short(view[a:b], 42) for a, b in spans], "<u8").view(np.uint8)
-        else:
-            h = np.frombuffer(b"".join([long(view[a:b]) for a, b in spans]), np.uint8)
-        set_ = np.unpackbits(h.reshape(-1, bits // 8), axis=1, bitorder="little")
+def _sums(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """How often each bit is set in the hashes (rows of 64-bit numbers) of each of n documents, in whose order they come."""
+    out = np.zeros((n, 64 * h.shape[1]), np.int64)
+    for lo in range(0, len(doc), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        set_ = np.unpackbits(h[part].astype("<u8").view(np.uint8), axis=1, bitorder="little")
         cut = np.flatnonzero(np.diff(doc[part], prepend=-1))
         out[doc[part][cut]] += np.add.reduceat(set_, cut, axis=0, dtype=np.int32)
     return out
 
 
+def _ones(view: memoryview, begin: list[int], end: list[int], doc: np.ndarray, n: int) -> np.ndarray:
+    """How often each bit is set in the XXH64 (seed 42) of the shingles of each of n documents."""
+    digest, out = xxhash.xxh64_intdigest, np.zeros((n, 64), np.int64)
+    for lo in range(0, len(doc), 1 << 17):
+        part = slice(lo, lo + (1 << 17))
+        h = np.array([digest(view[a:b], 42) for a, b in zip(begin[part], end[part], strict=True)], np.uint64)
+        out += _sums(h[:, None], doc[part], n)
+    return out
+
+
 def _normal(w: Words) -> tuple[memoryview, np.ndarray, np.ndarray]:
     """The bytes of a block, A-Z lower-cased and with one blank between two words, and the bounds of its words there."""
     gap = SPACE[w.buf]
@@ -142,34 +157,59 @@ def _shingles(w: Words, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return n, doc, i, i + np.minimum(words, w.n[doc]) - 1
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, check_shingle: int | None = None) -> DataFrame:
-    """id_col, fingerprint (long; the bits of the unsigned value) of each row of docs, and with check_shingle the two
-    halves check_1, check_2 of a second fingerprint of 128 bits, of shingles of that many words.
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """id_col, fingerprint (long; the bits of the unsigned value) of each row of docs.
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles of `shingle` words, repeats included, joined by
     a space, are hashed by XXH64 with seed 42. A bit is 1 if set in over half of the hashes. Fewer words: the whole
     sequence is the one shingle; null, empty or blank texts: 0.
     """
-    kinds = [(shingle, 64), *([(check_shingle, 128)] if check_shingle else [])]
-    names = ["fingerprint", *(["check_1", "check_2"] if check_shingle else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.uint64)
+            for w in blocks(batch.column(1)):
+                if len(w.start):
+                    view, start, end = _normal(w)
+                    n, doc, i, j = _shingles(w, shingle)
+                    ones = _ones(view, start[i].tolist(), end[j].tolist(), doc, len(n))
+                    out[w.first : w.last] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], [id_col, "fingerprint"])
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prints: int = 4, shingle: int = 5) -> DataFrame:
+    """id, print_0, print_1, ... and check_1, check_2 of each row of docs: independent fingerprints of 64 bits of the set of
+    its words (as in fingerprints), and one of 128 bits of its shingles of `shingle` words, repeats included; all 0 for texts
+    without words. Words and shingles are hashed in whole columns."""
+    names = [*(f"print_{k}" for k in range(prints)), "check_1", "check_2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((batch.num_rows, len(names)), np.uint64)
             for w in blocks(batch.column(1)):
-                if not len(w.start):
-                    continue
-                view, start, end = _normal(w)
+                h = w.hashes(LOWER[w.buf])
+                order = np.lexsort((h, w.doc))
+                word, doc = h[order], w.doc[order]
+                new = np.append(True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1]))[: len(word)]
+                parts = [(word[new], doc[new], prints)]
+                # texts of fewer words are one shingle each
+                some = [(k, *ngrams(h, w.doc, k, _ROLL)) for k in range(1, shingle + 1)]
+                some = [(x[keep], w.doc[at[keep]]) for k, x, at in some for keep in [w.n[w.doc[at]] == k if k < shingle else np.ones(len(at), bool)]]
+                both, of = (np.concatenate(x) for x in zip(*some, strict=True))
+                order = np.argsort(of, kind="stable")
+                parts.append((both[order], of[order], 2))
                 place = 0
-                for words, bits in kinds:
-                    n, doc, i, j = _shingles(w, words)
-                    ones = _ones(view, start[i].tolist(), end[j].tolist(), doc, len(n), bits)
-                    half = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")
-                    out[w.first : w.last, place : place + bits // 64] = half
-                    place += bits // 64
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.copy().view(np.int64)) for c in out.T)], [id_col, *names])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in names)])
+                for x, of, times in parts:
+                    ones = _sums(np.stack([mixed(x ^ _APART * np.uint64(place + k + 1)) for k in range(times)], 1), of, len(w.n))
+                    half = 2 * ones > np.bincount(of, minlength=len(w.n))[:, None]
+                    out[w.first : w.last, place : place + times] = np.packbits(half, axis=1, bitorder="little").view("<u8")
+                    place += times
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.copy().view(np.int64)) for c in out.T)], ["id", *names])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in names)])
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
@@ -228,18 +268,15 @@ def _forest(homes: np.ndarray, visitors: np.ndarray, d: int, most: int | None =
     return every[np.array(out, np.int64).reshape(-1, 2)]
 
 
-def _node(columns: list[str]) -> Column:
-    """What names a fingerprint: itself, or with a check the hash of both."""
-    return F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
-
-
-def links(prints: DataFrame, *, distance: int = 4, check_distance: int | None = None) -> DataFrame:
-    """a, b: a spanning forest, by cell, of all links between distinct fingerprints (column fingerprint) that differ in
-    `distance` bits or fewer and, with check_distance, whose second ones (check_1, check_2) differ in that many or fewer.
-    Its components are those of all links. a and b are _node of the columns."""
-    names = ["fingerprint", *(["check_1", "check_2"] if check_distance is not None else [])]
-    own = written(prints.select(*names).where("fingerprint is not null").distinct())
-    layout = FINE if distance <= FINE_DISTANCE and own.count() >= FINE_FROM else COARSE
+def links(prints: DataFrame, *, distance: int = 4, of: list[str] | None = None, check_distance: int | None = None) -> DataFrame:
+    """a, b: a spanning forest, by cell, of all links: of two rows that differ in `distance` bits or fewer in one of the
+    columns `of` (fingerprint) and, with check_distance, in that many or fewer in check_1 and check_2 together. Its
+    components are those of all links. a and b name the rows: by their fingerprint, or by the hash of their check."""
+    of, check = of or ["fingerprint"], ["check_1", "check_2"] if check_distance is not None else []
+    names = ["value", *check]
+    own = written(prints.select(*of, *check).dropna().distinct())
+    n = own.count()
+    layout = next(x for least, x in FROM if n >= least and (distance <= DISTANCE or x is COARSE))
     share = shares(distance, layout)
     # each row becomes many: the work is dealt out anew, as small tables come in few partitions
     own = own.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -247,22 +284,23 @@ def links(prints: DataFrame, *, distance: int = 4, check_distance: int | None =
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                columns = [c.to_numpy() for c in part.columns]
-                for b in range(len(layout)):
-                    row, anchor, home = anchors(columns[0].view(np.uint64), layout, b, share[b])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | b << 32), *(pa.array(c[row]) for c in columns), pa.array(home)], ["anchor", *names, "home"])
+                columns = [c.to_numpy() for c in batch.slice(lo, 1024).columns]
+                for k in range(len(of)):
+                    for b in range(len(layout)):
+                        row, anchor, home = anchors(columns[k].view(np.uint64), layout, b, share[b])
+                        held = (pa.array(c[row]) for c in (columns[k], *columns[len(of) :]))
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor | (k * len(layout) + b) << 32), *held, pa.array(home)], ["anchor", *names, "home"])
 
     at = own.mapInArrow(spread, f"anchor long, {', '.join(f'{c} long' for c in names)}, home boolean")
-    # all anchors: at most 3 * 2^12 rows of COARSE, 2 * 2^18 of FINE
     size = at.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("all"))
     size = size.select("anchor", F.ceil(F.col("homes") / CELL_HOMES).cast("int").alias("nh"), F.ceil(F.col("all") / CELL_VISITORS).cast("int").alias("nv")).where("nh > 0")
-    at = at.join(F.broadcast(size), "anchor")
+    few = len(of) * sum(1 << bits - max(syn).bit_length() for _, bits, _, syn in layout) <= FEW_ANCHORS
+    at = at.join(F.broadcast(size) if few else written(size), "anchor")
     whole = F.lit(0).cast("int")
     row = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("nh")).cast("int")
     col = F.pmod(F.xxhash64(*names, F.lit(2)), F.col("nv")).cast("int")
-    # a cell's number: its row, its column and its anchor, 15, 15 and 34 bits
-    number = lambda i, j: F.shiftleft(i.cast("long"), 49).bitwiseOR(F.shiftleft(j.cast("long"), 34)).bitwiseOR(F.col("anchor"))
+    # a cell's number: its row, its column and its anchor, 13, 13 and 37 bits
+    number = lambda i, j: F.shiftleft(i.cast("long"), 50).bitwiseOR(F.shiftleft(j.cast("long"), 37)).bitwiseOR(F.col("anchor"))
     cells = F.when(F.col("home"), F.transform(F.sequence(whole, F.col("nv") - 1), lambda j: F.struct(number(row, j).alias("cell"), F.lit(True).alias("home"))))
     cells = F.concat(F.coalesce(cells, F.array().cast("array<struct<cell:bigint,home:boolean>>")), F.transform(F.sequence(whole, F.col("nh") - 1), lambda i: F.struct(number(i, col).alias("cell"), F.lit(False).alias("home"))))
     placed = at.select(F.explode(cells).alias("c"), *names).select("c.cell", "c.home", *names)
@@ -288,7 +326,7 @@ def links(prints: DataFrame, *, distance: int = 4, check_distance: int | None =
             yield edges(held)
 
     edges = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, ", ".join(f"{side}_{c} long" for side in "ab" for c in names))
-    return edges.select(*(_node([f"{side}_{c}" for c in names]).alias(side) for side in "ab"))
+    return edges.select(*((F.xxhash64(*(f"{side}_{c}" for c in check)) if check else F.col(f"{side}_value")).alias(side) for side in "ab"))
 
 
 def least_ids(of: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
@@ -301,19 +339,29 @@ def least_ids(of: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     return linked.select("node", "component").join(least, "component").select("node", name).unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, check_shingle: int | None = None, check_distance: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """id_col, fingerprint (long), component_id of each row of docs.
 
     component_id is the smallest id of the rows that can be reached over links, a row itself included; null only where
     all of these have a null id. Rows of equal fingerprints are one node, so copies cost nothing after a map-side
-    aggregation. With check_shingle and check_distance, links must hold for the second fingerprints, too. Repeated rows
-    and null ids are rows like any other. Empty table: no rows.
+    aggregation. Repeated rows and null ids are rows like any other. Empty table: no rows.
     """
-    names = ["fingerprint", *(["check_1", "check_2"] if check_shingle else [])]
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, check_shingle=check_shingle))
-    nodes = lambda: connected_components(links(prints, distance=distance, check_distance=check_distance if check_shingle else None))
-    of = settled(lambda: least_ids(prints.groupBy(_node(names).alias("node")).agg(F.min(id_col).alias("least")), nodes(), "component_id"))
-    return prints.withColumn("node", _node(names)).join(of, "node").select(id_col, "fingerprint", "component_id")
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    nodes = lambda: connected_components(links(prints, distance=distance))
+    of = settled(lambda: least_ids(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min(id_col).alias("least")), nodes(), "component_id"))
+    return prints.join(of, F.col("fingerprint") == F.col("node")).select(id_col, "fingerprint", "component_id")
+
+
+def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prints: int = 4, shingle: int = 5, distance: int = 4, check_distance: int = 32) -> DataFrame:
+    """group, id of the rows of docs that may have near duplicates: those of one component of links, which is named by its
+    smallest id. A link: at most `distance` bits in one of `prints` fingerprints of sketches, and check_distance in the check;
+    rows of equal checks are one node. Rows with a null id, and those without links, are left out."""
+    own = written(sketches(docs, id_col=id_col, text_col=text_col, prints=prints, shingle=shingle))
+    node = F.xxhash64("check_1", "check_2").alias("node")
+    nodes = lambda: connected_components(links(own, distance=distance, of=[f"print_{k}" for k in range(prints)], check_distance=check_distance))
+    of = settled(lambda: least_ids(own.groupBy(node).agg(F.min("id").alias("least")), nodes(), "group"))
+    found = written(own.select("id", node).join(of, "node").where("id is not null").select("group", "id").distinct())
+    return found.join(written(found.where(F.col("id") > F.col("group")).select("group").distinct()), "group")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -370,7 +418,8 @@ def similar_pairs(items: DataFrame, *, similarity: float) -> DataFrame:
     """a, b: a spanning forest, by cell, of all pairs of items (group, node, n, hashes) of one group whose sets have that
     Jaccard similarity or more. Each pair of a group meets in a cell, so the components are those of all such pairs."""
     size = items.groupBy("group").agg(F.count(F.lit(1)).alias("items"), F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("sides"))
-    size = size.where("items > 1 and sides > 0").select("group", "sides")
+    # a table of its own, so that Spark splits the rows of a large group in the join
+    size = written(size.where("items > 1 and sides > 0").select("group", "sides"))
     at = items.join(size, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     at = at.select("group", "node", "hashes", "own", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
     # cells whose hashes are equal are compared as one, which adds no pair that is not similar
@@ -396,20 +445,16 @@ def similar_pairs(items: DataFrame, *, similarity: float) -> DataFrame:
     return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **params) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, **params) -> DataFrame:
     """docs without the rows that have a row of a smaller id in their component; the columns of docs. Links of these
-    components are pairs of rows whose sets of shingles of check_shingle words (five) have a Jaccard similarity of
-    `similarity` or more, computed, not estimated. Fingerprints only name the rows that are compared: those of one
-    component of near_duplicates, by default within 8 bits of fingerprints of pairs of words, which a changed word moves
-    least, and 32 of 128 bits of five-word shingles (0.8 comes to 19 on average, texts without shingles in common to
-    64). Of repeated rows of that smallest id, all stay together as they came, so give each document an id of its own;
-    rows with a null id stay and link no others."""
-    params = {"shingle": 2, "distance": 8, "check_shingle": 5, "check_distance": 32, **params}
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **params).where(F.col(id_col).isNotNull())
-    found = written(found.select(F.col("component_id").alias("group"), F.col(id_col).alias("id")).distinct())
-    found = found.join(found.where(F.col("id") > F.col("group")).select("group").distinct(), "group")
+    components are pairs of rows whose sets of shingles of `shingle` words have a Jaccard similarity of `similarity` or
+    more, computed, not estimated. Fingerprints only name the rows that are compared, as candidates (which has params)
+    does: a similarity of 0.8 comes to 4 bits of one fingerprint of the words on average, so that four of them miss few, and
+    to 19 of the 128 bits of the check; texts without shingles in common come to 64. Of repeated rows of that smallest id,
+    all stay together as they came, so give each document an id of its own; rows with a null id stay and link no others."""
+    found = candidates(docs, id_col=id_col, text_col=text_col, shingle=shingle, **params)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(found, "id")
-    sets = written(_sets(texts, params["check_shingle"] or params["shingle"]))
+    sets = written(_sets(texts, shingle))
     name = unused(docs, "gone_")
 
     def superfluous() -> DataFrame:

@@ -89,10 +89,11 @@ def test_op5_equals_brute_force(spark, documents):
     assert {r.doc_id: r.component_id for r in got} == components_of(prints, 4)
 
 
-@pytest.mark.parametrize(("distance", "fine"), [(0, False), (1, True), (4, False), (4, True), (8, False)])
-def test_anchors_lose_no_link(spark, distance, fine, monkeypatch):
-    if fine:
-        monkeypatch.setattr(simhash_anchor, "FINE_FROM", 0)
+@pytest.mark.parametrize(("distance", "layout"), [(0, "COARSE"), (1, "FINE"), (4, "COARSE"), (4, "FINE"), (4, "FINER"), (4, "FINEST"), (8, "COARSE")])
+def test_anchors_lose_no_link(spark, distance, layout, monkeypatch):
+    if layout != "COARSE":
+        layout = getattr(simhash_anchor, layout)
+        monkeypatch.setattr(simhash_anchor, "FROM", ((0, layout), (0, simhash_anchor.COARSE)))
     rng = np.random.default_rng(distance)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, int(rng.integers(0, distance + 3)), replace=False))) for b in base for _ in range(12)]
@@ -108,7 +109,7 @@ def test_anchors_lose_no_link(spark, distance, fine, monkeypatch):
     assert groups({s: nodes.get(s, s) for s in by_print}) == groups(by_print)
 
 
-@pytest.mark.parametrize("layout", [simhash_anchor.COARSE, simhash_anchor.FINE])
+@pytest.mark.parametrize("layout", [simhash_anchor.COARSE, simhash_anchor.FINE, simhash_anchor.FINER, simhash_anchor.FINEST])
 def test_anchors_cover_every_fingerprint(layout):
     rng = np.random.default_rng(6)
     fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 300, dtype=np.uint64)
