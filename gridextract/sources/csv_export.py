@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridextract.functions.money import fixed2
 from gridextract.operators.match import NOT_FOUND
+from gridextract.sources.versions import file_system
 
 # Header of the export.
 HEADER = ("Name", "Family Count", "Coverage", "Status", "Medical Plan", "Medical current charge", "Statement ID", "File Name", "Bill Period")
@@ -34,8 +37,30 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """The export as CSV files, in the order of files and rows. Each part has the header and a byte order mark at its start,
-    so each opens by itself; for one file, hand in an export that fits one task and coalesce(1) it."""
-    named = rows.orderBy("file_name", "row_index").select(*(F.col(c).alias(h) for c, h in zip(FIELDS, HEADER, strict=True)))
-    marked = named.toDF("﻿" + HEADER[0], *HEADER[1:])
-    marked.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    """The export as one CSV file, in the order of files and rows: byte order mark, header, lines parted by \\n, none at the
+    end. Spark sorts the lines and writes them in parts; these are joined as bytes, so no task or driver holds the export.
+    The file appears under its name when it is whole: a failed task or join leaves nothing, and an older file as it was."""
+    spark = rows.sparkSession
+    fs, of = file_system(spark, path)
+    work = f"{path}.{uuid.uuid4().hex}"
+    try:
+        csv_lines(rows).orderBy("file_name", "row_index").select("line").write.text(f"{work}/parts")
+        parts = sorted((x for x in fs.listStatus(of(f"{work}/parts")) if x.getPath().getName().startswith("part-") and x.getLen()), key=lambda x: x.getPath().getName())
+        whole = of(f"{work}/whole")
+        out = fs.create(whole, False)
+        try:
+            out.write(bytearray(("\ufeff" + ",".join(HEADER)).encode()))
+            for part in parts:
+                # what Spark ends each line with stands before each here
+                out.write(bytearray(b"\n"))
+                lines = fs.open(part.getPath())
+                some = spark.sparkContext._jvm.org.apache.commons.io.input.BoundedInputStream(lines, part.getLen() - 1)
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(some, out, 1 << 16, False)
+                lines.close()
+        finally:
+            out.close()
+        fs.delete(of(path), True)
+        if not fs.rename(whole, of(path)):
+            raise OSError(f"{path} could not be written")
+    finally:
+        fs.delete(of(work), True)

@@ -13,8 +13,8 @@ PAGE_TEXT = "file_name string, page int, text string"
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """file_name, content of the PDF files below a path."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return d.where(F.lower("path").endswith(".pdf")).select(F.col("path").alias("file_name"), "content")
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    return d.select(F.col("path").alias("file_name"), "content")
 
 
 def read_page_texts(spark: SparkSession, path: str, page_break: str = "\f") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from gridextract.functions import names
 from gridextract.functions.text import trimmed
 from gridextract.operators.edits import merge_roster
+from gridextract.sources import versions
 
 
 def cells(line: Column) -> Column:
@@ -44,16 +45,19 @@ def read_rosters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_roster(roster: DataFrame, path: str, version: int) -> None:
-    """The list as one Parquet row: version, names. The list is bounded by the people one office bills."""
-    kept = roster.agg(F.sort_array(F.collect_set("name")).alias("names")).select(F.lit(version).alias("version"), "names")
-    kept.coalesce(1).write.mode("overwrite").parquet(path)
+    """The list, one row a name, as a change of its own (sources.versions), with the version of its form."""
+    spark = roster.sparkSession
+    versions.commit(spark, path, {"names": roster.select("name").distinct()}, about={"version": version})
 
 
 def stored_roster(spark: SparkSession, path: str, patch: DataFrame, version: int) -> DataFrame:
     """The names of a saved list in capitals; names of patch (name) join a list that was saved under an older version.
-    A list with a blank name is not valid, and gives no name of its own."""
-    d = spark.read.schema("version int, names array<string>").parquet(path)
-    valid = F.forall("names", lambda n: n.isNotNull() & (trimmed(n) != ""))
-    own = d.where(valid).select(F.explode("names").alias("name")).select(F.upper(trimmed(F.col("name"))).alias("name"))
-    old = d.where(F.col("version") < version).select(F.lit(version).alias("to_version"))
-    return merge_roster(own, patch.select("name", F.lit(version).alias("to_version")).join(old, "to_version", "left_semi").select("name"))
+    A list with a blank name is not valid, and gives no name of its own. A path without a list has no names."""
+    names_ = versions.read(spark, path).get("names")
+    if names_ is None:
+        return patch.select("name").limit(0)
+    blank = F.col("name").isNull() | (trimmed(F.col("name")) == "")
+    valid = names_.where(blank).isEmpty()
+    own = (names_ if valid else names_.limit(0)).select(F.upper(trimmed(F.col("name"))).alias("name")).distinct()
+    old = versions.about(spark, path)["version"] < version
+    return merge_roster(own, patch.select("name")) if old else own
