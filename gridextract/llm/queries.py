@@ -77,6 +77,20 @@ def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.drop_repeated_spans(table(spark, sf_dir, "documents"), k=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP7_SQL = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS span FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM cut)),
+repeated AS (SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1 AS again FROM windows),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM cut),
+judged AS (
+  SELECT w.doc_id, w.i, w.word, coalesce(bool_or(r.again) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM words w LEFT JOIN repeated r ON r.doc_id = w.doc_id AND r.i = w.i)
+SELECT c.doc_id, len(any_value(c.w)) AS n_words, count(j.i) FILTER (WHERE j.gone) AS n_removed,
+  sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.i) FILTER (WHERE NOT j.gone), '')) AS kept_sha256
+FROM cut c LEFT JOIN judged j ON j.doc_id = c.doc_id GROUP BY c.doc_id
+"""
+
+
 def op8_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality_gbdt.fit(docs, table(spark, sf_dir, "labels"), label="quality")
@@ -221,4 +235,4 @@ QUERIES = {
     "op12_min_bin_slack": op12_min_bin_slack,
     "op13_spelling": op13_spelling,
 }
-ORACLE_SQL = {"op6_chat_prefix": OP6_SQL, "op9_line_templates": OP9_SQL, "op11_merkle": OP11_SQL, "op13_spelling": OP13_SQL}
+ORACLE_SQL = {"op6_chat_prefix": OP6_SQL, "op7_debruijn": OP7_SQL, "op9_line_templates": OP9_SQL, "op11_merkle": OP11_SQL, "op13_spelling": OP13_SQL}

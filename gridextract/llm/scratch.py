@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: list[tuple[SparkSession, str]] = []
+#: Of each thread: what was written inside of each settled() that it is in.
+_open = threading.local()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -35,6 +38,8 @@ def written(df: DataFrame) -> DataFrame:
     if not _ROOTS:
         atexit.register(_clear)
     _ROOTS.append((spark, path))
+    for made in getattr(_open, "made", [])[-1:]:
+        made.append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the finished step
     out = spark.read.schema(df.schema).parquet(path)
@@ -57,12 +62,20 @@ def discard(df: DataFrame) -> None:
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
-    """written(make()); the tables that make() wrote on its way are removed, so nothing else may read them later."""
-    before = len(_ROOTS)
-    out = written(make())
-    for spark, path in _ROOTS[before:-1]:
-        _remove(spark, path)
-    del _ROOTS[before:-1]
+    """written(make()); the tables that make() wrote on its way, in this thread, are removed, so nothing else may read them
+    later."""
+    stack = _open.made = getattr(_open, "made", [])
+    stack.append([])
+    try:
+        out = written(make())
+    finally:
+        made = stack.pop()
+    for path in made:
+        if path != out._scratch_path and (out.sparkSession, path) in _ROOTS:
+            _remove(out.sparkSession, path)
+            _ROOTS.remove((out.sparkSession, path))
+    for outer in stack[-1:]:
+        outer.append(out._scratch_path)
     return out
 
 
