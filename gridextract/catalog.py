@@ -685,3 +685,106 @@ def row_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship_charges_by_coverage(spark, sf_dir)
+
+
+@query(f"""
+with base as (select *, cast(k as bigint) // 90 as n from ({TRUTH}) as t),
+kept as (select * from base where n % 3 <> 1 or page = 1),
+most as (select file_name, n, max(k) + 1 as k from kept group by file_name, n)
+select file_name, k as row_index, concat(last_name, ', ', first_name) as name, cast(case when k % 7 = 0 and n % 3 <> 1 then 1 else cents / 100.0 end as double) as charge, case when k % 5 = 0 then 'T' else status end as status, k % 11 = 0 as excluded, 2000000000 + n as first from kept
+union all
+select m.file_name, m.k, 'MOSS, KIM', null, '', m.k % 11 = 0 and exists (select 1 from base b where b.k = m.k and b.file_name = m.file_name), 2000000000 + m.n from most m""")
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shuffled log of the uploads, edits, added and excluded rows of all files. All go once; every third file is uploaded
+    again with its first page only, which undoes its earlier edits."""
+    d = _read(spark, sf_dir).withColumn("excluded", F.lit(False))
+    uploads = d.withColumn("upload", F.lit(1)).unionByName(d.where("page = 1").withColumn("upload", F.lit(2)))
+    k, n = F.col("row_index").cast("long"), F.floor(F.col("row_index") / 90)
+
+    def entries(band: int, kind: str, at, where, upload: int | None = None, field: str | None = None, value: str | None = None) -> DataFrame:
+        row = F.col("row_index") if kind == "edit" else F.lit(None).cast("int")
+        return d.where(where).select((F.lit(band * 1_000_000_000) + at).alias("seq"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("file_name") if kind == "clear" else F.col("file_name"), F.lit(upload).cast("int").alias("upload"), row.alias("row_index"), F.lit(field).cast("string").alias("field"), F.lit(value).cast("string").alias("value")).distinct()
+
+    every = F.lit(True)
+    log = entries(0, "upsert", n, every, upload=2)
+    for more in (
+        entries(1, "clear", F.lit(0), every), entries(2, "upsert", n, every, upload=1), entries(3, "edit", k, k % 7 == 0, field="charge", value="1.00"), entries(4, "upsert", n, n % 3 == 1, upload=2),
+        entries(5, "edit", k, k % 5 == 0, field="status", value="T"), entries(6, "add", n, every, value="moss,  kim"), entries(7, "edit", k, k % 11 == 0, field="excluded", value="true"),
+    ):
+        log = log.unionByName(more)
+    got = edits.replay(log.repartition(F.xxhash64("seq")), uploads)
+    return longs(got.select("file_name", "row_index", "name", "charge", "status", "excluded", "first"))
+
+
+@query(f"""
+with r as (select * from ({ROSTER}) as r),
+added as (select file_name, k, read, row_number() over (partition by file_name order by k) + (select max(k) from r b where b.found and b.file_name = a.file_name) as place from r a where k % 20 = 3)
+select 'members' as part, file_name, k as row_index, read as text from r where found
+union all select 'members', file_name, place, read from added
+union all select 'leftovers', file_name, k, read from r where k % 20 = 13
+union all select 'warnings', file_name, null, concat(cast(count(*) as varchar), case when count(*) = 1 then ' OCR row did not match the member list and was ignored: ' else ' OCR rows did not match the member list and were ignored: ' end, string_agg(read, '; ' order by k)) from r where k % 20 = 13 group by file_name
+union all select distinct 'roster', '', cast(null as bigint), read from r where k % 20 <> 13""")
+def move_leftover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the leftover rows are taken among the members: members, leftovers, warnings and list as one change."""
+    from gridextract.sources import versions
+    from gridextract.sources.shared import shared_folder
+
+    at = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    d = _read(spark, sf_dir, strangers=True)
+    own, left = d.where("row_index % 10 <> 3"), d.where("row_index % 10 = 3")
+    before = {"members": own.withColumn("ocr_name", F.col("name")), "leftovers": left, "warnings": quality.ignored_warning(left), "roster": own.select("name").distinct()}
+    n = versions.commit(spark, at, before)
+    versions.commit(spark, at, edits.move_leftovers(versions.read(spark, at), left.where("row_index % 20 = 3").select("file_name", "row_index", "name")), based_on=n)
+    t, null = versions.read(spark, at), F.lit(None).cast("long")
+    rows_ = [t[p].select(F.lit(p).alias("part"), "file_name", F.col("row_index").cast("long"), F.col("name").alias("text")) for p in ("members", "leftovers")]
+    rows_.append(t["warnings"].select(F.lit("warnings").alias("part"), "file_name", null.alias("row_index"), F.col("warning").alias("text")))
+    rows_.append(t["roster"].select(F.lit("roster").alias("part"), F.lit("").alias("file_name"), null.alias("row_index"), F.col("name").alias("text")))
+    return rows_[0].union(rows_[1]).union(rows_[2]).union(rows_[3])
+
+
+_EXPORTED = """concat('"', name, '",', family_count, ',', coverage, ',', status, ',', plan, ',', cents//100, '.00,ST1,', file_name, ',August 2026')"""
+
+
+@query(f"""
+select octet_length(encode(whole)) as n_bytes, sha256(whole) as sha256 from (
+  select concat(chr(65279), '{','.join(csv_export.HEADER)}', string_agg(chr(10) || line, '' order by file_name, k)) as whole from (
+    select file_name, k, {_EXPORTED} as line from (select *, concat(last_name, ', ', first_name) as name from ({TRUTH}) as t) as t) as l) as w""")
+def export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the export of all files as one CSV file."""
+    from gridextract.sources.shared import shared_folder
+
+    at = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}.csv"
+    members = _read(spark, sf_dir).withColumn("excluded", F.lit(False))
+    headers = members.select("file_name", F.lit("ST1").alias("statement_id"), F.lit("August 2026").alias("bill_period")).distinct()
+    csv_export.write_csv(csv_export.export_rows(members, headers), at)
+    return spark.read.format("binaryFile").load(at).select(F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"""
+with r as (select * from ({ROSTER}) as r),
+moved as (select *, row_number() over (partition by file_name order by k) as nth from r where not found and k % 20 = 3),
+most as (select file_name, max(k) as k from r group by file_name)
+select file_name, k as row_index, concat('"', {"case when k%9=4 then concat(split_part(read, ', ', 1), ', ', substring(split_part(read, ', ', 2), 1, 3)) else read end"}, '",', family_count, ',', coverage, ',', status, ',', plan, ',', case when k % 13 = 1 then '5.50' else concat(cents//100, '.00') end, ',77', cast(k as bigint) // 90 + 700000, ',', file_name, ',August 2026') as line from r where found and k % 17 <> 5
+union all
+select file_name, k, concat('"', name, '",,,,,5.50,77', cast(k as bigint) // 90 + 700000, ',', file_name, ',August 2026') from r where not found and k % 13 = 1 and k % 17 <> 5
+union all
+select m.file_name, t.k + m.nth, concat('"', m.read, '",', m.family_count, ',', m.coverage, ',', m.status, ',', m.plan, ',', m.cents//100, '.00,77', cast(m.k as bigint) // 90 + 700000, ',', m.file_name, ',August 2026') from moved m join most t on t.file_name = m.file_name""")
+def whole_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pages to export lines: rows read and merged, matched to the list, the leftovers that someone picks taken among
+    the members, cells edited and rows excluded, the headers read from the first pages. A member who was not found and gets
+    an amount by hand is exported, too."""
+    stranger = F.concat(F.expr("split_part('OXBOW,UMBRA,THYMUS,JIGZAG,QUOKKA,MYRRH,VORTEX,ZEPHYR,KUDZU', ',', cast(floor((line_no%90)/10) as int)+1)"), F.lit(", PIPPY"))
+    worn = noisy_lines(spark, sf_dir).withColumn("line", F.when(F.col("line_no") % 10 == 3, F.regexp_replace("line", r"^\S+ \S+", stranger)).otherwise(F.col("line")))
+    n = F.regexp_extract("file_name", r"(\d+)", 1).cast("long") + 700000
+    head = F.concat(F.lit("Statement ID: 77"), n.cast("string"), F.lit("\nBill Period: August 2026\n"))
+    text = _pages_of(worn).withColumn("text", F.when(F.col("page") == 1, F.concat(head, "text")).otherwise(F.col("text")))
+    known = roster(spark, sf_dir)
+    filled, left = plan.reconcile(plan.extract(text), known)
+    tables = {"members": filled.drop("source_index"), "leftovers": left, "warnings": plan.warnings(filled, left), "roster": known.select("name").distinct()}
+    picked = left.join(worn.where("line_no % 20 = 3").select("file_name", F.regexp_extract("line", r"^\S+ \S+", 0).alias("name")), ["file_name", "name"], "left_semi").select("file_name", "row_index", "name")
+    members = edits.move_leftovers(tables, picked)["members"].withColumn("excluded", F.lit(False))
+    k = known.select("file_name", F.col("ord").alias("row_index"))
+    changes = k.where("row_index % 13 = 1").select("file_name", "row_index", F.lit("charge").alias("field"), F.lit("$5.50").alias("value"), F.lit(1).alias("seq"))
+    changes = changes.union(k.where("row_index % 17 = 5").select("file_name", "row_index", F.lit("excluded"), F.lit("true"), F.lit(2)))
+    lines_ = csv_export.csv_lines(csv_export.export_rows(edits.apply_edits(members, changes), plan.headers(text)))
+    return longs(lines_)

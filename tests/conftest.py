@@ -34,7 +34,7 @@ def duck():
 
 def rows_of(pdf, columns):
     # whole numbers look alike whether or not a null made pandas read their column as floats
-    d = pdf[columns].astype(object).map(lambda v: int(v) if isinstance(v, float) and v.is_integer() else v)
+    d = pdf[columns].astype(object).map(lambda v: int(v) if isinstance(v, float) and v.is_integer() else v).astype(object)
     return sorted(map(tuple, d.where(pdf[columns].notna(), None).astype(str).values.tolist()))
 
 
