@@ -181,6 +181,12 @@ def leading_name(cells: Column) -> Column:
     return let(found, lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), (-b["less"]).alias("n"))))
 
 
+def can_begin(cells: Column, i: Column) -> Column:
+    """Whether leading_name can find a name at the i-th token (from 0): it needs two tokens or more, none but the first a
+    stop, and a letter at its beginning."""
+    return (i + 1 < F.size(cells)) & ~F.coalesce(at(cells, i + 1)["stop"], F.lit(False)) & at(cells, i)["t"].rlike("^[A-Za-z]")
+
+
 def person_like(value: Column) -> Column:
     """Whether a cell of a list looks like a person: LAST, FIRST or two words."""
     v = collapsed(value)

@@ -56,8 +56,10 @@ def dedupe(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     def add(done: Column, row: Column) -> Column:
         like = F.filter(F.sequence(F.lit(1), F.size(done)), lambda k: (F.size(done) > 0) & same_letters(F.get(done, k - 1)["letters"], row["letters"]))
-        at = F.get(like, F.lit(0))
-        return F.when(at.isNull(), F.concat(done, F.array(row))).otherwise(F.transform(done, lambda x, k: F.when(k + 1 == at, merged(x, row)).otherwise(x)))
+        joined = lambda at: let(F.struct(F.get(done, at - 1).alias("a"), row.alias("b")), lambda p: merged(p["a"], p["b"]))
+        put = lambda at: F.concat(F.slice(done, F.lit(1), at - 1), F.array(joined(at)), F.slice(done, at + 1, F.size(done)))
+        # the place is worked out once for a row
+        return let(F.get(like, F.lit(0)), lambda at: F.when(at.isNull(), F.concat(done, F.array(row))).otherwise(put(at)))
 
     done = F.aggregate("rows", F.array().cast(kind), add)
     return each.select(*keys, F.posexplode(done).alias("_at", "_row")).select(*keys, (F.col("_at") + 1).alias("row_index"), *(f"_row.{f}" for f in FIELDS if f not in keys))

@@ -106,12 +106,13 @@ def line_rows(lines: DataFrame) -> DataFrame:
 
 
 def stream_rows(lines: DataFrame) -> DataFrame:
-    """Rows that run over line ends: the lines of a page as one stream of tokens. Every start is tried by itself; of the
+    """Rows that run over line ends: the lines of a page as one stream of tokens. Every place where a name can begin is tried by itself; of the
     rows that are found, one that starts before the end of the row before it (its name and four tokens) is left out."""
     whole = lines.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], " ").alias("line"))
     whole = whole.select(*KEYS, F.transform(names.tokens(F.col("line")), names.classes).alias("cells"))
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("cells") - 1, F.lit(0))), lambda i: F.slice(F.col("cells"), i + 1, 6 + STREAM_REST))
-    each = whole.select(*KEYS, F.posexplode(starts).alias("ord", "cells"))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("cells") - 1, F.lit(0))), lambda i: names.can_begin(F.col("cells"), i))
+    tokens = F.transform(starts, lambda i: F.struct(i.alias("ord"), F.slice(F.col("cells"), i + 1, 6 + STREAM_REST).alias("cells")))
+    each = whole.select(*KEYS, F.explode(tokens).alias("x")).select(*KEYS, "x.ord", "x.cells")
     found = each.select(*KEYS, "ord", row_of(F.col("cells"), F.lit(""), rest=STREAM_REST).alias("r"))
     row = F.when(F.col("r").isNotNull(), F.struct("ord", "r"))
     rows = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(row)).alias("rows"))
