@@ -541,6 +541,13 @@ def test_op8_statistics_equal_brute_force(spark, odd, documents, labels):
     assert [tuple(x) for x in quality_gbdt.statistics(pa.array([t for _, t in ODD[:8]]))[0].tolist()] == [brute_statistics(t) for _, t in ODD[:8]]
 
 
+def test_op8_held_out_accuracy(spark):
+    at = "/root/testdata/sf0.01"
+    m = queries.op8_quality_gbdt(spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").toPandas()
+    m = m[[zlib.crc32(str(i).encode()) % 5 == 0 for i in m.doc_id]]
+    assert len(m) > 50 and (m.kept == (m.quality == 1)).mean() >= 0.9
+
+
 def test_op8_trees_are_monotonic():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
