@@ -22,7 +22,8 @@ def headers(page_text: DataFrame) -> DataFrame:
 
 
 def reconcile(members: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The row of each roster name, and the rows that belong to none."""
+    """The row of each roster name, and the rows that belong to none. Runs when it is called: the pairs and the rows are
+    tables that both results read, to the end of the driver or of shared.working_tables()."""
     pairs = once(match.assign(roster, members))
     matched = match.apply_roster(roster, members, pairs)
     unused = match.unused_rows(roster, members, pairs)

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridextract.functions.pages import BLANK_INK, best_text, try_more_orientations
+from gridextract.functions.pages import best_text, is_blank, try_more_orientations
 from gridextract.functions.text import collapsed
 from gridextract.operators.layout import DARK
+from gridextract.sources.shared import once
 
 # Weights of grey, bounds of preparation, what each kind of field can hold, scale and turns of readings.
 GREY = (0.299, 0.587, 0.114)
@@ -111,35 +112,39 @@ def pixel_rows(images: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _read(images: DataFrame, recognise: Recogniser, turns: tuple[int, ...], mode: str) -> DataFrame:
-    """file_name, page, texts (one for each turn), error."""
+    """file_name, page, texts (one for each turn), error. A page is first turned as it is to be shown: by its rotation, where
+    images have one and the page is not stored sideways."""
+    turn = F.coalesce(upright_rotation(F.col("rotation")), F.col("rotation"), F.lit(0)) if "rotation" in images.columns else F.lit(0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             out = []
             for row in d.itertuples(index=False):
                 try:
-                    image = prepared(pixels(row.rgba, row.width, row.height), mode)
+                    image = turned(prepared(pixels(row.rgba, row.width, row.height), mode), row.turn)
                     out.append((row.file_name, row.page, [recognise(turned(image, t), "locate") for t in turns], None))
                 except Exception as e:  # one bad page is a row, not a failed job
                     out.append((row.file_name, row.page, None, f"Page {row.page} OCR failed: {e}"))
             yield pd.DataFrame(out, columns=["file_name", "page", "texts", "error"])
 
-    return images.select("file_name", "page", "width", "height", "rgba").mapInPandas(run, "file_name string, page int, texts array<string>, error string")
+    return images.select("file_name", "page", "width", "height", "rgba", turn.cast("int").alias("turn")).mapInPandas(run, "file_name string, page int, texts array<string>, error string")
 
 
 def locate_text(images: DataFrame, recognise: Recogniser, mode: str = "contrast") -> DataFrame:
     """file_name, page, text, error of scanned pages. Blank ones are not read; a page is read upright, and only those that
     show no heading that way are read in the other three turns as well, of which the best text counts."""
-    inked = ink(images)
-    seen = inked.where(F.col("ink") >= BLANK_INK).select(*images.columns)
-    upright = _read(seen, recognise, (0,), mode).withColumn("first", F.get("texts", F.lit(0)))
+    # what several branches read is written once, so that no page is looked at or read twice
+    inked = once(ink(images.select("file_name", "page", "width", "height", "rgba")).select("file_name", "page", "ink"))
+    blank = is_blank(F.col("ink"))
+    seen = images.join(inked.where(~blank), ["file_name", "page"], "left_semi")
+    upright = once(_read(seen, recognise, (0,), mode)).withColumn("first", F.get("texts", F.lit(0)))
     more = upright.where(F.col("error").isNull() & try_more_orientations(F.col("first"))).select("file_name", "page")
     others = _read(seen.join(more, ["file_name", "page"], "left_semi"), recognise, TURNS, mode)
     both = upright.select("file_name", "page", "first", "error").join(others.select("file_name", "page", F.col("texts").alias("more"), F.col("error").alias("e2")), ["file_name", "page"], "left")
     text = best_text(F.concat(F.array("first"), F.coalesce("more", F.array().cast("array<string>"))))
     read = both.select("file_name", "page", F.when(F.col("error").isNull(), text).alias("text"), F.coalesce("error", "e2").alias("error"))
-    blank = inked.where(F.col("ink") < BLANK_INK).select("file_name", "page", F.lit("").alias("text"), F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" rendered blank")).alias("error"))
-    return read.unionByName(blank)
+    none = inked.where(blank).select("file_name", "page", F.lit("").alias("text"), F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" rendered blank")).alias("error"))
+    return read.unionByName(none)
 
 
 def field_reader(images: DataFrame, recognise: Recogniser, mode: str = "contrast") -> Callable[[DataFrame], DataFrame]:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_open = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,20 +29,40 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder, for what several branches of a plan read. Removed when the driver ends."""
+    """df as Parquet in the shared folder, for what several branches of a plan read. Removed when the driver ends, or with
+    working_tables()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_clear)
     _WRITTEN.append((spark, path))
+    for made in getattr(_open, "made", [])[-1:]:
+        made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def working_tables() -> Iterator[None]:
+    """What once() writes inside of it, in this thread, is removed at its end; read results before."""
+    stack = _open.made = getattr(_open, "made", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for item in stack.pop():
+            _remove(*item)
+            _WRITTEN.remove(item)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clear() -> None:
     for spark, path in _WRITTEN:
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session may have stopped; the folder is then left for the cluster's clean-up
             return

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridextract.operators import edits, meta
 from gridextract.operators.match import ADDED
-from gridextract.sources import csv_export, page_source, roster, versions
+from gridextract.sources import csv_export, page_source, roster, shared, versions
 
 MEMBER = "file_name string, row_index int, name string, family_count int, coverage string, status string, medical_plan string, charge double, page int, flags array<string>"
 
@@ -89,6 +89,18 @@ def test_versions_are_seen_whole_or_not_at_all(spark, tmp_path):
         versions.commit(spark, at, {"a": n(3)}, based_on=1)
 
 
+def test_working_tables_go_at_the_end(spark):
+    from pathlib import Path
+
+    with shared.working_tables():
+        outer = shared.once(spark.range(3))
+        with shared.working_tables():
+            inner = shared.once(spark.range(4))
+            files = [Path(f.removeprefix("file:")) for f in inner.inputFiles()]
+            assert inner.count() == 4 and all(f.exists() for f in files)
+        assert outer.count() == 3 and not any(f.exists() for f in files)
+
+
 def test_a_list_of_many_names(spark, tmp_path):
     names = spark.range(1_000_000).select(F.concat(F.lit("LAST"), F.col("id").cast("string"), F.lit(", FIRST")).alias("name"))
     roster.save_roster(names, str(tmp_path), 3)

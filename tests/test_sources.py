@@ -57,6 +57,21 @@ def test_pages_are_turned_until_a_heading_is_read(spark):
     assert got[("g", 1)] == (None, "Page 1 OCR failed: no luck")
 
 
+def test_each_page_is_read_once_and_as_it_is_shown(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def recognise(image, kind):
+        with open(f"{calls}/calls", "a") as f:
+            f.write(f"{image.shape[0]}x{image.shape[1]}\n")
+        return "Membership Detail for Group ID"
+
+    rows = [("f", p, picture(20, 60 + p, [(0, 0, 20, 30)]), turn) for p, turn in ((1, 0), (2, 90), (3, 180))]
+    d = spark.createDataFrame([(f, p, a.shape[1], a.shape[0], bytearray(a.tobytes()), turn) for f, p, a, turn in rows], "file_name string, page int, width int, height int, rgba binary, rotation int")
+    assert images.locate_text(d, recognise).where("text is not null").count() == 3
+    with open(f"{calls}/calls") as f:
+        assert sorted(f.read().split()) == ["61x20", "62x20", "63x20"]
+
+
 def test_second_look_reads_boxes(spark):
     words = spark.createDataFrame([("f", 4, "BARBERG,", 10.0, 100.0, 90.0, 112.0), ("f", 4, "ALICE", 100.0, 101.0, 150.0, 113.0), ("f", 4, "$5.00", 600.0, 100.0, 640.0, 112.0)], "file_name string, page int, text string, x0 double, y0 double, x1 double, y1 double")
     tables = spark.createDataFrame([("f", 4, 1000.0, 400.0)], "file_name string, page int, width double, height double")
