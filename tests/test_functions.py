@@ -1,5 +1,7 @@
 """Scalar operators on literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,14 @@ def test_csv_cells(spark):
     assert value(spark, roster.cells(F.lit('a,"b ""q"", c"\t d'))) == ["a", 'b "q", c', "d"]
     assert value(spark, csv_export.escaped(F.lit('a"b'))) == '"a""b"'
     assert value(spark, csv_export.escaped(F.lit(None).cast("string"))) == ""
+
+
+def test_names_are_only_found_where_one_can_begin(spark):
+    rng = random.Random(4)
+    tokens = ["BARBERG,", "ALICE", "CEL", "CASTER,", "O'NEIL,", "B", "1", "N", "XXX-XX-0001", "E", "ESD", "A", "T", "DHMO", "$783.00", "08/2026", "MEDICAL", "-", "Subtotal", "Moss,Kim", "$78300]"]
+    d = spark.createDataFrame([(" ".join(rng.choice(tokens) for _ in range(rng.randint(1, 14))),) for _ in range(150)], "line string")
+    cells = d.select("line", F.transform(names.tokens(F.col("line")), names.classes).alias("cells")).where("size(cells) > 0")
+    each = cells.select("line", F.explode(F.transform(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.struct(names.can_begin(F.col("cells"), i).alias("can"), F.slice("cells", i + 1, 22).alias("rest")))).alias("x"))
+    got = each.select("x.can", names.leading_name(F.col("x.rest")).isNotNull().alias("found")).groupBy("can").agg(F.count_if("found").alias("found"), F.count(F.lit(1)).alias("n")).collect()
+    seen = {r["can"]: (r["found"], r["n"]) for r in got}
+    assert seen[False][0] == 0 and seen[True][0] > 50 and seen[False][1] > seen[True][1]
