@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridextract.functions import codes, money, names
 from gridextract.functions import pages as page_functions
-from gridextract.functions.text import ratio
+from gridextract.functions.text import percent, ratio
 from gridextract.operators import dedupe, edits, layout, match, meta, pages, quality, reread, rows
 from gridextract.plans import extract as plan
 from gridextract.plans.fixtures import HEADING, ROSTER, TRUTH, page_text, roster, table, truth
@@ -788,3 +788,24 @@ def whole_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = changes.union(k.where("row_index % 17 = 5").select("file_name", "row_index", F.lit("excluded"), F.lit("true"), F.lit(2)))
     lines_ = csv_export.csv_lines(csv_export.export_rows(edits.apply_edits(members, changes), plan.headers(text)))
     return longs(lines_)
+
+
+@query(f"select file_name, 'Page 1 looks like Membership Detail but no subscriber rows were read.' as warning from ({TRUTH}) as t where cast(k as bigint) // 90 % 3 = 2 group by file_name")
+def page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main page of every third file has notes in place of its rows."""
+    note = F.concat(F.lit(HEADING), F.repeat(F.lit("\nNo activity in this month"), 12))
+    void = (F.regexp_extract("file_name", r"(\d+)", 1).cast("int") % 3 == 2) & (F.col("page") == 1)
+    return plan.page_warnings(page_text(spark, sf_dir).withColumn("text", F.when(void, note).otherwise(F.col("text"))))
+
+
+@query("""
+select c_custkey, concat(case when c_acctbal < 0 then '-$' else '$' end, format('{:,.2f}', abs(c_acctbal))) as money, case when c_custkey % 30 between 3 and 23 then c_custkey % 30 - 3 end as family,
+  c_custkey % 5 < 3 as is_list, c_custkey % 10 < 4 as blank, concat(case when c_custkey % 3 = 0 then 0 else cast(round(100 * (c_custkey % 10) / (1.0 * (c_custkey % 3))) as int) end, '%') as share
+from customer""")
+def cells_of_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts as they are shown, typed family counts, file names of lists, blank pages and shares in per cent."""
+    k = F.col("c_custkey")
+    ending = F.get(F.array(*(F.lit(x) for x in (".csv", ".TXT", ".Tsv", ".pdf", ".csv.zip"))), (k % 5).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", money.formatted(F.col("c_acctbal")).alias("money"), edits.family_input(F.concat(F.lit(" "), (k % 30 - 3).cast("string"))).cast("long").alias("family"),
+        roster_source.is_roster_file(F.concat(F.lit("list-"), k.cast("string"), ending)).alias("is_list"), page_functions.is_blank((k % 10) / 1000).alias("blank"), percent(k % 10, k % 3).alias("share"))

@@ -9,12 +9,25 @@ from gridextract.operators import dedupe, match, meta, pages, quality, rows
 from gridextract.sources.shared import once
 
 
-def extract(page_text: DataFrame) -> DataFrame:
-    """members(file_name, row_index, ...) of all table pages of each file."""
+def table_pages(page_text: DataFrame) -> DataFrame:
+    """file_name, page, role of the pages that are read as tables."""
     kinds = pages.classified(page_text)
     files = page_text.groupBy("file_name").agg(F.max("page").alias("page_count"))
-    wanted = pages.target_pages(kinds.select("file_name", "page", "kind"), files)
-    return dedupe.members_of(rows.page_rows(page_text.join(wanted.select("file_name", "page"), ["file_name", "page"], "left_semi")))
+    return pages.target_pages(kinds.select("file_name", "page", "kind"), files)
+
+
+def extract(page_text: DataFrame) -> DataFrame:
+    """members(file_name, row_index, ...) of all table pages of each file."""
+    wanted = table_pages(page_text).select("file_name", "page")
+    return dedupe.members_of(rows.page_rows(page_text.join(wanted, ["file_name", "page"], "left_semi")))
+
+
+def page_warnings(page_text: DataFrame) -> DataFrame:
+    """file_name, warning: the main pages of files of which no row is read. Only these pages are parsed."""
+    main = table_pages(page_text).where("role = 'main'").select("file_name", "page")
+    read = rows.page_rows(page_text.join(main, ["file_name", "page"], "left_semi")).select("file_name", "page").distinct()
+    text = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" looks like Membership Detail but no subscriber rows were read."))
+    return main.join(read, ["file_name", "page"], "left_anti").select("file_name", text.alias("warning"))
 
 
 def headers(page_text: DataFrame) -> DataFrame:

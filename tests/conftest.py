@@ -33,9 +33,11 @@ def duck():
 
 
 def rows_of(pdf, columns):
+    d = pdf[columns].astype(object)
+    d = d.where(pdf[columns].notna(), None)
     # whole numbers look alike whether or not a null made pandas read their column as floats
-    d = pdf[columns].astype(object).map(lambda v: int(v) if isinstance(v, float) and v.is_integer() else v).astype(object)
-    return sorted(map(tuple, d.where(pdf[columns].notna(), None).astype(str).values.tolist()))
+    plain = lambda v: str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    return sorted(tuple(plain(v) for v in row) for row in d.values.tolist())
 
 
 @pytest.fixture(scope="session")
