@@ -34,7 +34,7 @@ from .tokens import Words, as_long, blocks
 PART = 512
 #: Examples of one block of the index, texts that are searched together, postings that are added up at once, and the share
 #: of the examples that have a common term.
-BLOCK, TOGETHER, POSTINGS, COMMON = 512, 128, 1 << 19, 0.05
+BLOCK, TOGETHER, POSTINGS, COMMON = 512, 128, 1 << 19, 0.1
 #: Standard deviations from which a term is telling, and tasks for each core that count the terms of all documents.
 TELLING, TASKS = 4, 8
 
