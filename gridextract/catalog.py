@@ -364,6 +364,31 @@ def fuzzy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("k", "name", "coverage", "charge", F.size("flags").cast("long").alias("n_flags"))
 
 
+#: A name of its own for each k, far from all others.
+OWN_NAME = "concat('M', upper(translate(substring(md5(concat('a', k)), 1, 12), '0123456789', 'ghijklmnop')), ', ', upper(translate(substring(md5(concat('b', k)), 1, 8), '0123456789', 'ghijklmnop')))"
+
+
+@query(f"select cast(row_number() over (order by k) as bigint) as row_index, {OWN_NAME} as name, coverage, cast(cents/100.0 as double) as charge from ({TRUTH}) as t")
+def merge_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file with all rows, each of them twice: without its charge, and far below with a letter too many and without codes."""
+    d = truth(spark, sf_dir).withColumn("name", F.expr(OWN_NAME))
+    same = d.select("k", "name", "coverage", "status", F.col("plan").alias("medical_plan"), "family_count", (F.col("cents") / 100).alias("charge"), F.array().cast("array<string>").alias("flags"))
+    one = same.withColumn("page", F.lit(1)).withColumn("charge", F.lit(None).cast("double"))
+    two = same.withColumn("page", F.lit(2)).withColumn("name", F.concat("name", F.lit("S"))).withColumns({c: F.lit("") for c in ("coverage", "status", "medical_plan")}).withColumn("family_count", F.lit(None).cast("int"))
+    got = dedupe.dedupe_large(one.unionByName(two).withColumn("file_name", F.lit("all")), ["file_name"], ["page", "k"])
+    # the row with a charge is the fuller one, so its name stays; the letter that is too many goes
+    return longs(got.select("row_index", F.regexp_replace("name", "S\\z", "").alias("name"), "coverage", "charge"))
+
+
+@query()
+def assign_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and parts of all lines as the pairs of one file, with many equal scores: each part goes to one order at most,
+    and each order gets one part at most. Not in SQL, as each choice rests on those before it."""
+    d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_discount").alias("score"), F.max("l_quantity").cast("int").alias("quality"))
+    got = match.greedy(d.select(F.lit("all").alias("file_name"), F.col("l_orderkey").alias("ord"), F.col("l_partkey").alias("row_index"), "score", "quality"))
+    return longs(got.select("ord", "row_index"))
+
+
 @query(f"select k, status, cast(case when status='T' then 0 when k%2=0 then 100+k%900 else 1000+k%90 end as double) as charge from ({TRUTH}) as t")
 def retro_and_terminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that go on with amounts of other months: the first amount counts there, else the first positive one."""

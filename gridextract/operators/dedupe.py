@@ -1,12 +1,16 @@
-"""Merging of rows whose names are nearly the same. Groups are the rows of a page, then of a file."""
+"""Merging of rows whose names are nearly the same. Groups are the rows of a page, then of a file. A small group is folded
+as it is; of a large one, only rows whose names are linked by near names come together."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridextract.functions.money import merged_charge
 from gridextract.functions.text import dealt, let, letters
+from gridextract.operators.linked import components
+from gridextract.sources.shared import once, working_tables
 
 FIELDS = ("name", "family_count", "coverage", "status", "medical_plan", "charge", "flags", "page")
 
@@ -48,24 +52,85 @@ def merged(a: Column, b: Column) -> Column:
     return F.struct(*(own[f].alias(f) for f in (*FIELDS, "letters")))
 
 
-def dedupe(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """keys, row_index (from 1), FIELDS. Rows are taken in order; each is merged into the first row so far whose name is
-    nearly the same, or is added at the end."""
-    each = dealt(rows, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*FIELDS, letters(F.col("name")).alias("letters")).alias("row"))))["row"].alias("rows"))
+def _folded(rows: DataFrame, by: list[str], order: list[str], *carried: str) -> DataFrame:
+    """by, done: the rows of each group, taken in order, each merged into the first one so far whose name is nearly the same,
+    or added at the end. carried: columns that a merged row keeps from the first of its rows."""
+    row = F.struct(*FIELDS, letters(F.col("name")).alias("letters"), *carried)
+    each = dealt(rows, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, row.alias("row"))))["row"].alias("rows"))
     kind = each.schema["rows"].dataType.simpleString()
 
+    def both(a: Column, b: Column) -> Column:
+        m = merged(a, b)
+        for c in carried:
+            m = m.withField(c, a[c])
+        return m
+
     def add(done: Column, row: Column) -> Column:
         like = F.filter(F.sequence(F.lit(1), F.size(done)), lambda k: (F.size(done) > 0) & same_letters(F.get(done, k - 1)["letters"], row["letters"]))
-        joined = lambda at: let(F.struct(F.get(done, at - 1).alias("a"), row.alias("b")), lambda p: merged(p["a"], p["b"]))
+        joined = lambda at: let(F.struct(F.get(done, at - 1).alias("a"), row.alias("b")), lambda p: both(p["a"], p["b"]))
         put = lambda at: F.concat(F.slice(done, F.lit(1), at - 1), F.array(joined(at)), F.slice(done, at + 1, F.size(done)))
         # the place is worked out once for a row
         return let(F.get(like, F.lit(0)), lambda at: F.when(at.isNull(), F.concat(done, F.array(row))).otherwise(put(at)))
 
-    done = F.aggregate("rows", F.array().cast(kind), add)
-    return each.select(*keys, F.posexplode(done).alias("_at", "_row")).select(*keys, (F.col("_at") + 1).alias("row_index"), *(f"_row.{f}" for f in FIELDS if f not in keys))
+    return each.select(*by, F.aggregate("rows", F.array().cast(kind), add).alias("done"))
+
+
+def dedupe(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, row_index (from 1), FIELDS. Rows are taken in order; each is merged into the first row so far whose name is
+    nearly the same, or is added at the end. All rows of a group are folded in one task: for groups of a page's size."""
+    d = _folded(rows, keys, order).select(*keys, F.posexplode("done").alias("_at", "_row"))
+    return d.select(*keys, (F.col("_at") + 1).alias("row_index"), *(f"_row.{f}" for f in FIELDS if f not in keys))
+
+
+def name_links(names: DataFrame) -> DataFrame:
+    """a, b: links by which names that same_letters holds for reach each other. names: group, letters, node.
+
+    Long names share their first eight letters, or, one edit apart, a string that is left when at most one letter is taken
+    out of each. Each name is linked with the least of those that share such a string, so a string in very many names makes
+    one link a name and no pairs. Other names may be linked too: that only makes a component larger."""
+    gap = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x))))
+    x = F.col("letters")
+    shared = F.concat(F.array(F.concat(F.lit("^"), F.substring(x, 1, 8)), x), gap(x))
+    keyed = names.where(F.char_length("letters") >= 8).select("node", F.explode(F.array_distinct(F.transform(shared, lambda s: F.xxhash64("group", s)))).alias("key"))
+    keyed = once(keyed)
+    least = once(keyed.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b"))
+    return keyed.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+#: Rows of a group up to which it is folded as it is.
+SMALL = 512
+
+
+def dedupe_large(rows: DataFrame, keys: list[str], order: list[str], small: int = SMALL) -> DataFrame:
+    """dedupe for groups of any size, with the same rows. Runs when it is called: rows are written, and if a group has more
+    than `small` of them, so are the components of its names.
+
+    A row can only be merged into one whose name is near, and a merged row has the name of one of its rows; so rows of
+    different components of near names never meet, and each component is folded by itself. What is numbered over a whole
+    group is sorted, not held."""
+    group = F.xxhash64(*keys)
+    rows = once(rows.select(*dict.fromkeys([*keys, *order, *FIELDS]))).withColumn("_group", group)
+    many = rows.groupBy("_group").count().where(F.col("count") > small).select("_group")
+    if many.isEmpty():
+        return dedupe(rows, keys, order)
+    x = letters(F.col("name"))
+    node = F.xxhash64("_group", x)
+    with working_tables():
+        many = once(many)
+        large = rows.join(many, "_group", "left_semi")
+        names = large.select(F.col("_group").alias("group"), x.alias("letters"), node.alias("node")).distinct()
+        parts = components(name_links(names))
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *FIELDS)).alias("_nth")
+        numbered = large.select(*dict.fromkeys([*keys, *FIELDS]), node.alias("node"), nth).join(parts, "node", "left")
+        done = _folded(numbered.withColumn("_part", F.coalesce("component", "node")), [*keys, "_part"], ["_nth"], "_nth")
+        each = done.select(*keys, F.explode("done").alias("_row"))
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy("_row._nth"))
+        got = each.select(*keys, at.alias("row_index"), *(f"_row.{f}" for f in FIELDS if f not in keys))
+        return once(got.unionByName(dedupe(rows.join(many, "_group", "left_anti"), keys, order)), outer=True)
 
 
 def members_of(page_rows: DataFrame) -> DataFrame:
-    """file_name, row_index, FIELDS: the rows of each page merged, then those of each file, page by page."""
+    """file_name, row_index, FIELDS: the rows of each page merged, then those of each file, page by page. Runs when it is
+    called (see dedupe_large)."""
     by_page = dedupe(page_rows, ["file_name", "page"], ["pass", "ord"])
-    return dedupe(by_page, ["file_name"], ["page", "row_index"])
+    return dedupe_large(by_page, ["file_name"], ["page", "row_index"])

@@ -6,11 +6,14 @@ scores are worked out for the names of one file only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridextract.functions.text import dealt, kept, let, letters, name_words, ratio, trimmed
 from gridextract.operators.dedupe import completeness
+from gridextract.sources.shared import once, working_tables
 
 # Bounds of scores, flags.
 MATCH, LEFTOVER, LEFTOVER_LAST, HINT = 0.58, 0.5, 0.88, 0.56
@@ -98,21 +101,56 @@ def match_score(known: Column, read: Column) -> Column:
     return let(F.struct(known_parts(known).alias("k"), read_parts(read).alias("r")), lambda x: pair_score(x["k"], x["r"]))
 
 
-def greedy(pairs: DataFrame) -> DataFrame:
-    """file_name, ord, row_index of the pairs taken: best score first, then quality, then the order of both; each side
-    once. pairs: file_name, ord, row_index, score, quality; those of one file are folded together."""
-    sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("quality")).alias("q"), "ord", "row_index")))
+def _greedy_fold(pairs: DataFrame) -> DataFrame:
+    """greedy with the pairs of one file folded together."""
     state = F.struct(F.array().cast("array<int>").alias("ords"), F.array().cast("array<int>").alias("rows"))
     pair = lambda s, x: F.struct(F.concat(s["ords"], F.array(x["ord"])).alias("ords"), F.concat(s["rows"], F.array(x["row_index"])).alias("rows"))
     used = lambda s, x: F.array_contains(s["ords"], x["ord"]) | F.array_contains(s["rows"], x["row_index"])
     taken = F.aggregate("p", state, lambda s, x: F.when(used(s, x), s).otherwise(pair(s, x)))
-    each = pairs.select("file_name", F.col("ord").cast("int"), F.col("row_index").cast("int"), "score", "quality").groupBy("file_name").agg(sorted_.alias("p"))
+    each = pairs.groupBy("file_name").agg(F.array_sort(F.collect_list("rank")).alias("p"))
     both = F.zip_with(F.col("t.ords"), F.col("t.rows"), lambda o, r: F.struct(o.alias("ord"), r.alias("row_index")))
     return each.select("file_name", taken.alias("t")).select("file_name", F.explode(both).alias("b")).select("file_name", "b.ord", "b.row_index")
 
 
+def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs that are the best of both their sides, and those of which no side is taken by these."""
+    best = lambda side: pairs.groupBy("file_name", side).agg(F.min("rank").alias("rank")).select("file_name", "rank")
+    taken = once(best("ord").join(best("row_index"), ["file_name", "rank"]).select("file_name", "rank.ord", "rank.row_index"))
+    rest = pairs.join(taken.select("file_name", "ord"), ["file_name", "ord"], "left_anti").join(taken.select("file_name", "row_index"), ["file_name", "row_index"], "left_anti")
+    return taken, rest
+
+
+#: Pairs of a file up to which they are folded together.
+FOLDED_PAIRS = 4096
+
+
+def greedy(pairs: DataFrame, most: int = FOLDED_PAIRS) -> DataFrame:
+    """file_name, ord, row_index of the pairs taken: best score first, then quality, then the order of both; each side
+    once. pairs: file_name, ord, row_index, score, quality, each pair once.
+
+    Runs when it is called. In a file with more than `most` pairs, those that are the best of both their sides are taken at
+    once: no other pair could come before them. What they leave goes to the next round, until at most `most` pairs are left,
+    which are folded together."""
+    rank = F.struct((-F.col("score")).alias("s"), (-F.col("quality")).alias("q"), "ord", "row_index").alias("rank")
+    left = pairs.select("file_name", F.col("ord").cast("int"), F.col("row_index").cast("int"), "score", "quality").select("file_name", "ord", "row_index", rank)
+    with working_tables():
+        left, done = once(left), []
+        while True:
+            many = left.groupBy("file_name").count().where(F.col("count") > most).select("file_name")
+            if many.isEmpty():
+                break
+            many = once(many)
+            few = left.join(many, "file_name", "left_anti")
+            if not done or not few.isEmpty():
+                done.append(_greedy_fold(few))
+            taken, rest = _round(left.join(many, "file_name", "left_semi"))
+            done.append(taken)
+            left = once(rest)
+        return once(reduce(DataFrame.unionByName, done, _greedy_fold(left)), outer=True)
+
+
 def assign(roster: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs of roster names and rows that belong together."""
+    """The pairs of roster names and rows that belong together. Runs when it is called (see greedy)."""
     quality = completeness({c: F.col(c) for c in ("charge", "family_count", "coverage", "status", "medical_plan")})
     rows = members.select("file_name", "row_index", read_parts(F.col("name")).alias("read"), quality.alias("quality"))
     known = roster.select("file_name", "ord", known_parts(F.col("name")).alias("known"))

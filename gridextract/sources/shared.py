@@ -28,16 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
-def once(df: DataFrame) -> DataFrame:
+def once(df: DataFrame, outer: bool = False) -> DataFrame:
     """df as Parquet in the shared folder, for what several branches of a plan read. Removed when the driver ends, or with
-    working_tables()."""
+    working_tables(); outer: with those around the innermost, for a result that outlives the tables it is made of."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_clear)
     _WRITTEN.append((spark, path))
-    for made in getattr(_open, "made", [])[-1:]:
+    scopes = getattr(_open, "made", [])
+    for made in scopes[-2:-1] if outer else scopes[-1:]:
         made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
