@@ -29,13 +29,22 @@ def _later(cells: Column, start: Column, k: int, field: str) -> Column:
     return at(F.filter(F.slice(cells, start + 1, k)[field], lambda x: x.isNotNull()), 0)
 
 
+def _until_name(cells: Column, start: Column, most: int) -> Column:
+    """How many cells from start on come before the next name, most at most."""
+    name = lambda i: names.is_name(F.concat_ws(" ", at(cells, i)["t"], at(cells, i + 1)["t"]))
+    end = F.least(F.size(cells), start + most)
+    heads = F.filter(F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>")), lambda i: at(cells, i)["t"].endswith(",") & name(i))
+    return F.coalesce(at(heads, 0), end) - start
+
+
 def _has_code(c: Column) -> Column:
     return c["coverage"].isNotNull() | c["status"].isNotNull() | c["plan"].isNotNull() | c["amount"].isNotNull()
 
 
 def row_of(cells: Column, raw: Column, *, rest: int | None = None) -> Column:
     """The row that classified tokens (see names.classes) make up, as struct of name_tokens and FIELDS, or null if they
-    make up none that is usable. raw: the line itself, or '' where there is none; rest: tokens after the name at most.
+    make up none that is usable. raw: the line itself, or '' where there is none; rest: where tokens run on into other rows,
+    how many after the name it can take at most. It takes none from the next name on.
 
     After the name a cursor moves forward only: family count, Y or N, masked id, coverage, status, plan, amounts up to the
     first mark of another month. A status or plan that is not at its place is looked for in the next tokens."""
@@ -74,7 +83,7 @@ def row_of(cells: Column, raw: Column, *, rest: int | None = None) -> Column:
         return let(row, flagged)
 
     def named(name: Column) -> Column:
-        tail = F.slice(cells, name["n"] + 1, F.lit(rest) if rest else F.size(cells))
+        tail = F.slice(cells, name["n"] + 1, _until_name(cells, name["n"], rest) if rest else F.size(cells))
         first = lambda c: _first(c, F.lit(0), lambda x: x["family"].isNotNull() | x["id"] | _has_code(x))
         family = lambda c, i: let(at(c, i)["family"], lambda f: codes(c, i + F.when(f.isNotNull(), 1).otherwise(0), f, name))
         return F.when(name.isNotNull() & ~names.junk_name(name["name"]), let(tail, lambda c: let(first(c), lambda i: family(c, i))))
