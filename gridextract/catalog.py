@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from gridextract.functions import codes, money, names
 from gridextract.functions import pages as page_functions
-from gridextract.functions.text import percent, ratio
+from gridextract.functions.text import dealt, percent, ratio
 from gridextract.operators import dedupe, edits, layout, match, meta, pages, quality, reread, rows
 from gridextract.plans import extract as plan
-from gridextract.plans.fixtures import HEADING, ROSTER, TRUTH, page_text, roster, table, truth
+from gridextract.plans.fixtures import HEADING, ROSTER, TRUTH, page_text, roster, spread, table, truth
 from gridextract.plans.fixtures import lines as noisy_lines
 from gridextract.sources import csv_export
 from gridextract.sources import roster as roster_source
@@ -266,7 +266,7 @@ def comma_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names whose comma was lost get it back."""
     pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("c_custkey") % 3 + 1).cast("int"))
     line = F.concat(F.lit("PART"), pick(("BERG", "LAND", "VALE")), F.lit(" "), pick(("SEAN", "MARIA", "DIANA")))
-    return table(spark, sf_dir, "customer").select("c_custkey", names.with_comma(line).alias("name"))
+    return spread(spark, sf_dir, "customer", "c_custkey").select("c_custkey", names.with_comma(line).alias("name"))
 
 
 @query("select o_orderkey, case when o_orderkey%4=0 then 'missing' when o_orderkey%4=1 then 'ok' else 'needs-review' end as name_status, case when o_orderkey%3=0 then 'ok' when o_orderkey%3=1 then 'needs-review' else 'missing' end as amount_status, case when o_orderkey%3=0 then cast(750 as double) when o_orderkey%3=1 then cast(9000 as double) end as amount from orders")
@@ -402,7 +402,7 @@ def retro_and_terminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fused_name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that were read as one word."""
     token = F.element_at(F.array(F.lit("BARBERALICE"), F.lit("LUTTERERIKA"), F.lit("GREGORELISE")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", names.unfused(token).alias("name"))
+    return spread(spark, sf_dir, "customer", "c_custkey").select("c_custkey", names.unfused(token).alias("name"))
 
 
 @query("select o_orderkey as f, count(*) as n_pages, cast(sum(p) as bigint) as page_sum from (select distinct o_orderkey, p from (select o_orderkey, 1+o_orderkey%12 as n, unnest([3,4,5,6,o_orderkey%12-2,o_orderkey%12-1,o_orderkey%12]) as p from orders) as x where p between 1 and n) as y group by o_orderkey")
@@ -527,7 +527,7 @@ MEMBERS = f"select file_name, cast(row_number() over (partition by file_name ord
 
 def _pages_of(lines: DataFrame) -> DataFrame:
     """Pages from file_name, page, line_no, line, under the heading."""
-    d = lines.groupBy("file_name", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
+    d = dealt(lines, "file_name").groupBy("file_name", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
     return d.select("file_name", "page", F.concat(F.lit(HEADING + "\n"), "text", F.lit("\nSubtotal $1.00")).alias("text"))
 
 
