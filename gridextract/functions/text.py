@@ -48,6 +48,12 @@ def letters(x: Column) -> Column:
     return F.upper(F.regexp_replace(x, "[^A-Za-z]", ""))
 
 
+def letter_set(x: Column) -> Column:
+    """The letters of a text of A-Z as bits of an integer; none of null."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1), F.ascii(c) - 65)
+    return F.coalesce(F.aggregate(F.split(x, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(s.bitwiseOR(bit(c)))), F.lit(0))
+
+
 def words(x: Column) -> Column:
     """Split at white space, without empty parts."""
     return F.filter(F.split(x, r"\s+"), lambda w: w != "")

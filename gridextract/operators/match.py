@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridextract.functions.text import dealt, kept, let, letters, name_words, ratio, trimmed
+from gridextract.functions.text import dealt, kept, let, letter_set, letters, name_words, ratio, trimmed
 from gridextract.operators.dedupe import completeness
 from gridextract.sources.shared import once, working_tables
 
@@ -73,7 +73,8 @@ def last_score(known: Column, read: Column) -> Column:
         return F.greatest(ratio(last, guess), F.when(inside, F.lit(0.9)), F.when(begins, F.lit(0.82)))
 
     top = F.greatest(F.lit(0.0), F.when((n >= 4) & F.contains(whole, last), F.lit(0.92)), *(fit(read[f"guess_{i}"]) for i in range(3)))
-    return F.when((n < 3) | (F.char_length(whole) < 3), F.lit(0.0)).otherwise(top)
+    # as a lambda: the code that Spark would generate for it is too long for the JVM to compile, and three times slower
+    return F.when((n < 3) | (F.char_length(whole) < 3), F.lit(0.0)).otherwise(let(top, lambda x: x))
 
 
 def pair_score(known: Column, read: Column, least: float = 0.0) -> Column:
@@ -88,7 +89,54 @@ def pair_score(known: Column, read: Column, least: float = 0.0) -> Column:
     first = ratio(F.substring(k_first, F.lit(1), n), F.substring(r_first, F.lit(1), n))
     total = lambda x: x * F.lit(0.62) + first * F.lit(0.23) + ratio(k, r) * F.lit(0.15)
     none = (F.char_length(k) < 4) | (F.char_length(r) < 3)
-    return F.when(none | (last * F.lit(0.62) + F.lit(0.23 + 0.15 + 1e-9) < least), F.lit(0.0)).otherwise(total(last))
+    enough = lambda x: F.when(x * F.lit(0.62) + F.lit(0.23 + 0.15 + 1e-9) >= least, total(x)).otherwise(F.lit(0.0))
+    return F.when(none, F.lit(0.0)).otherwise(let(last, enough))
+
+
+def known_bits(known: Column) -> Column:
+    """What score_bounds needs of known_parts: letters and lengths."""
+    last, first = known["last"], F.substring(known["first"], 1, 8)
+    sets = (letter_set(x).alias(n) for x, n in ((last, "last"), (F.substring(last, 1, 5), "begin"), (first, "first"), (known["all"], "all")))
+    return F.struct(*sets, F.char_length(last).alias("n_last"), F.char_length(first).alias("n_first"), F.char_length(known["all"]).alias("n_all"))
+
+
+def read_bits(read: Column) -> Column:
+    """What score_bounds needs of read_parts."""
+    first = F.substring(read["first"], 1, 8)
+    sets = (letter_set(x).alias(n) for x, n in ((first, "first"), (read["all"], "all"), *((read[f"guess_{i}"], f"guess_{i}") for i in range(3))))
+    return F.struct(*sets, *(F.char_length(read[f"guess_{i}"]).alias(f"n_{i}") for i in range(3)), F.char_length(first).alias("n_first"), F.char_length(read["all"]).alias("n_all"))
+
+
+def score_bounds(k: Column, r: Column) -> tuple[Column, Column]:
+    """What pair_score and last_score are at most, from known_bits and read_bits: an edit is needed for each letter that
+    only one of two texts has, and a text that holds another one has all of its letters."""
+    lacks = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+    like = lambda a, b, n, m: F.lit(1.0) - F.greatest(lacks(a, b), lacks(b, a)) / F.greatest(n, m, F.lit(1))
+    # without a first name, the last name may stand anywhere among the letters
+    whole = lacks(k["last"], r["all"])
+    loose = F.when((whole == 0) | (k["n_last"] < 3), F.lit(1.0)).when(r["n_first"] == 0, F.lit(1.0) - whole / k["n_last"]).otherwise(F.lit(0.0))
+
+    def fit(i: int) -> Column:
+        g = r[f"guess_{i}"]
+        held = (lacks(k["begin"], g) == 0) | (lacks(g, k["last"]) == 0)
+        return F.when(r[f"n_{i}"].isNull(), F.lit(0.0)).when(held, F.lit(1.0)).otherwise(like(k["last"], g, k["n_last"], r[f"n_{i}"]))
+
+    last = F.greatest(loose, *(fit(i) for i in range(3)))
+    first, both = like(k["first"], r["first"], k["n_first"], r["n_first"]), like(k["all"], r["all"], k["n_all"], r["n_all"])
+    return last * F.lit(0.62) + first * F.lit(0.23) + both * F.lit(0.15) + F.lit(1e-9), last + F.lit(1e-9)
+
+
+def _near_pairs(known: DataFrame, rows: DataFrame, full: float, last: float | None, *carried: str) -> DataFrame:
+    """file_name, ord, row_index, known, read, carried of the pairs of one file that may score at least `full`, or `last` by
+    the last name alone. known: file_name, ord, name; rows: file_name, row_index, name, carried.
+
+    Pairs that cannot score enough are left out by their letters, before any edit is counted. Bits are made of parts that
+    are dealt already: otherwise Spark puts the whole expression of the parts in place of every mention."""
+    known = dealt(known.select("file_name", "ord", known_parts(F.col("name")).alias("known")), "file_name").withColumn("k", known_bits(F.col("known")))
+    rows = dealt(rows.select("file_name", "row_index", *carried, read_parts(F.col("name")).alias("read")), "file_name").withColumn("r", read_bits(F.col("read")))
+    most, most_last = score_bounds(F.col("k"), F.col("r"))
+    pairs = known.join(rows, "file_name").where((most >= full) if last is None else (most >= full) | (most_last >= last))
+    return pairs.select("file_name", "ord", "row_index", *carried, "known", "read")
 
 
 def last_name_score(last: Column, read: Column) -> Column:
@@ -152,9 +200,8 @@ def greedy(pairs: DataFrame, most: int = FOLDED_PAIRS) -> DataFrame:
 def assign(roster: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs of roster names and rows that belong together. Runs when it is called (see greedy)."""
     quality = completeness({c: F.col(c) for c in ("charge", "family_count", "coverage", "status", "medical_plan")})
-    rows = members.select("file_name", "row_index", read_parts(F.col("name")).alias("read"), quality.alias("quality"))
-    known = roster.select("file_name", "ord", known_parts(F.col("name")).alias("known"))
-    pairs = dealt(known, "file_name").join(dealt(rows, "file_name"), "file_name").select("file_name", "ord", "row_index", "quality", pair_score(F.col("known"), F.col("read"), MATCH).alias("score"))
+    pairs = _near_pairs(roster.select("file_name", "ord", "name"), members.select("file_name", "row_index", "name", quality.alias("quality")), MATCH, None, "quality")
+    pairs = pairs.select("file_name", "ord", "row_index", "quality", pair_score(F.col("known"), F.col("read"), MATCH).alias("score"))
     return greedy(pairs.select("file_name", "ord", "row_index", "quality", kept(F.col("score"), F.col("score") >= MATCH).alias("score")))
 
 
@@ -192,9 +239,7 @@ def is_missing(flags: Column) -> Column:
 def fill_from_leftover(matched: DataFrame, leftover: DataFrame) -> DataFrame:
     """matched, with placeholders filled from the leftover rows at a lower bound, or on the last name alone."""
     missing = matched.where(is_missing(F.col("flags"))).select("file_name", F.col("row_index").alias("ord"), "name")
-    rows = leftover.select("file_name", "row_index", read_parts(F.col("name")).alias("read"))
-    known = missing.select("file_name", "ord", known_parts(F.col("name")).alias("known"))
-    pairs = dealt(known, "file_name").join(dealt(rows, "file_name"), "file_name")
+    pairs = _near_pairs(missing, leftover.select("file_name", "row_index", "name"), LEFTOVER, LEFTOVER_LAST)
     pairs = pairs.select("file_name", "ord", "row_index", pair_score(F.col("known"), F.col("read"), LEFTOVER).alias("full"), last_score(F.col("known"), F.col("read")).alias("last"))
     near = (F.col("full") >= LEFTOVER) | (F.col("last") >= LEFTOVER_LAST)
     taken = greedy(pairs.select("file_name", "ord", "row_index", kept(F.greatest("full", "last"), near).alias("score"), F.lit(0).alias("quality")))
