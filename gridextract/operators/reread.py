@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridextract.functions import money
-from gridextract.functions.text import collapsed, kept, let, trimmed
+from gridextract.functions.text import collapsed, dealt, kept, let, trimmed
 from gridextract.operators import dedupe, layout, match, rows
 
 # Share of a table's width that names stand in; least score of a last name alone.
@@ -33,9 +33,10 @@ def name_hints(missing: DataFrame, words: DataFrame, tables: DataFrame) -> DataF
     """file_name, row_index, name, page, hint, score, y0, y1: the line that fits each missing member best (of equal ones
     that of the first page, then the topmost). Members choose in their order; a line that overlaps one chosen before is
     left to that. missing: file_name, row_index, name."""
-    lines = line_texts(words, tables)
+    # words are few bytes and their scores much work: dealt, or Spark scores all files in one task
+    lines, missing = line_texts(dealt(words, "file_name"), tables), dealt(missing, "file_name")
     hint, known = F.array_join("texts", " "), F.col("known")
-    lines = lines.select("file_name", "page", "line_no", "y0", "y1", hint.alias("hint"), match.read_parts(hint).alias("whole"), F.transform("texts", match.read_parts).alias("words"))
+    lines = dealt(lines, "file_name").select("file_name", "page", "line_no", "y0", "y1", hint.alias("hint"), match.read_parts(hint).alias("whole"), F.transform("texts", match.read_parts).alias("words"))
     alone = F.array_max(F.transform("words", lambda w: match.last_score(known, w)))
     fits = missing.select("file_name", F.col("row_index").cast("int").alias("row_index"), "name", match.known_parts(F.col("name")).alias("known")).join(lines, "file_name")
     score = F.greatest(match.pair_score(known, F.col("whole")), match.last_score(known, F.col("whole")), alone)
