@@ -187,6 +187,16 @@ def can_begin(cells: Column, i: Column) -> Column:
     return (i + 1 < F.size(cells)) & ~F.coalesce(at(cells, i + 1)["stop"], F.lit(False)) & at(cells, i)["t"].rlike("^[A-Za-z]")
 
 
+def starts(cells: Column) -> Column:
+    """The places where a name can begin: those of can_begin with a comma in one of their first five tokens and no stop up
+    to it."""
+    is_comma = lambda i: at(cells, i)["t"].contains(",")
+    commas = F.filter(F.sequence(F.lit(0), F.greatest(F.size(cells) - 1, F.lit(0))), is_comma)
+    free = lambda i, p: ~F.exists(F.slice(cells, i + 2, p - i), lambda c: c["stop"])
+    before = lambda p: F.filter(F.sequence(F.greatest(p - 4, F.lit(0)), p), lambda i: can_begin(cells, i) & free(i, p))
+    return F.array_distinct(F.flatten(F.transform(commas, before)))
+
+
 def person_like(value: Column) -> Column:
     """Whether a cell of a list looks like a person: LAST, FIRST or two words."""
     v = collapsed(value)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridextract.functions import money, names
-from gridextract.functions.text import at, kept, let, normalized, trimmed
+from gridextract.functions.text import at, dealt, kept, let, normalized, trimmed
 
 KEYS = ("file_name", "page")
 FIELDS = ("name", "family_count", "coverage", "status", "medical_plan", "charge", "flags")
@@ -119,8 +119,7 @@ def stream_rows(lines: DataFrame) -> DataFrame:
     rows that are found, one that starts before the end of the row before it (its name and four tokens) is left out."""
     whole = lines.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], " ").alias("line"))
     whole = whole.select(*KEYS, F.transform(names.tokens(F.col("line")), names.classes).alias("cells"))
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("cells") - 1, F.lit(0))), lambda i: names.can_begin(F.col("cells"), i))
-    tokens = F.transform(starts, lambda i: F.struct(i.alias("ord"), F.slice(F.col("cells"), i + 1, 6 + STREAM_REST).alias("cells")))
+    tokens = F.transform(names.starts(F.col("cells")), lambda i: F.struct(i.alias("ord"), F.slice(F.col("cells"), i + 1, 6 + STREAM_REST).alias("cells")))
     each = whole.select(*KEYS, F.explode(tokens).alias("x")).select(*KEYS, "x.ord", "x.cells")
     found = each.select(*KEYS, "ord", row_of(F.col("cells"), F.lit(""), rest=STREAM_REST).alias("r"))
     row = F.when(F.col("r").isNotNull(), F.struct("ord", "r"))
@@ -133,5 +132,5 @@ def stream_rows(lines: DataFrame) -> DataFrame:
 
 def page_rows(page_text: DataFrame) -> DataFrame:
     """Rows of both passes, in the order (file_name, page, pass, ord) in which dedupe takes them."""
-    lines = text_lines(page_text)
+    lines = text_lines(dealt(page_text, *KEYS))
     return line_rows(lines).unionByName(stream_rows(lines))
