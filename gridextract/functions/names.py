@@ -30,21 +30,26 @@ def status(token: Column) -> Column:
 def plan(token: Column) -> Column:
     """The plan a token stands for, or null: the same letters, a worn DHMO, or one edit away from a plan of four letters
     or more; MEDICAL itself is the code of another column."""
+    return let(letters(token), lambda w: _plan(token, w))
+
+
+def _plan(token: Column, w: Column) -> Column:
+    """plan of a token with the letters w."""
     squeezed = {p.replace(" ", ""): p for p in codes.PLANS}
     long_plans = F.array(*(F.lit(p.replace(" ", "")) for p in codes.PLANS if len(p.replace(" ", "")) >= 4))
 
     def read(t: Column) -> Column:
         n = F.char_length(t)
         marks = sum(t.contains(c).cast("int") for c in "DHMO")
-        close = at(F.filter(long_plans, lambda p: (F.abs(F.char_length(p) - n) <= 1) & (F.levenshtein(t, p) <= 1)), 0)
+        close = at(F.filter(long_plans, lambda p: (F.abs(F.char_length(p) - n) <= 1) & (F.levenshtein(t, p, 1) >= 0)), 0)
         return F.when(n.between(3, 10) & (t != "MEDICAL"), F.coalesce(codes.lookup(squeezed, t), F.when((n <= 5) & t.contains("M") & (marks >= 2), F.lit("DHMO")), F.when(n >= 4, codes.lookup(squeezed, close))))
 
-    return F.when(~token.rlike(r"[$\d]"), let(letters(token), read))
+    return F.when(~token.rlike(r"[$\d]"), read(w))
 
 
 def subscriber_id(token: Column) -> Column:
     t = F.upper(token)
-    return (t.rlike("X{2,}") & t.rlike(r"\d")) | t.rlike(r"X{2,3}[-.\s]?X{2}") | t.rlike(r"^\d{0,3}X{2,}")
+    return t.contains("XX") & ((t.rlike("X{2,}") & t.rlike(r"\d")) | t.rlike(r"X{2,3}[-.\s]?X{2}") | t.rlike(r"^\d{0,3}X{2,}"))
 
 
 def family_count(token: Column) -> Column:
@@ -73,18 +78,22 @@ def is_name(value: Column) -> Column:
         )
 
     shaped = lambda v: F.char_length(v).between(7, 70) & v.rlike(NAME) & ~v.rlike(NO_NAME)
-    return let(collapsed(value), lambda v: F.when(shaped(v), let(parts(v), fits)).otherwise(F.lit(False)))
+    # nothing else is looked at where there is no comma
+    return F.when(value.contains(","), let(collapsed(value), lambda v: F.when(shaped(v), let(parts(v), fits)).otherwise(F.lit(False)))).otherwise(F.lit(False))
 
 
 def junk_name(name: Column) -> Column:
     """Whether a name is a label, a subtotal or a code that was taken for one."""
-    n = F.upper(trimmed(name))
     first_word = lambda x: at(F.split(trimmed(x), r"\s+"), 0)
-    after = F.when(n.contains(","), F.substring_index(F.substring_index(n, ",", 2), ",", -1)).otherwise(F.lit(""))
-    return (
-        n.isin("N/A", "NA", "N / A") | n.startswith("SUBTOTAL") | n.startswith("STD") | n.rlike(r"\b(DHMO|MEDICAL|SUBTOTAL|PAGE|ESD|ESP)\b")
-        | first_word(F.substring_index(n, ",", 1)).rlike(INVOICE_WORD) | first_word(after).rlike(INVOICE_WORD)
-    )
+
+    def junk(n: Column) -> Column:
+        after = F.when(n.contains(","), F.substring_index(F.substring_index(n, ",", 2), ",", -1)).otherwise(F.lit(""))
+        return (
+            n.isin("N/A", "NA", "N / A") | n.startswith("SUBTOTAL") | n.startswith("STD") | n.rlike(r"\b(DHMO|MEDICAL|SUBTOTAL|PAGE|ESD|ESP)\b")
+            | first_word(F.substring_index(n, ",", 1)).rlike(INVOICE_WORD) | first_word(after).rlike(INVOICE_WORD)
+        )
+
+    return let(F.upper(trimmed(name)), junk)
 
 
 def non_member_label(name: Column) -> Column:
@@ -130,9 +139,9 @@ def tokens(line: Column) -> Column:
 
 def classes(token: Column) -> Column:
     """All classes of one token, each read once; stop: it cannot be part of a name."""
-    read = F.struct(
-        letters(token).alias("w"), family_count(token).alias("family"), subscriber_id(token).alias("id"), coverage(token).alias("coverage"),
-        status(token).alias("status"), plan(token).alias("plan"), money.extracted(token).alias("amount"), token.rlike(PERIOD).alias("period"))
+    read = lambda w: F.struct(
+        w.alias("w"), family_count(token).alias("family"), subscriber_id(token).alias("id"), codes.lookup(codes.COVERAGE_READ, w).alias("coverage"),
+        codes.lookup(codes.STATUS_READ, w).alias("status"), _plan(token, w).alias("plan"), money.extracted(token).alias("amount"), token.rlike(PERIOD).alias("period"))
 
     def cell(r: Column) -> Column:
         w, n, yn = r["w"], F.char_length(r["w"]), r["w"].isin("N", "Y")
@@ -142,7 +151,7 @@ def classes(token: Column) -> Column:
             token.alias("t"), n.alias("n"), r["family"].alias("family"), yn.alias("yn"), r["id"].alias("id"), r["coverage"].alias("coverage"), r["status"].alias("status"),
             r["plan"].alias("plan"), r["amount"].alias("amount"), (r["period"] | token.rlike(r"(?i)^MEDICAL\z")).alias("other_month"), stop.alias("stop"))
 
-    return let(read, cell)
+    return let(let(letters(token), read), cell)
 
 
 def shape_score(name: Column) -> Column:
@@ -163,13 +172,14 @@ def leading_name(cells: Column) -> Column:
 
     Up to six tokens before the first stop are looked at. Long last tokens are dropped while what stays is a name; of the
     beginnings that are names, the best shape wins, then the shorter."""
-    stops = F.filter(F.sequence(F.lit(1), F.lit(6)), lambda i: (i < F.size(cells)) & at(cells, i)["stop"])
-    most = F.least(F.lit(6), F.size(cells), F.coalesce(F.array_min(stops), F.lit(6)))
-    text = lambda k: F.array_join(F.slice(cells, 1, k)["t"], " ")
+    first = F.slice(cells, 1, 6)
+    head = F.struct(first["t"].alias("t"), first["n"].alias("n"), F.array_position(F.slice(first["stop"], 2, 5), True).cast("int").alias("stop"))
 
-    def options(most: Column) -> Column:
+    def options(h: Column) -> Column:
         """Each beginning: its text, whether it is a name, letters of its last token."""
-        return F.transform(F.sequence(F.lit(1), most), lambda k: F.struct(text(k).alias("text"), is_name(text(k)).alias("ok"), at(cells, k - 1)["n"].alias("n")))
+        most = F.when(h["stop"] == 0, F.size(h["t"])).otherwise(h["stop"])
+        option = lambda k, text: F.struct(text.alias("text"), is_name(text).alias("ok"), at(h["n"], k - 1).alias("n"))
+        return F.transform(F.sequence(F.lit(1), most), lambda k: let(F.array_join(F.slice(h["t"], 1, k), " "), lambda text: option(k, text)))
 
     def best(o: Column) -> Column:
         shorter = lambda k, _: F.when((k >= 3) & (at(o, k - 1)["n"] >= 3) & at(o, k - 2)["ok"], k - 1).otherwise(k)
@@ -177,7 +187,7 @@ def leading_name(cells: Column) -> Column:
         scored = lambda k: F.transform(F.slice(o, 2, F.greatest(k - 1, F.lit(0))), lambda x, i: F.when(x["ok"], F.struct(shape_score(x["text"]).alias("score"), (-i - 2).alias("less"), collapsed(x["text"]).alias("name"))))
         return F.array_max(let(kept, scored))
 
-    found = F.when(F.size(cells) >= 2, let(let(most, options), best))
+    found = F.when(F.size(cells) >= 2, let(let(head, options), best))
     return let(found, lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), (-b["less"]).alias("n"))))
 
 

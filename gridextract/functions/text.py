@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is worked out once, however often body names it. Needed inside lambdas of array functions,
-    where Spark finds no common subexpressions."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    where Spark finds no common subexpressions. It is the end of a fold over nothing, because Spark copies all that the
+    function of a transform returns, arrays and rows with all of their parts."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def dealt(d: DataFrame, *keys: str) -> DataFrame:

@@ -28,6 +28,17 @@ def same_person(a: Column, b: Column) -> Column:
     return let(F.struct(letters(a).alias("x"), letters(b).alias("y")), lambda k: same_letters(k["x"], k["y"]))
 
 
+def same_key(x: Column, y: Column) -> Column:
+    """same_letters of two keys (see key). Equal letters, letters with the same first eight, and long ones one edit apart all
+    share their first four or their last four letters, so nothing else is asked of the other pairs, which are nearly all."""
+    return ((x["head"] == y["head"]) | (x["tail"] == y["tail"])) & same_letters(x["letters"], y["letters"])
+
+
+def key(name: Column) -> Column:
+    """The letters of a name, with the first four and the last four of them."""
+    return let(letters(name), lambda x: F.struct(x.alias("letters"), F.substring(x, 1, 4).alias("head"), F.right(x, F.lit(4)).alias("tail")))
+
+
 def completeness(row) -> Column:
     """How much of a row is filled in; the charge counts most."""
     score = F.when(row["charge"].isNotNull(), 8).otherwise(0) + F.when(row["family_count"].isNotNull(), 1).otherwise(0)
@@ -37,40 +48,50 @@ def completeness(row) -> Column:
 
 
 def merged(a: Column, b: Column) -> Column:
-    """One row of two (FIELDS and letters, those of the name): the more complete one (a, of equal ones), its gaps filled from the other, its settled flags gone."""
+    """One row of two (FIELDS and key, that of the name): the more complete one (a, of equal ones), its gaps filled from the other, its settled flags gone."""
     first = completeness(a) >= completeness(b)
-    win = lambda f: F.when(first, a[f]).otherwise(b[f])
-    lose = lambda f: F.when(first, b[f]).otherwise(a[f])
-    text = {f: F.when(win(f) != "", win(f)).otherwise(lose(f)) for f in ("coverage", "status", "medical_plan")}
-    family, charge = F.coalesce(win("family_count"), lose("family_count")), merged_charge(win("charge"), lose("charge"))
-    settled = {
-        "Missing medical current charge": charge.isNotNull(), "Missing coverage": text["coverage"] != "", "Missing status": text["status"] != "",
-        "Missing medical plan": text["medical_plan"] != "", "Missing family count": family.isNotNull(),
-    }
-    gone = F.filter(F.array(*(F.when(test, F.lit(flag)) for flag, test in settled.items())), lambda x: x.isNotNull())
-    own = {"name": win("name"), "family_count": family, **text, "charge": charge, "flags": F.array_except(win("flags"), gone), "page": win("page"), "letters": win("letters")}
-    return F.struct(*(own[f].alias(f) for f in (*FIELDS, "letters")))
+    both = lambda f: F.when(f, F.struct(a.alias("win"), b.alias("lose"))).otherwise(F.struct(b.alias("win"), a.alias("lose")))
+
+    def filled(p: Column) -> Column:
+        """The fields of both that depend on both, each worked out once."""
+        win, lose = p["win"], p["lose"]
+        text = (F.when(win[f] != "", win[f]).otherwise(lose[f]).alias(f) for f in ("coverage", "status", "medical_plan"))
+        family, charge = F.coalesce(win["family_count"], lose["family_count"]), merged_charge(win["charge"], lose["charge"])
+        return let(F.struct(win.alias("win"), family.alias("family_count"), *text, charge.alias("charge")), settled)
+
+    def settled(r: Column) -> Column:
+        win = r["win"]
+        tests = {
+            "Missing medical current charge": r["charge"].isNotNull(), "Missing coverage": r["coverage"] != "", "Missing status": r["status"] != "",
+            "Missing medical plan": r["medical_plan"] != "", "Missing family count": r["family_count"].isNotNull(),
+        }
+        gone = F.filter(F.array(*(F.when(test, F.lit(flag)) for flag, test in tests.items())), lambda x: x.isNotNull())
+        flags = F.when(F.size(win["flags"]) == 0, win["flags"]).otherwise(F.array_except(win["flags"], gone))
+        own = {"name": win["name"], "flags": flags, "page": win["page"], "key": win["key"]}
+        return F.struct(*((own[f] if f in own else r[f]).alias(f) for f in (*FIELDS, "key")))
+
+    return let(let(first, both), filled)
 
 
 def _folded(rows: DataFrame, by: list[str], order: list[str], *carried: str) -> DataFrame:
     """by, done: the rows of each group, taken in order, each merged into the first one so far whose name is nearly the same,
     or added at the end. carried: columns that a merged row keeps from the first of its rows."""
-    row = F.struct(*FIELDS, letters(F.col("name")).alias("letters"), *carried)
+    row = F.struct(*FIELDS, key(F.col("name")).alias("key"), *carried)
     each = dealt(rows, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, row.alias("row"))))["row"].alias("rows"))
     kind = each.schema["rows"].dataType.simpleString()
 
     def both(a: Column, b: Column) -> Column:
-        m = merged(a, b)
-        for c in carried:
-            m = m.withField(c, a[c])
-        return m
+        if not carried:
+            return merged(a, b)
+        return let(merged(a, b), lambda m: F.struct(*(m[f].alias(f) for f in (*FIELDS, "key")), *(a[c].alias(c) for c in carried)))
 
     def add(done: Column, row: Column) -> Column:
-        like = F.filter(F.sequence(F.lit(1), F.size(done)), lambda k: (F.size(done) > 0) & same_letters(F.get(done, k - 1)["letters"], row["letters"]))
+        # 0 if there is none
+        like = F.array_position(F.transform(done, lambda d: same_key(d["key"], row["key"])), True)
         joined = lambda at: let(F.struct(F.get(done, at - 1).alias("a"), row.alias("b")), lambda p: both(p["a"], p["b"]))
         put = lambda at: F.concat(F.slice(done, F.lit(1), at - 1), F.array(joined(at)), F.slice(done, at + 1, F.size(done)))
         # the place is worked out once for a row
-        return let(F.get(like, F.lit(0)), lambda at: F.when(at.isNull(), F.concat(done, F.array(row))).otherwise(put(at)))
+        return let(like.cast("int"), lambda at: F.when(at == 0, F.concat(done, F.array(row))).otherwise(put(at)))
 
     return each.select(*by, F.aggregate("rows", F.array().cast(kind), add).alias("done"))
 

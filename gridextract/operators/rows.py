@@ -19,9 +19,8 @@ STREAM_REST, STREAM_SKIP = 16, 4
 
 def _first(cells: Column, start: Column, test: Callable[[Column], Column]) -> Column:
     """Index of the first cell from start on that passes the test, else the number of cells."""
-    n = F.size(cells)
-    hits = F.filter(F.when(start < n, F.sequence(start, n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.coalesce(test(at(cells, k)), F.lit(False)))
-    return F.coalesce(at(hits, 0), n)
+    hit = F.array_position(F.transform(F.slice(cells, start + 1, F.size(cells)), test), True).cast("int")
+    return let(hit, lambda p: F.when(p == 0, F.size(cells)).otherwise(start + p - 1))
 
 
 def _later(cells: Column, start: Column, k: int, field: str) -> Column:
@@ -29,22 +28,28 @@ def _later(cells: Column, start: Column, k: int, field: str) -> Column:
     return at(F.filter(F.slice(cells, start + 1, k)[field], lambda x: x.isNotNull()), 0)
 
 
-def _until_name(cells: Column, start: Column, most: int) -> Column:
-    """How many cells from start on come before the next name, most at most."""
-    name = lambda i: names.is_name(F.concat_ws(" ", at(cells, i)["t"], at(cells, i + 1)["t"]))
-    end = F.least(F.size(cells), start + most)
-    heads = F.filter(F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>")), lambda i: at(cells, i)["t"].endswith(",") & name(i))
-    return F.coalesce(at(heads, 0), end) - start
+def _heads(cells: Column) -> Column:
+    """Of each cell, whether it and the next one are a name, with the comma at the end of the first."""
+    t = cells["t"]
+    return F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: a.endswith(",") & names.is_name(F.concat_ws(" ", a, b)))
+
+
+def _until_name(cells: Column, heads: Column, n: Column) -> Column:
+    """How many cells after the first n come before the next name, STREAM_REST at most. heads: those of the cells (see _heads).
+    A name is seen if both of its cells are there."""
+    end = F.least(F.size(cells), n + STREAM_REST)
+    next_name = F.array_position(F.slice(heads, n + 1, F.least(F.lit(STREAM_REST), 5 + STREAM_REST - n)), True).cast("int")
+    return let(next_name, lambda p: F.when(p == 0, end - n).otherwise(p - 1))
 
 
 def _has_code(c: Column) -> Column:
     return c["coverage"].isNotNull() | c["status"].isNotNull() | c["plan"].isNotNull() | c["amount"].isNotNull()
 
 
-def row_of(cells: Column, raw: Column, *, rest: int | None = None) -> Column:
+def row_of(cells: Column, raw: Column, *, heads: Column | None = None) -> Column:
     """The row that classified tokens (see names.classes) make up, as struct of name_tokens and FIELDS, or null if they
-    make up none that is usable. raw: the line itself, or '' where there is none; rest: where tokens run on into other rows,
-    how many after the name it can take at most. It takes none from the next name on.
+    make up none that is usable. raw: the line itself, or '' where there is none; heads: where tokens run on into other rows,
+    where names begin (see _heads); it takes STREAM_REST tokens after its own at most, and none from the next name on.
 
     After the name a cursor moves forward only: family count, Y or N, masked id, coverage, status, plan, amounts up to the
     first mark of another month. A status or plan that is not at its place is looked for in the next tokens."""
@@ -83,7 +88,7 @@ def row_of(cells: Column, raw: Column, *, rest: int | None = None) -> Column:
         return let(row, flagged)
 
     def named(name: Column) -> Column:
-        tail = F.slice(cells, name["n"] + 1, _until_name(cells, name["n"], rest) if rest else F.size(cells))
+        tail = F.slice(cells, name["n"] + 1, F.size(cells) if heads is None else _until_name(cells, heads, name["n"]))
         first = lambda c: _first(c, F.lit(0), lambda x: x["family"].isNotNull() | x["id"] | _has_code(x))
         family = lambda c, i: let(at(c, i)["family"], lambda f: codes(c, i + F.when(f.isNotNull(), 1).otherwise(0), f, name))
         return F.when(name.isNotNull() & ~names.junk_name(name["name"]), let(tail, lambda c: let(first(c), lambda i: family(c, i))))
@@ -101,8 +106,9 @@ def missing_flags(coverage: Column, status: Column, plan: Column, charge: Column
 
 def text_lines(page_text: DataFrame) -> DataFrame:
     """file_name, page, line_no, line: the lines of pages, without blank ones and column labels."""
-    lines = page_text.select(*KEYS, F.posexplode(F.split(normalized(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", money.glued(trimmed(F.col("line"))))
+    # cleaned before they are rows: a filter on a line would be worked out from all of its expression, each time it names it
+    each = F.transform(F.split(normalized(F.coalesce("text", F.lit(""))), "\n"), lambda x: money.glued(trimmed(x)))
+    lines = page_text.select(*KEYS, F.posexplode(each).alias("line_no", "line"))
     return lines.where((F.col("line") != "") & ~F.col("line").rlike(names.LABEL_LINE))
 
 
@@ -119,11 +125,11 @@ def stream_rows(lines: DataFrame) -> DataFrame:
     rows that are found, one that starts before the end of the row before it (its name and four tokens) is left out."""
     whole = lines.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], " ").alias("line"))
     whole = whole.select(*KEYS, F.transform(names.tokens(F.col("line")), names.classes).alias("cells"))
-    tokens = F.transform(names.starts(F.col("cells")), lambda i: F.struct(i.alias("ord"), F.slice(F.col("cells"), i + 1, 6 + STREAM_REST).alias("cells")))
-    each = whole.select(*KEYS, F.explode(tokens).alias("x")).select(*KEYS, "x.ord", "x.cells")
-    found = each.select(*KEYS, "ord", row_of(F.col("cells"), F.lit(""), rest=STREAM_REST).alias("r"))
-    row = F.when(F.col("r").isNotNull(), F.struct("ord", "r"))
-    rows = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    own = lambda x, i: F.slice(x, i + 1, 6 + STREAM_REST)
+    tried = lambda x, i: let(own(x["cells"], i), lambda c: F.struct(i.alias("ord"), row_of(c, F.lit(""), heads=own(x["heads"], i)).alias("r")))
+    each = F.struct("cells", _heads(F.col("cells")).alias("heads"), names.starts(F.col("cells")).alias("starts"))
+    found = let(each, lambda x: F.transform(x["starts"], lambda i: tried(x, i)))
+    rows = whole.select(*KEYS, F.array_sort(F.filter(found, lambda x: x["r"].isNotNull())).alias("rows"))
     kind = rows.schema["rows"].dataType.simpleString()
     state = F.struct(F.lit(0).alias("next"), F.array().cast(kind).alias("kept"))
     taken = F.aggregate("rows", state, lambda s, x: F.when(x["ord"] >= s["next"], F.struct((x["ord"] + x["r"]["name_tokens"] + STREAM_SKIP).alias("next"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -34,14 +35,18 @@ def _advance(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupSt
     several batches; they wait in the state until all are there. What is older than an arrival that was taken is left out."""
     version, was, first, taken, waiting, numbers, texts = state.get if state.exists else (0, "", None, -1, -1, [], [])
     held, done = dict(zip(numbers, texts, strict=True)), None
-    rows = pd.concat(parts)
-    for arrival, own in rows[rows["arrival"] > max(taken, waiting - 1)].groupby("arrival"):
+    there = lambda x: x is not None and x == x
+    # plain rows: a file has few pages, on which frames would cost more than the work
+    rows = (row for part in parts for row in zip(*(part[c].tolist() for c in ("arrival", "page", "pages", "text", "error")), strict=True))
+    new = sorted((row for row in rows if row[0] > max(taken, waiting - 1)), key=lambda row: row[0])
+    for arrival, group in groupby(new, key=lambda row: row[0]):
+        own = list(group)
         held = held if arrival == waiting else {}
         waiting = int(arrival)
-        failed = own["error"].dropna()
-        held |= dict(zip(own["page"].astype(int), own["text"].where(own["text"].notna(), None), strict=True)) if failed.empty else {}
-        if not failed.empty or len(held.keys() - {0}) >= int(own["pages"].max()):
-            done = (waiting, failed.min() if len(failed) else None, {} if len(failed) else {k: held[k] for k in sorted(held) if k})
+        failed = [error for *_, error in own if there(error)]
+        held |= {} if failed else {int(page): text if there(text) else None for _, page, _, text, _ in own}
+        if failed or len(held.keys() - {0}) >= int(max(pages for _, _, pages, _, _ in own if there(pages))):
+            done = (waiting, min(failed) if failed else None, {} if failed else {k: held[k] for k in sorted(held) if k})
             taken, held = waiting, {}
     if done is not None:
         arrival, error, pages = done
