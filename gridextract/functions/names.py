@@ -30,21 +30,27 @@ def status(token: Column) -> Column:
 def plan(token: Column) -> Column:
     """The plan a token stands for, or null: the same letters, a worn DHMO, or one edit away from a plan of four letters
     or more; MEDICAL itself is the code of another column."""
-    return let(letters(token), lambda w: _plan(token, w))
+    return F.when(~token.rlike(r"[$\d]"), let(letters(token), _plan))
 
 
-def _plan(token: Column, w: Column) -> Column:
-    """plan of a token with the letters w."""
+def _plan(t: Column) -> Column:
+    """plan of a token without digits and $, from its letters."""
     squeezed = {p.replace(" ", ""): p for p in codes.PLANS}
-    long_plans = F.array(*(F.lit(p.replace(" ", "")) for p in codes.PLANS if len(p.replace(" ", "")) >= 4))
+    # a set of literals is looked up at once, a map key by key
+    known = F.when(t.isin([k for k, p in squeezed.items() if k == p]), t)
+    for k, p in squeezed.items():
+        known = known.when(t == k, p) if k != p else known
 
-    def read(t: Column) -> Column:
-        n = F.char_length(t)
+    def read(n: Column) -> Column:
         marks = sum(t.contains(c).cast("int") for c in "DHMO")
-        close = at(F.filter(long_plans, lambda p: (F.abs(F.char_length(p) - n) <= 1) & (F.levenshtein(t, p, 1) >= 0)), 0)
-        return F.when(n.between(3, 10) & (t != "MEDICAL"), F.coalesce(codes.lookup(squeezed, t), F.when((n <= 5) & t.contains("M") & (marks >= 2), F.lit("DHMO")), F.when(n >= 4, codes.lookup(squeezed, close))))
+        near = {i: [F.lit(k) for k in squeezed if len(k) >= 4 and abs(len(k) - i) <= 1] for i in range(4, 11)}
+        near_plans = F.when(F.lit(False), F.array().cast("array<string>"))
+        for i, plans in near.items():
+            near_plans = near_plans.when(n == i, F.array(*plans)) if plans else near_plans
+        close = at(F.filter(near_plans, lambda p: F.levenshtein(t, p, 1) >= 0), 0)
+        return F.when(n.between(3, 10) & (t != "MEDICAL"), F.coalesce(known, F.when((n <= 5) & t.contains("M") & (marks >= 2), F.lit("DHMO")), F.when(n >= 4, codes.lookup(squeezed, close))))
 
-    return F.when(~token.rlike(r"[$\d]"), read(w))
+    return let(F.char_length(t), read)
 
 
 def subscriber_id(token: Column) -> Column:
@@ -78,8 +84,8 @@ def is_name(value: Column) -> Column:
         )
 
     shaped = lambda v: F.char_length(v).between(7, 70) & v.rlike(NAME) & ~v.rlike(NO_NAME)
-    # nothing else is looked at where there is no comma
-    return F.when(value.contains(","), let(collapsed(value), lambda v: F.when(shaped(v), let(parts(v), fits)).otherwise(F.lit(False)))).otherwise(F.lit(False))
+    # nothing else is looked at where there is no comma, or nothing after it
+    return F.when(value.contains(",") & ~value.endswith(","), let(collapsed(value), lambda v: F.when(shaped(v), let(parts(v), fits)).otherwise(F.lit(False)))).otherwise(F.lit(False))
 
 
 def junk_name(name: Column) -> Column:
@@ -121,27 +127,43 @@ def unfused(token: Column) -> Column:
     return F.when(~token.rlike(r"[$,\d]") & ~subscriber_id(token), let(F.regexp_replace(F.upper(token), "[^A-Z'-]", ""), best))
 
 
-def with_comma(line: Column) -> Column:
-    """A line whose first three tokens hold no comma gets one after the last name, if it starts with a name."""
+def comma_put(line: Column) -> Column:
+    """A line whose first three tokens hold no comma gets one after the last name, if it starts with a name; else null."""
 
     def found(t: Column) -> Column:
         head, rest = at(t, 0), F.array_join(F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), " ")
         two = (F.size(t) >= 2) & name_word(head, 4) & name_word(at(t, 1), 3)
         return F.when(~F.array_join(F.slice(t, 1, 3), " ").contains(","), F.when(two, F.concat(head, F.lit(", "), rest)).otherwise(trimmed(F.concat(unfused(head), F.lit(" "), rest))))
 
-    return let(line, lambda x: F.coalesce(let(words(x), found), x))
+    return let(words(line), found)
+
+
+def with_comma(line: Column) -> Column:
+    """comma_put of a line, or the line."""
+    return let(line, lambda x: F.coalesce(comma_put(x), x))
+
+
+def parted(line: Column) -> Column:
+    """Tokens of a cleaned line, amounts set apart."""
+    return words(F.regexp_replace(line, r"(\$?-?[\d,]+\.\d{2})", " $1 "))
 
 
 def tokens(line: Column) -> Column:
     """Tokens of a read line, amounts set apart."""
-    return words(F.regexp_replace(with_comma(cleaned_line(line)), r"(\$?-?[\d,]+\.\d{2})", " $1 "))
+    return parted(with_comma(cleaned_line(line)))
 
 
 def classes(token: Column) -> Column:
     """All classes of one token, each read once; stop: it cannot be part of a name."""
-    read = lambda w: F.struct(
-        w.alias("w"), family_count(token).alias("family"), subscriber_id(token).alias("id"), codes.lookup(codes.COVERAGE_READ, w).alias("coverage"),
-        codes.lookup(codes.STATUS_READ, w).alias("status"), _plan(token, w).alias("plan"), money.extracted(token).alias("amount"), token.rlike(PERIOD).alias("period"))
+    first = F.struct(letters(token).alias("w"), token.rlike(r"\d").alias("digit"))
+    code = lambda table, w: F.when(w != "", F.when(F.char_length(w) <= max(map(len, table)), codes.lookup(table, w)))
+
+    def read(x: Column) -> Column:
+        """What holds digits is no plan, and what holds none is neither a count, an amount nor a period."""
+        w, digit = x["w"], x["digit"]
+        return F.struct(
+            w.alias("w"), F.when(digit, family_count(token)).alias("family"), subscriber_id(token).alias("id"), code(codes.COVERAGE_READ, w).alias("coverage"), code(codes.STATUS_READ, w).alias("status"),
+            F.when(~digit & ~token.contains("$"), _plan(w)).alias("plan"), F.when(digit, money.extracted(token)).alias("amount"), (digit & token.rlike(PERIOD)).alias("period"))
 
     def cell(r: Column) -> Column:
         w, n, yn = r["w"], F.char_length(r["w"]), r["w"].isin("N", "Y")
@@ -149,9 +171,9 @@ def classes(token: Column) -> Column:
         stop = r["family"].isNotNull() | yn | r["id"] | r["amount"].isNotNull() | r["period"] | ((n >= 2) & (r["coverage"].isNotNull() | (r["plan"].isNotNull() & ~first_name)))
         return F.struct(
             token.alias("t"), n.alias("n"), r["family"].alias("family"), yn.alias("yn"), r["id"].alias("id"), r["coverage"].alias("coverage"), r["status"].alias("status"),
-            r["plan"].alias("plan"), r["amount"].alias("amount"), (r["period"] | token.rlike(r"(?i)^MEDICAL\z")).alias("other_month"), stop.alias("stop"))
+            r["plan"].alias("plan"), r["amount"].alias("amount"), (r["period"] | ((w == "MEDICAL") & token.rlike(r"(?i)^MEDICAL\z"))).alias("other_month"), stop.alias("stop"))
 
-    return let(let(letters(token), read), cell)
+    return let(let(first, read), cell)
 
 
 def shape_score(name: Column) -> Column:
